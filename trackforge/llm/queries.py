@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackforge.llm import bpe, decontaminate, langid, neighbours, sharding, suffix_array, suffix_tree, url_filter
+from trackforge.llm import bpe, decontaminate, hmm, langid, neighbours, sharding, suffix_array, suffix_tree, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return hmm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup_bytes(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_bpe": op5_bpe,
     "op7_url_filter": op7_url_filter,
