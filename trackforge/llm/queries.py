@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackforge.llm import bpe, decontaminate, hmm, langid, neighbours, sharding, suffix_array, suffix_tree, url_filter
+from trackforge.llm import bpe, decontaminate, hmm, jaccard_join, langid, neighbours, sharding, suffix_array, suffix_tree, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"), jaccard_join.Similarity(size=3, percent=90)).select("doc_id", "n_shingles", "component_id")
+
+
 URL_POLICY = url_filter.UrlPolicy(
     rules=(
         url_filter.Rule("org", "/", "allow"),
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
