@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +174,16 @@ class Finder:
         return out
 
 
+def shared_benchmark(items: DataFrame, item_col: str, text_col: str, size: int) -> Broadcast:
+    """The items as a broadcast, which is refused beyond MOST_ITEM_BYTES."""
+    small = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    weight = small.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if weight > MOST_ITEM_BYTES:
+        raise ValueError(f"benchmark items have {weight} bytes; at most {MOST_ITEM_BYTES} can be sent to executors")
+    rows = sorted((r.item_id, r.text) for r in small.distinct().collect())
+    return items.sparkSession.sparkContext.broadcast(Benchmark.build(rows, size))
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """A row for each document row and item of which it holds a copy: doc_id, item_id, similarity, first_word.
 
@@ -181,12 +192,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     tables give no rows. Items must be within MOST_ITEM_BYTES; beyond that the call fails rather than leave some out.
     No shuffle; only id and text are read.
     """
-    small = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
-    weight = small.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if weight > MOST_ITEM_BYTES:
-        raise ValueError(f"benchmark items have {weight} bytes; at most {MOST_ITEM_BYTES} can be sent to executors")
-    rows = sorted((r.item_id, r.text) for r in small.distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark.build(rows, size))
+    shared = shared_benchmark(items, item_col, text_col, size)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,3 +205,19 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(finder.b.item_ids[[f[1] for f in found]]), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", size: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no copy of an item. No shuffle."""
+    shared = shared_benchmark(items, item_col, "text", size)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value, size, threshold, radius)
+        for batch in batches:
+            for texts in textops.chunks(batch.column(place)):
+                keep = np.ones(len(texts), bool)
+                keep[[f[0] for f in finder.find(texts)]] = False
+                yield batch.slice(texts.first, len(texts)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

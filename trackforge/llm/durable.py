@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,11 @@ def materialise(df: DataFrame) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the driver drop shuffle files that nothing refers to any more, so that they don't pile up on disk."""
     spark.sparkContext._jvm.System.gc()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows of df written as Parquet to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -252,6 +252,24 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is found with a posterior of at least least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value and worker_scorer(shared.value)
+        for batch in batches:
+            for texts in textops.chunks(batch.column(place)):
+                keep = has_letter(texts) & (scorer is not None)
+                if scorer:
+                    logs = scorer.score(texts)
+                    keep &= 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1) >= least
+                yield batch.slice(texts.first, len(texts)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _SCORERS: list[tuple[LanguageModel, Scorer]] = []
 
 

@@ -310,8 +310,8 @@ def _judge(windows: Windows, groups: int, judge: Callable[[Shard], np.ndarray])
     return run
 
 
-def _applied(windows: Windows, describe: Callable, schema: pa.Schema) -> Callable:
-    """(texts of a group of documents, windows that are to go) -> a row for each text."""
+def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: list[str]) -> Callable:
+    """(texts of a group of documents, windows that are to go) -> a row for each text, with the columns to carry."""
 
     def run(texts_of: pa.Table, gone: pa.Table) -> pa.Table:
         runs = merged(gone.column("blob")) if gone.num_rows else [np.zeros(0, np.int64)] * 4
@@ -337,17 +337,21 @@ def _applied(windows: Windows, describe: Callable, schema: pa.Schema) -> Callabl
                 out += describe(texts, ids, removed, firsts, None if starts is None else (starts, ends))
             done += len(column)
         columns = list(zip(*out, strict=True)) or [()] * len(schema)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for i, c in enumerate(carry):
+            found = found.append_column(c, texts_of.column(f"carry_{i}")) if texts_of.num_rows else found.append_column(c, pa.array([], texts_of.schema.field(f"carry_{i}").type))
+        return found
 
     return run
 
 
-def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], np.ndarray], describe: Callable, schema: pa.Schema, ddl: str, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], np.ndarray], describe: Callable, schema: pa.Schema, ddl: str, id_col: str, text_col: str, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """describe(...) of each text without the windows that judge finds; see the module's text for the steps.
 
     buckets: into how many parts hashes and documents are dealt; four for each shuffle partition by default, so that it
-    is the cluster's setting for the size of the data that bounds memory.
+    is the cluster's setting for the size of the data that bounds memory. carry: columns of docs that stay with their rows.
     """
+    carry = carry or []
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     x = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
@@ -355,10 +359,13 @@ def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], n
     d = F.col("doc_id")
     part = F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 34)), F.lit(buckets)).cast("int")
     grouped = texts.withColumn("part", part).groupBy("part")
+    carried = docs.select(x.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    carried = carried.withColumn("part", part).groupBy("part")
+    ddl += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     anchors = texts.mapInArrow(_anchors(windows, buckets), "bucket int, blob binary")
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated(windows, buckets), "part int, blob binary")
     near = grouped.cogroup(repeated.groupBy("part")).applyInArrow(_neighbourhood_rows(windows, buckets), "bucket int, blob binary")
     gone = near.groupBy("bucket").applyInArrow(_judge(windows, buckets, judge), "part int, blob binary")
     gone = materialise(gone)
     release_shuffles(spark)
-    return grouped.cogroup(gone.groupBy("part")).applyInArrow(_applied(windows, describe, schema), ddl)
+    return carried.cogroup(gone.groupBy("part")).applyInArrow(_applied(windows, describe, schema, carry), ddl)

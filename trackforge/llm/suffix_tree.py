@@ -123,7 +123,10 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return remove_repeats(docs, Windows("word", WINDOW, ANCHOR, False), judge, _digest, schema, "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col, buckets)
 
 
-def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """As dedup_digests, with the text that is kept: unchanged where nothing was removed, else its words joined by one space."""
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """As dedup_digests, with the text that is kept: unchanged where nothing was removed, else its words joined by one space.
+
+    carry: columns of docs that stay with their rows; their names must differ from those of the result.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    return remove_repeats(docs, Windows("word", WINDOW, ANCHOR, False), judge, _text, schema, "doc_id long, n_words long, n_removed long, kept string", id_col, text_col, buckets)
+    return remove_repeats(docs, Windows("word", WINDOW, ANCHOR, False), judge, _text, schema, "doc_id long, n_words long, n_removed long, kept string", id_col, text_col, buckets, carry)
