@@ -1,18 +1,18 @@
 """N-gram Jaccard self-join by prefix trees, with the classes of texts that its links connect.
 
-Sets of n-gram hashes are stored in one global order: n-grams known to stand in one document only come first, then
-those of unknown frequency, then those known to repeat; by hash within each. By the prefix bound, two sets of
+Sets of n-gram hashes are stored in one global order: n-grams that stand in one document only come first, then those
+that repeat; by hash within each. By the prefix bound, two sets of
 sufficient similarity share an n-gram among the first n - ceil(t n) + 1 of each, so only those are dealt out, and of
 them not the ones that no other document has. The steps:
 
 1. Equal sets become one class; the rest deals with classes.
-2. Which n-grams repeat is found by dealing those with hashes in the lower part of the range; each task settles first
-   what repeats in its own input.
+2. Which n-grams repeat is found by dealing them by hash, packed; each task settles first what repeats in its own
+   input. Halves of hashes are compared, so a few may pass for repeating that don't; the order stays the same for all.
 3. Every class is compared with one leader: the class of smallest key in the groups of its prefix n-grams with which
-   it shares most of them. Groups of copies, however large, are linked by one comparison for each member.
+   it shares most of them, if those are enough for a link. Groups of copies, however large, are linked by one comparison for each member.
 4. What could still link two components is compared as well: classes that share a prefix n-gram, lie in different
-   components, are near enough in size, and by the triangle inequality of the Jaccard distance could be near enough
-   to each other, given their distances to a common leader.
+   components, are near enough in size, share as many n-grams of their prefixes as linked sets must, and by the
+   triangle inequality of the Jaccard distance could be near enough, given their distances to a common leader.
 5. A comparison stores the sets to be compared with one probe in a trie and walks it once: paths shared by several
    sets share their partial overlap, and a subtree is left as soon as what remains of it and of the probe is too
    short for the overlap that is needed. A probe's sets are dealt in blocks of bounded size.
@@ -27,14 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
-from trackforge.llm.durable import materialise, release_shuffles
-from trackforge.llm.repeats import HELD_ANCHORS, _bucket, _by_bucket, _group, _key, _repeated, _rows, _table, _text_tags, merged, pack
+from trackforge.llm.durable import materialise, release_shuffles, staged
+from trackforge.llm.repeats import _by_bucket, _group, _key, _rows, _table, _text_tags, merged, pack
 
 NULL_ID = (1 << 63) - 1
+HELD_GRAMS = 1_500_000  # n-grams that a task holds before it passes them on
 BLOCK_SETS = 500  # sets of one trie
 SECOND = np.uint64(0xA5A5B4B4C3C3D2D2)
 
@@ -45,7 +46,6 @@ class Similarity:
 
     size: int
     percent: int
-    across_documents: bool = True
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.percent * n // 100) + 1
@@ -55,11 +55,6 @@ class Similarity:
         """Down to this percentage distances to leaders are computed exactly."""
         return max(1, self.percent - 20)
 
-    @property
-    def known_below(self) -> np.uint64:
-        """Hashes below are counted: three times what a prefix holds."""
-        return np.uint64(min(0.999, 3 * (100 - self.percent) / 100) * 2.0**64)
-
 
 def needed(a: int, b: int, percent: int) -> int:
     """Least common part of sets of these sizes for a similarity of percent / 100."""
@@ -123,28 +118,37 @@ def _by_row(groups: int) -> Callable:
     return run
 
 
+def _halves(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each n-gram, by the upper half of its hash, and the lower half, which names it there."""
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes.astype(np.uint32)
+
+
 def _counted(s: Similarity, buckets: int) -> Callable:
-    """texts -> rows (bucket, blob of n-gram, row, rank, settled), as in the search for repeated anchors."""
+    """texts -> rows (bucket, blob of n-gram, row, settled).
+
+    settled: 1 for an n-gram that the task has met in several rows, which is passed on once; its other rows follow as 2.
+    """
 
     def passed_on(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        hashes, rows_of, ranks = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((rows_of, hashes))
-        hashes, rows_of, ranks = hashes[order], rows_of[order], ranks[order]
+        hashes, rows_of = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes, rows_of = hashes[order], rows_of[order]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         group = np.cumsum(new) - 1
         many = np.zeros(group[-1] + 1, bool)
         many[group[1:][(rows_of[1:] != rows_of[:-1]) & ~new[1:]]] = True
         settled = many[group]
+        bucket, name = _halves(hashes, buckets)
         out = []
-        for b, part in _by_bucket(_bucket(hashes, buckets)):
+        for b, part in _by_bucket(bucket):
             part = part[~settled[part] | new[part]]
-            part = part[np.lexsort((ranks[part], rows_of[part]))]
-            out.append((b, pack(hashes[part], rows_of[part], ranks[part], settled[part].view(np.uint8))))
+            part = part[np.argsort(rows_of[part], kind="stable")]
+            out.append((b, pack(name[part], rows_of[part], settled[part].view(np.uint8))))
         own = np.flatnonzero(settled & ~new)
         for b, part in _by_bucket(_group(rows_of[own], buckets)):
             part = own[part]
-            part = part[np.lexsort((ranks[part], rows_of[part]))]
-            out.append((b, pack(np.zeros(len(part), np.uint64), rows_of[part], ranks[part], np.full(len(part), 2, np.uint8))))
+            part = part[np.argsort(rows_of[part], kind="stable")]
+            out.append((b, pack(name[part], rows_of[part], np.full(len(part), 2, np.uint8))))
         return _rows("bucket", out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +157,9 @@ def _counted(s: Similarity, buckets: int) -> Callable:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for texts in textops.chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(texts, s.size)
-                at = np.flatnonzero(hashes < s.known_below)
-                text = np.searchsorted(bounds, at, side="right") - 1
-                held.append((hashes[at], _row_keys(ids, texts)[text], (at - bounds[text]).astype(np.int32)))
-                n += len(at)
-                if n >= HELD_ANCHORS:
+                held.append((hashes, np.repeat(_row_keys(ids, texts), np.diff(bounds))))
+                n += len(hashes)
+                if n >= HELD_GRAMS:
                     yield passed_on(held)
                     held, n = [], 0
         if n:
@@ -166,14 +168,42 @@ def _counted(s: Similarity, buckets: int) -> Callable:
     return run
 
 
+def _again(groups: int) -> Callable:
+    """rows of a bucket -> rows (part, blob of row, n-gram) of the n-grams that several rows have."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names, rows_of, settled = merged(rows.column("blob"))
+        sure = settled == 2
+        at = np.flatnonzero(~sure)
+        order = at[np.argsort(names[at], kind="stable")]
+        n, r = names[order], rows_of[order]
+        new = np.concatenate([[True], n[1:] != n[:-1]]) if len(n) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        again = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+        again[group[1:][~new[1:] & (r[1:] != r[:-1])]] = True
+        again[group[settled[order] == 1]] = True
+        keep = np.concatenate([order[again[group]], np.flatnonzero(sure)])
+        out = []
+        for g, part in _by_bucket(_group(rows_of[keep], groups)):
+            part = keep[part]
+            part = part[np.argsort(rows_of[part], kind="stable")]
+            out.append((g, pack(rows_of[part], names[part])))
+        return _table("part", out)
+
+    return run
+
+
 def _prefixes(s: Similarity) -> Callable:
-    """(texts of a group of documents, their repeated n-grams) -> rows (row, n, gram): prefix n-grams that others may have."""
+    """(texts of a group of documents, their repeated n-grams) -> rows (row, n, gram): prefix n-grams that others may have.
+
+    For each row that has any, one more row holds its whole set, big-endian in ascending order, and no gram.
+    """
 
     def run(texts_of: pa.Table, repeated: pa.Table) -> pa.Table:
         keys = np.zeros(0, np.uint64)
         if repeated.num_rows:
-            rows, ranks = merged(repeated.column("blob"))
-            keys = np.unique(_key(rows, ranks))
+            rows, names = merged(repeated.column("blob"))
+            keys = np.unique(_key(rows, names))
         out, done = [], 0
         ids_all = texts_of.column("doc_id").to_numpy().astype(np.int64) if texts_of.num_rows else np.zeros(0, np.int64)
         for column in texts_of.column("text").chunks:
@@ -182,30 +212,19 @@ def _prefixes(s: Similarity) -> Callable:
                 size = np.diff(bounds)
                 text = np.repeat(np.arange(len(texts)), size)
                 row = _row_keys(ids_all[done : done + len(column)], texts)
-                kind = np.ones(len(hashes), np.int8)
-                low = np.flatnonzero(hashes < s.known_below)
-                kind[low] = np.where(np.isin(_key(row[text[low]], low - bounds[text[low]]), keys), 2, 0)
-                order = np.lexsort((hashes, kind, text))
+                repeats = np.isin(_key(row[text], hashes.astype(np.uint32)), keys)
+                order = np.lexsort((hashes, repeats, text))
                 within = np.arange(len(hashes)) - bounds[text]
-                keep = order[(within < s.prefix(size)[text]) & (kind[order] > 0)]
-                out.append((row[text[keep]], size[text[keep]].astype(np.int32), hashes[keep].view(np.int64)))
-            done += len(column)
-        row, n, gram = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-        return pa.table({"row": row, "n": n, "gram": gram})
-
-    return run
-
-
-def _sets(size: int) -> Callable:
-    """texts -> row, and its set as big-endian bytes in ascending order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for texts in textops.chunks(batch.column(1)):
-                hashes, bounds = shingle_sets(texts, size)
+                keep = order[(within < s.prefix(size)[text]) & repeats[order]]
+                some = np.unique(text[keep])
                 blob = hashes.astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(_row_keys(ids, texts)), pa.array([blob[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], names=["row", "grams"])
+                sets = pa.array([None] * len(keep) + [blob[8 * bounds[i] : 8 * bounds[i + 1]] for i in some.tolist()], pa.binary())
+                grams = pa.array(np.concatenate([hashes[keep].view(np.int64), np.zeros(len(some), np.int64)]), mask=np.arange(len(keep) + len(some)) >= len(keep))
+                of = np.concatenate([text[keep], some])
+                out.append(pa.table({"row": row[of], "n": size[of].astype(np.int32), "gram": grams, "grams": sets}))
+            done += len(column)
+        empty = pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
+        return pa.concat_tables([empty, *out])
 
     return run
 
@@ -254,12 +273,8 @@ def _compared(s: Similarity) -> Callable:
     return run
 
 
-def compare(texts: DataFrame, rows: DataFrame, pairs: DataFrame, s: Similarity) -> DataFrame:
-    """pairs (a, b) with their distance (1 where it needn't be known) and whether they link. rows: doc_id of each row."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    ids = wanted.join(rows, "row").select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(s.size), "row long, grams binary")
-    sets = materialise(sets.join(wanted, "row", "left_semi").dropDuplicates(["row"]))
+def compare(sets: DataFrame, pairs: DataFrame, s: Similarity) -> DataFrame:
+    """pairs (a, b) with their distance (1 where it needn't be known) and whether they link. sets: row, grams."""
     times = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
     dealt = pairs.join(times, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
     members = dealt.select("a", "b", "block").join(sets.withColumnRenamed("row", "b"), "b")
@@ -283,6 +298,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
+def least_common(n: Column, m: Column, s: Similarity) -> Column:
+    """How many n-grams the prefixes of two sets of these sizes share at least, if the sets link.
+
+    At most n - o of a set's n-grams are missing in the other, o being the overlap that is needed; of the set whose
+    prefix ends first in the global order, all others of its prefix are in the other's prefix too.
+    """
+    overlap = F.ceil(s.percent * (n + m) / (100 + s.percent))
+    return F.least(overlap - F.ceil(s.percent * n / 100) + 1, overlap - F.ceil(s.percent * m / 100) + 1)
+
+
 def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each row of docs with n_shingles, component_id (the smallest doc_id that links reach) and representative.
 
@@ -300,10 +325,13 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     classes = materialise(classes.select("n", "d1", "d2", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")))
     nodes = classes.select(F.col("row").alias("node"))
 
-    repeated = texts.mapInArrow(_counted(s, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_repeated(s, buckets), "part int, blob binary")
+    repeated = texts.mapInArrow(_counted(s, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_again(buckets), "part int, blob binary")
     dealt = texts.mapInArrow(_by_row(buckets), "part int, doc_id long, text string")
-    prefixes = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_prefixes(s), "row long, n int, gram long")
-    prefixes = prefixes.join(classes.select("row"), "row", "left_semi").dropDuplicates(["row", "gram"])
+    found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_prefixes(s), "row long, n int, gram long, grams binary")
+    found = staged(found)
+    release_shuffles(spark)
+    sets = found.where("grams is not null").select("row", "grams").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    prefixes = found.where("gram is not null").select("row", "n", "gram").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row", "gram"])
     shared = prefixes.groupBy("gram").agg(F.count("*").alias("m"), F.min("row").alias("leader")).where("m > 1")
     prefixes = materialise(prefixes.join(shared, "gram"))
     release_shuffles(spark)
@@ -311,10 +339,11 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     close = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * s.percent)
     sizes = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
     offers = prefixes.where("row <> leader").groupBy("row", "n", "leader").agg(F.count("*").alias("common"))
-    offers = offers.join(sizes, "leader").where(close(F.col("n"), F.col("leader_n")))
+    offers = offers.join(sizes, "leader").where(close(F.col("n"), F.col("leader_n")) & (F.col("common") >= least_common(F.col("n"), F.col("leader_n"), s)))
     best = offers.groupBy("row").agg(F.max(F.struct("common", "leader")).alias("best"))
     pairs = materialise(best.select(F.col("best.leader").alias("a"), F.col("row").alias("b")))
-    first = materialise(compare(texts, rows.select("doc_id", "row"), pairs, s))
+    first = materialise(compare(sets, pairs, s))
+    release_shuffles(spark)
     labels = components(nodes, first.where("linked"))
 
     # What is left: classes that share a prefix n-gram and lie in different components.
@@ -328,10 +357,11 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     apart = F.coalesce(least("x") - F.col("y.distance") > most, F.lit(False)) | F.coalesce(least("y") - F.col("x.distance") > most, F.lit(False))
     ruled_out = (F.col("x.pivot") == F.col("y.pivot")) & apart
     rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.row") < F.col("y.row")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n")) & ~F.coalesce(ruled_out, F.lit(False)))
-    rest = rest.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    rest = rest.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("common"))
+    rest = rest.where(F.col("common") >= least_common(F.col("n"), F.col("m"), s)).select("a", "b")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
-    second = materialise(compare(texts, rows.select("doc_id", "row"), rest, s).where("linked"))
+    second = materialise(compare(sets, rest, s).where("linked"))
     if second.limit(1).count():
         labels = components(nodes, first.where("linked").select("a", "b").union(second.select("a", "b")))
 
