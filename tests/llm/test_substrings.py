@@ -99,6 +99,32 @@ def test_suffix_arrays_against_sorting():
                 assert common[b] == real
 
 
+def test_large_shards_are_split_by_anchor(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "SORTED_BYTES", 300)
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in enumerate(corpus(4, 30)) if rng.random() < 0.9]
+    contents, ids, first, count = [], [], [], []
+    windows = repeats.Windows("byte", 50, 12, True)
+    from trackforge.llm import textops
+
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        found = windows.neighbourhoods(textops.Texts(data, np.array([0, len(data)])))
+        for a, b in zip(found.first.tolist(), found.last.tolist(), strict=True):
+            contents.append(t.encode()[a : b + 50])
+            ids.append(i)
+            first.append(a)
+            count.append(b - a + 1)
+    blob = np.frombuffer(b"".join(contents), np.uint8)
+    shard = repeats.Shard(textops.Texts(blob, np.concatenate([[0], np.cumsum([len(c) for c in contents])])), np.array(ids), np.zeros(len(ids), np.int64), np.array(first), np.array(count), np.ones(len(ids), np.uint8))
+    least = {}
+    for i, c in zip(ids, contents, strict=True):
+        for k in range(len(c) - 49):
+            least[c[k : k + 50]] = min(i, least.get(c[k : k + 50], i))
+    wanted = [least[c[k : k + 50]] < i for i, c in zip(ids, contents, strict=True) for k in range(len(c) - 49)]
+    assert suffix_array.judge(shard).tolist() == wanted and any(wanted)
+
+
 def test_packed_arrays_come_back():
     arrays = [np.array([5, -3, 1 << 60], np.int64), np.zeros(0, np.int32), np.array([1 << 63], np.uint64), np.arange(300, dtype=np.uint8), np.array([0.5])]
     for a, b in zip(arrays, repeats.unpack(repeats.pack(*arrays)), strict=True):

@@ -32,17 +32,17 @@ from trackforge.llm.durable import materialise, release_shuffles
 
 NULL_ID = (1 << 63) - 1  # stands for a null doc_id, which counts as larger than all others
 HELD_ANCHORS = 1_000_000  # anchors that a task holds before it passes them on
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, compressed byte plane by byte plane; integers other than uint64 as differences."""
+    """Arrays as bytes, compressed byte plane by byte plane; signed integers as differences, hashes as they are."""
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
         a = np.ascontiguousarray(a)
         raw = np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind == "i" else a
         planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-        body = planes if a.dtype == np.uint64 else _ZSTD.compress(planes, asbytes=True)
+        body = planes if a.dtype in (np.uint64, np.uint32) else _ZSTD.compress(planes, asbytes=True)
         out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
     return b"".join(out)
 
@@ -53,7 +53,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         kind, n, size = np.dtype(blob[at : at + 4].decode().strip()), int.from_bytes(blob[at + 4 : at + 12], "little"), int.from_bytes(blob[at + 12 : at + 20], "little")
         body = blob[at + 20 : at + 20 + size]
         at += 20 + size
-        if n and kind != np.uint64:
+        if n and kind not in (np.uint64, np.uint32):
             body = _ZSTD.decompress(body, n * kind.itemsize, asbytes=True)
         raw = np.frombuffer(body, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n) if n else np.zeros(0, kind)
         out.append(np.cumsum(raw, dtype=kind) if kind.kind == "i" else raw)
@@ -123,6 +123,13 @@ def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textops.mix(textops.mix(a.astype(np.int64).view(np.uint64)) + b.astype(np.int64).view(np.uint64))
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(buckets, kind="stable")
     cuts = np.flatnonzero(np.diff(buckets[order])) + 1
@@ -213,12 +220,26 @@ def _repeated(windows: Windows, groups: int) -> Callable:
 
 
 def _text_tags(texts: textops.Texts) -> np.ndarray:
+    """A hash of each whole text."""
     return textops.span_hashes(textops.prefix_sums(textops._BYTE[texts.data]), texts.bounds[:-1], texts.bounds[1:]).view(np.int64)
 
 
+def _doubtful(ids: np.ndarray) -> np.ndarray:
+    """Ids of several rows. All rows of an id are in one group of documents, so every step finds the same."""
+    unique, times = np.unique(ids, return_counts=True)
+    return unique[times > 1]
+
+
+def _tags(texts: textops.Texts, ids: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
+    """What tells rows of one id apart: a hash of the text for doubtful ids, else 0."""
+    if not len(doubtful):
+        return np.zeros(len(texts), np.int64)
+    return np.where(np.isin(ids, doubtful), _text_tags(texts), 0)
+
+
 @dataclass
 class Shard:
-    """Neighbourhoods of one bucket. tag: a hash of the whole text, which tells rows of one doc_id apart."""
+    """Neighbourhoods of one bucket. tags tell rows of one doc_id apart."""
 
     contents: textops.Texts
     ids: np.ndarray
@@ -236,8 +257,7 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
             return _table("bucket", [])
         wanted_ids, wanted_ranks = merged(anchors.column("blob"))
         ids_all = texts_of.column("doc_id").to_numpy().astype(np.int64)
-        unique, times = np.unique(ids_all, return_counts=True)
-        doubtful = unique[times > 1]  # several rows of one id: all their anchors are taken
+        doubtful = _doubtful(ids_all)  # all their anchors are taken
         wanted = np.unique(_key(wanted_ids, wanted_ranks))
         held: list[tuple] = []
         done = 0
@@ -246,13 +266,13 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
                 ids = ids_all[done + texts.first : done + texts.first + len(texts)]
                 found = windows.neighbourhoods(texts)
                 of = ids[found.text]
-                keep = np.flatnonzero(np.isin(_key(of, found.rank), wanted) | np.isin(of, doubtful))
+                keep = np.flatnonzero(among(_key(of, found.rank), wanted) | np.isin(of, doubtful))
                 if len(keep):
                     a, b = found.starts[found.first[keep]], found.ends[found.last[keep] + windows.length - 1]
                     sums = textops.prefix_sums(textops._BYTE[texts.data])
                     within = found.first[keep] - found.firsts[found.text[keep]]
                     blob = texts.data[textops.expand(a, b - a)]
-                    held.append((found.hashes[keep], textops.span_hashes(sums, a, b), of[keep], _text_tags(texts)[found.text[keep]], within, found.last[keep] - found.first[keep] + 1, b - a, blob))
+                    held.append((found.hashes[keep], textops.span_hashes(sums, a, b), of[keep], _tags(texts, ids, doubtful)[found.text[keep]], within, found.last[keep] - found.first[keep] + 1, b - a, blob))
             done += len(column)
         if not held:
             return _table("bucket", [])
@@ -272,11 +292,13 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
             rest = np.concatenate([rest, lead[copies > 1]])
         rows = []
         for b, part in _by_bucket(_bucket(anchor[lead], buckets)):
+            part = part[np.lexsort((first[lead[part]], ids[lead[part]]))]
             here = lead[part]
             rows.append((b, pack(ids[here], tags[here], first[here], count[here], size[here], weight[part], blob[textops.expand(at[here], size[here])], *[np.zeros(0, np.int64)] * 4)))
         none = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint8)] * 2
         for b, part in _by_bucket(_group(ids[rest], buckets)):
             here = rest[part]
+            here = here[np.lexsort((first[here], ids[here]))]
             rows.append((b, pack(*none, ids[here], tags[here], first[here], count[here])))
         return _table("bucket", rows)
 
@@ -319,10 +341,11 @@ def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: lis
         order = np.lexsort((runs[2], keys))
         keys, first, count = keys[order], runs[2][order], runs[3][order]
         ids_all, out, done = texts_of.column("doc_id").to_numpy().astype(np.int64) if texts_of.num_rows else np.zeros(0, np.int64), [], 0
+        doubtful = _doubtful(ids_all)
         for column in texts_of.column("text").chunks:
             for texts in textops.chunks(column):
                 ids = ids_all[done + texts.first : done + texts.first + len(texts)]
-                mine = _key(ids, _text_tags(texts))
+                mine = _key(ids, _tags(texts, ids, doubtful))
                 low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 if windows.unit == "byte":
                     starts, firsts = None, texts.bounds
@@ -364,6 +387,8 @@ def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], n
     ddl += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     anchors = texts.mapInArrow(_anchors(windows, buckets), "bucket int, blob binary")
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated(windows, buckets), "part int, blob binary")
+    repeated = materialise(repeated)
+    release_shuffles(spark)
     near = grouped.cogroup(repeated.groupBy("part")).applyInArrow(_neighbourhood_rows(windows, buckets), "bucket int, blob binary")
     gone = near.groupBy("bucket").applyInArrow(_judge(windows, buckets, judge), "part int, blob binary")
     gone = materialise(gone)

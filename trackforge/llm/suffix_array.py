@@ -22,6 +22,7 @@ from trackforge.llm.repeats import NULL_ID, Shard, Windows, remove_repeats
 WINDOW = 50
 ANCHOR = 12
 MOST_BUCKETS = 1024
+SORTED_BYTES = 2 << 20  # about how much text is sorted at once
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -133,42 +134,92 @@ def suffix_array(s: np.ndarray, symbols: int, depth: int = WINDOW) -> np.ndarray
 
 
 def permuted_common_prefixes(s: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """For each place, in text order, the common prefix with the left neighbour in the array, up to most symbols."""
-    left = np.zeros(len(s), np.int64)
+    """For each place, in text order, the common prefix with the left neighbour in the array, up to most symbols.
+
+    s holds bytes; eight of them are compared at once.
+    """
+    left = np.full(len(s), len(s), np.int64)
     left[array[1:]] = array[:-1]
-    padded = np.concatenate([s, np.zeros(most, s.dtype)])
+    padded = np.concatenate([s, np.zeros(most + 16, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.ascontiguousarray(eight).view("<u8").ravel()
     out = np.zeros(len(s), np.int64)
-    active = array[1:]
-    active = active[padded[active] == padded[left[active]]]
-    for t in range(1, most + 1):
-        out[active] = t
-        if t < most:
-            active = active[padded[active + t] == padded[left[active] + t]]
-        if not len(active):
-            break
-    return out
-
-
-def judge(shard: Shard, length: int = WINDOW) -> np.ndarray:
-    """A flag for each window: its bytes also begin in a document of smaller id."""
-    data, bounds = shard.contents.data, shard.contents.bounds
+    active = np.flatnonzero(left < len(s))
+    for t in range(0, most, 8):
+        differs = words[active + t] ^ words[left[active] + t]
+        low = differs & (~differs + np.uint64(1))  # its lowest bit shows the first byte that differs
+        out[active] = t + np.where(differs == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
+        active = active[differs == 0]
+    return np.minimum(out, most)
+
+
+def _keys(contents: textops.Texts, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each neighbourhood, and of the anchor that all its windows name."""
+    content, anchor = [], []
+    at = 0
+    while at < len(contents):
+        to = max(at + 1, int(np.searchsorted(contents.bounds, contents.bounds[at] + textops.CHUNK_BYTES, side="right")) - 1)
+        some = textops.Texts(contents.data[contents.bounds[at] : contents.bounds[to]], contents.bounds[at : to + 1] - contents.bounds[at])
+        content.append(textops.span_hashes(textops.prefix_sums(textops._BYTE[some.data]), some.bounds[:-1], some.bounds[1:]))
+        found = windows.neighbourhoods(some)
+        anchor.append(found.hashes[found.rank == 0])
+        at = to
+    return np.concatenate(content), np.concatenate(anchor)
+
+
+def judge(shard: Shard, windows: Windows = Windows("byte", WINDOW, ANCHOR, True)) -> np.ndarray:
+    """A flag for each window: its bytes also begin in a document of smaller id.
+
+    A shard too large to be sorted in memory is split by anchor: equal windows name equal anchors. Equal
+    neighbourhoods are sorted once, under the smallest of their ids; the others' windows all go.
+    """
+    content, anchor = _keys(shard.contents, windows)
+    part = (anchor >> np.uint64(8)) % np.uint64(1 + len(shard.contents.data) // SORTED_BYTES)
+    starts = np.concatenate([[0], np.cumsum(shard.windows)])
+    flags = np.zeros(starts[-1], bool)
+    for p in np.unique(part):
+        mine = np.flatnonzero(part == p)
+        flags[textops.expand(starts[mine], shard.windows[mine])] = _part_flags(shard, mine, content[mine], windows.length)
+    return flags
+
+
+def _part_flags(shard: Shard, mine: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
+    """Flags of the windows of the neighbourhoods mine."""
+    data, bounds, ids, windows = shard.contents.data, shard.contents.bounds, shard.ids[mine], shard.windows[mine]
+    order = np.lexsort((ids, content))
+    new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+    lead = order[new]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    sizes = np.diff(bounds)[mine[lead]]
+    once = data[textops.expand(bounds[mine[lead]], sizes)]
+    own = windows[lead]
+    flags = _sorted_flags(once, np.concatenate([[0], np.cumsum(sizes)]), ids[lead], own, length)
+    later = ids > ids[lead][group]
+    starts = np.concatenate([[0], np.cumsum(own)])
+    return flags[textops.expand(starts[group], windows)] | np.repeat(later, windows)
+
+
+def _sorted_flags(data: np.ndarray, bounds: np.ndarray, ids_of: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """A flag for each window of different neighbourhoods, by the suffix array of all of them."""
     n = len(data) + len(bounds) - 1
+    shift = np.arange(len(bounds) - 1)
     used = np.zeros(256, np.int64)
     used[np.unique(data)] = 1
     code = np.where(used > 0, np.cumsum(used) + 1, 0)  # 0: the end, 1: between neighbourhoods
-    s = np.ones(n + 1, np.uint16 if code.max() > 254 else np.uint8)
+    # UTF-8 has no bytes 0xC0, 0xC1 and 0xF5-0xFF, so the codes stay within a byte
+    s = np.ones(n + 1, np.uint8)
     s[n] = 0
-    shift = np.arange(len(bounds) - 1)
     s[textops.expand(bounds[:-1] + shift, np.diff(bounds))] = code[data]
-    begins = textops.expand(bounds[:-1] + shift, shard.windows)
+    begins = textops.expand(bounds[:-1] + shift, windows)
     owner = np.full(n + 1, -1)
-    owner[begins] = np.repeat(np.arange(len(shift)), shard.windows)
+    owner[begins] = np.repeat(np.arange(len(shift)), windows)
     array = suffix_array(s, int(code.max()) + 1, length)
     common = permuted_common_prefixes(s, array, length)
     ordered = array[owner[array] >= 0]
     new = common[ordered] < length
     new[0] = True
-    ids = shard.ids[owner[ordered]]
+    ids = ids_of[owner[ordered]]
     heads = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(ids))))
     gone = np.zeros(n + 1, bool)
