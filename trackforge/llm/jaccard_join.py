@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by prefix trees, with the classes of texts that its links connect.
 
 Sets of n-gram hashes are stored in one global order: n-grams that stand in one document only come first, then those
-that repeat; by hash within each. By the prefix bound, two sets of
-sufficient similarity share an n-gram among the first n - ceil(t n) + 1 of each, so only those are dealt out, and of
-them not the ones that no other document has. The steps:
+that repeat; by hash within each. By the prefix bound, two sets of sufficient similarity share an n-gram among the
+first n - ceil(t n) + 1 of each, so only those are dealt out, and of them not the ones that no other document has. Of
+the set that isn't the larger one, even the first n - ceil(2 t / (1 + t) n) + 1 are enough. The steps:
 
 1. Equal sets become one class; the rest deals with classes.
 2. Which n-grams repeat is found by dealing them by hash, packed; each task settles first what repeats in its own
    input. Halves of hashes are compared, so a few may pass for repeating that don't; the order stays the same for all.
 3. Every class is compared with one leader: the class of smallest key in the groups of its prefix n-grams with which
-   it shares most of them, if those are enough for a link. Groups of copies, however large, are linked by one comparison for each member.
-4. What could still link two components is compared as well: classes that share a prefix n-gram, lie in different
+   it shares most of them, if those are enough for a link. Groups of copies, however large, are linked by one
+   comparison for each member.
+4. What could still link two components is compared as well: classes that share a prefix n-gram, a short one of the
+   smaller, lie in different
    components, are near enough in size, share as many n-grams of their prefixes as linked sets must, and by the
    triangle inequality of the Jaccard distance could be near enough, given their distances to a common leader.
 5. A comparison stores the sets to be compared with one probe in a trie and walks it once: paths shared by several
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trackforge.llm import textops
 from trackforge.llm.durable import materialise, release_shuffles, staged
-from trackforge.llm.repeats import _by_bucket, _group, _key, _rows, _table, _text_tags, merged, pack
+from trackforge.llm.repeats import _by_bucket, _group, _key, _rows, _table, _text_tags, among, merged, pack
 
 NULL_ID = (1 << 63) - 1
 HELD_GRAMS = 1_500_000  # n-grams that a task holds before it passes them on
@@ -50,6 +52,10 @@ class Similarity:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.percent * n // 100) + 1
 
+    def short_prefix(self, n: np.ndarray) -> np.ndarray:
+        """The prefix that is enough of a set that isn't the larger of two."""
+        return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
+
     @property
     def floor(self) -> int:
         """Down to this percentage distances to leaders are computed exactly."""
@@ -194,7 +200,7 @@ def _again(groups: int) -> Callable:
 
 
 def _prefixes(s: Similarity) -> Callable:
-    """(texts of a group of documents, their repeated n-grams) -> rows (row, n, gram): prefix n-grams that others may have.
+    """(texts of a group of documents, their repeated n-grams) -> rows (row, n, gram, short): prefix n-grams that others have.
 
     For each row that has any, one more row holds its whole set, big-endian in ascending order, and no gram.
     """
@@ -212,18 +218,20 @@ def _prefixes(s: Similarity) -> Callable:
                 size = np.diff(bounds)
                 text = np.repeat(np.arange(len(texts)), size)
                 row = _row_keys(ids_all[done : done + len(column)], texts)
-                repeats = np.isin(_key(row[text], hashes.astype(np.uint32)), keys)
-                order = np.lexsort((hashes, repeats, text))
+                repeats = among(_key(row[text], hashes.astype(np.uint32)), keys)
+                order = np.argsort(2 * text + repeats, kind="stable")  # hashes ascend within a text
                 within = np.arange(len(hashes)) - bounds[text]
-                keep = order[(within < s.prefix(size)[text]) & repeats[order]]
+                chosen = (within < s.prefix(size)[text]) & repeats[order]
+                keep, near = order[chosen], (within < s.short_prefix(size)[text])[chosen]
                 some = np.unique(text[keep])
                 blob = hashes.astype(">u8").tobytes()
                 sets = pa.array([None] * len(keep) + [blob[8 * bounds[i] : 8 * bounds[i + 1]] for i in some.tolist()], pa.binary())
                 grams = pa.array(np.concatenate([hashes[keep].view(np.int64), np.zeros(len(some), np.int64)]), mask=np.arange(len(keep) + len(some)) >= len(keep))
                 of = np.concatenate([text[keep], some])
-                out.append(pa.table({"row": row[of], "n": size[of].astype(np.int32), "gram": grams, "grams": sets}))
+                short = np.concatenate([near, np.zeros(len(some), bool)])
+                out.append(pa.table({"row": row[of], "n": size[of].astype(np.int32), "gram": grams, "short": short, "grams": sets}))
             done += len(column)
-        empty = pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
+        empty = pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "short": pa.array([], pa.bool_()), "grams": pa.array([], pa.binary())})
         return pa.concat_tables([empty, *out])
 
     return run
@@ -308,6 +316,13 @@ def least_common(n: Column, m: Column, s: Similarity) -> Column:
     return F.least(overlap - F.ceil(s.percent * n / 100) + 1, overlap - F.ceil(s.percent * m / 100) + 1)
 
 
+def least_short(n: Column, m: Column, s: Similarity) -> Column:
+    """As least_common, for the short prefix of the smaller set, of size n, and the prefix of the larger."""
+    overlap = F.ceil(s.percent * (n + m) / (100 + s.percent))
+    larger = F.when(n == m, F.ceil(2 * s.percent * m / (100 + s.percent))).otherwise(F.ceil(s.percent * m / 100))
+    return F.least(overlap - F.ceil(2 * s.percent * n / (100 + s.percent)) + 1, overlap - larger + 1)
+
+
 def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each row of docs with n_shingles, component_id (the smallest doc_id that links reach) and representative.
 
@@ -327,11 +342,11 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
 
     repeated = texts.mapInArrow(_counted(s, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_again(buckets), "part int, blob binary")
     dealt = texts.mapInArrow(_by_row(buckets), "part int, doc_id long, text string")
-    found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_prefixes(s), "row long, n int, gram long, grams binary")
+    found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_prefixes(s), "row long, n int, gram long, short boolean, grams binary")
     found = staged(found)
     release_shuffles(spark)
     sets = found.where("grams is not null").select("row", "grams").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    prefixes = found.where("gram is not null").select("row", "n", "gram").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row", "gram"])
+    prefixes = found.where("gram is not null").select("row", "n", "gram", "short").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row", "gram"])
     shared = prefixes.groupBy("gram").agg(F.count("*").alias("m"), F.min("row").alias("leader")).where("m > 1")
     prefixes = materialise(prefixes.join(shared, "gram"))
     release_shuffles(spark)
@@ -347,18 +362,19 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     labels = components(nodes, first.where("linked"))
 
     # What is left: classes that share a prefix n-gram and lie in different components.
-    placed = prefixes.join(labels, F.col("row") == F.col("node")).select("gram", "row", "n", "component")
+    placed = prefixes.join(labels, F.col("row") == F.col("node")).select("gram", "short", "row", "n", "component")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("gram")
     far = first.select(F.col("b").alias("row"), F.col("a").alias("pivot"), F.when(F.col("distance") < 1, F.col("distance")).alias("distance"))
     open_rows = materialise(placed.join(mixed, "gram", "left_semi").join(far, "row", "left"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    x, y = open_rows.where("short").alias("x"), open_rows.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.row") < F.col("y.row")) & F.col("y.short"))
     most = 1 - s.percent / 100 + 1e-9
     least = lambda r: F.coalesce(F.col(f"{r}.distance"), F.when(F.col(f"{r}.pivot").isNotNull(), F.lit(1 - s.floor / 100)))
     apart = F.coalesce(least("x") - F.col("y.distance") > most, F.lit(False)) | F.coalesce(least("y") - F.col("x.distance") > most, F.lit(False))
     ruled_out = (F.col("x.pivot") == F.col("y.pivot")) & apart
-    rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.row") < F.col("y.row")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n")) & ~F.coalesce(ruled_out, F.lit(False)))
+    rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where(smaller & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n")) & ~F.coalesce(ruled_out, F.lit(False)))
     rest = rest.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("common"))
-    rest = rest.where(F.col("common") >= least_common(F.col("n"), F.col("m"), s)).select("a", "b")
+    rest = rest.where(F.col("common") >= least_short(F.col("n"), F.col("m"), s)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
     second = materialise(compare(sets, rest, s).where("linked"))
