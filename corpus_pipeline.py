@@ -24,9 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
-    kept = jaccard_join.join_classes(docs, NEAR_DUPLICATES).where("representative").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    """Keeps one row of each group of near copies, that of smallest id, however often it stands in docs."""
+    return jaccard_join.drop_copies(docs, NEAR_DUPLICATES)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,18 @@ def test_empty_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(45))
+    near = lambda k: text(k) + " tail"
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (2, near(1)), (3, text(3)), (None, text(4)), (None, text(4)), (None, near(4)), (None, text(5)), (4, near(3)), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    fourth = [t for i, t, _ in kept if i is None and t != text(5)]
+    assert len(fourth) == 1 and fourth[0] in (text(4), near(4))
+    wanted = [(1, text(1)), (2, text(2)), (3, text(3)), (None, fourth[0]), (None, text(5)), (6, ""), (6, "")]
+    assert sorted((k[:2] for k in kept), key=repr) == sorted(wanted, key=repr)
+    assert next(s for i, _, s in kept if i == 1) == "s0"
+    left = corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(kept, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' lang", "source", "0L n_chars"), str(tmp_path))
+    assert {(r.doc_id, r.text) for r in left.collect()} == set(wanted)

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
@@ -97,7 +97,7 @@ def _row_keys(ids: np.ndarray, texts: textops.Texts) -> np.ndarray:
 
 
 def _described(size: int) -> Callable:
-    """texts -> doc_id, row, n, and two digests of the set."""
+    """texts -> doc_id, text_hash, row, n, and two digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,7 @@ def _described(size: int) -> Callable:
             for texts in textops.chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(texts, size)
                 a, b = _sums(textops.mix(hashes), bounds), _sums(textops.mix(hashes ^ SECOND), bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *(pa.array(x) for x in (_row_keys(ids, texts), np.diff(bounds), a.view(np.int64), b.view(np.int64)))], names=["doc_id", "row", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(texts.first, len(texts)) for i in (0, 2)), *(pa.array(x) for x in (_row_keys(ids, texts), np.diff(bounds), a.view(np.int64), b.view(np.int64)))], names=["doc_id", "text_hash", "row", "n", "d1", "d2"])
 
     return run
 
@@ -323,10 +323,17 @@ def least_short(n: Column, m: Column, s: Similarity) -> Column:
     return F.least(overlap - F.ceil(2 * s.percent * n / (100 + s.percent)) + 1, overlap - larger + 1)
 
 
+def text_hash(text: Column) -> Column:
+    """Names a text among those of one id; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Each row of docs with n_shingles, component_id (the smallest doc_id that links reach) and representative.
+    """Each row of docs with text_hash, n_shingles, component_id (the smallest doc_id that links reach) and representative.
 
-    representative: true for one row of each component, the one of smallest doc_id, and for every row without shingles.
+    text_hash: names the row together with doc_id, as text_hash() of its text. representative: true for exactly one row
+    of each component, the one of smallest doc_id (of several texts with that id, the one of smallest key; of equal
+    rows, any one), and for every row without shingles.
     Words are compared with A-Z in lower case. Texts that are null, empty or without words have an empty set, which
     links with nothing; texts shorter than a shingle are one shingle as a whole. Rows that come twice are one class.
     A null doc_id counts as larger than all others. An empty table gives no rows; only id and text are read. Shingles
@@ -335,7 +342,8 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialise(texts.mapInArrow(_described(s.size), "doc_id long, row long, n long, d1 long, d2 long"))
+    hashed = texts.withColumn("text_hash", text_hash(F.col("text")))
+    rows = materialise(hashed.mapInArrow(_described(s.size), "doc_id long, text_hash long, row long, n long, d1 long, d2 long"))
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = materialise(classes.select("n", "d1", "d2", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")))
     nodes = classes.select(F.col("row").alias("node"))
@@ -381,8 +389,26 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     if second.limit(1).count():
         labels = components(nodes, first.where("linked").select("a", "b").union(second.select("a", "b")))
 
-    named = classes.join(labels, F.col("row") == F.col("node")).select("n", "d1", "d2", F.col("doc_id").alias("class_id"), "component")
-    named = named.join(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("n", "d1", "d2", "component_id")
+    named = classes.join(labels, F.col("row") == F.col("node")).select("n", "d1", "d2", F.struct("doc_id", "row").alias("class"), "component")
+    named = named.join(named.groupBy("component").agg(F.min("class").alias("first")), "component")
+    named = named.select("n", "d1", "d2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     out = rows.join(named, ["n", "d1", "d2"], "left")
+    out = out.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("component_id") != NULL_ID, F.col("component_id")), own).alias("component_id"), (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("representative"))
+    component = F.coalesce(F.when(F.col("component_id") != NULL_ID, F.col("component_id")), own)
+    representative = F.col("component_id").isNull() | ((F.col("first_row") == F.col("row")) & (F.col("copy") == 1))
+    return out.select(own.alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), representative.alias("representative"))
+
+
+def drop_copies(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that join_classes marks as representative, with all their columns.
+
+    Of rows with the same id and text the one whose other columns come first is kept.
+    """
+    key = ["_id", "_text"]
+    found = join_classes(docs, s, id_col, text_col).where("representative")
+    kept = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("text_hash").alias("_text"), (F.col("n_shingles") > 0).alias("_once")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_text", text_hash(F.col(text_col)))
+    others = [c for c in docs.columns if c not in (id_col, text_col)] or key
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(*others))
+    return keyed.join(kept, key).withColumn("_copy", copy).where(~F.col("_once") | (F.col("_copy") == 1)).select(*docs.columns)
