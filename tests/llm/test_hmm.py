@@ -3,10 +3,11 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import WORDS, corpus, documents, lower, odd_texts
-from trackforge.llm import hmm
+from trackforge.llm import hmm, textops
 
 
 def model(states, classes, seed=0):
@@ -78,3 +79,30 @@ def test_no_training_and_no_rows(spark):
     r = hmm.score(docs, F.col("doc_id") % 3 == 2).first()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score)
     assert hmm.score(documents(spark, []), F.lit(False)).count() == 0
+
+
+def test_every_round_sees_all_training_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 12, rng.integers(1, 9)))) for i in range(1700)]
+    train = documents(spark, rows).repartition(3)
+    _, classes, start, _, _ = hmm.learn(train, "text", 3, 60, 0)
+    _, _, found, _, _ = hmm.learn(train, "text", 3, 60, hmm.ROUNDS)
+    tokens = pa.array([t for _, t in rows])
+    plain = start
+    for _ in range(14):
+        sums = None
+        for chunk in textops.chunks(tokens):
+            hashes, bounds = hmm.token_hashes(chunk)
+            part = plain.expected(classes.of(hashes), bounds, classes.size)
+            sums = part if sums is None else tuple(a + b for a, b in zip(sums, part, strict=True))
+        plain = plain.smoothed(*sums, classes.shares())
+    for a, b in ((found.start, plain.start), (found.moves, plain.moves), (found.emits, plain.emits)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-6)
+
+
+def test_start_rests_on_counts_alone(spark):
+    words = [f"w{i % 37}" for i in range(4000)]
+    a = [(i, " ".join(words[4 * i : 4 * i + 4])) for i in range(1000)]
+    b = [(i, " ".join(words[i::1000])) for i in range(1000)]
+    starts = [hmm.learn(documents(spark, rows), "text", 3, 60, 0)[2] for rows in (a, b)]
+    assert np.array_equal(starts[0].emits, starts[1].emits)

@@ -5,8 +5,9 @@ a class of its own, all others fall into RARE_CLASSES by hash and share their cl
 (count + 1, out of the class's tokens + its distinct tokens + 1). So the states' tables are bounded, while the counts
 that every probability rests on are those of the whole training set, held as a distributed table.
 
-Baum-Welch: a start on a bounded sample, then rounds over all training documents, whose expected counts are summed in
-each task and added up across partitions block by block. Scores are exact likelihoods by the scaled forward recursion
+Baum-Welch: states start from the counts of the corpus, each disturbed by a seeded factor for each class; every round
+goes over all training documents, kept as class numbers, and its expected counts are summed in each task and added up
+across partitions block by block. Scores are exact likelihoods by the scaled forward recursion
 over whole documents. Counts of rare tokens meet documents in buckets of packed arrays, each (document, token) once.
 """
 
@@ -21,17 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
-from trackforge.llm.durable import materialise, release_shuffles
+from trackforge.llm.durable import materialise, release_shuffles, staged
 from trackforge.llm.repeats import _bucket, _by_bucket, _key, _rows, _table, _text_tags, merged, pack
 
 STATES = 8
 FREQUENT = 1 << 16
 RARE_CLASSES = 256
-SAMPLE_ROWS = 1_500  # documents for the start
-SAMPLE_ROUNDS = 12
-ROUNDS = 2  # over all training documents
+ROUNDS = 14  # over all training documents
 SEGMENT = 512  # tokens of a training sequence: longer documents train as several
 CHUNK = 3 << 20
+CHUNK_TOKENS = 1 << 19
 HELD_TOKENS = 1_500_000
 BLOCKS = 64
 END = np.uint64(0x5DEECE66D1234567)  # hash of the end token
@@ -167,15 +167,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(*summed())
 
 
-def _expectations(classes: Classes, model: Markov) -> Callable:
-    """texts -> rows (block, blob): expected counts of one task, by block of classes; block -1 has starts and moves."""
+def _numbered(classes: Classes) -> Callable:
+    """texts -> a row for each: the classes of its tokens as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for batch in batches:
             for texts in textops.chunks(batch.column(0), CHUNK):
                 tokens, bounds = token_hashes(texts)
-                found = model.expected(classes.of(tokens), segments(bounds), classes.size)
+                buffers = [None, pa.py_buffer((4 * bounds).astype(np.int64)), pa.py_buffer(classes.of(tokens).astype(np.int32))]
+                symbols = pa.Array.from_buffers(pa.large_binary(), len(texts), buffers)
+                yield pa.RecordBatch.from_arrays([symbols.cast(pa.binary())], names=["symbols"])
+
+    return run
+
+
+def _sequences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and bounds of some rows of _numbered at a time, about CHUNK_TOKENS symbols."""
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    symbols = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
+    bounds = (bounds - bounds[0]) // 4
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK_TOKENS, side="right")) - 1)
+        yield symbols[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+        first = last
+
+
+def _expectations(size: int, model: Markov) -> Callable:
+    """rows of _numbered -> rows (block, blob): expected counts of one task, by block of classes; block -1 has starts and moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for symbols, bounds in _sequences(batch.column(0)):
+                found = model.expected(symbols, segments(bounds), size)
                 total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
             rows = [(-1, np.concatenate([total[0], total[1].ravel()]).tobytes())]
@@ -191,20 +220,10 @@ def _added(rows: pa.Table) -> pa.Table:
     return _table("block", [(block, sum(np.frombuffer(b, kind).astype(np.float64) for b in rows.column("blob").to_pylist()).tobytes())])
 
 
-def first_model(sample: list[np.ndarray], classes: Classes, states: int) -> Markov:
-    """Baum-Welch on a sample of sequences, from states that each begin with an equal share of them."""
-    shares = classes.shares()
-    rng = np.random.default_rng(3)
-    emits = np.repeat(shares[:, None], states, 1) * rng.uniform(0.5, 1.5, (len(shares), states))
-    for i, s in enumerate(sample[: 20 * states]):
-        emits[:, i % states] += 0.05 * np.bincount(s, minlength=len(shares)) / len(s) / 20
-    model = Markov(np.full(states, 1 / states), np.full((states, states), 0.02 / states) + 0.98 * np.eye(states), emits / emits.sum(0))
-    if not sample:
-        return model
-    symbols, bounds = np.concatenate(sample), np.concatenate([[0], np.cumsum([len(s) for s in sample])])
-    for _ in range(SAMPLE_ROUNDS):
-        model = model.smoothed(*model.expected(symbols, segments(bounds), classes.size), shares)
-    return model
+def first_model(classes: Classes, states: int) -> Markov:
+    """States that stay as they are, each with the shares of the corpus disturbed by factors between 0 and 2."""
+    emits = classes.shares()[:, None] * np.random.default_rng(3).uniform(0, 2, (classes.size, states))
+    return Markov(np.full(states, 1 / states), np.full((states, states), 0.02 / states) + 0.98 * np.eye(states), emits / emits.sum(0))
 
 
 def _forward(classes: Classes, model: Markov) -> Callable:
@@ -319,15 +338,10 @@ def learn(train: DataFrame, text_col: str, states: int, frequent: int, rounds: i
     np.subtract.at(distinct, own, (n > 0).astype(np.int64))
     classes = Classes(hashes, n, tokens, distinct)
 
-    sampled = texts.withColumn("h", F.xxhash64("text")).orderBy("h").select("text").limit(SAMPLE_ROWS).toArrow()
-    sample: list[np.ndarray] = []
-    for column in sampled.column("text").chunks:
-        for chunk in textops.chunks(column, CHUNK):
-            found, bounds = token_hashes(chunk)
-            sample += np.split(classes.of(found), bounds[1:-1])
-    model, shares = first_model(sample, classes, states), classes.shares()
+    model, shares = first_model(classes, states), classes.shares()
+    numbered = staged(texts.mapInArrow(_numbered(classes), "symbols binary")) if rounds else None
     for _ in range(rounds):
-        rows = texts.mapInArrow(_expectations(classes, model), "block int, blob binary").groupBy("block").applyInArrow(_added, "block int, blob binary").collect()
+        rows = numbered.mapInArrow(_expectations(classes.size, model), "block int, blob binary").groupBy("block").applyInArrow(_added, "block int, blob binary").collect()
         parts = {r.block: np.frombuffer(bytes(r.blob)) for r in rows}
         if -1 in parts:
             emits = np.concatenate([parts[i].reshape(-1, states) for i in range(BLOCKS)])
