@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from trackforge import plans
 from trackforge.functions import lens
 from trackforge.operators import assignment, evaluate, islands, stateful, teams
 from trackforge.params import Ball, Possession, Tracks
@@ -172,3 +173,18 @@ def test_empty_tables_give_empty_results(spark):
     keys = ["match_id", "half"]
     assert islands.possession_sequences(none, keys, "frame", "t", "team", 1, 1).count() == 0
     assert islands.anchored_merge(none, keys, "t", 5).count() == 0
+
+
+def test_queries_read_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(60, 20)).astype(np.float32), np.arange(60) % 4
+    x[:, 12:] += 2 * rng.normal(size=(4, 8))[label]
+    spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype(float)
+    means = lambda i: [x[(label == k) & (np.arange(60) != i)].mean(0) for k in range(4)]
+    nearest = {i: int(np.argmin([np.linalg.norm(x[i] - m) for m in means(i)])) for i in range(60)}
+    assert {r.vec_id: r.predicted for r in plans.QUERIES["st29_leave_one_out"](spark, str(tmp_path)).collect()} == nearest
+    sides = [x[label % 2 == i] for i in (0, 1)]
+    w, b = teams.discriminant([s.mean(0) for s in sides], [np.cov(s.T) for s in sides], [len(s) for s in sides])
+    found = {r.vec_id: r.score for r in plans.QUERIES["st12_linear_discriminant"](spark, str(tmp_path)).collect()}
+    assert np.allclose([found[i] for i in range(60)], x @ w + b)

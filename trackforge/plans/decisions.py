@@ -91,6 +91,11 @@ def sp06_regular_moments(spark, sf_dir):
 # ---------------------------------------------------------------- teams
 
 
+def longest(vectors):
+    """Number of elements of the vectors v."""
+    return vectors.agg(F.max(F.size("v"))).first()[0] or 0
+
+
 @query("""WITH e AS (SELECT vec_id, label % 2 AS team, [x::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings), c AS (SELECT team, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c, avg(v[4]) AS d FROM e GROUP BY 1),
 d AS (SELECT e.vec_id, e.team, c.team AS p, sqrt(power(v[1] - a, 2) + power(v[2] - b, 2) + power(v[3] - c, 2) + power(v[4] - d, 2)) AS dist FROM e, c)
 SELECT vec_id, team, p AS predicted, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, p) = 1""", frames=False)
@@ -102,8 +107,8 @@ def st11_nearest_centre(spark, sf_dir):
 
 @query()
 def st12_linear_discriminant(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (C("label") % 2).alias("team"), F.slice(C("embedding").cast("array<double>"), 1, 8).alias("v"))
-    w, bias = teams.train_discriminant(e, "team", "v", 8)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (C("label") % 2).alias("team"), C("embedding").cast("array<double>").alias("v"))
+    w, bias = teams.train_discriminant(e, "team", "v", longest(e))
     return e.select("vec_id", "team", teams.score_column(C("v"), w, bias).alias("score"))
 
 
@@ -135,8 +140,8 @@ def st14_balanced_teams(spark, sf_dir):
 
 @query()
 def st29_leave_one_out(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", F.slice(C("embedding").cast("array<double>"), 1, 8).alias("v"))
-    return teams.leave_one_out_centroids(e, "label", "vec_id", "v", 8)
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", C("embedding").cast("array<double>").alias("v"))
+    return teams.leave_one_out_centroids(e, "label", "vec_id", "v", longest(e))
 
 
 # ---------------------------------------------------------------- actions
