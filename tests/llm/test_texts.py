@@ -98,3 +98,18 @@ def test_words_sum_over_all_segmentations():
     for word in (b"abcab", b"zzz", b"a", b"abcabcabcabc"):
         found = model.log_likelihood(np.frombuffer(word, np.uint8)[None])
         assert np.allclose(found[0], [np.log(total(word, k)) for k in (0, 1)])
+
+
+def test_long_words_and_rare_languages_are_learned(spark):
+    rng = random.Random(9)
+    one_word = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))
+    letters = {"c1": "的一是不了人我在有他", "c2": "のにはをたがでてとし", "c3": "가나다라마바사아자차"}
+    rows = [(i, one_word(letters[k]), k) for i, k in enumerate(["c1"] * 200 + ["c2"] * 100 + ["c3"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"), sample_rows=10)
+    assert model.languages == ["c1", "c2", "c3"]
+    assert np.allclose(np.exp(model.log_prior), np.array([200, 100, 2]) / 302)
+    new = spark.createDataFrame([(i, one_word(letters[f"c{i % 3 + 1}"])) for i in range(30)], "doc_id long, text string")
+    assert all(r.lang_pred == f"c{r.doc_id % 3 + 1}" for r in langid.predict(new, model).collect())
+    assert [b"".join(langid.parts(w)) for w in (b"", b"a" * 99, "é漢".encode() * 30)] == [b"", b"a" * 99, "é漢".encode() * 30]
+    assert all(len(p) <= langid.PART and p.decode() for p in langid.parts("é漢".encode() * 30))

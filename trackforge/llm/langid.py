@@ -5,8 +5,10 @@ can be spelt). A word's probability is the sum over all its segmentations into p
 text's is the product over its words and the language's share of the training rows. The piece probabilities are
 fitted by expectation-maximisation, whose expected counts come from the forward and backward sums.
 
-The fit uses word counts of at most sample_rows labelled rows, chosen by a hash of their id, and of those the
-sample_words most frequent (language, word) pairs: both bounds are parameters. Everything else covers all rows.
+The fit uses word counts of at most sample_rows labelled rows of each language, chosen by a hash of their id, and of
+those the language's sample_words most frequent words: both bounds are parameters. The list of languages and their
+shares come from all labelled rows. Words of more than PART bytes are fitted in parts, cut between characters.
+Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
 
 SAMPLE_ROWS = 4_000
 SAMPLE_WORDS = 150_000
+PART = 40  # bytes of a word that are fitted at once
 MAX_PIECE = 16
 ROUNDS = 3
 REMEMBERED = 300_000
@@ -132,10 +135,21 @@ class LanguageModel:
         return counts.reshape(-1, k)
 
 
-def by_length(words: list[bytes], most: int = 40, rows: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Matrices of equally long words with their places. most: longest words that are taken."""
+def parts(word: bytes) -> Iterator[bytes]:
+    """The word in parts of at most PART bytes, cut between characters."""
+    while len(word) > PART:
+        n = PART
+        while n > 1 and word[n] & 0xC0 == 0x80:
+            n -= 1
+        yield word[:n]
+        word = word[n:]
+    yield word
+
+
+def by_length(words: list[bytes], rows: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matrices of equally long words with their places."""
     lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths[lengths <= most]):
+    for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
         for i in range(0, len(at), rows):
             part = at[i : i + rows]
@@ -146,11 +160,12 @@ def fit(rows: list[tuple[str, bytes, int]], priors: dict[str, int], pieces: list
     """rows: language, word with its leading space, count."""
     languages = sorted(priors)
     column = {x: i for i, x in enumerate(languages)}
-    words = sorted({w for _, w, _ in rows})
+    words = sorted({part for _, w, _ in rows for part in parts(w)})
     place = {w: i for i, w in enumerate(words)}
     weights = np.zeros((len(words), len(languages)))
     for lang, w, n in rows:
-        weights[place[w], column[lang]] += n
+        for part in parts(w):
+            weights[place[part], column[lang]] += n
     total = np.array([priors[x] for x in languages], float)
     size = np.array([len(p) for p in pieces], float)
     start = np.repeat(np.append(1 / (size * len(pieces)), 0)[:, None], len(languages), axis=1)
@@ -168,16 +183,23 @@ def held_out(id_col: str, modulus: int) -> "F.Column":
 
 
 def train(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> LanguageModel | None:
-    """Fits on labelled rows of docs; None if there are none."""
+    """Fits on labelled rows of docs, as many of each language as sample_rows allows; None if there are none."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = usable.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample_rows)
-    sample = usable.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("i"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    word = F.explode(F.split(F.lower("text"), "[ \\x09-\\x0D]+")).alias("word")
-    counted = sample.select("lang", word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    table = counted.orderBy(F.desc("n"), "lang", "word").limit(sample_words).toArrow()
-    priors = {r.lang: r.n for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    priors = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not priors:
         return None
+    totals = docs.sparkSession.createDataFrame(list(priors.items()), f"lang {dict(usable.dtypes)['lang']}, total long")
+    place = F.pmod(F.xxhash64("i"), F.lit(1 << 31))
+    some = usable.select("i", "lang", place.alias("place")).join(F.broadcast(totals), "lang")
+    some = some.where(F.col("place") * F.col("total").cast("double") <= 2.0 * (1 << 31) * sample_rows)  # of places in order, enough for the first sample_rows
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "i"))
+    ids = some.withColumn("first", first).where(F.col("first") <= sample_rows).select("i", "lang").distinct()
+    sample = usable.join(F.broadcast(ids), ["i", "lang"], "left_semi").select("lang", "text")
+    word = F.explode(F.split(F.lower("text"), "[ \\x09-\\x0D]+")).alias("word")
+    counted = sample.select("lang", word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    often = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    table = counted.withColumn("often", often).where(F.col("often") <= sample_words).toArrow()
     rows = [(a, b" " + b.encode(), n) for a, b, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)]
     return fit(rows, priors, piece_list(model_path))
 
@@ -195,7 +217,7 @@ class Scorer:
         base = len(self.known)
         if base + len(words) > len(self.scores):
             self.scores = np.zeros((base + len(words), len(self.model.languages)))
-        for matrix, at in by_length(words, most=1 << 62):
+        for matrix, at in by_length(words):
             self.scores[base + at] = self.model.log_likelihood(matrix)
         self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
 
