@@ -72,15 +72,36 @@ def test_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.representative) for r in found) == [(i, 0, i, True) for i in (1, 2, 3)]
 
 
-def test_overlaps_along_a_trie():
+def test_walks_of_a_prefix_tree():
     rng = np.random.default_rng(4)
     for percent in (50, 80, 95):
-        probe = np.unique(rng.integers(0, 60, 30)).astype(np.uint64)
-        sets = [np.unique(np.concatenate([rng.choice(probe, rng.integers(1, len(probe))), rng.integers(0, 60, 4).astype(np.uint64)])) for _ in range(60)]
-        found = jaccard_join.trie_overlaps(probe, [s.astype(">u8").tobytes() for s in sets], percent)
-        for s, c in zip(sets, found, strict=True):
-            real = len(np.intersect1d(s, probe))
-            assert c == (real if 100 * real >= percent * (len(s) + len(probe) - real) else None)
+        s = jaccard_join.Similarity(3, percent)
+        base = np.arange(0, 400, 2)
+        sets = {np.unique(np.concatenate([rng.choice(base, rng.integers(1, len(base)), replace=False), rng.integers(0, 400, 9)])).tobytes() for _ in range(40)}
+        for _ in range(40):
+            x = np.setdiff1d(base, rng.choice(base, rng.integers(0, 12)))
+            sets |= {x.tobytes(), x[: rng.integers(1, len(x))].tobytes()}
+        sets = [np.frombuffer(x, np.int64) for x in sorted(sets)]
+        groups = rng.integers(0, 5, len(sets))
+        tree = jaccard_join.PrefixTree(sets, groups, 400)
+        for x in sets:
+            common = [len(np.intersect1d(x, y)) for y in sets]
+            wanted = [i for i, (y, c) in enumerate(zip(sets, common, strict=True)) if 100 * c >= percent * (len(x) + len(y) - c)]
+            assert sorted(tree.similar(x, s).tolist()) == wanted
+            assert sorted(tree.similar(x, s, 2, len(x)).tolist()) == [i for i in wanted if groups[i] != 2 and len(sets[i]) >= len(x)]
+
+
+def test_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 2_000)
+    rng = random.Random(9)
+    rows = []
+    for i in range(90):
+        w = [f"b{k}" for k in range(60)]
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(60)] = f"n{i % 30}"
+        rows.append((i, " ".join(w)))
+    found = jaccard_join.join_classes(documents(spark, rows), jaccard_join.Similarity(3, 90)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows, 3, 90)
 
 
 def brute(rows, items, threshold=0.8, size=5):

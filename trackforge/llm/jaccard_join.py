@@ -1,23 +1,21 @@
 """N-gram Jaccard self-join by prefix trees, with the classes of texts that its links connect.
 
-Sets of n-gram hashes are stored in one global order: n-grams that stand in one document only come first, then those
-that repeat; by hash within each. By the prefix bound, two sets of sufficient similarity share an n-gram among the
-first n - ceil(t n) + 1 of each, so only those are dealt out, and of them not the ones that no other document has. Of
-the set that isn't the larger one, even the first n - ceil(2 t / (1 + t) n) + 1 are enough. The steps:
-
-1. Equal sets become one class; the rest deals with classes.
-2. Which n-grams repeat is found by dealing them by hash, packed; each task settles first what repeats in its own
-   input. Halves of hashes are compared, so a few may pass for repeating that don't; the order stays the same for all.
-3. Every class is compared with one leader: the class of smallest key in the groups of its prefix n-grams with which
-   it shares most of them, if those are enough for a link. Groups of copies, however large, are linked by one
-   comparison for each member.
-4. What could still link two components is compared as well: classes that share a prefix n-gram, a short one of the
-   smaller, lie in different
-   components, are near enough in size, share as many n-grams of their prefixes as linked sets must, and by the
-   triangle inequality of the Jaccard distance could be near enough, given their distances to a common leader.
-5. A comparison stores the sets to be compared with one probe in a trie and walks it once: paths shared by several
-   sets share their partial overlap, and a subtree is left as soon as what remains of it and of the probe is too
-   short for the overlap that is needed. A probe's sets are dealt in blocks of bounded size.
+Every text is the set of its n-gram hashes, and all sets stand in one global order, rare n-grams first: by the power of
+two of the number of rows that hold an n-gram, then by hash. By the prefix bound, two sets of sufficient similarity
+share an n-gram among the first n - ceil(t n) + 1 of each; of the set that isn't the larger one even the first
+n - ceil(2 t / (1 + t) n) + 1 are enough. The steps:
+
+1. Equal sets become one class, which one row represents; the rest deals with classes.
+2. How many rows hold an n-gram is found by dealing n-grams by hash, packed, each once for a part of the documents
+   with its count. What occurs again returns to those parts, which put their sets in order.
+3. Sets with a prefix n-gram that other classes have as well are compared with one leader: of the classes that lead
+   its prefix n-grams (the one with the fewest n-grams of its own leads), the one with which it shares most of them,
+   if those are enough for a link. Groups of copies, however large, are linked by one comparison for each member.
+4. What could still link different components shares a prefix n-gram across them. Rows that such n-grams connect are a
+   family; its sets go to one place, or, if they are many, to one for each pair of blocks of the family.
+5. Sets that meet are stored as a prefix tree in the global order. A probe walks it from the root: paths that sets
+   share are compared once, and a subtree is left as soon as the overlap so far and what remains of the probe and of
+   the sets below can't be enough, or when all of it belongs to the probe's component.
 
 Links are joined to components by label propagation over distributed tables.
 """
@@ -29,16 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
 from trackforge.llm.durable import materialise, release_shuffles, staged
-from trackforge.llm.repeats import _by_bucket, _group, _key, _rows, _table, _text_tags, among, merged, pack
+from trackforge.llm.repeats import _by_bucket, _rows, _table, merged, pack
 
 NULL_ID = (1 << 63) - 1
 HELD_GRAMS = 1_500_000  # n-grams that a task holds before it passes them on
-BLOCK_SETS = 500  # sets of one trie
+BLOCK_BYTES = 4 << 20  # sets of a tree
+STRIDE = 48  # n-grams of a path that are compared at once
+CLASS_BITS = 6  # of an ordered n-gram: the power of two of its rows; the others are those of its hash
 SECOND = np.uint64(0xA5A5B4B4C3C3D2D2)
 
 
@@ -56,15 +57,9 @@ class Similarity:
         """The prefix that is enough of a set that isn't the larger of two."""
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
-    @property
-    def floor(self) -> int:
-        """Down to this percentage distances to leaders are computed exactly."""
-        return max(1, self.percent - 20)
-
-
-def needed(a: int, b: int, percent: int) -> int:
-    """Least common part of sets of these sizes for a similarity of percent / 100."""
-    return -(-percent * (a + b) // (100 + percent))
+    def needed(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Least common part of sets of these sizes."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
 
 
 def shingle_sets(texts: textops.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,18 +68,31 @@ def shingle_sets(texts: textops.Texts, size: int) -> tuple[np.ndarray, np.ndarra
     n = np.diff(firsts)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     at = textops.expand(firsts[:-1], count)
-    text = np.repeat(np.arange(len(n)), count)
+    whole = np.repeat(n >= size, count)
     hashes = np.zeros(len(at), np.uint64)
-    whole = n[text] >= size
     hashes[whole] = textops.grams(words, size)[at[whole]] if whole.any() else 0
     for k in range(1, size):
-        short = n[text] == k
+        short = np.repeat(n == k, count)
         if short.any():
             hashes[short] = textops.grams(words, k)[at[short]]
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])]) if len(hashes) else np.zeros(0, bool)
-    return hashes[new], np.searchsorted(text[new], np.arange(len(n) + 1))
+    return distinct_in_order(hashes, np.concatenate([[0], np.cumsum(count)]))
+
+
+def sort_within(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sorts values[bounds[i]:bounds[i + 1]] in place, for each i."""
+    edges = bounds.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
+def distinct_in_order(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each span in ascending order, and the spans' new bounds."""
+    sort_within(values, bounds)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -92,78 +100,67 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _row_keys(ids: np.ndarray, texts: textops.Texts) -> np.ndarray:
-    return _key(ids[texts.first : texts.first + len(texts)], _text_tags(texts)).view(np.int64)
-
-
 def _described(size: int) -> Callable:
-    """texts -> doc_id, text_hash, row, n, and two digests of the set."""
+    """doc_id, text_hash, row, text -> doc_id, text_hash, row, n, and two digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for texts in textops.chunks(batch.column(1)):
+            for texts in textops.chunks(batch.column(3)):
                 hashes, bounds = shingle_sets(texts, size)
                 a, b = _sums(textops.mix(hashes), bounds), _sums(textops.mix(hashes ^ SECOND), bounds)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(texts.first, len(texts)) for i in (0, 2)), *(pa.array(x) for x in (_row_keys(ids, texts), np.diff(bounds), a.view(np.int64), b.view(np.int64)))], names=["doc_id", "text_hash", "row", "n", "d1", "d2"])
-
-    return run
-
-
-def _by_row(groups: int) -> Callable:
-    """texts -> texts with the part that their row belongs to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = [_row_keys(ids, texts) for texts in textops.chunks(batch.column(1))]
-            if rows:
-                part = _group(np.concatenate(rows), groups).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1)], names=["part", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(texts.first, len(texts)) for i in range(3)), *(pa.array(x) for x in (np.diff(bounds), a.view(np.int64), b.view(np.int64)))], names=["doc_id", "text_hash", "row", "n", "d1", "d2"])
 
     return run
 
 
 def _halves(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram, by the upper half of its hash, and the lower half, which names it there."""
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes.astype(np.uint32)
+    return (hashes >> np.uint64(32)) % np.uint64(buckets), hashes & np.uint64(0xFFFFFFFF)
+
+
+def _both_sorted(values: np.ndarray, parts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values below 2**48 and their parts, which are at most most, in the order of both."""
+    if most < 1 << 16:
+        key = (values << np.uint64(16)) | parts.astype(np.uint64)
+        key.sort()
+        return key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int32)
+    order = np.lexsort((parts, values))
+    return values[order], parts[order].astype(np.int32)
 
 
 def _counted(s: Similarity, buckets: int) -> Callable:
-    """texts -> rows (bucket, blob of n-gram, row, settled).
+    """part, text -> rows (bucket, blob of n-gram, part, number of rows): each n-gram once for each part.
 
-    settled: 1 for an n-gram that the task has met in several rows, which is passed on once; its other rows follow as 2.
+    One that a task meets in more than a quarter of all parts is passed on once, for every part.
     """
 
-    def passed_on(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        hashes, rows_of = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(hashes, kind="stable")
-        hashes, rows_of = hashes[order], rows_of[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        group = np.cumsum(new) - 1
-        many = np.zeros(group[-1] + 1, bool)
-        many[group[1:][(rows_of[1:] != rows_of[:-1]) & ~new[1:]]] = True
-        settled = many[group]
+    kind = np.uint16 if buckets < 1 << 16 else np.int32
+
+    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, parts = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket, name = _halves(hashes, buckets)
-        out = []
-        for b, part in _by_bucket(bucket):
-            part = part[~settled[part] | new[part]]
-            part = part[np.argsort(rows_of[part], kind="stable")]
-            out.append((b, pack(name[part], rows_of[part], settled[part].view(np.uint8))))
-        own = np.flatnonzero(settled & ~new)
-        for b, part in _by_bucket(_group(rows_of[own], buckets)):
-            part = own[part]
-            part = part[np.argsort(rows_of[part], kind="stable")]
-            out.append((b, pack(name[part], rows_of[part], np.full(len(part), 2, np.uint8))))
-        return _rows("bucket", out)
+        gram, part = _both_sorted((bucket << np.uint64(32)) | name, parts, buckets)
+        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        times, gram, part = np.diff(np.append(new, len(gram))), gram[new], part[new]
+        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        wide = np.diff(np.append(heads, len(gram))) > max(4, buckets // 4)
+        summed = np.add.reduceat(times, heads)
+        narrow = ~np.repeat(wide, np.diff(np.append(heads, len(gram))))
+        narrow[heads[wide]] = True
+        part[heads[wide]], times[heads[wide]] = buckets, summed[wide]  # in place of a part: all parts
+        gram, part, times = gram[narrow], part[narrow], times[narrow]
+        cuts = np.searchsorted(gram >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        names = gram.astype(np.uint32).view(np.int32)
+        rows = [(b, pack(names[i:j], part[i:j].astype(kind), times[i:j].astype(np.int32))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        return _rows("bucket", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in textops.chunks(batch.column(1)):
                 hashes, bounds = shingle_sets(texts, s.size)
-                held.append((hashes, np.repeat(_row_keys(ids, texts), np.diff(bounds))))
+                held.append((hashes, np.repeat(parts[texts.first : texts.first + len(texts)], np.diff(bounds))))
                 n += len(hashes)
                 if n >= HELD_GRAMS:
                     yield passed_on(held)
@@ -174,127 +171,273 @@ def _counted(s: Similarity, buckets: int) -> Callable:
     return run
 
 
-def _again(groups: int) -> Callable:
-    """rows of a bucket -> rows (part, blob of row, n-gram) of the n-grams that several rows have."""
+def _ranked(buckets: int) -> Callable:
+    """rows of a bucket -> rows (part, blob of n-gram with its bucket, power of two of its rows) of n-grams in several rows."""
 
     def run(rows: pa.Table) -> pa.Table:
-        names, rows_of, settled = merged(rows.column("blob"))
-        sure = settled == 2
-        at = np.flatnonzero(~sure)
-        order = at[np.argsort(names[at], kind="stable")]
-        n, r = names[order], rows_of[order]
-        new = np.concatenate([[True], n[1:] != n[:-1]]) if len(n) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        again = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        again[group[1:][~new[1:] & (r[1:] != r[:-1])]] = True
-        again[group[settled[order] == 1]] = True
-        keep = np.concatenate([order[again[group]], np.flatnonzero(sure)])
+        bucket = rows.column("bucket")[0].as_py()
+        names, parts, times = merged(rows.column("blob"))
+        names = names.view(np.uint32)
+        order = np.sort((names.astype(np.uint64) << np.uint64(32)) | np.arange(len(names), dtype=np.uint64)).astype(np.uint32)
+        names, parts, times = names[order], parts[order], times[order]
+        heads = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        size = np.diff(np.append(heads, len(names)))
+        total = np.add.reduceat(times.astype(np.int64), heads)
+        again, wide = total > 1, np.maximum.reduceat(parts, heads) == buckets
+        power = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        base = np.int64(bucket) << 32
+        everywhere = again & wide
+        all_names, all_power = base + names[heads[everywhere]].astype(np.int64), power[everywhere]
+        keep = np.flatnonzero(np.repeat(again & ~wide, size))
+        of, power = parts[keep], np.repeat(power, size)[keep]
+        own = base + names[keep].astype(np.int64)
         out = []
-        for g, part in _by_bucket(_group(rows_of[keep], groups)):
-            part = keep[part]
-            part = part[np.argsort(rows_of[part], kind="stable")]
-            out.append((g, pack(rows_of[part], names[part])))
+        there = dict(_by_bucket(of))
+        for p in range(buckets) if len(all_names) else sorted(there):
+            at = there.get(p, keep[:0])
+            x, y = np.concatenate([own[at], all_names]), np.concatenate([power[at], all_power])
+            x, first = np.unique(x, return_index=True)
+            out.append((p, pack(x, y[first])))
         return _table("part", out)
 
     return run
 
 
-def _prefixes(s: Similarity) -> Callable:
-    """(texts of a group of documents, their repeated n-grams) -> rows (row, n, gram, short): prefix n-grams that others have.
+def _prefixes(s: Similarity, buckets: int) -> Callable:
+    """(texts of a part, its repeated n-grams and the rows that represent classes) -> rows (row, n, own, gram, short).
 
-    For each row that has any, one more row holds its whole set, big-endian in ascending order, and no gram.
+    They are the prefix n-grams that other rows have as well, of the rows that represent classes; own is the number of
+    n-grams that no other row has. For each row that has any, one more row holds its whole set, big-endian in the
+    global order, and no gram.
     """
+    fields = [("row", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("gram", pa.int64()), ("short", pa.bool_()), ("grams", pa.binary())]
 
-    def run(texts_of: pa.Table, repeated: pa.Table) -> pa.Table:
-        keys = np.zeros(0, np.uint64)
-        if repeated.num_rows:
-            rows, names = merged(repeated.column("blob"))
-            keys = np.unique(_key(rows, names))
-        out, done = [], 0
-        ids_all = texts_of.column("doc_id").to_numpy().astype(np.int64) if texts_of.num_rows else np.zeros(0, np.int64)
-        for column in texts_of.column("text").chunks:
+    def ordered(texts: textops.Texts, known: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, bounds = shingle_sets(texts, s.size)
+        bucket, name = _halves(hashes, buckets)
+        keys = ((bucket << np.uint64(32)) | name).view(np.int64)
+        rank = np.zeros(len(keys), np.uint64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            rank = np.where(known[at] == keys, power[at], 0).astype(np.uint64)
+        values = (rank << np.uint64(64 - CLASS_BITS)) | (hashes >> np.uint64(CLASS_BITS))
+        return distinct_in_order(values, bounds)
+
+    def run(texts_of: pa.Table, others: pa.Table) -> pa.Table:
+        out = [pa.table({k: pa.array([], t) for k, t in fields})]
+        if not texts_of.num_rows or not others.num_rows:
+            return out[0]
+        chosen = pc.drop_null(others.column("row")).combine_chunks()
+        blobs = pc.drop_null(others.column("blob"))
+        known, power = merged(blobs) if len(blobs) else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        order = np.argsort(known)
+        known, power = known[order], power[order]
+        rows = texts_of.column("row").to_numpy()
+        _, first = np.unique(rows, return_index=True)  # a row that comes twice is taken once
+        mine = np.sort(first[np.isin(rows[first], chosen.to_numpy())])
+        at = 0
+        for column in texts_of.column("text").take(pa.array(mine)).chunks:
             for texts in textops.chunks(column):
-                hashes, bounds = shingle_sets(texts, s.size)
+                own_rows = rows[mine[at + texts.first : at + texts.first + len(texts)]]
+                grams, bounds = ordered(texts, known, power)
                 size = np.diff(bounds)
                 text = np.repeat(np.arange(len(texts)), size)
-                row = _row_keys(ids_all[done : done + len(column)], texts)
-                repeats = among(_key(row[text], hashes.astype(np.uint32)), keys)
-                order = np.argsort(2 * text + repeats, kind="stable")  # hashes ascend within a text
-                within = np.arange(len(hashes)) - bounds[text]
-                chosen = (within < s.prefix(size)[text]) & repeats[order]
-                keep, near = order[chosen], (within < s.short_prefix(size)[text])[chosen]
+                shared = grams >> np.uint64(64 - CLASS_BITS) > 0
+                within = np.arange(len(grams)) - bounds[text]
+                own = np.bincount(text[~shared], minlength=len(texts))
+                keep = np.flatnonzero((within < s.prefix(size)[text]) & shared)
+                near = within[keep] < s.short_prefix(size)[text[keep]]
                 some = np.unique(text[keep])
-                blob = hashes.astype(">u8").tobytes()
-                sets = pa.array([None] * len(keep) + [blob[8 * bounds[i] : 8 * bounds[i + 1]] for i in some.tolist()], pa.binary())
-                grams = pa.array(np.concatenate([hashes[keep].view(np.int64), np.zeros(len(some), np.int64)]), mask=np.arange(len(keep) + len(some)) >= len(keep))
+                blob = grams.astype(">u8").tobytes()
                 of = np.concatenate([text[keep], some])
-                short = np.concatenate([near, np.zeros(len(some), bool)])
-                out.append(pa.table({"row": row[of], "n": size[of].astype(np.int32), "gram": grams, "short": short, "grams": sets}))
-            done += len(column)
-        empty = pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "short": pa.array([], pa.bool_()), "grams": pa.array([], pa.binary())})
-        return pa.concat_tables([empty, *out])
+                mask = np.arange(len(of)) >= len(keep)
+                out.append(
+                    pa.table(
+                        {
+                            "row": own_rows[of],
+                            "n": size[of].astype(np.int32),
+                            "own": own[of].astype(np.int32),
+                            "gram": pa.array(np.concatenate([grams[keep].view(np.int64), np.zeros(len(some), np.int64)]), mask=mask),
+                            "short": np.concatenate([near, np.zeros(len(some), bool)]),
+                            "grams": pa.array([None] * len(keep) + [blob[8 * bounds[i] : 8 * bounds[i + 1]] for i in some.tolist()], pa.binary()),
+                        }
+                    )
+                )
+            at += len(column)
+        return pa.concat_tables(out)
 
     return run
 
 
-def trie_overlaps(probe: np.ndarray, members: list[bytes], percent: int) -> list[int | None]:
-    """Size of the common part of the probe with each member, None where it is too small.
+class PrefixTree:
+    """Sets as paths from a root, in the order of their members; paths that sets share are stored once.
 
-    Members stand in the order of a trie's leaves, so the path of each begins with what it shares with the one before;
-    overlaps along that path are kept. A subtree is left where no set in it can reach percent with the probe.
+    sets: arrays of ascending numbers below universe and 2**32, all different. Nodes are the places where paths part or end.
+    groups: a number for each set; a subtree of one group only can be left out of a walk.
     """
-    out: list[int | None] = [None] * len(members)
-    path, along, valid = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0
-    for i in sorted(range(len(members)), key=members.__getitem__):
-        y = np.frombuffer(members[i], ">u8").astype(np.uint64)
-        m = min(len(path), len(y), valid)
-        differs = np.flatnonzero(path[:m] != y[:m])
-        shared = int(differs[0]) if len(differs) else m
-        need = needed(len(probe), len(y), percent)
-        left = len(probe) - int(np.searchsorted(probe, y[shared - 1], side="right")) if shared else len(probe)
-        if along[shared] + min(len(y) - shared, left) < need:
-            path, along, valid = y, along[: shared + 1], shared
-            continue
-        at = np.minimum(np.searchsorted(probe, y[shared:]), max(0, len(probe) - 1))
-        hit = probe[at] == y[shared:] if len(probe) else np.zeros(len(y) - shared, bool)
-        along = np.concatenate([along[: shared + 1], along[shared] + np.cumsum(hit)])
-        path, valid = y, len(y)
-        if along[-1] >= need:
-            out[i] = int(along[-1])
-    return out
-
-
-def _compared(s: Similarity) -> Callable:
-    """(probe, its set) and (its sets to compare) -> rows (a, b, distance, linked)."""
-
-    def run(probes: pa.Table, members: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "linked": pa.array([], pa.bool_())})
-        if not probes.num_rows or not members.num_rows:
-            return none
-        x = np.frombuffer(probes.column("probe_grams")[0].as_py(), ">u8").astype(np.uint64)
-        blobs = members.column("grams").to_pylist()
-        common = trie_overlaps(x, blobs, s.floor)
-        far = [1.0 if c is None else 1 - c / (len(x) + len(b) // 8 - c) for c, b in zip(common, blobs, strict=True)]
-        linked = [c is not None and 100 * c >= s.percent * (len(x) + len(b) // 8 - c) for c, b in zip(common, blobs, strict=True)]
-        return pa.table({"a": members.column("a").combine_chunks(), "b": members.column("b").combine_chunks(), "distance": pa.array(far, pa.float64()), "linked": pa.array(linked, pa.bool_())})
+
+    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, universe: int) -> None:
+        self.marked = np.zeros(universe, bool)
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self.sets, self.groups = sets, groups
+        self.sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.symbols = np.concatenate(sets)
+        depth, parent, first, ends = [0], [-1], [order[0]], [-1]
+        done: list[int] = []  # nodes, each after those below it
+        path = [0]
+
+        def close(to: int) -> None:
+            while depth[path[-1]] > to:
+                node = path.pop()
+                if depth[path[-1]] < to:
+                    depth.append(to)
+                    parent.append(-1)
+                    first.append(first[node])
+                    ends.append(-1)
+                    path.append(len(depth) - 1)
+                parent[node] = path[-1]
+                done.append(node)
+
+        before = None
+        for i in order:
+            x = sets[i]
+            common = 0
+            if before is not None:
+                m = min(len(x), len(before))
+                differs = np.flatnonzero(x[:m] != before[:m])
+                common = int(differs[0]) if len(differs) else m
+            close(common)
+            depth.append(len(x))
+            parent.append(-1)
+            first.append(i)
+            ends.append(i)
+            path.append(len(depth) - 1)
+            before = x
+        close(0)
+        sizes, of = self.sizes.tolist(), groups.tolist()
+        least = [1 << 40 if e < 0 else sizes[e] for e in ends]  # of all sets below a node
+        most = [0 if e < 0 else sizes[e] for e in ends]
+        group = [-2 if e < 0 else of[e] for e in ends]  # -1: several
+        for node in done:
+            up = parent[node]
+            least[up], most[up] = min(least[up], least[node]), max(most[up], most[node])
+            group[up] = group[node] if group[up] in (-2, group[node]) else -1
+        self.depth, self.parent, self.ends, self.least, self.most, self.group = (np.array(x) for x in (depth, parent, ends, least, most, group))
+        self.begin = starts[np.array(first)]  # symbols of the path to a node begin here
+        below = np.argsort(self.parent[1:], kind="stable") + 1
+        self.below = below
+        self.below_at = np.searchsorted(self.parent[below], np.arange(len(depth) + 1))
+
+    def similar(self, probe: np.ndarray, s: Similarity, group: int | None = None, at_least: int = 0) -> np.ndarray:
+        """Numbers of the sets that link with the probe, of those with at least so many members and not of its group."""
+        self.marked[probe] = True
+        found = []
+
+        def children(nodes: np.ndarray) -> np.ndarray:
+            return self.below[textops.expand(self.below_at[nodes], self.below_at[nodes + 1] - self.below_at[nodes])]
+
+        node = children(np.zeros(1, np.int64))
+        place, along = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        while len(node):
+            steps = np.minimum(self.depth[node] - place, STRIDE)
+            hits = self.marked[self.symbols[textops.expand(self.begin[node] + place, steps)]]
+            along = along + np.add.reduceat(hits, np.concatenate([[0], np.cumsum(steps)[:-1]]), dtype=np.int64)
+            place = place + steps
+            rest = len(probe) - np.searchsorted(probe, self.symbols[self.begin[node] + place - 1], side="right")
+            bound = along + np.minimum(self.most[node] - place, rest)
+            keep = (bound >= s.needed(len(probe), np.maximum(self.least[node], at_least))) & (self.most[node] >= at_least)
+            if group is not None:
+                keep &= self.group[node] != group
+            node, place, along = node[keep], place[keep], along[keep]
+            whole = place == self.depth[node]
+            last = np.flatnonzero(whole & (self.ends[node] >= 0))
+            if len(last):
+                of = self.ends[node[last]]
+                fits = (along[last] >= s.needed(len(probe), self.sizes[of])) & (self.sizes[of] >= at_least)
+                found.append(of[fits] if group is None else of[fits & (self.groups[of] != group)])
+            onward = node[whole]
+            next_nodes = children(onward)
+            times = self.below_at[onward + 1] - self.below_at[onward]
+            place = np.concatenate([place[~whole], np.repeat(place[whole], times)])
+            along = np.concatenate([along[~whole], np.repeat(along[whole], times)])
+            node = np.concatenate([node[~whole], next_nodes])
+        self.marked[probe] = False
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _numbered(blobs: list[bytes]) -> tuple[list[np.ndarray], int]:
+    """Sets with members numbered in the global order, and how many there are."""
+    sizes = np.array([len(b) // 8 for b in blobs])
+    members, numbers = np.unique(np.frombuffer(b"".join(blobs), ">u8").astype(np.uint64), return_inverse=True)
+    return np.split(numbers, np.cumsum(sizes)[:-1]), len(members)
+
+
+def _parts_of(table: pa.Table, *names: str) -> Iterator[pa.Table]:
+    """Rows of a table that agree in the columns."""
+    keys = np.stack([table.column(c).to_numpy() for c in names])
+    order = np.lexsort(keys)
+    cuts = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(0)) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield table.take(pa.array(part))
+
+
+def _links(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+    return pa.table({k: np.concatenate([np.zeros(0, np.int64), *x]) for k, x in (("a", a), ("b", b))})
+
+
+def _led(s: Similarity) -> Callable:
+    """rows (leader, block, row, grams), the leader's own among them -> links (a, b) of leaders with rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = [], []
+        for part in _parts_of(rows, "leader", "block"):
+            leader, row = part.column("leader")[0].as_py(), part.column("row").to_numpy()
+            sets, universe = _numbered(part.column("grams").to_pylist())
+            others = np.flatnonzero(row != leader)
+            if len(others) < len(row) and len(others):
+                tree = PrefixTree([sets[i] for i in others], np.zeros(len(others), np.int64), universe)
+                found = row[others[tree.similar(sets[int(np.flatnonzero(row == leader)[0])], s)]]
+                a.append(np.full(len(found), leader))
+                b.append(found)
+        return _links(a, b)
 
     return run
 
 
-def compare(sets: DataFrame, pairs: DataFrame, s: Similarity) -> DataFrame:
-    """pairs (a, b) with their distance (1 where it needn't be known) and whether they link. sets: row, grams."""
-    times = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
-    dealt = pairs.join(times, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    members = dealt.select("a", "b", "block").join(sets.withColumnRenamed("row", "b"), "b")
-    probes = times.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.withColumnRenamed("row", "a"), "a")
-    probes = probes.select(F.col("a").alias("probe"), F.col("block").alias("probe_block"), F.col("grams").alias("probe_grams"))
-    return probes.groupBy("probe", "probe_block").cogroup(members.groupBy("a", "block")).applyInArrow(_compared(s), "a long, b long, distance double, linked boolean")
+def _in_family(s: Similarity) -> Callable:
+    """rows (family, i, j, block, row, component, short, grams) -> links (a, b) between components.
 
+    Of two different blocks i and j only what lies between them is compared. Rows that are short probe sets that
+    aren't smaller than theirs.
+    """
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component: the smallest node that links reach. Labels spread over links and are then shortened."""
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = [], []
+        for part in _parts_of(rows, "family", "i", "j"):
+            row, block, short = (part.column(c).to_numpy() for c in ("row", "block", "short"))
+            _, component = np.unique(part.column("component").to_numpy(), return_inverse=True)
+            sets, universe = _numbered(part.column("grams").to_pylist())
+            blocks = np.unique(block)
+            if len(blocks) == 1 and part.column("i")[0] != part.column("j")[0]:
+                continue
+            for other in blocks.tolist():
+                into = np.flatnonzero(block == other)
+                probes = np.flatnonzero((short & (block != other)) if len(blocks) > 1 else short)
+                tree = PrefixTree([sets[i] for i in into], component[into], universe)
+                for x in probes.tolist():
+                    found = row[into[tree.similar(sets[x], s, int(component[x]), len(sets[x]))]]
+                    a.append(np.full(len(found), row[x]))
+                    b.append(found)
+        return _links(a, b)
+
+    return run
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component: for each node with a link the smallest that links reach. Labels spread over links and are then shortened."""
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(nodes.select("node", F.col("node").alias("component")))
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:
         near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
@@ -316,18 +459,46 @@ def least_common(n: Column, m: Column, s: Similarity) -> Column:
     return F.least(overlap - F.ceil(s.percent * n / 100) + 1, overlap - F.ceil(s.percent * m / 100) + 1)
 
 
-def least_short(n: Column, m: Column, s: Similarity) -> Column:
-    """As least_common, for the short prefix of the smaller set, of size n, and the prefix of the larger."""
-    overlap = F.ceil(s.percent * (n + m) / (100 + s.percent))
-    larger = F.when(n == m, F.ceil(2 * s.percent * m / (100 + s.percent))).otherwise(F.ceil(s.percent * m / 100))
-    return F.least(overlap - F.ceil(2 * s.percent * n / (100 + s.percent)) + 1, overlap - larger + 1)
-
-
 def text_hash(text: Column) -> Column:
     """Names a text among those of one id; a null text is empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def leaders(prefixes: DataFrame, s: Similarity) -> DataFrame:
+    """leader, row: for each row the leader to compare it with, if there is one that it could link with."""
+    close = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * s.percent
+    offers = prefixes.where("row <> leader").groupBy("row", "n", "leader", "leader_n", "leader_own").agg(F.count("*").alias("common"))
+    offers = offers.where(close & (F.col("common") >= least_common(F.col("n"), F.col("leader_n"), s)))
+    best = offers.groupBy("row").agg(F.max(F.struct("common", -F.col("leader_own"), "leader")).alias("best"))
+    return best.select(F.col("best.leader").alias("leader"), "row")
+
+
+def leader_links(pairs: DataFrame, sets: DataFrame, s: Similarity, bins: int) -> DataFrame:
+    """Links (a, b) of leaders with their rows; the rows of a leader are dealt in blocks of bounded size."""
+    weighed = pairs.join(sets, "row")
+    blocks = weighed.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    weighed = weighed.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "grams")
+    own = blocks.join(sets, F.col("leader") == F.col("row")).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", "grams")
+    dealt = weighed.unionByName(own).withColumn("bin", F.pmod(F.xxhash64("leader", "block"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInArrow(_led(s), "a long, b long")
+
+
+def family_links(prefixes: DataFrame, labels: DataFrame, sets: DataFrame, s: Similarity, bins: int) -> DataFrame:
+    """Links (a, b) between rows of different components that share a prefix n-gram, at least one for each two that link."""
+    placed = prefixes.join(labels, F.col("row") == F.col("node"), "left").select("gram", "short", "row", F.coalesce("component", "row").alias("component"))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("row").alias("least")).where("c0 <> c1").select("gram", "least")
+    found = materialise(placed.join(mixed, "gram"))
+    families = components(found.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct())
+    rows = found.groupBy("row", "component").agg(F.max("short").alias("short")).join(families, F.col("row") == F.col("node"))
+    rows = materialise(rows.select(families["component"].alias("family"), "row", found["component"], "short").join(sets, "row"))
+    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "component", "short", "grams")
+    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInArrow(_in_family(s), "a long, b long")
+
+
 def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each row of docs with text_hash, n_shingles, component_id (the smallest doc_id that links reach) and representative.
 
@@ -337,59 +508,37 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     Words are compared with A-Z in lower case. Texts that are null, empty or without words have an empty set, which
     links with nothing; texts shorter than a shingle are one shingle as a whole. Rows that come twice are one class.
     A null doc_id counts as larger than all others. An empty table gives no rows; only id and text are read. Shingles
-    are compared by 64-bit hashes.
+    are compared by 58 bits of their hashes, with the class of their frequency.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = texts.withColumn("text_hash", text_hash(F.col("text")))
-    rows = materialise(hashed.mapInArrow(_described(s.size), "doc_id long, text_hash long, row long, n long, d1 long, d2 long"))
+    texts = texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    part = F.pmod("row", F.lit(buckets)).cast("int").alias("part")
+    rows = materialise(texts.mapInArrow(_described(s.size), "doc_id long, text_hash long, row long, n long, d1 long, d2 long"))
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = materialise(classes.select("n", "d1", "d2", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")))
-    nodes = classes.select(F.col("row").alias("node"))
 
-    repeated = texts.mapInArrow(_counted(s, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_again(buckets), "part int, blob binary")
-    dealt = texts.mapInArrow(_by_row(buckets), "part int, doc_id long, text string")
-    found = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_prefixes(s), "row long, n int, gram long, short boolean, grams binary")
-    found = staged(found)
+    counted = texts.select(part, "text").mapInArrow(_counted(s, buckets), "bucket int, blob binary")
+    ranked = counted.groupBy("bucket").applyInArrow(_ranked(buckets), "part int, blob binary")
+    others = ranked.select("part", "blob", F.lit(None).cast("long").alias("row")).union(classes.select(part, F.lit(None).cast("binary"), "row"))
+    dealt = texts.select(part, "row", "text").groupBy("part").cogroup(others.groupBy("part"))
+    found = staged(dealt.applyInArrow(_prefixes(s, buckets), "row long, n int, own int, gram long, short boolean, grams binary"))
     release_shuffles(spark)
-    sets = found.where("grams is not null").select("row", "grams").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    prefixes = found.where("gram is not null").select("row", "n", "gram", "short").join(classes.select("row"), "row", "left_semi").dropDuplicates(["row", "gram"])
-    shared = prefixes.groupBy("gram").agg(F.count("*").alias("m"), F.min("row").alias("leader")).where("m > 1")
-    prefixes = materialise(prefixes.join(shared, "gram"))
-    release_shuffles(spark)
-
-    close = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * s.percent)
-    sizes = classes.select(F.col("row").alias("leader"), F.col("n").alias("leader_n"))
-    offers = prefixes.where("row <> leader").groupBy("row", "n", "leader").agg(F.count("*").alias("common"))
-    offers = offers.join(sizes, "leader").where(close(F.col("n"), F.col("leader_n")) & (F.col("common") >= least_common(F.col("n"), F.col("leader_n"), s)))
-    best = offers.groupBy("row").agg(F.max(F.struct("common", "leader")).alias("best"))
-    pairs = materialise(best.select(F.col("best.leader").alias("a"), F.col("row").alias("b")))
-    first = materialise(compare(sets, pairs, s))
+    sets = found.where("grams is not null").select("row", "grams")
+    prefixes = found.where("gram is not null").select("row", "n", "own", "gram", "short")
+    shared = prefixes.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct((F.col("own") / F.col("n")).alias("leader_own"), "row", "n")).alias("first")).where("m > 1")
+    shared = shared.select("gram", F.col("first.leader_own").alias("leader_own"), F.col("first.row").alias("leader"), F.col("first.n").alias("leader_n"))
+    prefixes = materialise(prefixes.select("row", "n", "gram", "short").join(shared, "gram"))
+
+    first = materialise(leader_links(leaders(prefixes, s), sets, s, buckets))
+    labels = components(first)
+    second = materialise(family_links(prefixes, labels, sets, s, buckets))
     release_shuffles(spark)
-    labels = components(nodes, first.where("linked"))
-
-    # What is left: classes that share a prefix n-gram and lie in different components.
-    placed = prefixes.join(labels, F.col("row") == F.col("node")).select("gram", "short", "row", "n", "component")
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("gram")
-    far = first.select(F.col("b").alias("row"), F.col("a").alias("pivot"), F.when(F.col("distance") < 1, F.col("distance")).alias("distance"))
-    open_rows = materialise(placed.join(mixed, "gram", "left_semi").join(far, "row", "left"))
-    x, y = open_rows.where("short").alias("x"), open_rows.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.row") < F.col("y.row")) & F.col("y.short"))
-    most = 1 - s.percent / 100 + 1e-9
-    least = lambda r: F.coalesce(F.col(f"{r}.distance"), F.when(F.col(f"{r}.pivot").isNotNull(), F.lit(1 - s.floor / 100)))
-    apart = F.coalesce(least("x") - F.col("y.distance") > most, F.lit(False)) | F.coalesce(least("y") - F.col("x.distance") > most, F.lit(False))
-    ruled_out = (F.col("x.pivot") == F.col("y.pivot")) & apart
-    rest = x.join(y, F.col("x.gram") == F.col("y.gram")).where(smaller & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n")) & ~F.coalesce(ruled_out, F.lit(False)))
-    rest = rest.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("common"))
-    rest = rest.where(F.col("common") >= least_short(F.col("n"), F.col("m"), s)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
-    second = materialise(compare(sets, rest, s).where("linked"))
     if second.limit(1).count():
-        labels = components(nodes, first.where("linked").select("a", "b").union(second.select("a", "b")))
+        labels = components(first.union(second))
 
-    named = classes.join(labels, F.col("row") == F.col("node")).select("n", "d1", "d2", F.struct("doc_id", "row").alias("class"), "component")
+    named = classes.join(labels, F.col("row") == F.col("node"), "left").select("n", "d1", "d2", F.struct("doc_id", "row").alias("class"), F.coalesce("component", "row").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("class").alias("first")), "component")
     named = named.select("n", "d1", "d2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     out = rows.join(named, ["n", "d1", "d2"], "left")
