@@ -190,5 +190,51 @@ def test_few_odd_and_equal_vectors(spark):
 def test_parts_are_balanced():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(203, 4))
-    part = neighbours.balanced_parts(neighbours.exact_top(x, x, 6), 4)
+    part = neighbours.balanced_parts(neighbours.exact_top(x, np.arange(203), 6), 4)
     assert sorted(np.bincount(part).tolist()) == [50, 51, 51, 51]
+
+
+def test_recall_over_more_vectors_than_the_sample(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12))
+    data = [(i, [float(v) for v in rng.normal(centres[i % 40], 0.5)], 0) for i in range(7000)]
+    v = vectors(spark, data)
+    found = neighbours.search(v, v.where("vec_id % 20 = 0")).collect()
+    matrix = np.array([d[1] for d in data], np.float32).astype(float)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 7000, 20):
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hit / (350 * 20) >= 0.9
+
+
+def test_nearest_of_a_sample_leave_the_query_out():
+    x = np.random.default_rng(2).normal(size=(300, 5))
+    near = neighbours.exact_top(x, np.arange(300), 4)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    assert [set(n) for n in near.tolist()] == [set(n) for n in np.argsort(-scores, axis=1)[:, :4].tolist()]
+
+
+def test_cells_lengths_repeated_ids_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 16)
+    monkeypatch.setattr(neighbours, "QUERY_CELL", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-5, 6, 3)]) for i in range(90)]
+    rows += [(100 + i, [float(x) for x in rng.integers(-5, 6, 2)]) for i in range(30)] + [rows[7], (20, [1.0, 1.0, 1.0]), (20, [0.0, 1.0, 1.0])]
+    rows = [(i, v) for i, v in rows if any(v)]
+    v = spark.createDataFrame([(i, v, 1, 2, "c", 0.5) for i, v in rows], "vec_id long, embedding array<float>, part int, rank int, cell string, score double")
+    found = neighbours.search(v, v.where("vec_id % 20 = 0"), k=5).collect()
+    wanted = []
+    asked = {}
+    for i, x in rows:
+        if i % 20 == 0:
+            asked[i] = min(x, asked.get(i, x))
+    for q, x in asked.items():
+        near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(x) == len(y))[:5]
+        wanted += [(q, k, i, -d) for k, (d, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(wanted)

@@ -5,6 +5,10 @@ are grown from seeds and vectors then change places between parts as long as tha
 classifier learns a vector's part from the vector. Every vector is indexed under its most probable part; a query goes
 to its most probable parts, as many as the sample needs for the wanted recall, and what it meets there is ranked by
 exact inner products.
+
+The number of parts grows with the number of vectors, as far as the sample gives each part enough of them. Parts are
+cut into cells of bounded size, by hash, on the side of the vectors and on that of the queries, and every pair of cells
+of a part is one unit of work; so a part that holds a third of all vectors is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -13,22 +17,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm.durable import materialise
 
 SAMPLE = 6_000  # vectors for graph and classifier
-PARTS = 16
+PARTS = 16  # at least, if there are vectors enough
+PART_ROWS = 4_096  # vectors of a part that the number of parts aims at
+PART_SAMPLE = 50  # sampled vectors of each part at least
 GRAPH_DEGREE = 16
 WANTED_RECALL = 0.97
-BLOCK = 2_048  # vectors of a block that is ranked at once
-QUERY_BLOCK = 512
+CELL = 16_384  # vectors of a unit of work
+QUERY_CELL = 4_096
+BLOCK = 256  # queries that are ranked at once
 
 
-def exact_top(queries: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-    scores = queries @ vectors.T
-    return np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, :k]
+def exact_top(vectors: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest of vectors, itself left out, for each of those that at numbers."""
+    k = min(k, len(vectors) - 1)
+    out = np.empty((len(at), k), np.int64)
+    for i in range(0, len(at), BLOCK):
+        some = at[i : i + BLOCK]
+        scores = vectors[some] @ vectors.T
+        scores[np.arange(len(some)), some] = -np.inf
+        out[i : i + BLOCK] = np.argpartition(scores, len(vectors) - k, axis=1)[:, len(vectors) - k :]
+    return out
 
 
 def balanced_parts(graph: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
@@ -77,10 +92,10 @@ def balanced_parts(graph: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
 
 
 class Router:
-    """Softmax regression from vectors, with their squares, to parts."""
+    """Softmax regression from vectors to parts."""
 
     def __init__(self, dims: int, parts: int) -> None:
-        self.weights = np.zeros((dims + 1, parts))
+        self.dims, self.weights = dims, np.zeros((dims + 1, parts))
         self.scale = 1.0
 
     def inputs(self, vectors: np.ndarray) -> np.ndarray:
@@ -106,18 +121,17 @@ class Router:
 
 def learn(vectors: np.ndarray, k: int, parts: int = PARTS, wanted: float = WANTED_RECALL) -> tuple[Router, int]:
     """The router, and the number of parts that queries need. vectors: a sample."""
-    parts = max(1, min(parts, len(vectors) // 50))
+    parts = max(1, min(parts, len(vectors) // PART_SAMPLE))
     router = Router(vectors.shape[1], parts)
     if parts == 1:
         return router, 1
-    near = exact_top(vectors, vectors, GRAPH_DEGREE + 1)
+    near = exact_top(vectors, np.arange(len(vectors)), GRAPH_DEGREE)
     router.fit(vectors, balanced_parts(near, parts))
     order = router.order(vectors)
     home = order[:, 0]
     probes = np.random.default_rng(11).permutation(len(vectors))[:500]
     place = np.argsort(order[probes], axis=1)  # rank of each part for each query
-    nearest = exact_top(vectors[probes], vectors, min(k + 1, len(vectors)))
-    rank = np.take_along_axis(place, home[nearest], axis=1)
+    rank = np.take_along_axis(place, home[exact_top(vectors, probes, k)], axis=1)
     recall = [(rank < m).mean() for m in range(1, parts + 1)]
     return router, next(m for m, r in enumerate(recall, 1) if r >= wanted or m == parts)
 
@@ -134,33 +148,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _blocks(router: Router, probes: int, block: int, names: tuple[str, str]) -> "callable":
-    """rows -> rows (part, blob of ids, blob of vectors): probes copies of each row, in blocks of rows of one part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of: list[list[np.ndarray]] = [[] for _ in range(router.weights.shape[1])]
-        rows_of: list[list[np.ndarray]] = [[] for _ in ids_of]
+def _routed(router: Router | None, probes: int) -> "callable":
+    """vec_id, v -> part, vec_id, v: a row for each of the vector's probes most probable parts.
 
-        def full(p: int) -> pa.RecordBatch:
-            ids, rows = np.concatenate(ids_of[p]), np.concatenate(rows_of[p])
-            ids_of[p], rows_of[p] = [], []
-            return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["part", *names])
+    Vectors that the router can't read, for their length, have a part of their own length, below 0.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
-            if not len(ids):
-                continue
-            order = router.order(rows)[:, :probes]
-            for p in np.unique(order).tolist():
-                mine = np.flatnonzero((order == p).any(1))
-                for at in range(0, len(mine), block):
-                    ids_of[p].append(ids[mine[at : at + block]])
-                    rows_of[p].append(rows[mine[at : at + block]])
-                    if sum(map(len, ids_of[p])) >= block:
-                        yield full(p)
-        for p, held in enumerate(ids_of):
-            if held:
-                yield full(p)
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            fits = sizes == (router.dims if router else -1)
+            for at in filter(len, (np.flatnonzero(fits), np.flatnonzero(~fits))):
+                rows = batch.take(pa.array(at))
+                if fits[at[0]]:
+                    part = router.order(_matrix(rows.column(1)))[:, :probes]
+                    rows = rows.take(pa.array(np.repeat(np.arange(len(at)), part.shape[1])))
+                else:
+                    part = -sizes[at]
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel().astype(np.int32)), rows.column(0), rows.column(1)], names=["part", "vec_id", "v"])
 
     return run
 
@@ -173,54 +178,61 @@ def in_order_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _rank(k: int) -> "callable":
-    """rows (blocks of queries and candidates) -> the k best of each query in that block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                queries, ids = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, v = np.frombuffer(row["query_rows"]).reshape(len(queries), -1), np.frombuffer(row["rows"]).reshape(len(ids), -1)
-                if q.shape[1] != v.shape[1]:
-                    continue  # vectors of other dimensions have no inner product
-                scores = q @ v.T
-                scores[queries[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, len(ids))
-                bar = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                at, of = np.nonzero((scores >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]) & np.isfinite(scores))
-                exact = in_order_products(q[at], v[of])
-                order = np.lexsort((ids[of], -exact, at))
-                rank = np.arange(len(at)) - np.searchsorted(at, at)
-                chosen = order[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(queries[at[chosen]]), pa.array(ids[of[chosen]]), pa.array(exact[chosen])], names=["query_id", "vec_id", "score"])
+def _ranked(k: int) -> "callable":
+    """(vectors of a cell, queries of a cell) -> query_id, vec_id, score of the k best of the cell for each query."""
+
+    def best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        scores = q @ v.T
+        scores[queries[:, None] == ids[None, :]] = -np.inf
+        keep = min(k, len(ids))
+        bar = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        bar -= 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))  # these products may be summed in another order
+        at, of = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        exact = in_order_products(q[at], v[of])
+        order = np.lexsort((ids[of], -exact, at))
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        chosen = order[rank < k]
+        return queries[at[chosen]], ids[of[chosen]], exact[chosen]
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if vectors.num_rows and asked.num_rows:
+            (ids, v), (queries, q) = ((t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks())) for t in (vectors, asked))
+            found += [best(queries[i : i + BLOCK], q[i : i + BLOCK], ids, v) for i in range(0, len(queries), BLOCK)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that were found for each query, ties to the smaller vec_id.
 
     Rows that are null, zero, or hold null or non-finite components take no part on either side; a query is not its
-    own candidate (rows with its id aren't). A vector that stands in many rows is one block after another, so no task
-    gets more than BLOCK x QUERY_BLOCK products at once. With at most 100 vectors the search is exact. Vectors of a
-    different length than the sample's first are left out, as they have no inner product with the rest. A query id
-    that comes twice is asked once, with its smaller vector; candidate rows that come twice count twice. Empty tables
-    give no rows; columns other than id and vector aren't read.
+    own candidate (rows with its id aren't). With at most 100 vectors the search is exact. Vectors of different lengths
+    have no inner product: queries meet vectors of their own length, by the learned parts for the most frequent length
+    (the smaller, of two), else all of them. A query id that comes twice is asked once, with its smaller vector;
+    candidate rows that come twice count twice. Empty tables give no rows; columns other than id and vector aren't
+    read. parts: by default one for each PART_ROWS vectors, but at least PARTS; at most one for each PART_SAMPLE
+    sampled vectors.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    chosen = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    if not chosen.num_rows:
+    length = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    values = chosen.column("v").to_pylist()
-    dims = len(values[0])
-    router, probes = learn(np.array([v for v in values if len(v) == dims]), k, parts)
-    rows = rows.where(F.size("v") == dims)
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v"))
-    held = rows.mapInArrow(_blocks(router, 1, BLOCK, ("ids", "rows")), "part int, ids binary, rows binary")
-    sought = asked.mapInArrow(_blocks(router, probes, QUERY_BLOCK, ("query_ids", "query_rows")), "part int, query_ids binary, query_rows binary")
-    # Blocks, not rows, meet here. Each block of candidates is dealt on its own, with the queries of its part.
-    held = materialise(held.repartition("part", F.crc32("ids")))
-    found = held.join(sought, "part").select("query_ids", "query_rows", "ids", "rows").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
+    chosen = rows.where(F.size("v") == length.length).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow()
+    router, probes = learn(_matrix(chosen.column("v").combine_chunks()), k, parts or max(PARTS, length.n // PART_ROWS))
+    schema = "part int, vec_id long, v array<double>"
+    asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+    held, sought = (materialise(x.mapInArrow(_routed(router, n), schema)) for x, n in ((rows, 1), (asked, probes)))
+    cells = held.groupBy("part").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    query_cells = sought.groupBy("part").agg(F.ceil(F.count("*") / QUERY_CELL).cast("int").alias("query_cells"))
+    grid = F.broadcast(cells.join(query_cells, "part"))  # a row for each part, of which there are at most sample / PART_SAMPLE, and for each other length
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    held = held.join(grid, "part").select("part", own("cells").alias("cell"), every("query_cells").alias("query_cell"), "vec_id", "v")
+    sought = sought.join(grid, "part").select("part", every("cells").alias("cell"), own("query_cells").alias("query_cell"), "vec_id", "v")
+    unit = ("part", "cell", "query_cell")
+    found = held.groupBy(*unit).cogroup(sought.groupBy(*unit)).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
