@@ -1,15 +1,17 @@
 """Cases with known answers, and rules held against sequential versions of them."""
 
 import itertools
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from trackforge import plans
 from trackforge.functions import lens
-from trackforge.operators import assignment, evaluate, islands, stateful, teams
-from trackforge.params import Ball, Possession, Tracks
+from trackforge.operators import assignment, ball, evaluate, islands, players, stateful, teams
+from trackforge.params import Ball, Pitch, Possession, Tracks
 from trackforge.sources import sinks, tables
 
 
@@ -76,15 +78,47 @@ def test_possession_needs_time_to_change(spark):
 
 
 def test_ball_tracker_takes_back_the_wrong_path():
-    tracker = stateful.BallTracker(Ball())
+    tracker, path, delays = ball.BallFollower(Ball()), {}, []
     for i in range(20):
         t = i * 100
-        wrong = (10.0, 10.0, 0.35, 9.0 if i else 1.0)
-        right = [(40.0 + i * 0.1, 20.0, 0.9, 1.0)] if i >= 8 else []
-        tracker.step(i, t, [wrong, *right])
-    assert all(tracker.path[f][0] == 10.0 for f in range(8))
-    assert all(tracker.path[f][0] >= 40.0 for f in tracker.path if f >= 12)
-    assert 9 not in tracker.path
+        seen = np.array([(10.0, 10.0, 0.35, 9.0 if i else 1.0), *([(40.0 + i * 0.1, 20.0, 0.9, 1.0)] if i >= 8 else [])])
+        final = tracker.step(i, t, seen[:, :2], seen[:, 2], seen[:, 3])
+        path |= {f: x for f, _, x, _, _ in final}
+        delays += [t - at for _, at, *_ in final]
+    path |= {f: x for f, _, x, _, _ in tracker.finish()}
+    assert all(path[f] == 10.0 for f in range(8)) and all(path[f] >= 40.0 for f in path if f >= 12)
+    assert 9 not in path and 12 in path and max(delays) <= 400
+
+
+def ball_path(*parts):
+    """x of each frame that is followed. parts: first and last time (ms), then a function of the time to (x, confidence, distance to a person)."""
+    follower, got = ball.BallFollower(Ball()), {}
+    for t in sorted({t for a, b, _ in parts for t in range(a, b, 100)}):
+        c = np.array(sorted((x, 5.0, conf, d) for a, b, f in parts if a <= t < b for x, conf, d in [f(t)]))
+        got |= {f: x for f, _, x, *_ in follower.step(t, t, c[:, :2], c[:, 2], c[:, 3])}
+    return got | {f: x for f, _, x, *_ in follower.finish()}
+
+
+def test_ball_is_lost_and_found_again():
+    near, far = (lambda x: lambda t: (x, 0.6, 1.0)), (lambda x: lambda t: (x, 0.6, 9.0))
+    assert set(ball_path((0, 500, near(10.0)), (2500, 3000, near(60.0)))) == {*range(0, 500, 100), *range(2500, 3000, 100)}
+    # away from people nothing is taken up, but what is followed may go there
+    assert set(ball_path((0, 500, near(10.0)), (2500, 3000, far(60.0)))) == set(range(0, 500, 100))
+    assert set(ball_path((0, 500, near(10.0)), (500, 900, far(10.5)))) == set(range(0, 900, 100))
+
+
+def test_challengers_must_be_better_and_last():
+    held = lambda t: (10.0, 0.4, 9.0)
+    start = lambda t: (10.0, 0.9, 1.0)
+    wide = [(0, 100, start), (100, 2000, held)]
+    assert set(ball_path(*wide, (500, 2000, lambda t: (50.0, 0.31, 1.0))).values()) == {10.0}  # not better by the margin
+    assert set(ball_path(*wide, (500, 800, lambda t: (50.0, 0.9, 1.0))).values()) == {10.0}  # gone too soon
+    assert set(ball_path(*wide, (500, 2000, lambda t: (50.0, 0.9, 9.0))).values()) == {10.0}  # no one near it
+    found = ball_path(*wide, (500, 2000, lambda t: (50.0, 0.9, 1.0)))
+    assert [f for f, x in sorted(found.items()) if x == 10.0] == [0, 100, 200, 300, 400] and min(f for f, x in found.items() if x == 50.0) == 900
+    # one that jumps by more than three metres starts its time anew
+    found = ball_path(*wide, (500, 2000, lambda t: (50.0 if t < 700 else 55.0, 0.9, 1.0)))
+    assert [f for f, x in sorted(found.items()) if x == 10.0] == list(range(0, 700, 100)) and min(f for f, x in found.items() if x == 55.0) == 1100
 
 
 def test_assignment_against_all_permutations():
@@ -113,15 +147,110 @@ def test_clock_shift_is_found():
 def test_gap_filling_needs_reachable_candidates():
     times = np.array([0.0, 0.1, 0.2, 0.3])
     good = [[(1.0, 0.0, 0.9)], [(2.0, 0.0, 0.9), (50.0, 0.0, 1.0)]]
-    assert stateful.cheapest_fill(times, (0, 0), (3, 0), good) == [(1.0, 0.0), (2.0, 0.0)]
-    assert stateful.cheapest_fill(times, (0, 0), (3, 0), [[(60.0, 0.0, 1.0)], []]) == [None, None]
+    assert ball.cheapest_fill(times, (0, 0), (3, 0), good) == [(1.0, 0.0), (2.0, 0.0)]
+    assert ball.cheapest_fill(times, (0, 0), (3, 0), [[(60.0, 0.0, 1.0)], []]) == [None, None]
+
+
+def test_cheapest_fill_against_all_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        times = np.cumsum(rng.uniform(0.03, 0.2, 5))
+        spots = [[tuple(x) for x in np.column_stack([rng.uniform(0, 8, (k, 2)), rng.random(k)]).tolist()] for k in rng.integers(0, 4, 3)]
+        best = {}
+        for path in itertools.product(*([None, *s] for s in spots)):
+            nodes = [(0, 0.0, 0.0), *((k, *c[:2]) for k, c in enumerate(path, 1) if c), (4, 4.0, 4.0)]
+            speeds = [math.dist(a[1:], b[1:]) / (times[b[0]] - times[a[0]]) for a, b in itertools.pairwise(nodes)]
+            if max(speeds) <= 35:
+                best[path] = sum(1 - c[2] for c in path if c) + sum(c is None for c in path) + 0.005 * sum(speeds)
+        found = ball.cheapest_fill(times, (0.0, 0.0), (4.0, 4.0), spots)
+        if not best:
+            assert found == [None] * 3
+        else:
+            least = min(best, key=best.get)
+            assert found == [c and c[:2] for c in least]
+
+
+def tracked(rows, **options):
+    """rows: t in seconds, x, y, team, keeper."""
+    p = Tracks(**options)
+    frame = pd.DataFrame([(round(1000 * t), x, y, m, k) for t, x, y, m, k in rows], columns=["t", "x", "y", "team", "keeper"]).sort_values(["t", "x", "y"])
+    seen = players.Seen.of(frame, Pitch(), p)
+    piece = players.followed(seen, p)
+    return seen, piece, players.chained_pieces(seen, piece, p), p
 
 
 def test_two_players_keep_their_tracks():
-    path = [(i * 0.1, [(10 + i * 0.3, 5.0, 0, False), (20 - i * 0.2, 15.0, 1, False)]) for i in range(40)]
-    chains = stateful.join_tracks(stateful.follow_players(path, Tracks()), Tracks())
-    assert sorted(sum(len(a.points) for a in c) for c in chains) == [40, 40]
-    assert len(set(stateful.fill_slots(chains, Tracks()).values())) == 2
+    rows = [r for i in range(40) for r in ((i * 0.1, 10 + i * 0.3, 5.0, 0, False), (i * 0.1, 20 - i * 0.2, 15.0, 1, False))]
+    seen, piece, chains, p = tracked(rows)
+    assert sorted(len(c) for c in chains) == [40, 40]
+    whole = players.Stretches.of(seen, chains)
+    assert sorted(players.places_in_team(seen, whole, np.zeros(2, bool), p)) == [(0, 0), (1, 0)]
+
+
+def test_false_and_double_detections_start_no_track():
+    rows = [(i * 0.1, 10 + i * 0.3, 5.0, 0, False) for i in range(30)] + [(1.0, 40.0, 20.0, 1, False)] + [(i * 0.1, 10.9 + i * 0.3, 5.0, None, False) for i in range(5, 25)]
+    _, piece, chains, _ = tracked(rows)
+    assert [len(c) for c in chains] == [30]
+
+
+def test_hidden_players_are_joined_and_changed_ones_are_not():
+    y = Pitch().width - 0.5
+    walk = lambda t0, x0, y: [(t0 + i * 0.1, x0 + i * 0.1, y, 0, False) for i in range(20)]
+    assert len(tracked(walk(0, 10, 15.0) + walk(5.0, 13, 15.0))[2]) == 1
+    assert len(tracked(walk(0, 10, y) + walk(5.0, 13, y))[2]) == 2  # one went off at the bench, one came on
+    assert len(tracked(walk(0, 10, 0.5) + walk(5.0, 13, 0.5))[2]) == 1
+    assert len(tracked(walk(0, 10, 0.5) + walk(5.0, 13, 0.5), change_at_any_line=True)[2]) == 2
+    assert len(tracked(walk(0, 10, 15.0) + walk(7.0, 13, 15.0))[2]) == 2
+
+
+def test_successors_are_the_cheapest_overall():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        rows, spots = [], rng.uniform(5, 15, (4, 2))
+        for k, (x, y) in enumerate(spots):
+            rows += [(i * 0.1 + 0.001 * k, x, y, None, False) for i in range(4)]
+        for k, (x, y) in enumerate(rng.uniform(5, 15, (4, 2))):
+            rows += [(3.0 + i * 0.1 + 0.001 * k, x, y, None, False) for i in range(4)]
+        frame = pd.DataFrame([(round(1000 * t), x, y, m, k) for t, x, y, m, k in rows], columns=["t", "x", "y", "team", "keeper"])
+        at = [np.arange(4 * k, 4 * k + 4) for k in range(8)]
+        p = Tracks()
+        seen = players.Seen(frame.t.to_numpy(float) / 1000, np.zeros(1, int), frame.x.to_numpy(), frame.y.to_numpy(), np.full(32, -1), np.zeros(32, bool), np.zeros(32, bool))
+        found = players.successors(seen, players.Stretches.of(seen, at), p)
+        price = lambda a, b: math.dist((seen.x[4 * a], seen.y[4 * a]), (seen.x[4 * b], seen.y[4 * b])) + 0.4 * (seen.t[4 * b] - seen.t[4 * a + 3])
+        reach = lambda a, b: math.dist((seen.x[4 * a], seen.y[4 * a]), (seen.x[4 * b], seen.y[4 * b])) <= min(1.6 + 6 * (seen.t[4 * b] - seen.t[4 * a + 3]), 14)
+        best = max(((sum(c is not None for c in q), -sum(price(a, b) for a, b in enumerate(q) if b is not None)) for q in itertools.product([None, 4, 5, 6, 7], repeat=4) if len({c for c in q if c}) == sum(c is not None for c in q) and all(b is None or reach(a, b) for a, b in enumerate(q))))
+        assert len(found) == best[0] and math.isclose(-sum(price(a, b) for a, b in found.items()), best[1])
+
+
+def test_places_keepers_and_substitutes(spark):
+    y = Pitch().width - 0.5
+    stay = lambda t0, t1, x, y, m, k=False: [(t, x + 0.01 * i, y, m, k) for i, t in enumerate(np.arange(t0, t1, 0.1))]
+    rows = stay(0, 60, 3, 16, 0, True) + stay(0, 60, 30, 10, 0) + stay(0, 20, 30, 25, 1) + stay(40, 60, 25, y, 1) + stay(0, 60, 28, 5, 1, True)
+    df = spark.createDataFrame([("m", round(1000 * float(t)), float(x), float(z), m, k) for t, x, z, m, k in rows], "match_id string, t long, x double, y double, team int, keeper boolean")
+    found = players.track_players(df, ["match_id"])
+    chains = {(r.chain_team, r.chain_keeper, r.slot) for r in found.select("chain_team", "chain_keeper", "slot").distinct().collect()}
+    # the second goalkeeper's detections lie far from any goal; the substitute takes the place that is free again
+    assert chains == {(0, True, 0), (0, False, 1), (1, False, 0), (1, False, 1)}
+    assert {(r.team, r.substitutes) for r in players.substitutes(found, ["match_id"]).collect()} == {(0, 0), (1, 1)}
+
+
+def test_still_rows_against_a_plain_scan():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = 300
+        t = np.cumsum(rng.choice([100, 200, 1500], n, p=[0.7, 0.29, 0.01]))
+        half = np.sort(rng.integers(1, 3, n))
+        x, y = np.cumsum(rng.choice([0, 0, 0, 0.4, -0.4, 3], n)), rng.random(n) * 0.4
+        wanted, k = np.zeros(n, bool), 0
+        while k < n:
+            a, b, e = np.median(x[k : k + 5]), np.median(y[k : k + 5]), k
+            while e + 1 < n and half[e + 1] == half[k] and t[e + 1] - t[e] <= 1000 and math.hypot(x[e + 1] - a, y[e + 1] - b) <= 1:
+                e += 1
+            if t[e] - t[k] >= 2000:
+                wanted[k : e + 1] = True
+                k = e
+            k += 1
+        assert (stateful.still_rows(t, half, x, y, 2000, 1.0) == wanted).all()
 
 
 def test_local_fit_is_exact_on_parabolas():
@@ -141,6 +270,25 @@ def test_lenses_return_where_they_came_from():
         assert np.allclose(back[0], x, atol=1e-6) and np.allclose(back[1], y, atol=1e-6)
 
 
+def test_lens_range_ends_at_the_rim():
+    assert lens.widest_angle([0, 0, 0]) == 1.55 and lens.widest_angle([0.1, 0, 0]) == 1.55
+    # the slope 1 - 0.6 x^2 is 0.05 at 1.2583
+    assert math.isclose(lens.widest_angle([-0.2, 0, 0]), 1.26) and lens.widest_angle([0, 0, -0.05]) < 1.3
+    c = {"model": "fisheye", "f": 400.0, "cx": 1000.0, "cy": 800.0, "k": [-0.2, 0, 0], "rvec": [np.pi, 0.0, 0.0], "tvec": [0.0, 0.0, 10.0]}
+    rim = lens.Radial(c["k"])(np.array([1.25, 1.26, 1.27]))
+    x, y = lens.to_pitch(c, 1000 + 400 * (rim[[0, 1, 1]] + [0, -1e-9, 1e-4]), np.full(3, 800.0))
+    assert np.isfinite(x[:2]).all() and np.isnan(x[2]) and math.isclose(np.hypot(x[0], y[0]), 10 * np.tan(1.25), rel_tol=1e-6)
+    assert np.isnan(lens.to_pixels(c, np.array([10 * np.tan(1.3)]), np.zeros(1))[0]).all()
+
+
+def test_curves_are_inverted_up_to_where_they_turn():
+    for k in ([0.05, -0.02, 0.003], [-0.2, 0, 0], [0, 0, -0.05], [0.3, 0.1, 0.2]):
+        curve = lens.Radial(k)
+        most = curve.falls_to(0.0, 1.5)
+        x = np.linspace(0, 0.999 * most, 50)
+        assert np.allclose(curve.back(curve(x), most), x, atol=1e-9)
+
+
 def test_discriminant_separates(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i % 2), [float(v) for v in rng.normal(3 * (i % 2), 1, 4)]) for i in range(400)]

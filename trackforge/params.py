@@ -95,6 +95,12 @@ class Tracks:
     sprint: float = 5.5
     sprint_s: float = 1.0
     intense: float = 4.0
+    change_s: float = 0.5
+    change_depth: float = 1.5
+    change_at_any_line: bool = False
+    keeper_zone: float = 8.0
+    least_s: float = 1.0
+    overlap_s: float = 2.0
 
 
 @dataclass(frozen=True)

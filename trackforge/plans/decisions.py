@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
-from trackforge.operators import evaluate, islands, sampling, stateful, teams
+from trackforge.operators import ball, evaluate, islands, players, sampling, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.islands import KEYS, sequences
@@ -309,14 +309,14 @@ def isl02_still_ball(spark, sf_dir):
 def st02_ball_tracker(spark, sf_dir):
     f = frames(spark, sf_dir).where("x is not null")
     c = f.select((C("match_id") % 32).alias("match_id"), "half", (F.floor(C("t") / HOUR)).alias("frame"), (F.floor(C("t") / HOUR) * 500).alias("t"), "x", "y", (C("value") % 1).alias("confidence"), (C("value") % 7).alias("person"))
-    return stateful.track_ball(c, KEYS, Ball())
+    return ball.track_ball(c, KEYS, Ball())
 
 
 @query()
 def st03_st04_st06_player_tracks(spark, sf_dir):
     f = frames(spark, sf_dir).where("x is not null")
     d = f.select((C("match_id") % 16).alias("match_id"), "half", (F.floor(C("t") / (2 * HOUR)) * 100).alias("t"), "x", "y", "team", (C("value") > 200).alias("keeper"))
-    return stateful.track_players(d, KEYS, Tracks())
+    return players.track_players(d, KEYS, Tracks())
 
 
 @query()
@@ -334,7 +334,7 @@ def wn08_steady_tracks(spark, sf_dir):
 def fill03_cheapest_path(spark, sf_dir):
     f = frames(spark, sf_dir).where("x is not null")
     rows = f.select((C("match_id") % 64).alias("match_id"), "frame", (C("t") / 1000).cast("long").alias("t"), F.when(C("kind") == "purchase", "anchor").otherwise("candidate").alias("kind"), "x", "y", (C("value") % 1).alias("confidence"))
-    return stateful.fill_gaps(rows, ["match_id"])
+    return ball.fill_gaps(rows, ["match_id"])
 
 
 @query()

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import mirrored
-from trackforge.operators import actions, islands, kickoffs, measures, nearest, stateful, windows
+from trackforge.operators import actions, clean, islands, kickoffs, measures, nearest, stateful, windows
+from trackforge.operators import ball as ball_operators
+from trackforge.operators import players as player_operators
 from trackforge.params import Actions, Ball, Pitch, Possession, Stats
 
 KEYS = ["match_id", "half"]
@@ -32,7 +34,7 @@ def ball_track(detections: DataFrame, s: Settings) -> DataFrame:
     candidates = rows.where("class = 'ball'").withColumn("id", F.xxhash64("frame", "x", "y", "conf"))
     people = rows.where("class <> 'ball'").withColumn("person_id", F.xxhash64("frame", "x", "y"))
     near = nearest.nearest_in_key(candidates, people, [*KEYS, "frame"], "id", "person_id")
-    path = stateful.track_ball(near.select(*KEYS, "frame", "t", "x", "y", F.col("conf").alias("confidence"), F.col("distance").alias("person")), KEYS, s.ball)
+    path = ball_operators.track_ball(near.select(*KEYS, "frame", "t", "x", "y", F.col("conf").alias("confidence"), F.col("distance").alias("person")), KEYS, s.ball)
     frames = rows.groupBy(*KEYS, "frame").agg(F.min("t").alias("t"))
     known = frames.join(path, [*KEYS, "frame"], "left")
     return windows.filled(known, KEYS, "frame", "t", ["x", "y"], int(1000 * s.ball.interpolate_s))
