@@ -27,7 +27,7 @@ def tables(spark):
                 teams.append((*row, team, 0))
             bx, by, _ = next(s for s in spots[4:] if s[2] == holder)
             if i % 10:
-                rows.append((frame, t, half, "top", "ball", 0.8, 0.0, 0.0, 1.0, 1.0, float(bx + rng.normal(0, 0.1)), float(by)))
+                rows.append((frame, t, half, "top", "ball", 0.8, 90.0, 90.0, 91.0, 91.0, float(bx + rng.normal(0, 0.1)), float(by)))
     d = spark.createDataFrame(rows, schema.DETECTIONS)
     p = spark.createDataFrame(teams, schema.TEAMS)
     add = lambda df: schema.with_ms(df).selectExpr("*", "'m' as match_id")
@@ -51,5 +51,24 @@ def test_sides_sequences_and_passes(tables):
     assert {(r.half, r.team): r.right for r in tables["directions"].collect()} == {(1, 0): True, (1, 1): False, (2, 0): False, (2, 1): True}
     assert tables["sequences"].count() == 8 and tables["recoveries"].count() == 6
     assert tables["passes"].where("completed").count() == 0
-    for name in ("zones", "shots", "kickoffs"):
+    for name in ("zones", "shots", "kickoffs", "goals"):
         tables[name].count()
+
+
+def test_players_are_tracked_through_the_halves(tables):
+    slots = tables["tracks"].where("slot is not null").groupBy("half", "slot_team", "slot").count().collect()
+    assert len(slots) == 24 and sum(r["count"] for r in slots) >= 0.95 * 7200
+    assert {(r.half, r.team): r.substitutes for r in tables["substitutes"].collect()} == {(h, t): 0 for h in (1, 2) for t in (0, 1)}
+
+
+def test_candidates_on_bodies_and_spare_balls_are_left_out(spark):
+    rows = []
+    for i in range(60):
+        row = lambda kind, conf, box, x, y: (2 * i, i / 15, 1, "top", kind, conf, *box, float(x), float(y))  # noqa: E731, B023
+        rows.append(row("player", 0.9, (100.0, 100.0, 120.0, 160.0), 20 + i / 10, 10))
+        rows.append(row("ball", 0.9, (109.0, 110.0, 111.0, 112.0), 20.2 + i / 10, 10))  # a head
+        rows.append(row("ball", 0.5, (300.0, 150.0, 302.0, 152.0), 20.5 + i / 10, 10))
+        rows.append(row("ball", 0.8, (500.0, 500.0, 502.0, 502.0), 50, 30))  # lies beside the pitch
+    detections = schema.with_ms(spark.createDataFrame(rows, schema.DETECTIONS)).selectExpr("*", "'m' as match_id")
+    found = match.ball_track(detections, match.Settings()).collect()
+    assert len(found) == 60 and all(abs(r.x - 20.5 - r.frame / 20) < 1e-6 for r in found)

@@ -45,17 +45,19 @@ def constant_runs(df: DataFrame, keys: list[str], order: str, t: str, labels: li
     return runs.groupBy(*keys, "run", *labels).agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.count("*").alias("n")).drop("run")
 
 
-def outside_runs(df: DataFrame, keys: list[str], order: str, t: str, state: Column, least_ms: int) -> DataFrame:
+def outside_runs(df: DataFrame, keys: list[str], order: str, t: str, state: Column, least_ms: int, ended: str | None = None) -> DataFrame:
     """Runs outside: from a row whose state is "o" over rows that are outside or unseen (null) to the next one inside.
 
     A run ends at the time of the first row inside, else at the last row of its keys, and counts if it lasts least_ms.
+    ended: adds a column of that name, whether there was a row inside, which isn't part of the run itself.
     """
     window = ordered(keys, order)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_s", F.last(state, ignorenulls=True).over(upto)).withColumn("_next", F.lead(t).over(window))
     rows = rows.withColumn("_new", (F.col("_s") == "o") & ~F.coalesce(F.lag("_s").over(window) == "o", F.lit(False)))
     runs = numbered(rows, keys, [order], F.col("_new")).where(F.col("_s") == "o")
-    runs = runs.groupBy(*keys, "run").agg(F.min(t).alias("t0"), F.coalesce(F.max_by("_next", order), F.max(t)).alias("t1"), F.count("*").alias("n"))
+    last = [F.max_by("_next", order).isNotNull().alias(ended)] if ended else []
+    runs = runs.groupBy(*keys, "run").agg(F.min(t).alias("t0"), F.coalesce(F.max_by("_next", order), F.max(t)).alias("t1"), F.count("*").alias("n"), *last)
     return runs.where(F.col("t1") - F.col("t0") >= least_ms).drop("run")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.operators import islands
+from trackforge.operators.nearest import asof, chamfer
 from trackforge.operators.windows import trailing_displacement
 from trackforge.params import Pitch
 
@@ -26,6 +27,28 @@ def formation_frames(players: DataFrame, keys: list[str], pitch: Pitch, line: fl
     return f.where((F.col("n") >= least_players) & (F.col("centre") <= most_centre) & (F.col("on_line") == 0) & (F.col("l") >= least_side) & (F.col("r") >= least_side) & (F.abs(F.col("l") - F.col("r")) <= most_difference))
 
 
+def two_sides(players: DataFrame, keys: list[str], pitch: Pitch, line: float = 0.5, least_side: int = 3, most_difference: int = 3, least_players: int = 8) -> DataFrame:
+    """Frames (keys) in which both halves are about equally full, wherever the players stand in them."""
+    left, right = F.count_if(F.col("x") < pitch.length / 2 - line), F.count_if(F.col("x") > pitch.length / 2 + line)
+    f = players.groupBy(*keys).agg(left.alias("l"), right.alias("r"))
+    return f.where((F.col("l") + F.col("r") >= least_players) & (F.least("l", "r") >= least_side) & (F.abs(F.col("l") - F.col("r")) <= most_difference))
+
+
+def calm(formed: DataFrame, players: DataFrame, keys: list[str], t: str, most: float = 0.8, before_ms: int = 1000) -> DataFrame:
+    """Formation frames whose players stand where those of the first frame at most before_ms earlier stand, if that is a formation too.
+
+    formed: t of formation frames; players: t, x, y. The median distance to the nearest of the earlier frame counts.
+    """
+    times = players.select(*keys, t).distinct()
+    earlier = asof(formed.select(*keys, (F.col(t) - before_ms).alias(t), F.col(t).alias("_now")), times.withColumn("_then", F.col(t)), keys, t, ["_then"], forward=True)
+    pairs = earlier.select(*keys, F.col("_now").alias(t), "_then").where(F.col("_then") < F.col(t))
+    pairs = pairs.join(formed.select(*keys, F.col(t).alias("_then")), [*keys, "_then"], "left_semi")
+    here = players.join(pairs, [*keys, t]).select(*keys, F.col(t).alias("_pair"), F.lit(True).alias("_from"), "x", "y")
+    there = players.withColumnRenamed(t, "_then").join(pairs, [*keys, "_then"]).select(*keys, F.col(t).alias("_pair"), F.lit(False).alias("_from"), "x", "y")
+    moved = chamfer(here.union(there), keys, "x", "y", F.when(F.col("_from"), F.col("_pair")), F.when(~F.col("_from"), F.col("_pair")), t)
+    return formed.join(moved.where(F.col("calm") <= most).select(*keys, t), [*keys, t], "left_semi")
+
+
 def events(marks: DataFrame, keys: list[str], t: str, gap_ms: int = 1000, ball_ms: int = 500, formation_ms: int = 1000) -> DataFrame:
     """Kick-offs from marked frames (t, by_ball): sessions that last long enough; their time is the mean of the frames'."""
     found = islands.gap_sessions(marks, keys, t, gap_ms, extra=[F.avg(t).alias("at"), F.bool_or("by_ball").alias("by_ball")])

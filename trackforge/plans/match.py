@@ -1,6 +1,7 @@
 """The chain for matches: from detections with teams and ball candidates to possession, figures and actions.
 
 All matches go through together, partitioned by match and half. Every step is a lazy table; write the ones to keep.
+Tables that several others read (ball, possession, kickoffs, tracks) are persisted: unpersist them when done.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackforge.functions.scalar import mirrored
-from trackforge.operators import actions, clean, islands, kickoffs, measures, nearest, stateful, windows
+from trackforge.functions.scalar import mirrored, on_upper_body
+from trackforge.operators import actions, goals, islands, kickoffs, measures, nearest, stateful, windows
 from trackforge.operators import ball as ball_operators
 from trackforge.operators import players as player_operators
-from trackforge.params import Actions, Ball, Pitch, Possession, Stats
+from trackforge.params import Actions, Ball, Goals, Pitch, Possession, Stats, Tracks
 
 KEYS = ["match_id", "half"]
 
@@ -26,14 +27,35 @@ class Settings:
     possession: Possession = field(default_factory=Possession)
     stats: Stats = field(default_factory=Stats)
     actions: Actions = field(default_factory=Actions)
+    goals: Goals = field(default_factory=Goals)
+    tracks: Tracks = field(default_factory=Tracks)
+
+
+def without_spares(candidates: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Candidates without those that lie where, in a large share of a match's frames, one lies far from everybody.
+
+    A candidate at such a spot stays if somebody is within control of it.
+    """
+    b, moment = s.ball, F.struct("half", "frame")
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cells = candidates.withColumn("cx", F.floor(F.col("x") / b.cell)).withColumn("cy", F.floor(F.col("y") / b.cell))
+    alone = cells.where(F.coalesce(F.col("distance"), F.lit(1e9)) > b.far).groupBy("match_id", "cx", "cy").agg(F.countDistinct(moment).alias("k"))
+    total = rows.groupBy("match_id").agg(F.countDistinct(moment).alias("frames"))
+    spots = alone.join(total, "match_id").where(F.col("k") >= b.spot_share * F.col("frames"))
+    spots = spots.select("match_id", "cx", "cy", around.alias("dx")).select("match_id", "cx", "cy", "dx", around.alias("dy")).select("match_id", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).distinct()
+    marked = cells.join(spots.withColumn("_spot", F.lit(True)), ["match_id", "cx", "cy"], "left")
+    return marked.where(F.col("_spot").isNull() | F.coalesce(F.col("distance") < s.possession.control, F.lit(False))).drop("_spot", "cx", "cy")
 
 
 def ball_track(detections: DataFrame, s: Settings) -> DataFrame:
-    """The ball at each frame: candidates with their nearest person, tracked, and interpolated over short gaps."""
-    rows = detections.select(*KEYS, "frame", "t", "class", "conf", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
+    """The ball at each frame: candidates not on bodies and not lying spare, tracked, and interpolated over short gaps."""
+    rows = detections.select(*KEYS, "frame", "t", "cam", "class", "conf", "x1", "y1", "x2", "y2", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
     candidates = rows.where("class = 'ball'").withColumn("id", F.xxhash64("frame", "x", "y", "conf"))
     people = rows.where("class <> 'ball'").withColumn("person_id", F.xxhash64("frame", "x", "y"))
+    on_body = on_upper_body((F.col("l.x1") + F.col("l.x2")) / 2, (F.col("l.y1") + F.col("l.y2")) / 2, [F.col(f"r.{c}") for c in ("x1", "y1", "x2", "y2")])
+    candidates = nearest.overlapping(candidates, people, [*KEYS, "frame", "cam"], on_body, "left_anti")
     near = nearest.nearest_in_key(candidates, people, [*KEYS, "frame"], "id", "person_id")
+    near = without_spares(near, rows, s)
     path = ball_operators.track_ball(near.select(*KEYS, "frame", "t", "x", "y", F.col("conf").alias("confidence"), F.col("distance").alias("person")), KEYS, s.ball)
     frames = rows.groupBy(*KEYS, "frame").agg(F.min("t").alias("t"))
     known = frames.join(path, [*KEYS, "frame"], "left")
@@ -47,10 +69,11 @@ def possession(ball: DataFrame, players: DataFrame, s: Settings, restarts: DataF
     seen = nearest.nearest_in_key(ball, people, [*KEYS, "frame"], "t", "pid", within=p.control, carry=["team"])
     beyond = (F.col("x") < -p.out_margin) | (F.col("x") > s.pitch.length + p.out_margin) | (F.col("y") < -p.out_margin) | (F.col("y") > s.pitch.width + p.out_margin)
     state = F.when(F.col("x").isNotNull(), F.when(beyond, "o").otherwise("i"))
-    outs = islands.outside_runs(ball, KEYS, "frame", "t", state, int(1000 * p.out_min_s))
+    outs = islands.outside_runs(ball, KEYS, "frame", "t", state, int(1000 * p.out_min_s), ended="ended")
     still = stateful.still_ball(ball.select(*KEYS, "frame", "t", "x", "y").withColumn("h", F.col("half")), ["match_id"], 1000 * p.still_s, p.still_radius, 1000).withColumn("still", F.lit(True))
-    # A run outside ends at the first row inside, which isn't part of it.
-    out_rows = nearest.interval_join(ball.select(*KEYS, "frame", "t"), outs.withColumn("t1", F.col("t1") - 1), KEYS, "t", "t0", "t1", 10_000, "left_semi").select(*KEYS, "frame").withColumn("out", F.lit(True))
+    # A run that ends at a row inside doesn't hold it; one that nothing ends holds its last row.
+    outs = outs.withColumn("t1", F.col("t1") - F.col("ended").cast("int"))
+    out_rows = nearest.interval_join(ball.select(*KEYS, "frame", "t"), outs, KEYS, "t", "t0", "t1", 10_000, "left_semi").select(*KEYS, "frame").withColumn("out", F.lit(True))
     rows = seen.join(out_rows, [*KEYS, "frame"], "left").join(still, ["match_id", "frame"], "left")
     restart = F.lit(False)
     if restarts is not None:
@@ -64,14 +87,33 @@ def possession(ball: DataFrame, players: DataFrame, s: Settings, restarts: DataF
 
 
 def kickoff_events(ball: DataFrame, players: DataFrame, s: Settings) -> DataFrame:
-    """Kick-offs by the ball on the spot or by formation, merged when they are the same."""
-    spot = kickoffs.ball_on_spot(ball, KEYS, "t", s.pitch).select(*KEYS, "t", F.lit(True).alias("by_ball"))
-    people = players.select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
-    formed = kickoffs.formation_frames(people, [*KEYS, "t"], s.pitch)
-    marks = formed.select(*KEYS, "t").join(spot, [*KEYS, "t"], "left").withColumn("by_ball", F.coalesce("by_ball", F.lit(False)))
+    """Kick-offs by the ball that lies on the spot between two teams, or by a formation in which nobody moves."""
+    on_pitch = F.col("x_m").between(0, s.pitch.length) & F.col("y_m").between(0, s.pitch.width)
+    people = players.where((F.col("class") == "player") & on_pitch).select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
+    key = [*KEYS, "t"]
+    by_ball = kickoffs.ball_on_spot(ball, KEYS, "t", s.pitch).select(*key).join(kickoffs.two_sides(people, key, s.pitch), key, "left_semi")
+    formed = kickoffs.calm(kickoffs.formation_frames(people, key, s.pitch).select(*key), people, KEYS, "t")
+    marks = by_ball.withColumn("by_ball", F.lit(True)).union(formed.join(by_ball, key, "left_anti").select(*key, F.lit(False)))
     return kickoffs.events(marks, KEYS, "t")
 
 
+def goal_events(detections: DataFrame, ball: DataFrame, players: DataFrame, directions: DataFrame, kicked: DataFrame, s: Settings, halves: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Goals from the kick-offs found, and with the halves' ends possible goals that none follows."""
+    raw = detections.where("class = 'ball'").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
+    outfield = players.where("class = 'player' and team in (0, 1) and not coalesce(cast(gk as boolean), false)").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"), "team")
+    found = goals.goals(kicked, ball, raw, outfield, directions, s.pitch, s.actions, s.goals, halves)
+    out = {"goals": found}
+    if halves is not None:
+        out["late_goals"] = goals.late_goals(found, ball, halves, directions, s.pitch, s.actions, s.goals)
+    return out
+
+
+def player_tracks(players: DataFrame, s: Settings) -> DataFrame:
+    """Every player's detections with track, chain and place in the team."""
+    rows = players.where("class = 'player'").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"), "team", F.col("gk").cast("boolean").alias("keeper"))
+    return player_operators.track_players(rows, KEYS, s.tracks, s.pitch)
+
+
 def figures(held: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """Shares, thirds, sequences and recoveries for each half and for the match."""
     at = held.withColumn("team", F.col("possession"))
@@ -99,10 +141,13 @@ def played(held: DataFrame, directions: DataFrame, s: Settings) -> dict[str, Dat
     return {"passes": actions.passes(flown, outs, KEYS, a, s.pitch, F.col("right"), 0.05, int(1000 * a.pass_gap)), "shots": actions.shots(flown, KEYS, a, s.pitch, F.col("right"))}
 
 
-def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(), restarts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the chain. detections as read; players: detections of players with their team."""
-    ball = ball_track(detections, s)
-    held = possession(ball, players, s, restarts)
+def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(), restarts: DataFrame | None = None, halves: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the chain. detections as read; players: detections of players with their team; halves: start, end (ms)."""
+    ball = ball_track(detections, s).persist()
+    held = possession(ball, players, s, restarts).persist()
     outfield = players.where("class = 'player' and team in (0, 1)").withColumn("x", F.col("x_m"))
     directions = measures.attack_directions(outfield, KEYS, "team", "x")
-    return {"ball": ball, "possession": held, "directions": directions, "kickoffs": kickoff_events(ball, players, s), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, s)}
+    kicked = kickoff_events(ball, players, s).persist()
+    tracks = player_tracks(players, s).persist()
+    goal_tables = goal_events(detections, ball, players, directions, kicked, s, halves)
+    return {"ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, s)}
