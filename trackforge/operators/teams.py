@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.operators.stateful import grouped
+from trackforge.operators.grouping import grouped
 
 
 def two_means(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +44,13 @@ def teams_by_colour(df: DataFrame, keys: list[str], outlier: float = 2.5, least_
     return grouped(df, keys, run, [("id", df.schema["id"].dataType), ("team", T.IntegerType())])
 
 
+def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """The mean of each key's vectors, element by element."""
+    means = df.select(*keys, F.posexplode(vector).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.avg("_x").alias("_x"))
+    placed = F.array_sort(F.collect_list(F.struct("_pos", "_x")))
+    return means.groupBy(*keys).agg(F.transform(placed, lambda p: p["_x"]).alias(vector))
+
+
 def nearest_centre(df: DataFrame, centres: DataFrame, keys: list[str], vector: str, label: str) -> DataFrame:
     """Each row with the label of the nearest of its key's centres (arrays); ties to the smaller label."""
     c = centres.select(*keys, F.col(label).alias("_l"), F.col(vector).alias("_c"))

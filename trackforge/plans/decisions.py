@@ -9,7 +9,7 @@ from trackforge.operators import actions as act
 from trackforge.operators import ball, evaluate, islands, players, sampling, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
-from trackforge.plans.islands import KEYS, sequences
+from trackforge.plans.islands import KEYS, SEQUENCES, sequences
 from trackforge.recast import LENGTH, frames, table
 
 C = F.col
@@ -96,13 +96,13 @@ def longest(vectors):
     return vectors.agg(F.max(F.size("v"))).first()[0] or 0
 
 
-@query("""WITH e AS (SELECT vec_id, label % 2 AS team, [x::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings), c AS (SELECT team, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c, avg(v[4]) AS d FROM e GROUP BY 1),
-d AS (SELECT e.vec_id, e.team, c.team AS p, sqrt(power(v[1] - a, 2) + power(v[2] - b, 2) + power(v[3] - c, 2) + power(v[4] - d, 2)) AS dist FROM e, c)
-SELECT vec_id, team, p AS predicted, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, p) = 1""", frames=False)
+@query("""WITH e AS (SELECT vec_id, label % 5 AS match_id, vec_id % 2 AS team, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT match_id, team, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+c AS (SELECT match_id, team, i, avg(x) AS a FROM u GROUP BY 1, 2, 3), w AS (SELECT match_id, team, list(a ORDER BY i) AS a FROM c GROUP BY 1, 2),
+d AS (SELECT e.vec_id, e.match_id, e.team, w.team AS p, sqrt(list_sum([power(e.v[i] - w.a[i], 2) FOR i IN range(1, len(e.v) + 1)])) AS dist FROM e JOIN w USING (match_id))
+SELECT vec_id, match_id, team, p AS predicted, round(dist, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, p) = 1""", frames=False)
 def st11_nearest_centre(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (C("label") % 2).alias("team"), F.slice(C("embedding").cast("array<double>"), 1, 4).alias("v"), F.lit(0).alias("all"))
-    centres = e.groupBy("all", "team").agg(F.array(*(F.avg(C("v")[i]) for i in range(4))).alias("v"))
-    return teams.nearest_centre(e, centres, ["all"], "v", "team").select("vec_id", "team", "predicted", r6(C("distance")).alias("distance"))
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", (C("label") % 5).alias("match_id"), (C("vec_id") % 2).alias("team"), C("embedding").cast("array<double>").alias("v"))
+    return teams.nearest_centre(e, teams.mean_vectors(e, ["match_id", "team"], "v"), ["match_id"], "v", "team").select("vec_id", "match_id", "team", "predicted", r6(C("distance")).alias("distance"))
 
 
 @query()
@@ -114,7 +114,7 @@ def st12_linear_discriminant(spark, sf_dir):
 
 @query()
 def st08_teams_by_colour(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((C("label") % 5).alias("match_id"), C("vec_id").alias("id"), F.slice(C("embedding").cast("array<double>"), 1, 3).alias("colour"))
+    e = table(spark, sf_dir, "embeddings").select((C("label") % 5).alias("match_id"), C("vec_id").alias("id"), C("embedding").cast("array<double>").alias("colour")).where("colour is not null")
     return teams.teams_by_colour(e, ["match_id"])
 
 
@@ -255,19 +255,22 @@ def st27_st31_kickoffs_to_events(spark, sf_dir):
     return e.select(*KEYS, "t", F.when(F.row_number().over(w) == 1, "half_start").otherwise("goal").alias("type"), (C("t") - F.lag("t").over(w)).alias("gap"))
 
 
-@query(""", g AS (SELECT unnest([1704200000000, 1705500000000, 1799999999999]) AS g), f AS (SELECT t, half FROM frames WHERE match_id = 1) SELECT g, coalesce((SELECT min_by(half, t) FROM f WHERE t >= g), (SELECT max_by(half, t) FROM f)) AS half FROM g""")
+@query(""", g AS (SELECT frame AS goal, match_id, t + 1 AS t FROM frames WHERE kind = 'purchase'), f AS (SELECT match_id, t, min(half) AS half FROM frames GROUP BY 1, 2), l AS (SELECT match_id, max_by(half, t) AS half FROM f GROUP BY 1)
+SELECT g.goal, g.match_id, coalesce(f.half, l.half) AS half FROM g ASOF LEFT JOIN f ON g.match_id = f.match_id AND g.t <= f.t JOIN l ON l.match_id = g.match_id""")
 def st28_half_at_goal(spark, sf_dir):
     from trackforge.operators.nearest import asof
 
-    goals = spark.range(1).select(F.lit(1).cast("long").alias("match_id"), F.explode(F.array(*(F.lit(x) for x in (1704200000000, 1705500000000, 1799999999999)))).alias("t")).withColumn("g", C("t"))
-    rows = frames(spark, sf_dir).where("match_id = 1").select("match_id", "t", "half")
-    return asof(goals, rows, ["match_id"], "t", ["half"], forward=True, clamp=True).select("g", "half")
+    goals = frames(spark, sf_dir).where("kind = 'purchase'").select("match_id", (C("t") + 1).alias("t"), C("frame").alias("goal"))
+    rows = frames(spark, sf_dir).groupBy("match_id", "t").agg(F.min("half").alias("half"))
+    return asof(goals, rows, ["match_id"], "t", ["half"], forward=True, clamp=True).select("goal", "match_id", "half")
 
 
-@query(SEGMENTS_SQL + " SELECT match_id, count(*) FILTER (t1 - t0 >= 3600000 AND i0 % 5 = 0) AS substitutes FROM seg GROUP BY 1")
+@query(""", p AS (SELECT match_id, half, frame, t, x, y, team, min(t) OVER (PARTITION BY match_id, half) AS begun FROM frames WHERE x IS NOT NULL),
+c AS (SELECT match_id, half, team, t // 86400000 AS chain, min(t) AS t0, max(t) AS t1, min_by(y, (t, x, y)) AS y, any_value(begun) AS begun FROM p WHERE team IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT match_id, half, team, count(*) FILTER (t1 - t0 >= 1000 AND t0 - begun > 172800000 AND 32.36::DOUBLE - y < 1.5) AS substitutes FROM c GROUP BY 1, 2, 3""")
 def st07_substitutes(spark, sf_dir):
-    s = segments(spark, sf_dir)
-    return s.groupBy("match_id").agg(F.count_if((C("t1") - C("t0") >= HOUR) & (C("i0") % 5 == 0)).alias("substitutes"))
+    f = frames(spark, sf_dir).where("x is not null").select(*KEYS, "t", F.floor(C("t") / (24 * HOUR)).alias("chain"), C("team").alias("chain_team"), "x", "y")
+    return players.substitutes(f, KEYS, settle_s=48 * 3600.0)
 
 
 @query(""", c AS (SELECT match_id, half, team, count(*) AS c, min(frame) AS o FROM frames WHERE team IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT match_id, half, team, c AS votes FROM c QUALIFY row_number() OVER (PARTITION BY match_id, half ORDER BY c DESC, o) = 1),
@@ -363,8 +366,8 @@ def st23_explained_goals(spark, sf_dir):
     return evaluate.explain_goals(f.select("match_id", how.alias("how"), F.when(how.isNotNull(), s).alias("t_s"), F.when(C("kind") == "purchase", (s / 60).cast("int")).alias("minute")), ["match_id"])
 
 
-@query()
+@query(SEQUENCES + " SELECT team, count(*) AS possessions, CAST(sum(t1 - t0) AS BIGINT) AS held_ms FROM seqs GROUP BY 1")
 def possession_flagship(spark, sf_dir):
-    """From frames to possessions to figures for each team: the whole chain in one plan."""
+    """From frames to possessions to figures for each team, in one plan."""
     s = sequences(spark, sf_dir)
     return s.groupBy("team").agg(F.count("*").alias("possessions"), F.sum(C("t1") - C("t0")).alias("held_ms"))

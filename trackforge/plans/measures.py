@@ -162,9 +162,9 @@ def ag12_team_distance(spark, sf_dir):
     return s.groupBy("team").agg(F.round(rate, 4).alias("rate"), F.round(rate * 5 * 40, 4).alias("team_distance"), F.count("*").alias("stints"))
 
 
-@query("WITH e AS (SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(median(value::DOUBLE), 6) AS median FROM e WHERE pos < 8 GROUP BY 1, 2", frames=False)
+@query("WITH e AS (SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(median(value::DOUBLE), 6) AS median FROM e GROUP BY 1, 2", frames=False)
 def ag13_median_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(C("embedding").cast("array<double>"), 1, 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("label", C("embedding").cast("array<double>").alias("v"))
     return ag.medians(e, ["label"], "v").withColumn("median", r6(C("median")))
 
 
@@ -278,12 +278,14 @@ def ag34_ball_offset(spark, sf_dir):
     return m.agg(F.count("*").alias("events"), r6(F.median("ox")).alias("x_off"), r6(F.median("oy")).alias("y_off"), r6(F.max(F.abs("ox"))).alias("x_most"))
 
 
-@query("WITH e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT label, round(avg(v) FILTER (r <= n // 2), 6) AS first_half, round(avg(v) FILTER (r > n // 2), 6) AS second_half FROM e GROUP BY 1", frames=False)
+@query("""WITH e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings), v AS (SELECT label, r, n, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM e)
+SELECT label, CAST(pos AS INT) AS pos, round(avg(v) FILTER (r <= n // 2), 6) AS first_half, round(avg(v) FILTER (r > n // 2), 6) AS second_half FROM v GROUP BY 1, 2""", frames=False)
 def ag35_split_half_means(spark, sf_dir):
     w = Window.partitionBy("label")
-    e = table(spark, sf_dir, "embeddings").select("label", C("embedding")[0].cast("double").alias("v"), F.row_number().over(w.orderBy("vec_id")).alias("r"), F.count("*").over(w).alias("n"))
+    e = table(spark, sf_dir, "embeddings").select("label", "embedding", F.row_number().over(w.orderBy("vec_id")).alias("r"), F.count("*").over(w).alias("n"))
+    e = e.select("label", "r", "n", F.posexplode(C("embedding").cast("array<double>")).alias("pos", "v"))
     early = C("r") <= F.floor(C("n") / 2)
-    return e.groupBy("label").agg(r6(F.avg(F.when(early, C("v")))).alias("first_half"), r6(F.avg(F.when(~early, C("v")))).alias("second_half"))
+    return e.groupBy("label", "pos").agg(r6(F.avg(F.when(early, C("v")))).alias("first_half"), r6(F.avg(F.when(~early, C("v")))).alias("second_half"))
 
 
 @query("SELECT l_shipdate::DATE AS day, CAST(NULL AS VARCHAR) AS flag, sum(l_quantity) AS km FROM lineitem GROUP BY 1 UNION ALL SELECT l_shipdate::DATE, l_returnflag, sum(l_quantity) FROM lineitem GROUP BY 1, 2", frames=False)

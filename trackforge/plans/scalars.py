@@ -177,9 +177,9 @@ def fn38_attack_right(spark, sf_dir):
     return frames(spark, sf_dir).where("x is not null and team is not null").select("match_id", "frame", r6(fn.mirrored(C("x"), right, LENGTH)).alias("xn"), r6(fn.mirrored(C("y"), right, WIDTH)).alias("yn"))
 
 
-@query("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:8]] AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, round(list_sum([(v[i] - 0.01::DOUBLE * i) / (1 + 0.1::DOUBLE * i) * (0.5::DOUBLE * i - 2) FOR i IN range(1, 9)]) + 0.25, 6) AS score FROM e""", frames=False)
+@query("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, round(list_sum([(v[i] - 0.01::DOUBLE * i) / (1 + 0.1::DOUBLE * i) * (0.5::DOUBLE * i - 2) FOR i IN range(1, len(v) + 1)]) + 0.25, 6) AS score FROM e""", frames=False)
 def fn39_linear_score(spark, sf_dir):
-    fixed = lambda f: F.array(*(F.lit(float(f(i))) for i in range(1, 9)))
-    v = F.slice(C("embedding").cast("array<double>"), 1, 8)
+    v = C("embedding").cast("array<double>")
+    fixed = lambda f: F.transform(F.sequence(F.lit(1), F.size(v)), f)
     score = fn.linear_score(v, fixed(lambda i: 0.01 * i), fixed(lambda i: 1 + 0.1 * i), fixed(lambda i: 0.5 * i - 2), F.lit(0.25))
     return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", r6(score).alias("score"))

@@ -40,11 +40,13 @@ def isl06_episode_crowds(spark, sf_dir):
     return c.select(*KEYS, C("run").cast("long").alias("run"), "frames", r6(C("within_0")).alias("within_0"), r6(C("within_1")).alias("within_1"))
 
 
-@query(""", c AS (SELECT frame, match_id, t FROM frames WHERE kind = 'view' AND frame % 7 = 0), n AS (SELECT c.frame, count(f.t) AS k FROM c LEFT JOIN frames f ON f.match_id = c.match_id AND f.kind = 'click' AND f.t BETWEEN c.t - 28800000 AND c.t + 7200000 GROUP BY 1)
+@query(""", c AS (SELECT frame, match_id, t FROM frames v WHERE kind = 'view' AND NOT EXISTS (SELECT 1 FROM frames p WHERE p.kind = 'purchase' AND p.match_id = v.match_id AND abs(p.t - v.t) <= 14400000)),
+n AS (SELECT c.frame, count(f.t) AS k FROM c LEFT JOIN frames f ON f.match_id = c.match_id AND f.kind = 'click' AND f.t BETWEEN c.t - 28800000 AND c.t + 7200000 GROUP BY 1)
 SELECT count(*) AS controls, round(avg(CAST(k >= 1 AS INT)), 6) AS at_least_1, round(avg(CAST(k >= 3 AS INT)), 6) AS at_least_3, round(avg(CAST(k >= 6 AS INT)), 6) AS at_least_6, max(k) AS most FROM n""")
 def ag25_control_summary(spark, sf_dir):
     f = frames(spark, sf_dir)
-    w = f.where("kind = 'view' and frame % 7 = 0").select("match_id", C("frame").alias("w"), (C("t") - 8 * HOUR).alias("t0"), (C("t") + 2 * HOUR).alias("t1"))
+    views = nearest.near_events(f.where("kind = 'view'").select("match_id", "frame", "t"), f.where("kind = 'purchase'"), ["match_id"], "t", 4 * HOUR)
+    w = views.select("match_id", C("frame").alias("w"), (C("t") - 8 * HOUR).alias("t0"), (C("t") + 2 * HOUR).alias("t1"))
     n = nearest.interval_join(f.where("kind = 'click'").select("match_id", "t"), w, ["match_id"], "t", "t0", "t1", 10 * HOUR).groupBy("w").agg(F.count("*").alias("k"))
     c = kickoffs.control_summary(w.join(n, "w", "left"), F.coalesce(C("k"), F.lit(0)))
     return c.select("controls", *(r6(C(f"at_least_{k}")).alias(f"at_least_{k}") for k in (1, 3, 6)), "most")
