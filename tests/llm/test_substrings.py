@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import WORDS, corpus, documents, odd_texts
-from trackforge.llm import repeats, suffix_array, suffix_tree
+from trackforge.llm import packing, repeats, suffix_array, suffix_tree
 
 
 def words_left(rows, window):
@@ -86,25 +86,43 @@ def test_small_groups_of_the_tree_give_the_same(spark):
 
 def test_suffix_arrays_against_sorting():
     rng = random.Random(6)
-    for symbols, n in ((2, 60), (3, 300), (26, 500), (2, 1)):
-        for most in (1024, 2):
-            suffix_array.MOST_BUCKETS, before = most, suffix_array.MOST_BUCKETS
-            s = [rng.randint(1, symbols) for _ in range(n)] + [0]
-            found = suffix_array.suffix_array(np.array(s, np.uint8), symbols + 1, n + 1).tolist()
-            suffix_array.MOST_BUCKETS = before
-            assert found == sorted(range(n + 1), key=lambda i: s[i:])
+    cases = [[rng.randint(1, symbols) for _ in range(n)] for symbols, n in ((2, 60), (3, 300), (26, 500), (2, 1), (1, 40), (5000, 900), (2, 2000))]
+    for s in [*cases, [1, 2] * 70, [2, 1, 1] * 50, [*cases[1], *cases[1], *cases[1]], list(range(1, 90)), list(range(90, 0, -1)), [3] * 30 + [1] * 30 + [2] * 30]:
+        n, s = len(s), [*s, 0]
+        found = suffix_array.suffix_array(np.array(s)).tolist()
+        assert found == sorted(range(n + 1), key=lambda i: s[i:])
+        if max(s) < 256:
             common = suffix_array.permuted_common_prefixes(np.array(s, np.uint8), np.array(found), 50)
             for a, b in zip(found, found[1:], strict=False):
                 real = next((k for k in range(50) if a + k > n or b + k > n or s[a + k] != s[b + k]), 50)
                 assert common[b] == real
 
 
+def test_names_of_real_text_are_sorted_by_recursion(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    parts = [" ".join(rng.choices(words, k=400)) for _ in range(300)]
+    text = " ".join(rng.choices(parts, k=450))[: 1 << 20].encode()
+    levels, real = [], suffix_array.suffix_array
+
+    def counted(s):
+        levels.append((len(s), len(np.unique(s))))
+        return real(s)
+
+    monkeypatch.setattr(suffix_array, "suffix_array", counted)
+    s = np.append(np.frombuffer(text, np.uint8), 0)
+    found = counted(s)
+    assert len(levels) >= 3 and levels[2][1] > 10_000
+    at = rng.sample(range(1, len(s)), 2000)
+    assert all(text[found[i - 1] :] < text[found[i] :] for i in at) and len(np.unique(found)) == len(s)
+
+
 def test_large_shards_are_split_by_anchor(spark, monkeypatch):
     monkeypatch.setattr(suffix_array, "SORTED_BYTES", 300)
     rng = random.Random(9)
     rows = [(i, t) for i, t in enumerate(corpus(4, 30)) if rng.random() < 0.9]
     contents, ids, first, count = [], [], [], []
-    windows = repeats.Windows("byte", 50, 12, True)
+    windows = repeats.Windows("byte", 50, suffix_array.ANCHOR, True)
     from trackforge.llm import textops
 
     for i, t in rows:
@@ -127,5 +145,5 @@ def test_large_shards_are_split_by_anchor(spark, monkeypatch):
 
 def test_packed_arrays_come_back():
     arrays = [np.array([5, -3, 1 << 60], np.int64), np.zeros(0, np.int32), np.array([1 << 63], np.uint64), np.arange(300, dtype=np.uint8), np.array([0.5])]
-    for a, b in zip(arrays, repeats.unpack(repeats.pack(*arrays)), strict=True):
+    for a, b in zip(arrays, packing.unpack(packing.pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()

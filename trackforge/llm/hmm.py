@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from trackforge.llm import textops
 from trackforge.llm.durable import materialise, release_shuffles, staged
-from trackforge.llm.repeats import _bucket, _by_bucket, _key, _rows, _table, _text_tags, merged, pack
+from trackforge.llm.packing import by_bucket, merged, pack, rows_of, table_of
+from trackforge.llm.repeats import _bucket, _key, _text_tags
 
 STATES = 8
 FREQUENT = 1 << 16
@@ -209,7 +210,7 @@ def _expectations(size: int, model: Markov) -> Callable:
         if total is not None:
             rows = [(-1, np.concatenate([total[0], total[1].ravel()]).tobytes())]
             rows += [(i, part.astype(np.float32).tobytes()) for i, part in enumerate(np.array_split(total[2], BLOCKS))]
-            yield _rows("block", rows)
+            yield rows_of("block", rows)
 
     return run
 
@@ -217,7 +218,7 @@ def _expectations(size: int, model: Markov) -> Callable:
 def _added(rows: pa.Table) -> pa.Table:
     block = rows.column("block")[0].as_py()
     kind = np.float64 if block < 0 else np.float32
-    return _table("block", [(block, sum(np.frombuffer(b, kind).astype(np.float64) for b in rows.column("blob").to_pylist()).tobytes())])
+    return table_of("block", [(block, sum(np.frombuffer(b, kind).astype(np.float64) for b in rows.column("blob").to_pylist()).tobytes())])
 
 
 def first_model(classes: Classes, states: int) -> Markov:
@@ -255,9 +256,9 @@ def _rare(classes: Classes, buckets: int) -> Callable:
         def passed_on() -> pa.RecordBatch:
             tokens, rows, times = (np.concatenate(x) for x in zip(*held, strict=True))
             out = []
-            for b, part in _by_bucket(_bucket(tokens, buckets)):
+            for b, part in by_bucket(_bucket(tokens, buckets)):
                 out.append((b, pack(tokens[part], rows[part], times[part])))
-            return _rows("bucket", out)
+            return rows_of("bucket", out)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -287,7 +288,7 @@ def _looked_up(parts: int) -> Callable:
 
     def run(rare: pa.Table, counts: pa.Table) -> pa.Table:
         if not rare.num_rows:
-            return _table("part", [])
+            return table_of("part", [])
         tokens, rows, times = merged(rare.column("blob"))
         order = np.lexsort((tokens, rows))
         tokens, rows, times = tokens[order], rows[order], times[order]
@@ -303,9 +304,9 @@ def _looked_up(parts: int) -> Callable:
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         logs, seen = np.add.reduceat(np.log10(count + 1.0) * times, heads), np.add.reduceat((count > 0) * times, heads)
         out = []
-        for p, part in _by_bucket(_bucket(rows[heads], parts)):
+        for p, part in by_bucket(_bucket(rows[heads], parts)):
             out.append((p, pack(rows[heads][part], logs[part], seen[part].astype(np.int32))))
-        return _table("part", out)
+        return table_of("part", out)
 
     return run
 

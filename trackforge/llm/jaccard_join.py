@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackforge.llm import textops
+from trackforge.llm import counts, textops
 from trackforge.llm.durable import materialise, release_shuffles, staged
-from trackforge.llm.repeats import _by_bucket, _rows, _table, merged, pack
+from trackforge.llm.packing import merged
+from trackforge.llm.workers import bound_batches, lean, lean_group
 
 NULL_ID = (1 << 63) - 1
-HELD_GRAMS = 1_500_000  # n-grams that a task holds before it passes them on
 BLOCK_BYTES = 4 << 20  # sets of a tree
 STRIDE = 48  # n-grams of a path that are compared at once
 CLASS_BITS = 6  # of an ordered n-gram: the power of two of its rows; the others are those of its hash
@@ -75,24 +75,7 @@ def shingle_sets(texts: textops.Texts, size: int) -> tuple[np.ndarray, np.ndarra
         short = np.repeat(n == k, count)
         if short.any():
             hashes[short] = textops.grams(words, k)[at[short]]
-    return distinct_in_order(hashes, np.concatenate([[0], np.cumsum(count)]))
-
-
-def sort_within(values: np.ndarray, bounds: np.ndarray) -> None:
-    """Sorts values[bounds[i]:bounds[i + 1]] in place, for each i."""
-    edges = bounds.tolist()
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b - a > 1:
-            values[a:b].sort()
-
-
-def distinct_in_order(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of each span in ascending order, and the spans' new bounds."""
-    sort_within(values, bounds)
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[bounds[:-1][np.diff(bounds) > 0]] = True
-    return values[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+    return textops.distinct_in_order(hashes, np.concatenate([[0], np.cumsum(count)]))
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -113,94 +96,9 @@ def _described(size: int) -> Callable:
     return run
 
 
-def _halves(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, by the upper half of its hash, and the lower half, which names it there."""
-    return (hashes >> np.uint64(32)) % np.uint64(buckets), hashes & np.uint64(0xFFFFFFFF)
-
-
-def _both_sorted(values: np.ndarray, parts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values below 2**48 and their parts, which are at most most, in the order of both."""
-    if most < 1 << 16:
-        key = (values << np.uint64(16)) | parts.astype(np.uint64)
-        key.sort()
-        return key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int32)
-    order = np.lexsort((parts, values))
-    return values[order], parts[order].astype(np.int32)
-
-
 def _counted(s: Similarity, buckets: int) -> Callable:
-    """part, text -> rows (bucket, blob of n-gram, part, number of rows): each n-gram once for each part.
-
-    One that a task meets in more than a quarter of all parts is passed on once, for every part.
-    """
-
-    kind = np.uint16 if buckets < 1 << 16 else np.int32
-
-    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        hashes, parts = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket, name = _halves(hashes, buckets)
-        gram, part = _both_sorted((bucket << np.uint64(32)) | name, parts, buckets)
-        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
-        times, gram, part = np.diff(np.append(new, len(gram))), gram[new], part[new]
-        heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        wide = np.diff(np.append(heads, len(gram))) > max(4, buckets // 4)
-        summed = np.add.reduceat(times, heads)
-        narrow = ~np.repeat(wide, np.diff(np.append(heads, len(gram))))
-        narrow[heads[wide]] = True
-        part[heads[wide]], times[heads[wide]] = buckets, summed[wide]  # in place of a part: all parts
-        gram, part, times = gram[narrow], part[narrow], times[narrow]
-        cuts = np.searchsorted(gram >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
-        names = gram.astype(np.uint32).view(np.int32)
-        rows = [(b, pack(names[i:j], part[i:j].astype(kind), times[i:j].astype(np.int32))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-        return _rows("bucket", rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            parts = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in textops.chunks(batch.column(1)):
-                hashes, bounds = shingle_sets(texts, s.size)
-                held.append((hashes, np.repeat(parts[texts.first : texts.first + len(texts)], np.diff(bounds))))
-                n += len(hashes)
-                if n >= HELD_GRAMS:
-                    yield passed_on(held)
-                    held, n = [], 0
-        if n:
-            yield passed_on(held)
-
-    return run
-
-
-def _ranked(buckets: int) -> Callable:
-    """rows of a bucket -> rows (part, blob of n-gram with its bucket, power of two of its rows) of n-grams in several rows."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
-        names, parts, times = merged(rows.column("blob"))
-        names = names.view(np.uint32)
-        order = np.sort((names.astype(np.uint64) << np.uint64(32)) | np.arange(len(names), dtype=np.uint64)).astype(np.uint32)
-        names, parts, times = names[order], parts[order], times[order]
-        heads = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        size = np.diff(np.append(heads, len(names)))
-        total = np.add.reduceat(times.astype(np.int64), heads)
-        again, wide = total > 1, np.maximum.reduceat(parts, heads) == buckets
-        power = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        base = np.int64(bucket) << 32
-        everywhere = again & wide
-        all_names, all_power = base + names[heads[everywhere]].astype(np.int64), power[everywhere]
-        keep = np.flatnonzero(np.repeat(again & ~wide, size))
-        of, power = parts[keep], np.repeat(power, size)[keep]
-        own = base + names[keep].astype(np.int64)
-        out = []
-        there = dict(_by_bucket(of))
-        for p in range(buckets) if len(all_names) else sorted(there):
-            at = there.get(p, keep[:0])
-            x, y = np.concatenate([own[at], all_names]), np.concatenate([power[at], all_power])
-            x, first = np.unique(x, return_index=True)
-            out.append((p, pack(x, y[first])))
-        return _table("part", out)
-
-    return run
+    """part, text -> each n-gram of a part with its number of rows, as counts.dealt()."""
+    return counts.dealt(lambda texts: shingle_sets(texts, s.size), buckets)
 
 
 def _prefixes(s: Similarity, buckets: int) -> Callable:
@@ -214,14 +112,13 @@ def _prefixes(s: Similarity, buckets: int) -> Callable:
 
     def ordered(texts: textops.Texts, known: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, bounds = shingle_sets(texts, s.size)
-        bucket, name = _halves(hashes, buckets)
-        keys = ((bucket << np.uint64(32)) | name).view(np.int64)
+        keys = counts.names(hashes, buckets)
         rank = np.zeros(len(keys), np.uint64)
         if len(known):
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             rank = np.where(known[at] == keys, power[at], 0).astype(np.uint64)
         values = (rank << np.uint64(64 - CLASS_BITS)) | (hashes >> np.uint64(CLASS_BITS))
-        return distinct_in_order(values, bounds)
+        return textops.distinct_in_order(values, bounds)
 
     def run(texts_of: pa.Table, others: pa.Table) -> pa.Table:
         out = [pa.table({k: pa.array([], t) for k, t in fields})]
@@ -480,7 +377,7 @@ def leader_links(pairs: DataFrame, sets: DataFrame, s: Similarity, bins: int) ->
     weighed = weighed.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "grams")
     own = blocks.join(sets, F.col("leader") == F.col("row")).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", "grams")
     dealt = weighed.unionByName(own).withColumn("bin", F.pmod(F.xxhash64("leader", "block"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInArrow(_led(s), "a long, b long")
+    return dealt.groupBy("bin").applyInArrow(lean_group(_led(s)), "a long, b long")
 
 
 def family_links(prefixes: DataFrame, labels: DataFrame, sets: DataFrame, s: Similarity, bins: int) -> DataFrame:
@@ -496,7 +393,7 @@ def family_links(prefixes: DataFrame, labels: DataFrame, sets: DataFrame, s: Sim
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "component", "short", "grams")
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("family", "i", "j"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInArrow(_in_family(s), "a long, b long")
+    return dealt.groupBy("bin").applyInArrow(lean_group(_in_family(s)), "a long, b long")
 
 
 def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -511,19 +408,20 @@ def join_classes(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_co
     are compared by 58 bits of their hashes, with the class of their frequency.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.xxhash64("doc_id", "text").alias("row"), "text")
     part = F.pmod("row", F.lit(buckets)).cast("int").alias("part")
-    rows = materialise(texts.mapInArrow(_described(s.size), "doc_id long, text_hash long, row long, n long, d1 long, d2 long"))
+    rows = materialise(texts.mapInArrow(lean(_described(s.size)), "doc_id long, text_hash long, row long, n long, d1 long, d2 long"))
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = materialise(classes.select("n", "d1", "d2", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")))
 
     counted = texts.select(part, "text").mapInArrow(_counted(s, buckets), "bucket int, blob binary")
-    ranked = counted.groupBy("bucket").applyInArrow(_ranked(buckets), "part int, blob binary")
+    ranked = counted.groupBy("bucket").applyInArrow(counts.repeated(buckets), "part int, blob binary")
     others = ranked.select("part", "blob", F.lit(None).cast("long").alias("row")).union(classes.select(part, F.lit(None).cast("binary"), "row"))
     dealt = texts.select(part, "row", "text").groupBy("part").cogroup(others.groupBy("part"))
-    found = staged(dealt.applyInArrow(_prefixes(s, buckets), "row long, n int, own int, gram long, short boolean, grams binary"))
+    found = staged(dealt.applyInArrow(lean_group(_prefixes(s, buckets)), "row long, n int, own int, gram long, short boolean, grams binary"))
     release_shuffles(spark)
     sets = found.where("grams is not null").select("row", "grams")
     prefixes = found.where("gram is not null").select("row", "n", "own", "gram", "short")
@@ -554,10 +452,11 @@ def drop_copies(docs: DataFrame, s: Similarity, id_col: str = "doc_id", text_col
 
     Of rows with the same id and text the one whose other columns come first is kept.
     """
-    key = ["_id", "_text"]
+    key = ["id", "text_hash"]
     found = join_classes(docs, s, id_col, text_col).where("representative")
-    kept = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("text_hash").alias("_text"), (F.col("n_shingles") > 0).alias("_once")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_text", text_hash(F.col(text_col)))
-    others = [c for c in docs.columns if c not in (id_col, text_col)] or key
+    kept = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash", (F.col("n_shingles") > 0).alias("once")).distinct()
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), text_hash(docs[text_col]).alias("text_hash"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    others = [F.col("row")[c] for c in docs.columns if c not in (id_col, text_col)] or [F.col("id")]
     copy = F.row_number().over(Window.partitionBy(*key).orderBy(*others))
-    return keyed.join(kept, key).withColumn("_copy", copy).where(~F.col("_once") | (F.col("_copy") == 1)).select(*docs.columns)
+    chosen = rows.join(kept, key).withColumn("copy", copy).where(~F.col("once") | (F.col("copy") == 1))
+    return chosen.select(*(F.col("row")[c].alias(c) for c in docs.columns))

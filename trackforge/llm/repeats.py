@@ -4,15 +4,15 @@ A window is a fixed number of consecutive units (words or bytes) of one document
 short grams, the one of least hash, as its anchor; equal windows name equal anchors, and neighbouring windows mostly
 share one, so anchors are far fewer than windows. The steps:
 
-1. Anchors: the hashes of all anchors meet in buckets by hash; those that occur once in the corpus drop out, and with
-   them all windows that name them, which cannot repeat.
+1. Anchors: the hashes of all anchors meet in buckets by hash, each once for a part of the documents with its count;
+   those that occur once in the corpus drop out, and with them all windows that name them, which cannot repeat.
 2. Neighbourhoods: around each anchor that is left, the text of all windows that name it goes to the bucket of the
    anchor's hash. So all copies of a window are in one bucket, whole, and buckets are sized to fit in memory.
 3. In each bucket the caller's index (suffix tree or suffix array) judges the windows by their text.
 4. The verdicts return to the documents.
 
-Each step deals packed arrays, and each task first merges what repeats within its own input: anchors that it has seen
-twice are settled there and are passed on once, and equal neighbourhoods are passed on as one. So content that stands
+Each step deals packed arrays, and each task first merges what repeats within its own input: anchors are passed on once
+for each part, frequent ones once for all parts, and equal neighbourhoods are passed on as one. So content that stands
 in a third of all rows costs a bucket at most one entry for each task. Text moves twice, to groups of documents by
 doc_id; nothing is collected to the driver.
 """
@@ -26,44 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from trackforge.llm import textops
+from trackforge.llm import counts, textops
 from trackforge.llm.durable import materialise, release_shuffles
+from trackforge.llm.packing import by_bucket, merged, pack, rows_of, stream_of, table_of
+from trackforge.llm.workers import bound_batches, lean, lean_group
 
 NULL_ID = (1 << 63) - 1  # stands for a null doc_id, which counts as larger than all others
-HELD_ANCHORS = 1_000_000  # anchors that a task holds before it passes them on
-_ZSTD = pa.Codec("zstd", compression_level=3)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, compressed byte plane by byte plane; signed integers as differences, hashes as they are."""
-    out = [len(arrays).to_bytes(2, "little")]
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        raw = np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind == "i" else a
-        planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-        body = planes if a.dtype in (np.uint64, np.uint32) else _ZSTD.compress(planes, asbytes=True)
-        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
-    return b"".join(out)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 2
-    for _ in range(int.from_bytes(blob[:2], "little")):
-        kind, n, size = np.dtype(blob[at : at + 4].decode().strip()), int.from_bytes(blob[at + 4 : at + 12], "little"), int.from_bytes(blob[at + 12 : at + 20], "little")
-        body = blob[at + 20 : at + 20 + size]
-        at += 20 + size
-        if n and kind not in (np.uint64, np.uint32):
-            body = _ZSTD.decompress(body, n * kind.itemsize, asbytes=True)
-        raw = np.frombuffer(body, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n) if n else np.zeros(0, kind)
-        out.append(np.cumsum(raw, dtype=kind) if kind.kind == "i" else raw)
-    return out
-
-
-def merged(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The arrays of all blobs of a column, each joined over the blobs."""
-    parts = [unpack(b) for b in column.to_pylist()]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 @dataclass(frozen=True)
@@ -130,93 +100,19 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.flatnonzero(np.diff(buckets[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        yield int(buckets[part[0]]), part
-
-
-def _rows(name: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=[name, "blob"])
-
-
-def _table(name: str, rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.Table.from_batches([_rows(name, rows)])
-
-
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes % np.uint64(buckets)).astype(np.int64)
 
 
 def _anchors(windows: Windows, buckets: int) -> Callable:
-    """documents -> rows (bucket, blob of hash, doc_id, rank, settled)."""
-
-    def passed_on(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        hashes, ids, ranks = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, hashes))
-        hashes, ids, ranks = hashes[order], ids[order], ranks[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        group = np.cumsum(new) - 1
-        if windows.across_documents:
-            many = np.zeros(group[-1] + 1, bool)
-            many[group[1:][(ids[1:] != ids[:-1]) & ~new[1:]]] = True
-        else:
-            many = np.bincount(group) > 1
-        settled = many[group]
-        rows = []
-        for b, part in _by_bucket(_bucket(hashes, buckets)):
-            part = part[~settled[part] | new[part]]
-            part = part[np.lexsort((ranks[part], ids[part]))]
-            rows.append((b, pack(hashes[part], ids[part], ranks[part], settled[part].view(np.uint8))))
-        own = np.flatnonzero(settled & ~new)
-        for b, part in _by_bucket(_group(ids[own], buckets)):
-            part = own[part]
-            part = part[np.lexsort((ranks[part], ids[part]))]
-            rows.append((b, pack(np.zeros(len(part), np.uint64), ids[part], ranks[part], np.full(len(part), 2, np.uint8))))
-        return _rows("bucket", rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for texts in textops.chunks(batch.column(1)):
-                found = windows.neighbourhoods(texts)
-                if len(found.hashes):
-                    held.append((found.hashes, ids[texts.first + found.text], found.rank.astype(np.int32)))
-                    n += len(found.hashes)
-                if n >= HELD_ANCHORS:
-                    yield passed_on(held)
-                    held, n = [], 0
-        if held:
-            yield passed_on(held)
+    """part, text -> each anchor of a part with how often it occurs, as counts.dealt(); once for a text, if only other documents count."""
 
-    return run
+    def found(texts: textops.Texts) -> tuple[np.ndarray, np.ndarray]:
+        near = windows.neighbourhoods(texts)
+        bounds = np.searchsorted(near.text, np.arange(len(texts) + 1))
+        return textops.distinct_in_order(near.hashes, bounds) if windows.across_documents else (near.hashes, bounds)
 
-
-def _repeated(windows: Windows, groups: int) -> Callable:
-    """rows of a bucket -> rows (part, blob of doc_id, rank) of the anchors that occur again."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        hashes, ids, ranks, settled = merged(rows.column("blob"))
-        known = settled > 0
-        order = np.lexsort((ids, hashes))
-        h, d = hashes[order], ids[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        again = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        differs = ~new[1:] & (d[1:] != d[:-1]) if windows.across_documents else ~new[1:]
-        again[group[1:][differs]] = True
-        again[group[known[order]]] = True
-        keep = order[again[group]]
-        out = []
-        for g, part in _by_bucket(_group(ids[keep], groups)):
-            part = keep[part]
-            part = part[np.lexsort((ranks[part], ids[part]))]
-            out.append((g, pack(ids[part], ranks[part])))
-        return _table("part", out)
-
-    return run
+    return counts.dealt(found, buckets)
 
 
 def _text_tags(texts: textops.Texts) -> np.ndarray:
@@ -237,6 +133,24 @@ def _tags(texts: textops.Texts, ids: np.ndarray, doubtful: np.ndarray) -> np.nda
     return np.where(np.isin(ids, doubtful), _text_tags(texts), 0)
 
 
+def _dealt(groups: int) -> Callable:
+    """documents, doc_id first -> rows (part, blob): those of a part, as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids):
+                yield rows_of("part", [(p, stream_of(batch.take(pa.array(at)))) for p, at in by_bucket(_group(ids, groups))])
+
+    return run
+
+
+def documents_of(rows: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The documents of a part; schema: theirs."""
+    tables = [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in rows.column("blob")]
+    return pa.concat_tables(tables).combine_chunks() if tables else schema.empty_table()
+
+
 @dataclass
 class Shard:
     """Neighbourhoods of one bucket. tags tell rows of one doc_id apart."""
@@ -249,16 +163,16 @@ class Shard:
     copies: np.ndarray  # 2 if the same neighbourhood was met before and is settled, else 1
 
 
-def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
-    """(texts of a group of documents, their repeated anchors) -> rows (bucket, blob)."""
+def _neighbourhood_rows(windows: Windows, buckets: int, fields: pa.Schema) -> Callable:
+    """(documents of a part, their repeated anchors) -> rows (bucket, blob)."""
 
-    def run(texts_of: pa.Table, anchors: pa.Table) -> pa.Table:
-        if not texts_of.num_rows or not anchors.num_rows:
-            return _table("bucket", [])
-        wanted_ids, wanted_ranks = merged(anchors.column("blob"))
+    def run(packed: pa.Table, anchors: pa.Table) -> pa.Table:
+        if not packed.num_rows or not anchors.num_rows:
+            return table_of("bucket", [])
+        texts_of = documents_of(packed, fields)
+        wanted = np.sort(merged(anchors.column("blob"))[0])
         ids_all = texts_of.column("doc_id").to_numpy().astype(np.int64)
-        doubtful = _doubtful(ids_all)  # all their anchors are taken
-        wanted = np.unique(_key(wanted_ids, wanted_ranks))
+        doubtful = _doubtful(ids_all)
         held: list[tuple] = []
         done = 0
         for column in texts_of.column("text").chunks:
@@ -266,7 +180,7 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
                 ids = ids_all[done + texts.first : done + texts.first + len(texts)]
                 found = windows.neighbourhoods(texts)
                 of = ids[found.text]
-                keep = np.flatnonzero(among(_key(of, found.rank), wanted) | np.isin(of, doubtful))
+                keep = np.flatnonzero(among(counts.names(found.hashes, buckets), wanted))
                 if len(keep):
                     a, b = found.starts[found.first[keep]], found.ends[found.last[keep] + windows.length - 1]
                     sums = textops.prefix_sums(textops._BYTE[texts.data])
@@ -275,7 +189,7 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
                     held.append((found.hashes[keep], textops.span_hashes(sums, a, b), of[keep], _tags(texts, ids, doubtful)[found.text[keep]], within, found.last[keep] - found.first[keep] + 1, b - a, blob))
             done += len(column)
         if not held:
-            return _table("bucket", [])
+            return table_of("bucket", [])
         anchor, content, ids, tags, first, count, size, blob = (np.concatenate(x) for x in zip(*held, strict=True))
         at = np.concatenate([[0], np.cumsum(size)])
         order = np.lexsort((first, ids, content, anchor))
@@ -291,16 +205,16 @@ def _neighbourhood_rows(windows: Windows, buckets: int) -> Callable:
             weight = np.minimum(copies, 2).astype(np.uint8)
             rest = np.concatenate([rest, lead[copies > 1]])
         rows = []
-        for b, part in _by_bucket(_bucket(anchor[lead], buckets)):
+        for b, part in by_bucket(_bucket(anchor[lead], buckets)):
             part = part[np.lexsort((first[lead[part]], ids[lead[part]]))]
             here = lead[part]
             rows.append((b, pack(ids[here], tags[here], first[here], count[here], size[here], weight[part], blob[textops.expand(at[here], size[here])], *[np.zeros(0, np.int64)] * 4)))
         none = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint8)] * 2
-        for b, part in _by_bucket(_group(ids[rest], buckets)):
+        for b, part in by_bucket(_group(ids[rest], buckets)):
             here = rest[part]
             here = here[np.lexsort((first[here], ids[here]))]
             rows.append((b, pack(*none, ids[here], tags[here], first[here], count[here])))
-        return _table("bucket", rows)
+        return table_of("bucket", rows)
 
     return run
 
@@ -324,18 +238,19 @@ def _judge(windows: Windows, groups: int, judge: Callable[[Shard], np.ndarray])
                 found.append([ids[of[lead]], tags[of[lead]], unit[lead], runs])
         ids, tags, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
         out = []
-        for g, part in _by_bucket(_group(ids, groups)):
+        for g, part in by_bucket(_group(ids, groups)):
             part = part[np.lexsort((first[part], tags[part], ids[part]))]
             out.append((g, pack(ids[part], tags[part], first[part], count[part])))
-        return _table("part", out)
+        return table_of("part", out)
 
     return run
 
 
-def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: list[str]) -> Callable:
-    """(texts of a group of documents, windows that are to go) -> a row for each text, with the columns to carry."""
+def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: list[str], fields: pa.Schema) -> Callable:
+    """(documents of a part, windows that are to go) -> a row for each text, with the columns to carry."""
 
-    def run(texts_of: pa.Table, gone: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, gone: pa.Table) -> pa.Table:
+        texts_of = documents_of(packed, fields)
         runs = merged(gone.column("blob")) if gone.num_rows else [np.zeros(0, np.int64)] * 4
         keys = _key(runs[0], runs[1])
         order = np.lexsort((runs[2], keys))
@@ -362,7 +277,7 @@ def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: lis
         columns = list(zip(*out, strict=True)) or [()] * len(schema)
         found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         for i, c in enumerate(carry):
-            found = found.append_column(c, texts_of.column(f"carry_{i}")) if texts_of.num_rows else found.append_column(c, pa.array([], texts_of.schema.field(f"carry_{i}").type))
+            found = found.append_column(c, texts_of.column(f"carry_{i}"))
         return found
 
     return run
@@ -371,26 +286,26 @@ def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: lis
 def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], np.ndarray], describe: Callable, schema: pa.Schema, ddl: str, id_col: str, text_col: str, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """describe(...) of each text without the windows that judge finds; see the module's text for the steps.
 
-    buckets: into how many parts hashes and documents are dealt; four for each shuffle partition by default, so that it
+    buckets: into how many parts hashes and documents are dealt; one for each shuffle partition by default, so that it
     is the cluster's setting for the size of the data that bounds memory. carry: columns of docs that stay with their rows.
     """
     carry = carry or []
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
-    x = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    texts = docs.select(x.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = F.col("doc_id")
-    part = F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 34)), F.lit(buckets)).cast("int")
-    grouped = texts.withColumn("part", part).groupBy("part")
-    carried = docs.select(x.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
-    carried = carried.withColumn("part", part).groupBy("part")
+    bound_batches(spark)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    x = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id")
+    texts = docs.select(x, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    carried = docs.select(x, F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    dealt = lambda df: df.mapInArrow(lean(_dealt(buckets)), "part int, blob binary").groupBy("part")
     ddl += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
-    anchors = texts.mapInArrow(_anchors(windows, buckets), "bucket int, blob binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_repeated(windows, buckets), "part int, blob binary")
+    d = F.col("doc_id")
+    part = F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 34)), F.lit(buckets)).cast("int")  # as _group()
+    anchors = texts.select(part.alias("part"), "text").mapInArrow(_anchors(windows, buckets), "bucket int, blob binary")
+    repeated = anchors.groupBy("bucket").applyInArrow(counts.repeated(buckets), "part int, blob binary")
     repeated = materialise(repeated)
     release_shuffles(spark)
-    near = grouped.cogroup(repeated.groupBy("part")).applyInArrow(_neighbourhood_rows(windows, buckets), "bucket int, blob binary")
-    gone = near.groupBy("bucket").applyInArrow(_judge(windows, buckets, judge), "part int, blob binary")
+    near = dealt(texts).cogroup(repeated.groupBy("part")).applyInArrow(lean_group(_neighbourhood_rows(windows, buckets, to_arrow_schema(texts.schema))), "bucket int, blob binary")
+    gone = near.groupBy("bucket").applyInArrow(lean_group(_judge(windows, buckets, judge)), "part int, blob binary")
     gone = materialise(gone)
     release_shuffles(spark)
-    return carried.cogroup(gone.groupBy("part")).applyInArrow(_applied(windows, describe, schema, carry), ddl)
+    return dealt(carried).cogroup(gone.groupBy("part")).applyInArrow(lean_group(_applied(windows, describe, schema, carry, to_arrow_schema(carried.schema))), ddl)

@@ -1,11 +1,12 @@
 """Suffix-array dedup of bytes by induced sorting.
 
 Suffixes are classified as larger (L) or smaller (S) than their right neighbour. Leftmost smaller (LMS) substrings are
-sorted by inducing and named; the string of their names is sorted by recursion, and from the LMS order the whole array
-is induced in two linear passes. A pass moves all suffixes of a bucket at once, so its steps are array operations.
-Where the names are too many for bucket-wise passes, the recursion ends with sorting the names' suffixes by doubling,
-to the depth that a window needs. Common prefixes are computed in text order (permuted) with each suffix's left
-neighbour in the array, up to the window's length.
+sorted by inducing and named by their ranks; the string of their names is sorted by recursion, for as long as names
+repeat, and from the order of the LMS suffixes all others are induced: the L suffixes along the runs that lead to an
+LMS suffix, then the S suffixes along the runs that lead to an L suffix. A pass ranks all runs at once, doubling the
+part of each run that its rank covers, and only what isn't told apart yet is ranked again; so its steps are array
+operations at every level, whatever the number of names. Common prefixes are computed in text order (permuted) with
+each suffix's left neighbour in the array, up to the window's length.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from trackforge.llm import textops
 from trackforge.llm.repeats import NULL_ID, Shard, Windows, remove_repeats
 
 WINDOW = 50
-ANCHOR = 12
-MOST_BUCKETS = 1024
-SORTED_BYTES = 2 << 20  # about how much text is sorted at once
+ANCHOR = 24
+SORTED_BYTES = 1 << 18  # about how much text is sorted at once
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -38,99 +38,79 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(x: np.ndarray, s: np.ndarray, into: list[list[np.ndarray]]) -> None:
-    """Appends suffixes to the buckets of their first symbols, in order."""
-    if len(x):
-        c = s[x]
-        order = np.argsort(c, kind="stable")
-        c = c[order]
-        cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for part in np.split(x[order], cuts):
-            into[s[part[0]]].append(part)
-
-
-def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """The array of all suffixes, from LMS suffixes in their order."""
-    heads: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    _deal(lms, s, heads)
-    larger: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-
-    def before(x: np.ndarray, kind: bool) -> np.ndarray:
-        x = x[x > 0] - 1
-        return x[small[x] == kind]
-
-    for c in range(symbols):
-        done: list[np.ndarray] = []
-        while larger[c]:
-            x = np.concatenate(larger[c])
-            larger[c] = []
-            done.append(x)
-            _deal(before(x, False), s, larger)
-        if heads[c]:
-            _deal(before(np.concatenate(heads[c]), False), s, larger)
-        larger[c] = done
-    smaller: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    smaller[0].append(np.array([len(s) - 1]))
-    for c in range(symbols - 1, -1, -1):
-        done = []
-        while smaller[c]:
-            x = np.concatenate(smaller[c])
-            smaller[c] = []
-            done.append(x)
-            _deal(before(x, True), s, smaller)
-        if larger[c]:
-            _deal(before(np.concatenate(larger[c])[::-1], True), s, smaller)
-        smaller[c] = done
-    parts = [p for c in range(symbols) for p in (*larger[c], *(q[::-1] for q in reversed(smaller[c])))]
-    return np.concatenate(parts)
-
-
-def _names(s: np.ndarray, ordered: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring in sorted order: equal ones share one. ends: its last place, by its first."""
-    a, b = ordered[:-1], ordered[1:]
-    size = ends[a] - a
-    equal = size == ends[b] - b
-    active, t = np.flatnonzero(equal), 0
+def _ranked_runs(code: np.ndarray, members: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Ranks of the members of a string by their code and, in runs, by what follows as far as the run's end.
+
+    members: places in ascending order. runs: true for places whose rank also depends on the next place, which is a
+    member; a run ends at the first member that isn't in it. Equal ones share the rank of the first of them.
+    """
+    rank = np.zeros(len(code), np.int64)
+    own = code[members]
+    order = np.argsort(own)
+    ordered = own[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    heads = np.flatnonzero(new)
+    size = np.diff(np.append(heads, len(order)))
+    rank[members[order]] = np.repeat(heads, size)
+    many = np.zeros(len(members), bool)
+    many[order] = np.repeat(size > 1, size)
+    active = members[many & runs[members]]
+    ahead = active + 1
+    place = np.full(len(code), -1)
     while len(active):
-        same = s[a[active] + t] == s[b[active] + t]
-        equal[active[~same]] = False
-        active = active[same]
-        active = active[size[active] > t]
-        t += 1
-    return np.concatenate([[0], np.cumsum(~equal)])
-
-
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a string of names in the order of their first depth symbols."""
-    rank, k = names.astype(np.int64), 1
-    while k < depth and rank.max() + 1 < len(rank):
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[:-k] = rank[k:] + 1
-        _, rank = np.unique(rank * (len(rank) + 1) + nxt, return_inverse=True)
-        k *= 2
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(s: np.ndarray, symbols: int, depth: int = WINDOW) -> np.ndarray:
-    """Suffixes of s in order, up to depth symbols at least. The last symbol is 0 and stands nowhere else."""
+        place[active] = np.arange(len(active))
+        key = rank[active] * (len(code) + 1) + rank[ahead]
+        order = np.argsort(key)
+        ordered, group = key[order], rank[active[order]]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        size = np.diff(np.append(heads, len(order)))
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        base = np.repeat(first, np.diff(np.append(first, len(order))))
+        again = place[ahead]  # of the place ahead, if it isn't told apart either
+        onward = np.where(again >= 0, ahead[np.maximum(again, 0)], -1)
+        place[active] = -1
+        rank[active[order]] = group + np.repeat(heads, size) - base
+        open_ = np.zeros(len(active), bool)
+        open_[order] = np.repeat(size > 1, size)
+        open_ &= onward >= 0
+        active, ahead = active[open_], onward[open_]
+    return rank
+
+
+def induced_ranks(s: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_ranks: np.ndarray | None) -> np.ndarray:
+    """Rank of every suffix, induced from the ranks of the LMS suffixes; without them, LMS substrings get their ranks."""
+    n = len(s)
+    wide = n + 1
+    code = (2 * s.astype(np.int64) + small) * wide
+    if lms_ranks is not None:
+        code[lms] += lms_ranks + 1
+    is_end = np.zeros(n, bool)
+    is_end[lms] = True
+    larger = ~small
+    rank = _ranked_runs(code, np.flatnonzero(larger | is_end), larger)
+    code = (2 * s.astype(np.int64) + small) * wide
+    code[larger] += rank[larger]
+    runs = small.copy()
+    runs[n - 1] = False
+    return _ranked_runs(code, np.arange(n), runs)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """All suffixes of s in order. The last symbol is 0 and stands nowhere else."""
     if len(s) < 3:
         return np.argsort(s, kind="stable")
     small = smaller_types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.zeros(len(s), np.int64)
-    ends[lms] = np.append(lms[1:], len(s) - 1)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    first = induce(s, small, lms, symbols)
-    ordered = first[is_lms[first]]
-    names = _names(s, ordered, ends)
-    if names[-1] + 1 < len(ordered):
-        by_place = np.zeros(len(s), np.int64)
-        by_place[ordered] = names
-        reduced = by_place[lms]  # its last name is 0 and unique: the end of s
-        deeper = suffix_array(reduced, int(names[-1]) + 1, depth) if names[-1] < MOST_BUCKETS else _doubled(reduced, (depth + 1) // 2)
-        ordered = lms[deeper]
-    return induce(s, small, ordered, symbols)
+    names = induced_ranks(s, small, lms, None)[lms]
+    distinct, names = np.unique(names, return_inverse=True)
+    if len(distinct) < len(lms):
+        ranks = np.empty(len(lms), np.int64)
+        ranks[suffix_array(names)] = np.arange(len(lms))  # its last name is 0 and unique: the end of s
+    else:
+        ranks = names
+    out = np.empty(len(s), np.int64)
+    out[induced_ranks(s, small, lms, ranks)] = np.arange(len(s))
+    return out
 
 
 def permuted_common_prefixes(s: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
@@ -170,34 +150,30 @@ def _keys(contents: textops.Texts, windows: Windows) -> tuple[np.ndarray, np.nda
 def judge(shard: Shard, windows: Windows = Windows("byte", WINDOW, ANCHOR, True)) -> np.ndarray:
     """A flag for each window: its bytes also begin in a document of smaller id.
 
-    A shard too large to be sorted in memory is split by anchor: equal windows name equal anchors. Equal
-    neighbourhoods are sorted once, under the smallest of their ids; the others' windows all go.
+    Equal windows name equal anchors, so each anchor's neighbourhoods are judged by themselves, as many anchors at once
+    as fit in memory. Equal neighbourhoods are sorted once, under the smallest of their ids; the others' windows all
+    go. An anchor whose neighbourhoods are all equal needs no sorting.
     """
     content, anchor = _keys(shard.contents, windows)
-    part = (anchor >> np.uint64(8)) % np.uint64(1 + len(shard.contents.data) // SORTED_BYTES)
-    starts = np.concatenate([[0], np.cumsum(shard.windows)])
-    flags = np.zeros(starts[-1], bool)
-    for p in np.unique(part):
-        mine = np.flatnonzero(part == p)
-        flags[textops.expand(starts[mine], shard.windows[mine])] = _part_flags(shard, mine, content[mine], windows.length)
-    return flags
-
-
-def _part_flags(shard: Shard, mine: np.ndarray, content: np.ndarray, length: int) -> np.ndarray:
-    """Flags of the windows of the neighbourhoods mine."""
-    data, bounds, ids, windows = shard.contents.data, shard.contents.bounds, shard.ids[mine], shard.windows[mine]
-    order = np.lexsort((ids, content))
-    new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+    order = np.lexsort((shard.ids, content, anchor))
+    new = np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])])
     lead = order[new]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
-    sizes = np.diff(bounds)[mine[lead]]
-    once = data[textops.expand(bounds[mine[lead]], sizes)]
-    own = windows[lead]
-    flags = _sorted_flags(once, np.concatenate([[0], np.cumsum(sizes)]), ids[lead], own, length)
-    later = ids > ids[lead][group]
+    later = shard.ids > shard.ids[lead][group]
+
+    named = anchor[lead]
+    alone = np.concatenate([[True], named[1:] != named[:-1]]) & np.concatenate([named[1:] != named[:-1], [True]])
+    own = shard.windows[lead]
     starts = np.concatenate([[0], np.cumsum(own)])
-    return flags[textops.expand(starts[group], windows)] | np.repeat(later, windows)
+    flags = np.zeros(starts[-1], bool)
+    sizes = np.diff(shard.contents.bounds)[lead]
+    part = (named >> np.uint64(8)) % np.uint64(1 + int(sizes[~alone].sum()) // SORTED_BYTES)
+    for p in np.unique(part[~alone]):
+        mine = np.flatnonzero((part == p) & ~alone)
+        data = shard.contents.data[textops.expand(shard.contents.bounds[lead[mine]], sizes[mine])]
+        flags[textops.expand(starts[mine], own[mine])] = _sorted_flags(data, np.concatenate([[0], np.cumsum(sizes[mine])]), shard.ids[lead[mine]], own[mine], windows.length)
+    return flags[textops.expand(starts[group], shard.windows)] | np.repeat(later, shard.windows)
 
 
 def _sorted_flags(data: np.ndarray, bounds: np.ndarray, ids_of: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
@@ -214,7 +190,7 @@ def _sorted_flags(data: np.ndarray, bounds: np.ndarray, ids_of: np.ndarray, wind
     begins = textops.expand(bounds[:-1] + shift, windows)
     owner = np.full(n + 1, -1)
     owner[begins] = np.repeat(np.arange(len(shift)), windows)
-    array = suffix_array(s, int(code.max()) + 1, length)
+    array = suffix_array(s)
     common = permuted_common_prefixes(s, array, length)
     ordered = array[owner[array] >= 0]
     new = common[ordered] < length

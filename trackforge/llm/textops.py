@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _SPACES = np.array([0x20, *range(0x09, 0x0E)])
 _SOLID = np.ones(256, bool)
 _SOLID[_SPACES] = False
@@ -144,3 +144,20 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return shift + np.arange(total)
+
+
+def sort_within(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sorts values[bounds[i]:bounds[i + 1]] in place, for each i."""
+    edges = bounds.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
+def distinct_in_order(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each span in ascending order, and the spans' new bounds."""
+    sort_within(values, bounds)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[bounds]
