@@ -153,7 +153,41 @@ def test_blocks_find_all_within_the_radius():
         for _ in range(200):
             flips = rng.choice(64, 21, replace=False)
             value = prints[item] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64))
-            assert index.agrees(value, item)
+            assert (0, item) in index.within(np.array([value], np.uint64))
+
+
+def found_by(items, texts):
+    import pyarrow as pa
+
+    from trackforge.llm import textops
+
+    finder = decontaminate.Finder(decontaminate.Benchmark.build(items, 5), 5, 0.8, 21)
+    return [(texts[t.first + i][0], int(finder.b.item_ids[item]), score) for t in textops.chunks(pa.array([x for _, x in texts])) for i, item, score, _ in finder.find(t)]
+
+
+def test_blocks_generate_the_candidates(monkeypatch):
+    items = [(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"w{i}" for i in range(30)))]
+    texts = [(7, "before " + items[0][1] + " after"), (8, items[1][1])]
+    assert {f[:2] for f in found_by(items, texts)} == {(7, 1), (8, 1), (8, 2)}
+    monkeypatch.setattr(decontaminate.BlockIndex, "agreeing", lambda self, values: iter(()))
+    assert found_by(items, texts) == []
+
+
+def test_shared_shingles_ties_and_long_documents(monkeypatch):
+    common = " ".join(f"c{i}" for i in range(12))
+    items = [(k, f"{common} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}") for k in range(40)] + [(40, items_text := common + " same"), (41, items_text)]
+    texts = [(0, "x " * 300 + items[3][1] + " y" * 300), (1, (common + " z ") * 60), (2, items_text), (3, items[5][1] + " q " * 400 + items[6][1])]
+    wanted = brute(texts, items)
+    assert {f[:2]: round(f[2], 9) for f in found_by(items, texts)} == wanted and (2, 41) in wanted
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    assert {f[:2]: round(f[2], 9) for f in found_by(items, texts)} == wanted
+
+
+def test_null_item_ids_and_null_texts(spark):
+    items = spark.createDataFrame([(None, "one two three four five six"), (3, None), (4, "one two three four five six")], "item_id long, text string")
+    docs = documents(spark, [(None, "one two three four five six"), (2, None), (5, "one two three four five six"), (5, "one two three four five six")])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect() if r.doc_id) == [(5, 4), (5, 4)]
+    assert decontaminate.matches(docs, items).count() == 3 and [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [2]
 
 
 def vectors(spark, rows):

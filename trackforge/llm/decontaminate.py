@@ -1,13 +1,13 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every benchmark item has the weighted set of its word shingles and their 64-bit SimHash. A document is read in windows
-of as many words as an item has. Windows whose fingerprint lies within a Hamming radius of the item's are candidates:
-the fingerprint is cut into one block more than the radius, so that any fingerprint within it agrees in at least one
-block with the item's, and a table for each block finds all of them. Candidates are verified by the exact weighted
-Jaccard similarity of their shingles.
+of as many words as an item has, and windows are fingerprinted by rolling sums. The fingerprints of items are cut into
+one block more than the Hamming radius, so that any fingerprint within it agrees in at least one block with the item's;
+tables of the blocks find all such items for a window. These candidates are verified: by their distance, and then by
+the exact weighted Jaccard similarity of their shingles.
 
-A window can only reach the threshold if it shares shingles with the item, so windows are fingerprinted only where
-they cover an occurrence of one of the item's shingles; the others would fail the verification.
+A window that reaches the threshold shares that part of its shingles with one item, so windows with fewer shingles
+that stand in any item aren't fingerprinted.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
+from trackforge.llm.workers import bound_batches, lean
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 21
 BITS = 64
+PIECE = 1 << 16  # words of a document whose sums are held at once
 MOST_ITEM_BYTES = 64 << 20  # the items go to every executor; more are refused, not cut
 
 
@@ -57,11 +59,10 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 @dataclass
 class Benchmark:
     item_ids: np.ndarray
-    words: list[int]
+    words: np.ndarray  # of each item
     shingles: list[np.ndarray]
     fingerprints: np.ndarray
     known: np.ndarray  # sorted hashes of all shingles
-    items_of: list[np.ndarray]  # items that have each
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], size: int) -> "Benchmark":
@@ -74,89 +75,104 @@ class Benchmark:
                 counts.append(len(words))
                 sets.append(shingle_hashes(words, size))
                 prints.append(fingerprint(signs(sets[-1]).sum(0)))
-        known, inverse = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(inverse, kind="stable")
-        parts = np.split(owner[order], np.flatnonzero(np.diff(inverse[order])) + 1) if len(order) else []
-        return cls(np.array(ids), counts, sets, np.array(prints, np.uint64), known, [np.unique(p) for p in parts])
+        return cls(np.array(ids), np.array(counts, np.int64), sets, np.array(prints, np.uint64), np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)])))
 
 
 class BlockIndex:
-    """Items by the value of each block of their fingerprints: radius + 1 blocks of nearly equal width."""
+    """Fingerprints by the value of each of their blocks: radius + 1 blocks of nearly equal width."""
+
+    CELLS = 1 << 22  # pairs of values and fingerprints that are looked up at once
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius = prints, radius
         edges = np.linspace(0, BITS, radius + 2).round().astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.tables = []
-        for shift, mask in self.blocks:
-            table: dict[int, list[int]] = {}
-            for i, v in enumerate(((prints >> shift) & mask).tolist()):
-                table.setdefault(v, []).append(i)
-            self.tables.append({v: set(x) for v, x in table.items()})
-
-    def agrees(self, value: np.uint64, item: int) -> bool:
-        """Whether a block's table lists the item for this fingerprint."""
-        return any(item in table.get(int((value >> shift) & mask), ()) for (shift, mask), table in zip(self.blocks, self.tables, strict=True))
+        self.tables = [((prints >> shift) & mask)[None, :] == np.arange(int(mask) + 1, dtype=np.uint64)[:, None] for shift, mask in self.blocks]
+
+    def agreeing(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a value and a fingerprint, by their numbers, that agree in a block."""
+        step = max(1, self.CELLS // max(1, len(self.prints)))
+        for a in range(0, len(values), step):
+            some = values[a : a + step]
+            found = np.zeros((len(some), len(self.prints)), bool)
+            for (shift, mask), table in zip(self.blocks, self.tables, strict=True):
+                found |= table[((some >> shift) & mask).astype(np.int64)]
+            at, of = np.nonzero(found)
+            yield at + a, of
+
+    def within(self, values: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of a value and a fingerprint, by their numbers, within the radius."""
+        for at, of in self.agreeing(values):
+            near = np.bitwise_count(values[at] ^ self.prints[of]) <= self.radius
+            yield from zip(at[near].tolist(), of[near].tolist(), strict=True)
 
 
 class Finder:
     def __init__(self, benchmark: Benchmark, size: int, threshold: float, radius: int) -> None:
-        self.b, self.size, self.threshold, self.radius = benchmark, size, threshold, radius
-        self.index = BlockIndex(benchmark.fingerprints, radius)
-        self.short = min(benchmark.words, default=size) < size
+        self.b, self.size, self.threshold = benchmark, size, threshold
+        self.sized = [(int(n), np.flatnonzero(benchmark.words == n)) for n in np.unique(benchmark.words) if n >= size]
+        self.indexes = {n: BlockIndex(benchmark.fingerprints[items], radius) for n, items in self.sized}
+        self.short = bool((benchmark.words < size).any())
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(benchmark.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def _occurrences(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, grams: np.ndarray) -> np.ndarray:
+        """Places of the shingles that stand in any item."""
         at = np.flatnonzero(self.filter[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(at) or not len(self.b.known):
-            return at[:0], at[:0]
+            return at[:0]
         place = np.minimum(np.searchsorted(self.b.known, grams[at]), len(self.b.known) - 1)
-        hit = self.b.known[place] == grams[at]
-        return at[hit], place[hit]
-
-    def _windows(self, words: np.ndarray, grams: np.ndarray, at: np.ndarray, item: int) -> Iterator[tuple[float, int]]:
-        """Similarity and first word of each window of one document that is a verified copy of the item."""
-        n, own = self.b.words[item], self.b.shingles[item]
-        if len(words) <= n:
-            starts = np.zeros(1, np.int64)
-        else:
-            starts = np.unique((at[:, None] - np.arange(n - min(self.size, n) + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - n)]
-            # at least threshold * shingles of the window must be the item's
-            inside = np.searchsorted(at, starts + n - min(self.size, n), side="right") - np.searchsorted(at, starts)
-            starts = starts[inside >= self.threshold * len(own)]
-        if not len(starts):
-            return
-        low, high = int(starts[0]), int(starts[-1]) + n
-        totals = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(grams[low:high]), axis=0, dtype=np.int32)])
-        ends = np.minimum(starts + max(1, n - self.size + 1), len(grams))
-        prints = fingerprint(totals[ends - low] - totals[starts - low])
-        near = np.bitwise_count(prints ^ self.b.fingerprints[item]) <= self.radius
-        for s, e, p in zip(starts[near].tolist(), ends[near].tolist(), prints[near], strict=True):
-            if self.index.agrees(p, item) and (score := weighted_jaccard(grams[s:e], own)) >= self.threshold:
-                yield score, s
+        return at[self.b.known[place] == grams[at]]
+
+    def _copies(self, grams: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int]]:
+        """For items that a document holds a copy of: best similarity and first word of the first window that has it.
+
+        grams: the document's shingles; hits: places of those that stand in any item.
+        """
+        longest, whole = int(self.sized[-1][0]), len(grams)
+        best: dict[int, tuple[float, int]] = {}
+        for low in range(max(0, int(hits[0]) - longest), min(whole, int(hits[-1]) + 1), PIECE):
+            part = grams[low : low + PIECE + longest]
+            inside = hits[slice(*np.searchsorted(hits, [low, low + len(part)]))] - low
+            before = np.zeros(len(part) + 1, np.int64)
+            before[inside + 1] = 1
+            before = np.cumsum(before)
+            totals = None
+            for n, items in self.sized:
+                width = min(n - self.size + 1, whole)  # a document of fewer words is one window
+                least = self.threshold * (n - self.size + 1)
+                if width < least or len(inside) < least or width > len(part):
+                    continue
+                starts = np.flatnonzero(before[width:] - before[: len(before) - width] >= least)
+                starts = starts[starts < PIECE]
+                if not len(starts):
+                    continue
+                if totals is None:
+                    totals = np.zeros((len(part) + 1, BITS), np.int32)
+                    np.cumsum(signs(part), axis=0, dtype=np.int32, out=totals[1:])
+                prints = fingerprint(totals[starts + width] - totals[starts])
+                for w, i in self.indexes[n].within(prints):
+                    start, item = int(starts[w]), int(items[i])
+                    score = weighted_jaccard(part[start : start + width], self.b.shingles[item])
+                    if score >= self.threshold and (item not in best or score > best[item][0]):
+                        best[item] = score, start + low
+        return best
 
     def find(self, texts: textops.Texts) -> list[tuple[int, int, float, int]]:
         """Text, item, best similarity, first word of the first window that has it."""
         words, _, _, firsts = texts.lowered().word_hashes()
         whole = textops.grams(words, self.size)
         out = []
-        hits, places = self._occurrences(whole)
+        hits = self._known(whole)
         text = np.searchsorted(firsts, hits, side="right") - 1
         inside = hits + self.size <= firsts[text + 1]
-        hits, places, text = hits[inside], places[inside], text[inside]
-        for i in np.unique(text).tolist():
+        hits, text = hits[inside], text[inside]
+        times = np.bincount(text, minlength=len(texts))
+        least = self.threshold * (self.sized[0][0] - self.size + 1) if self.sized else np.inf
+        for i in np.flatnonzero((times > 0) & (times >= least)).tolist():
             a, b = int(firsts[i]), int(firsts[i + 1])
             mine = slice(*np.searchsorted(text, [i, i + 1]))
-            by_item: dict[int, list[int]] = {}
-            for h, p in zip((hits[mine] - a).tolist(), places[mine].tolist(), strict=True):
-                for item in self.b.items_of[p].tolist():
-                    by_item.setdefault(item, []).append(h)
-            for item, at in sorted(by_item.items()):
-                best = max(self._windows(words[a:b], whole[a : b - self.size + 1], np.array(at), item), key=lambda x: (x[0], -x[1]), default=None)
-                if best:
-                    out.append((i, item, *best))
+            out += [(i, item, *found) for item, found in self._copies(whole[a : b - self.size + 1], hits[mine] - a).items()]
         if self.short:
             out += self._short(words, firsts)
         return sorted(out)
@@ -164,7 +180,7 @@ class Finder:
     def _short(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, float, int]]:
         """Items, or documents, of fewer words than a shingle: they are one shingle as a whole."""
         out = []
-        for item, n in enumerate(self.b.words):
+        for item, n in enumerate(self.b.words.tolist()):
             if n < self.size:
                 at = np.flatnonzero(textops.grams(words, n) == self.b.shingles[item][0])
                 text = np.searchsorted(firsts, at, side="right") - 1
@@ -192,6 +208,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     tables give no rows. Items must be within MOST_ITEM_BYTES; beyond that the call fails rather than leave some out.
     No shuffle; only id and text are read.
     """
+    bound_batches(docs.sparkSession)
     shared = shared_benchmark(items, item_col, text_col, size)
     kind = dict(docs.dtypes)[id_col]
 
@@ -204,11 +221,16 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     ids = batch.column(0).take(pa.array([texts.first + f[0] for f in found]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(finder.b.item_ids[[f[1] for f in found]]), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"doc_id {kind}, item_id long, similarity double, first_word long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", size: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no copy of an item. No shuffle."""
+    """The rows of docs, all columns as they are, that hold no copy of an item, as matches() finds them. No shuffle.
+
+    Documents whose text is null, empty or without words stay. Repeated rows all stay or all go. Without items every row
+    stays; an empty table gives no rows. Of items only item_col and a column named text are read.
+    """
+    bound_batches(docs.sparkSession)
     shared = shared_benchmark(items, item_col, "text", size)
     place = docs.columns.index(text_col)
 
@@ -220,4 +242,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 keep[[f[0] for f in finder.find(texts)]] = False
                 yield batch.slice(texts.first, len(texts)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
