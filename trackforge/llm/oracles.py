@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackforge.llm.url_filter import SOFT_TERMS, STRICT_TERMS
+from trackforge.llm.url_filter import BLOCKED_WEIGHT, WEIGHTS
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,9 +29,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELEC
 """
 
 
-def _terms(terms: tuple[str, ...]) -> str:
-    listed = ", ".join(f"'{t}'" for t in terms)
-    return f"len(list_filter([{listed}], lambda t: regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
+LOWER_URL = LOWER.replace("text", "url")
+
+
+def _hits(value: str, chosen: str) -> str:
+    """Sum of value over the distinct terms found in the url whose weight w is chosen."""
+    listed = ", ".join(f"{{'t': '{t}', 'w': {w}}}" for t, w in WEIGHTS.items())
+    return f"CAST(coalesce(list_sum(list_transform(list_filter([{listed}], lambda x: {chosen} AND regexp_matches({LOWER_URL}, '(^|[^a-z0-9])' || x.t || '([^a-z0-9]|$)')), lambda x: {value})), 0) AS INT)"
 
 
 def _fits(host: str) -> str:
@@ -44,6 +48,6 @@ h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
 q AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM h),
 r AS (SELECT *, CASE WHEN {_fits("example.org")} AND prefix(path, '/en/1') THEN 'example.org/en/1' WHEN {_fits("example.org")} AND prefix(path, '/es/') THEN 'example.org/es/'
   WHEN {_fits("com")} AND prefix(path, '/fr/') THEN 'com/fr/' WHEN {_fits("com")} AND prefix(path, '/de/') THEN 'com/de/' WHEN {_fits("org")} AND prefix(path, '/') THEN 'org/' END AS rule,
-  CAST({_terms(STRICT_TERMS)} AS INT) AS strict_terms, CAST({_terms(SOFT_TERMS)} AS INT) AS soft_terms FROM q)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/fr/', 'org/') THEN 'allow' WHEN rule IS NOT NULL OR strict_terms > 0 OR soft_terms >= 2 THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms FROM r
+  {_hits("1", f"x.w >= {BLOCKED_WEIGHT}")} AS strict_terms, {_hits("1", f"x.w < {BLOCKED_WEIGHT}")} AS soft_terms, {_hits("x.w", "true")} AS weight FROM q)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/fr/', 'org/') THEN 'allow' WHEN rule IS NOT NULL OR weight >= {BLOCKED_WEIGHT} THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms, weight FROM r
 """

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Terms of which one is enough, and terms of which several distinct ones are needed.
-STRICT_TERMS = ("porn", "porno", "xxx", "hentai", "milf", "sexcam", "camgirl", "hardcore", "malware", "warez", "phishing")
-SOFT_TERMS = ("adult", "sex", "nude", "naked", "erotic", "escort", "casino", "poker", "betting", "viagra", "pills", "crack", "keygen", "torrent", "hack", "loan", "dating", "gamble", "jackpot", "spam")
+BLOCKED_WEIGHT = 3  # of distinct terms: one strict term, or several soft ones
+
+#: Words that alone are enough.
+STRICT_TERMS = (
+    "porn", "porno", "pornos", "pornhub", "xxx", "xvideos", "xnxx", "redtube", "youporn", "hentai", "milf", "milfs", "sexcam", "sexcams", "camgirl", "camgirls",
+    "blowjob", "creampie", "gangbang", "bukkake", "incest", "hardcore", "softcore", "malware", "warez", "phishing", "ransomware", "cialis", "viagra",
+)
+#: Words that say much; two of them, or one with a weak word, are enough.
+SOFT_TERMS = (
+    "adult", "sex", "sexy", "nude", "nudes", "naked", "erotic", "erotica", "escort", "escorts", "fetish", "webcam", "casino", "casinos", "poker", "betting", "bets", "bet",
+    "gamble", "gambling", "slots", "jackpot", "lottery", "roulette", "pills", "pharmacy", "crack", "cracked", "keygen", "serials", "torrent", "torrents", "hack", "hacks",
+    "loan", "loans", "payday", "dating", "hookup", "spam", "ads", "popups", "replica", "counterfeit",
+)
+#: Words that only count beside others.
+WEAK_TERMS = ("free", "cheap", "win", "bonus", "cash", "hot", "girls", "teen", "teens", "live", "cam", "cams", "chat", "singles", "track", "click", "farm", "download", "discount", "rx")
+WEIGHTS = {**dict.fromkeys(WEAK_TERMS, 1), **dict.fromkeys(SOFT_TERMS, 2), **dict.fromkeys(STRICT_TERMS, BLOCKED_WEIGHT)}
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_INNER = frozenset(string.ascii_lowercase + string.digits)  # a term counts only with none of these on either side
 
 
 @dataclass(frozen=True)
@@ -30,9 +47,8 @@ class Rule:
 @dataclass(frozen=True)
 class UrlPolicy:
     rules: tuple[Rule, ...]
-    strict: tuple[str, ...] = STRICT_TERMS
-    soft: tuple[str, ...] = SOFT_TERMS
-    soft_needed: int = 2
+    weights: Mapping[str, int] = MappingProxyType(WEIGHTS)
+    blocked_weight: int = BLOCKED_WEIGHT
 
 
 def longest_rule(by_host: dict[str, list[Rule]], host: str, path: str) -> Rule | None:
@@ -59,23 +75,25 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def automaton(policy: UrlPolicy) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for term in policy.soft:
-        found.add_word(term, (term, False))
-    for term in policy.strict:
-        found.add_word(term, (term, True))
+    for term, weight in policy.weights.items():
+        found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
-def vocabulary_verdict(url: str | None, terms: ahocorasick.Automaton, soft_needed: int) -> tuple[str, int, int]:
-    """Verdict, distinct strict terms, distinct soft terms. A term counts only with no letter or digit on either side."""
-    text = (url or "").lower()
-    strict, soft = set(), set()
-    for last, (term, severe) in terms.iter(text):
+def vocabulary_verdict(url: str | None, terms: ahocorasick.Automaton, blocked_weight: int) -> tuple[str, int, int, int]:
+    """Verdict, distinct strict terms, other distinct terms, weight of all of them.
+
+    A-Z count as lower case. A term counts only where no ASCII letter or digit stands on either side.
+    """
+    text = (url or "").translate(_LOWER)
+    hits = {}
+    for last, (term, weight) in terms.iter(text):
         first = last - len(term) + 1
-        if (first == 0 or not text[first - 1].isalnum()) and (last + 1 == len(text) or not text[last + 1].isalnum()):
-            (strict if severe else soft).add(term)
-    return "block" if strict or len(soft) >= soft_needed else "allow", len(strict), len(soft)
+        if (first == 0 or text[first - 1] not in _INNER) and (last + 1 == len(text) or text[last + 1] not in _INNER):
+            hits[term] = weight
+    total, strict = sum(hits.values()), sum(w >= blocked_weight for w in hits.values())
+    return "block" if total >= blocked_weight else "allow", strict, len(hits) - strict, total
 
 
 def judge_urls(pages: DataFrame, policy: UrlPolicy, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -95,11 +113,11 @@ def judge_urls(pages: DataFrame, policy: UrlPolicy, id_col: str = "page_id", url
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule = longest_rule(by_host, host, path)
-                verdict, strict, soft = vocabulary_verdict(url, terms, policy.soft_needed)
-                rows.append((host, path, rule and rule.name, rule.verdict if rule else verdict, strict, soft))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms"])
+                verdict, *figures = vocabulary_verdict(url, terms, policy.blocked_weight)
+                rows.append((host, path, rule and rule.name, rule.verdict if rule else verdict, *figures))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.string()] * 4 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "weight"])
 
     kind = dict(pages.dtypes)[id_col]
-    return pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, strict_terms int, soft_terms int")
+    return pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, strict_terms int, soft_terms int, weight int")
