@@ -18,30 +18,41 @@ NEAR_DUPLICATES = jaccard_join.Similarity(size=5, percent=80)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays in doubt."""
+    """Drops documents without a letter and those whose language stays in doubt; without a labelled row only the former.
+
+    Learns from all labelled rows of docs. Repeated rows all stay or all go; columns may have any names.
+    """
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return langid.keep_identified(docs, model, least=LEAST_POSTERIOR)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that of smallest id, however often it stands in docs."""
+    """Keeps one row of each group of near copies, that of smallest id, however often it stands in docs.
+
+    A null id counts as larger than all others. Texts without words are copies of nothing: all their rows stay.
+    """
     return jaccard_join.drop_copies(docs, NEAR_DUPLICATES)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated windows of words out of the texts; n_chars follows. A text of nothing else becomes empty."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = suffix_tree.dedup_texts(docs, carry=others)
-    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    """Takes repeated windows of words out of the texts; n_chars follows. A text of nothing else becomes empty.
+
+    Null texts become empty. A row that comes twice is its own repeat. Other columns stay, whatever their names.
+    """
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    plain = docs.select("doc_id", "text", *(docs[c].alias(name) for c, name in others.items()))
+    found = suffix_tree.dedup_texts(plain, carry=list(others.values()))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*((made[c] if c in made else F.col(others[c])).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item."""
+    """Drops documents that hold a copy of a benchmark item; those without words hold none. Repeated rows share their fate."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, with digests of ids and decoded text."""
+    """Token ids of every text that is left, with digests of ids and decoded text. A null text counts as empty."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=True)
 
 
