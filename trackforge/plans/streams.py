@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from trackforge.params import Possession
-from trackforge.plans.catalog import query, r6
+from trackforge.plans.catalog import ORACLES, query, r6
 from trackforge.plans.decisions import st01_possession
-from trackforge.plans.catalog import ORACLES
 from trackforge.recast import table
 from trackforge.streaming import online
 
@@ -18,8 +17,10 @@ C = F.col
 
 
 def folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a private one where none is set, as in tests."""
+    """A new folder in the shared checkpoint folder; a private one where none is set and all runs on one machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='trackforge-stream-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,9 +29,9 @@ def events(spark, sf_dir):
     return rows.withColumn("ts", C("ts").cast("timestamp"))
 
 
-@query("SELECT user_id, time_bucket(INTERVAL '12 hours', ts) + INTERVAL '12 hours' AS g, count(*) AS n, round(avg(CAST(event_type = 'click' AS INT)), 6) AS share FROM events GROUP BY 1, 2", frames=False)
+@query("""SELECT user_id, time_bucket(INTERVAL '12 hours', ts) + o.o AS g, count(*) AS n, round(avg(CAST(event_type = 'click' AS INT)), 6) AS share FROM events, (SELECT unnest([INTERVAL '12 hours', INTERVAL '24 hours']) AS o) o GROUP BY 1, 2""", frames=False)
 def streaming_share(spark, sf_dir):
-    shares = online.hopping_share(events(spark, sf_dir), ["user_id"], "ts", C("event_type") == "click", "12 hours", "12 hours", "1 hour")
+    shares = online.hopping_share(events(spark, sf_dir), ["user_id"], "ts", C("event_type") == "click", "24 hours", "12 hours", "1 hour")
     out = online.drained(shares, folder(spark), "complete")
     return out.select("user_id", C("g").cast("timestamp_ntz").alias("g"), "n", r6(C("share")).alias("share"))
 

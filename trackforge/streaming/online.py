@@ -5,15 +5,18 @@ Late rows beyond the watermark are dropped; windows align to the epoch, not to a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackforge.operators.ball import BallFollower, followed
 from trackforge.operators.stateful import PossessionState
-from trackforge.params import Possession
+from trackforge.params import Ball, Possession
 
 
 def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str, late: str) -> DataFrame:
@@ -61,15 +64,51 @@ def online_possession(stream: DataFrame, key: str, p: Possession = Possession())
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, controlled_by int, possession int", "half int, holder int, rival int, since long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def online_ball(stream: DataFrame, key: str, ts: str, late: str, p: Ball = Ball()) -> DataFrame:
+    """The ball tracker on a stream of candidates: key, frame, t, x, y, confidence, person, with ts as event time.
+
+    A position comes out once no challenger can take it back, so late by at most the time that a challenger needs, and
+    when the watermark has passed that time and nothing followed. All candidates of a frame must come in one micro-batch,
+    frames of a key in order; state is one follower, as text.
+    """
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        follower = BallFollower(p)
+        if state.exists:
+            held = json.loads(state.get[0])
+            place = lambda x: None if x is None else np.array(x)
+            follower = BallFollower(p, place(held["place"]), held["seen"], place(held["rival"]), held["since"], [tuple(x) for x in held["pending"]])
+        if state.hasTimedOut:
+            out = follower.finish()
+            state.remove()
+        else:
+            rows = pd.concat(list(batches))
+            out = followed(rows, follower)
+            listed = lambda x: None if x is None else x.tolist()
+            state.update((json.dumps({"place": listed(follower.place), "seen": follower.seen, "rival": listed(follower.rival), "since": follower.rival_since, "pending": follower.pending}),))
+            state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + int(1000 * p.switch_s) + 1)
+        frame = pd.DataFrame(out, columns=["frame", "t", "x", "y", "confidence"])[["frame", "x", "y", "confidence"]]
+        frame.insert(0, key, name[0])
+        yield frame
+
+    kind = dict(stream.dtypes)[key]
+    rows = stream.withWatermark(ts, late).select(key, ts, "frame", "t", "x", "y", "confidence", "person")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame long, x double, y double, confidence double", "follower string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and reads back what it emitted, from Parquet under folder.
 
-    In complete mode every batch replaces the result.
+    Every micro-batch has a folder of its own, which a repeated one replaces. In complete mode the last one counts.
     """
     spark, path, schema = stream.sparkSession, f"{folder}/rows", stream.schema
+    last: list[int] = []
 
-    def keep(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{batch:09d}")
+        last.append(batch)
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
+    if not last:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/{max(last):09d}" if mode == "complete" else path)
