@@ -253,6 +253,38 @@ def test_still_rows_against_a_plain_scan():
         assert (stateful.still_rows(t, half, x, y, 2000, 1.0) == wanted).all()
 
 
+def made_up_colours(seed, keeper=(90.0, 200.0, 60.0), referee=(20.0, 60.0, 210.0)):
+    """id, half, t, x, colour, referee, real team of two teams with goalkeepers and a referee; sides change at half-time."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for half in (1, 2):
+        for i in range(60):
+            for k in range(14):
+                team = k % 2
+                left = (team == 0) == (half == 1)
+                kind = "keeper" if k < 2 else "referee" if k == 13 else "player"
+                x = (3 if left else 53) if kind == "keeper" else rng.uniform(12, 26) + (0 if left or i > 40 else 18)
+                base = np.array({"keeper": keeper, "referee": referee}.get(kind) or ((40.0, 120.0, 120.0) if team == 0 else (150.0, 130.0, 125.0)))
+                rows.append((len(rows), half, half * 1_000_000 + 400 * i, float(x), (base + rng.normal(0, 4, 3)).tolist(), kind == "referee" and i % 4 > 0, None if kind == "referee" else team))
+    return rows
+
+
+def test_goalkeepers_and_referees_do_not_pull_teams(spark):
+    schema = "m string, id long, half int, t long, x double, colour array<double>, referee boolean"
+    rows = made_up_colours(3)
+    df = spark.createDataFrame([("m", *r[:6]) for r in rows], schema)
+    found = {r.id: r.team for r in teams.teams_by_colour(df, ["m"]).collect()}
+    right = lambda found, chosen: np.mean([found[r[0]] == (-1 if r[6] is None else r[6]) for r in chosen])
+    keepers, others = [r for r in rows if r[3] in (3, 53)], [r for r in rows if r[3] not in (3, 53)]
+    assert right(found, keepers) == 1 and right(found, others) > 0.98  # the farthest of a team's colours are nobody's
+    # without places nobody is known as a goalkeeper; a kit like a team's tells nothing
+    plain = {r.id: r.team for r in teams.teams_by_colour(df.select("m", "id", "colour", "referee"), ["m"]).collect()}
+    assert right(plain, others) > 0.98
+    same = made_up_colours(4, keeper=(40.0, 120.0, 120.0))
+    found = {r.id: r.team for r in teams.teams_by_colour(spark.createDataFrame([("m", *r[:6]) for r in same], schema), ["m"]).collect()}
+    assert right(found, [r for r in same if r[3] not in (3, 53)]) > 0.98
+
+
 def test_local_fit_is_exact_on_parabolas():
     x = np.arange(20) * 0.1
     y = 3 + 2 * x - x**2
