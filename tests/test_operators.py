@@ -10,8 +10,8 @@ import pytest
 
 from trackforge import plans
 from trackforge.functions import lens
-from trackforge.operators import assignment, ball, evaluate, islands, players, stateful, teams
-from trackforge.params import Ball, Pitch, Possession, Tracks
+from trackforge.operators import actions, assignment, ball, evaluate, islands, players, stateful, teams
+from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.sources import sinks, tables
 
 
@@ -253,6 +253,25 @@ def test_still_rows_against_a_plain_scan():
         assert (stateful.still_rows(t, half, x, y, 2000, 1.0) == wanted).all()
 
 
+def test_passes_between_touches(spark):
+    """Player 0 carries the ball, passes 10 m to 1, who loses it to 2 of the other team, who plays it out; 2 m passes are none."""
+    step, spots = 66, {"a": (0, 0, 10.0), "b": (0, 1, 20.0), "c": (1, 0, 32.0), "d": (1, 1, 34.0)}
+    script = ["a"] * 10 + [None] * 12 + ["b"] * 8 + [None] * 14 + ["c"] * 6 + [None] * 3 + ["d"] * 6 + ["out"] * 8
+    ball, people = [], []
+    for i, who in enumerate(script):
+        x = spots[who][2] + 0.5 if who in spots else 60.0 if who else None
+        ball.append(("m", i, i * step, x, 10.0 if who else None, "out" if who == "out" else "play" if who else None, None))
+        people += [("m", i * step, team, slot, px, 10.0) for team, slot, px in spots.values()]
+    held = spark.createDataFrame(ball, "m string, frame long, t long, x double, y double, ball_state string, speed double")
+    tracked = spark.createDataFrame(people, "m string, t long, slot_team int, slot int, x double, y double")
+    touches = actions.player_touches(actions.player_control(held, tracked, ["m"], Actions()), ["m"], 400)
+    assert [(r.player, r.i0, r.i1) for r in touches.orderBy("i0").collect()] == [("T0-0", 0, 9), ("T0-1", 22, 29), ("T1-0", 44, 49), ("T1-1", 53, 58)]
+    outs = held.where("ball_state = 'out'").select("m", "t", "x", "y")
+    found = actions.touch_passes(touches, held.select("m", "frame", "x", "y"), ["m"], Actions(), 0.05, 3000, outs).orderBy("t").collect()
+    assert [(r.player, r.x2, r.completed) for r in found] == [("T0-0", 20.5, True), ("T0-1", 32.5, False), ("T1-1", 60.0, False)]
+    assert actions.touch_passes(touches, held.select("m", "frame", "x", "y"), ["m"], Actions(), 0.05, 3000).count() == 2
+
+
 def made_up_colours(seed, keeper=(90.0, 200.0, 60.0), referee=(20.0, 60.0, 210.0)):
     """id, half, t, x, colour, referee, real team of two teams with goalkeepers and a referee; sides change at half-time."""
     rng = np.random.default_rng(seed)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import expected_goal
-from trackforge.operators.nearest import interval_join
+from trackforge.operators.islands import changed, numbered, ordered
+from trackforge.operators.nearest import interval_join, nearest_in_key
 from trackforge.params import Actions, Pitch
 
 
@@ -43,19 +44,51 @@ def passes(flown: DataFrame, outs: DataFrame, keys: list[str], a: Actions, pitch
     return rows.withColumn("forward", ahead("x2") - ahead("x") >= 3.0).withColumn("far_half", ahead("x") >= pitch.length / 2)
 
 
-def touch_passes(touches: DataFrame, positions: DataFrame, keys: list[str], a: Actions, least_dt: float, pause_ms: int) -> DataFrame:
+def player_control(ball: DataFrame, tracked: DataFrame, keys: list[str], a: Actions) -> DataFrame:
+    """keys, frame, t, player, team of frames in which the ball, in play and not flying, is within reach of a tracked player.
+
+    ball: frame, t, x, y, ball_state, speed (null: unknown); tracked: t, slot_team, slot, x, y.
+    """
+    player = F.concat(F.lit("T"), F.col("slot_team").cast("string"), F.lit("-"), F.col("slot").cast("string"))
+    people = tracked.where(F.col("slot").isNotNull()).select(*keys, "t", F.col("slot_team").alias("team"), player.alias("player"), "x", "y")
+    slow = F.coalesce(F.col("speed") <= a.fly_speed, F.lit(True))
+    rows = ball.where((F.col("ball_state") == "play") & F.col("x").isNotNull() & slow).select(*keys, "frame", "t", "x", "y")
+    near = nearest_in_key(rows, people, [*keys, "t"], "frame", "player", within=a.player_control, carry=["team"])
+    return near.where(F.col("nearest").isNotNull()).select(*keys, "frame", "t", F.col("nearest").alias("player"), F.col("nearest_team").alias("team"))
+
+
+def player_touches(controlled: DataFrame, keys: list[str], bridge_ms: int) -> DataFrame:
+    """Runs of control by one player, over pauses of at most bridge_ms: player, team, t0, t1, i0, i1 (frames)."""
+    w = ordered(keys, "frame")
+    new = changed(F.col("player"), w) | F.coalesce(F.col("t") - F.lag("t").over(w) > bridge_ms, F.lit(False))
+    runs = numbered(controlled.withColumn("_new", new), keys, ["frame"], F.col("_new"))
+    return runs.groupBy(*keys, "run", "player", "team").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("frame").alias("i0"), F.max("frame").alias("i1")).drop("run")
+
+
+def touch_passes(touches: DataFrame, positions: DataFrame, keys: list[str], a: Actions, least_dt: float, pause_ms: int, outs: DataFrame | None = None) -> DataFrame:
     """Passes between touches of different players; a player's own next touch is a dribble.
 
-    touches: player, team, i0, i1, t0, t1; positions: frame, x, y.
+    touches: player, team, i0, i1, t0, t1; positions: frame, x, y. outs: t, x, y of rows out of play; where one comes
+    within pause_ms and before the next touch, the ball was played out, which is a pass that isn't completed.
     """
     w = Window.partitionBy(*keys).orderBy("i0")
-    rows = touches.select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("player", "team", "t0", "i0"))).where((F.col("n_player") != F.col("player")) & (F.col("n_t0") - F.col("t1")).between(0, pause_ms))
+    rows = touches.select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("player", "team", "t0", "i0")))
     at = positions.select(*keys, F.col("frame").alias("i1"), "x", "y")
     then = positions.select(*keys, F.col("frame").alias("n_i0"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    rows = rows.join(at, [*keys, "i1"]).join(then, [*keys, "n_i0"])
-    d, gap = F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")), (F.col("n_t0") - F.col("t1")) / 1000
+    rows = rows.join(at, [*keys, "i1"]).join(then, [*keys, "n_i0"], "left")
+    to_player = F.col("n_player").isNotNull() & (F.col("n_t0") - F.col("t1")).between(0, pause_ms)
+    end = F.when(to_player, F.struct(F.col("n_t0").alias("t"), "x2", "y2"))
+    if outs is not None:
+        spans = rows.select(*keys, "i0", (F.col("t1") + 1).alias("from_t"), F.least(F.col("t1") + pause_ms, F.coalesce(F.col("n_t0"), F.col("t1") + pause_ms)).alias("to_t")).where("from_t <= to_t")
+        gone = interval_join(outs.select(*keys, "t", "x", "y"), spans, keys, "t", "from_t", "to_t", max(1, pause_ms)).groupBy(*keys, "i0").agg(F.min(F.struct("t", F.col("x").alias("x2"), F.col("y").alias("y2"))).alias("out"))
+        rows = rows.join(gone, [*keys, "i0"], "left")
+        out = F.col("out").isNotNull()
+        end, to_player = F.when(out, F.col("out")).otherwise(end), to_player & ~out
+    rows = rows.withColumn("end", end).withColumn("to_player", to_player).where(F.col("end").isNotNull() & ~(F.col("to_player") & (F.col("n_player") == F.col("player"))))
+    d, gap = F.hypot(F.col("end.x2") - F.col("x"), F.col("end.y2") - F.col("y")), (F.col("end.t") - F.col("t1")) / 1000
     rows = rows.where((d >= a.pass_distance) & (d / F.greatest(gap, F.lit(least_dt)) >= a.pass_speed))
-    return rows.select(*keys, "player", "team", F.col("t1").alias("t"), "x", "y", "x2", "y2", (F.col("n_team") == F.col("team")).alias("completed"))
+    completed = F.col("to_player") & (F.col("n_team") == F.col("team"))
+    return rows.select(*keys, "player", "team", F.col("t1").alias("t"), "x", "y", "end.x2", "end.y2", completed.alias("completed"))
 
 
 def shots(flown: DataFrame, keys: list[str], a: Actions, pitch: Pitch, right: Column) -> DataFrame:

@@ -129,8 +129,8 @@ def zones(held: DataFrame, directions: DataFrame, s: Settings) -> DataFrame:
     return measures.by_scope(at.join(directions, [*KEYS, "team"]).withColumn("xn", xn), "match_id", "half", ["team"], measures.thirds(F.col("xn"), s.pitch.length))
 
 
-def played(held: DataFrame, directions: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Passes and shots from control segments. directions: team, right."""
+def played(held: DataFrame, directions: DataFrame, tracks: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Passes and shots from control segments, and passes from touches of tracked players. directions: team, right."""
     a = s.actions
     paced = windows.fitted_speed(held, ["match_id"], "frame", "t", "x", "y")
     control = paced.withColumn("team", F.when(F.coalesce(F.col("speed") <= a.fly_speed, F.lit(True)), F.col("controlled_by")))
@@ -138,7 +138,9 @@ def played(held: DataFrame, directions: DataFrame, s: Settings) -> dict[str, Dat
     flown = actions.flights(segments, held.select(*KEYS, "frame", "x", "y"), KEYS, int(1000 * a.pass_gap))
     flown = flown.join(directions, [*KEYS, "team"])
     outs = held.where("ball_state = 'out' and x is not null").select(*KEYS, "t", "x", "y")
-    return {"passes": actions.passes(flown, outs, KEYS, a, s.pitch, F.col("right"), 0.05, int(1000 * a.pass_gap)), "shots": actions.shots(flown, KEYS, a, s.pitch, F.col("right"))}
+    touches = actions.player_touches(actions.player_control(paced, tracks, KEYS, a), KEYS, int(1000 * a.bridge_s))
+    touched = actions.touch_passes(touches, held.select(*KEYS, "frame", "x", "y"), KEYS, a, 0.05, int(1000 * a.pass_gap), outs)
+    return {"touch_passes": touched, "passes": actions.passes(flown, outs, KEYS, a, s.pitch, F.col("right"), 0.05, int(1000 * a.pass_gap)), "shots": actions.shots(flown, KEYS, a, s.pitch, F.col("right"))}
 
 
 def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(), restarts: DataFrame | None = None, halves: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -150,4 +152,4 @@ def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(),
     kicked = kickoff_events(ball, players, s).persist()
     tracks = player_tracks(players, s).persist()
     goal_tables = goal_events(detections, ball, players, directions, kicked, s, halves)
-    return {"ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, s)}
+    return {"ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, s)}
