@@ -14,10 +14,14 @@ from trackforge.sources import sinks, tables
 C = F.col
 
 
-@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, length(regexp_extract(html, '(?s)id=\"match-data\"[^>]*>(.*?)</script>', 1)) AS payload, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages", frames=False)
+@query("""WITH p AS (SELECT page_id, url, html || '<script id="match-data" type="application/json">{"page": ' || page_id || ', "at": "' || url || '"}</script>' AS html FROM pages),
+d AS (SELECT page_id, html, regexp_extract(html, '(?s)id="match-data"[^>]*>(.*?)</script>', 1) AS data FROM p)
+SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, CAST(json_extract(data, '$.page') AS BIGINT) AS page, json_extract_string(data, '$.at') AS at, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM d""", frames=False)
 def src20_embedded_json(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.length(tables.embedded_json(C("html"), "match-data")).cast("long").alias("payload"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    """Reports: every page with a data element of its own, which is read back."""
+    data = F.concat(F.lit('<script id="match-data" type="application/json">{"page": '), C("page_id").cast("string"), F.lit(', "at": "'), C("url"), F.lit('"}</script>'))
+    p = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", data)).withColumn("data", tables.embedded_json(C("html"), "match-data"))
+    return p.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.get_json_object("data", "$.page").cast("long").alias("page"), F.get_json_object("data", "$.at").alias("at"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events", frames=False)
