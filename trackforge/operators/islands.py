@@ -6,8 +6,15 @@ operators with the same keys share it. Times are integer milliseconds.
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackforge.operators.grouping import grouped
 
 
 def ordered(keys: list[str], *order: str):
@@ -116,13 +123,14 @@ def merged_sessions(sessions: DataFrame, keys: list[str], gap_ms: int) -> DataFr
 
 def anchored_merge(df: DataFrame, keys: list[str], t: str, within_ms: int) -> DataFrame:
     """Events merged into the first of their group while less than within_ms after that first: keys, t, n."""
-    times = F.array_sort(F.collect_list(t))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1)["t"] >= within_ms), F.concat(acc, F.array(F.struct(x.alias("t"), F.lit(1).cast("long").alias("n"))))).otherwise(
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["t"].alias("t"), (F.element_at(acc, -1)["n"] + 1).alias("n"))))
-    )
-    empty = F.from_json(F.lit("[]"), "array<struct<t:bigint,n:bigint>>")
-    groups = df.groupBy(*keys).agg(F.aggregate(times, empty, step).alias("groups"))
-    return groups.select(*keys, F.explode("groups").alias("g")).select(*keys, F.col("g.t").alias(t), F.col("g.n").alias("n"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        times, firsts = np.sort(rows[t].to_numpy()), [0]
+        while (after := int(np.searchsorted(times, times[firsts[-1]] + within_ms))) < len(times):
+            firsts.append(after)
+        return pd.DataFrame({t: times[firsts], "n": np.diff([*firsts, len(times)])})
+
+    return grouped(df.select(*keys, t).where(F.col(t).isNotNull()), keys, run, [(t, df.schema[t].dataType), ("n", T.LongType())])
 
 
 def spaced(df: DataFrame, keys: list[str], t: str, apart_ms: int) -> DataFrame:
@@ -132,11 +140,21 @@ def spaced(df: DataFrame, keys: list[str], t: str, apart_ms: int) -> DataFrame:
 
 def spaced_by_rank(df: DataFrame, keys: list[str], t: str, rank: list[Column], apart_ms: int, most: int | None = None) -> DataFrame:
     """Greedy choice by rank: an event is kept if no kept one is nearer than apart_ms in time."""
-    step = lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y - x[t]) < apart_ms), acc).otherwise(F.concat(acc, F.array(x[t])))
-    items = F.array_sort(F.collect_list(F.struct(*(c.alias(f"r{i}") for i, c in enumerate(rank)), F.col(t))))
-    kept = F.aggregate(items, F.array().cast("array<bigint>"), step)
-    kept = F.slice(kept, 1, most) if most else kept
-    return df.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias(t))
+    places = [f"r{i}" for i in range(len(rank))]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, chosen = [], []
+        for x in rows.sort_values([*places, t])[t].tolist():
+            at = bisect.bisect_left(kept, x)
+            if all(abs(y - x) >= apart_ms for y in kept[max(0, at - 1) : at + 1]):
+                kept.insert(at, x)
+                chosen.append(x)
+                if len(chosen) == most:
+                    break
+        return pd.DataFrame({t: chosen})
+
+    ranked = df.select(*keys, *(c.alias(n) for c, n in zip(rank, places, strict=True)), t)
+    return grouped(ranked, keys, run, [(t, df.schema[t].dataType)])
 
 
 def half_starts(df: DataFrame, keys: list[str], t: str, window_ms: int) -> DataFrame:
