@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, documents, odd_texts
@@ -113,3 +114,88 @@ def test_long_words_and_rare_languages_are_learned(spark):
     assert all(r.lang_pred == f"c{r.doc_id % 3 + 1}" for r in langid.predict(new, model).collect())
     assert [b"".join(langid.parts(w)) for w in (b"", b"a" * 99, "é漢".encode() * 30)] == [b"", b"a" * 99, "é漢".encode() * 30]
     assert all(len(p) <= langid.PART and p.decode() for p in langid.parts("é漢".encode() * 30))
+
+
+def plain_counts(model, words, weights):
+    """Expected uses of each piece over all segmentations of all words."""
+    of = {x: i for i, x in enumerate(model.index.pieces)}
+    out = np.zeros((len(of) + 1, len(model.languages)))
+
+    def ways(word):
+        return [[]] if not word else [[of[word[:n]], *rest] for n in range(1, len(word) + 1) if word[:n] in of for rest in ways(word[n:])]
+
+    for word, w in zip(words, weights, strict=True):
+        all_ways = ways(word)
+        chances = np.array([model.probabilities[way].prod(0) for way in all_ways])
+        for way, share in zip(all_ways, chances / chances.sum(0), strict=True):
+            for piece in way:
+                out[piece] += share * w
+    return out
+
+
+def test_expected_counts_against_all_segmentations(spark):
+    pieces = [bytes([b]) for b in range(256)] + sorted([b" a", b"ab", b"abc", b"bc", b" ab", b"cab"])
+    counts = {"abcab": (3, 1), "a": (2, 0), "bcb": (0, 5), "cabab": (1, 1)}
+    rows = [(lang, word, n) for word, ns in counts.items() for lang, n in zip("xy", ns, strict=True) if n]
+    found = langid.fit(spark.createDataFrame(rows, "lang string, word string, n long").repartition(3), {"x": 4, "y": 2}, pieces)
+    plain = langid.first_model({"x": 4, "y": 2}, pieces)
+    for _ in range(langid.ROUNDS):
+        plain = langid.refitted(plain, plain_counts(plain, [b" " + w.encode() for w in counts], np.array(list(counts.values()), float)))
+    assert np.allclose(found.probabilities, plain.probabilities) and np.allclose(np.exp(found.log_prior), [4 / 6, 2 / 6])
+
+
+def test_training_rows_with_odd_columns(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "THA eron", "a"), (1, "THA eron", "a"), (2, "leau", "b"), (None, "x", "c"), (4, None, "c"), (5, "", "d"), (6, "no label", None)]
+    docs = spark.createDataFrame([(*r, 1, "w", 2) for r in rows], "doc_id long, text string, lang string, i int, word string, n int")
+    model = langid.train(docs, path)
+    assert model.languages == ["a", "b", "d"] and np.allclose(np.exp(model.log_prior), [0.5, 0.25, 0.25])
+    assert langid.train(docs.limit(0), path) is None and langid.train(docs.where("lang is null"), path) is None
+    kept = langid.keep_identified(docs, None)
+    assert sorted(r.text for r in kept.collect()) == ["THA eron", "THA eron", "leau", "no label", "x"] and kept.columns == docs.columns
+
+
+def test_capitals_of_any_alphabet_count_alike_in_training_and_scoring(spark):
+    docs = spark.createDataFrame([(i, "ÉÀÇ ÔÎ" if i % 2 else "éàç ôî", "up" if i % 2 else "low") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert langid.predict(docs, model).join(docs, "doc_id").where("lang_pred <> lang").count() == 0
+
+
+@pytest.mark.parametrize(
+    "url, verdict, strict, soft, weight",
+    [
+        ("http://casino-win.net/a", "block", 0, 2, 3),
+        ("http://free-bets.biz/x", "block", 0, 2, 3),
+        ("http://ads-track.info/", "block", 0, 2, 3),
+        ("http://spam-farm.xyz/1", "block", 0, 2, 3),
+        ("http://cheap-pills.shop/", "block", 0, 2, 3),
+        ("http://a.net/XXX/", "block", 1, 0, 3),
+        ("http://a.net/sex-and-nude-sex", "block", 0, 2, 4),
+        ("http://a.net/free/cheap", "allow", 0, 2, 2),
+        ("http://essex.net/analysis/casinos1", "allow", 0, 0, 0),
+        ("http://a.net/éporné", "block", 1, 0, 3),
+        ("http://a.net/casino/" + "x" * 5000, "allow", 0, 1, 2),
+        (None, "allow", 0, 0, 0),
+    ],
+)
+def test_weights_of_url_terms(url, verdict, strict, soft, weight):
+    policy = url_filter.UrlPolicy(())
+    assert url_filter.vocabulary_verdict(url, url_filter.automaton(policy), policy.blocked_weight) == (verdict, strict, soft, weight)
+
+
+def test_url_terms_in_code_and_sql(spark, tmp_path):
+    import duckdb
+
+    from trackforge.llm import oracles
+
+    rng = random.Random(4)
+    words = ["casino", "win", "PORN", "Sex", "free", "essex", "é", "a1", "bets", "x", "org", "plain"]
+    urls = ["http://" + "".join(rng.choice(words) + rng.choice("-./_é9%") for _ in range(rng.randint(1, 6))) for _ in range(300)] + [None, "", "no scheme casino win"]
+    rows = [(i % 250, u) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = sorted((tuple(r) for r in url_filter.judge_urls(pages, URL_POLICY).collect()), key=repr)
+    pages.toPandas().to_parquet(f"{tmp_path}/pages.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    columns = ", ".join(url_filter.judge_urls(pages, URL_POLICY).columns)
+    assert found == sorted((tuple(r) for r in base.execute(f"SELECT {columns} FROM ({oracles.URL_FILTER})").fetchall()), key=repr)

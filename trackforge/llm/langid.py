@@ -5,29 +5,36 @@ can be spelt). A word's probability is the sum over all its segmentations into p
 text's is the product over its words and the language's share of the training rows. The piece probabilities are
 fitted by expectation-maximisation, whose expected counts come from the forward and backward sums.
 
-The fit uses word counts of at most sample_rows labelled rows of each language, chosen by a hash of their id, and of
-those the language's sample_words most frequent words: both bounds are parameters. The list of languages and their
-shares come from all labelled rows. Words of more than PART bytes are fitted in parts, cut between characters.
-Everything else covers all rows.
+The fit uses all words of at most sample_rows labelled rows of each language, chosen by a hash of their id: the bound
+is a parameter. The list of languages and their shares come from all labelled rows. Word counts stay distributed: each
+round adds up expected counts within tasks and then across them. Words of more than PART bytes are fitted in parts,
+cut between characters. Everything else covers all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm import textops
+from trackforge.llm.durable import materialise
+from trackforge.llm.packing import rows_of, table_of
+from trackforge.llm.workers import bound_batches, kept, lean
 
 SAMPLE_ROWS = 4_000
-SAMPLE_WORDS = 150_000
 PART = 40  # bytes of a word that are fitted at once
 MAX_PIECE = 16
+CHUNK = 1 << 20  # bytes of text whose words are looked up at once
 ROUNDS = 3
+SMOOTHING = 0.02  # uses that every piece is given
+BLOCKS = 16  # parts in which expected counts are added up
 REMEMBERED = 300_000
 UNDETERMINED = "und"
 _ASCII_LETTER = np.zeros(256, bool)
@@ -121,18 +128,22 @@ class LanguageModel:
         forward[0] = 1
         for j in range(1, length + 1):
             for n, at in enumerate(lattice[j], 1):
-                forward[j] += forward[j - n] * self.probabilities[at]
+                some = np.flatnonzero(at != len(self.index.pieces))
+                if len(some):
+                    forward[j][some] += forward[j - n][some] * self.probabilities[at[some]]
         backward = np.zeros((length + 1, rows, k))
         backward[length] = weights / np.maximum(forward[length], 1e-290)
-        counts = np.zeros((len(self.index.pieces) + 1) * k)
+        uses, times = [], []
         for j in range(length, 0, -1):
             for n, at in enumerate(lattice[j], 1):
                 some = np.flatnonzero(at != len(self.index.pieces))
                 if len(some):
                     through = self.probabilities[at[some]] * backward[j][some]
                     backward[j - n][some] += through
-                    counts += np.bincount((at[some, None] * k + np.arange(k)).ravel(), (through * forward[j - n][some]).ravel(), len(counts))
-        return counts.reshape(-1, k)
+                    uses.append(at[some])
+                    times.append(through * forward[j - n][some])
+        uses, times = np.concatenate(uses), np.concatenate(times)
+        return np.stack([np.bincount(uses, times[:, i], len(self.index.pieces) + 1) for i in range(k)], axis=1)
 
 
 def parts(word: bytes) -> Iterator[bytes]:
@@ -146,7 +157,7 @@ def parts(word: bytes) -> Iterator[bytes]:
     yield word
 
 
-def by_length(words: list[bytes], rows: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], rows: int = 4_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Matrices of equally long words with their places."""
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
@@ -156,25 +167,60 @@ def by_length(words: list[bytes], rows: int = 8_000) -> Iterator[tuple[np.ndarra
             yield np.frombuffer(b"".join([words[x] for x in part]), np.uint8).reshape(len(part), n), part
 
 
-def fit(rows: list[tuple[str, bytes, int]], priors: dict[str, int], pieces: list[bytes]) -> LanguageModel:
-    """rows: language, word with its leading space, count."""
+def first_model(priors: dict[str, int], pieces: list[bytes]) -> LanguageModel:
+    """Shares by priors; all pieces of a size equally likely, shorter ones more."""
     languages = sorted(priors)
-    column = {x: i for i, x in enumerate(languages)}
-    words = sorted({part for _, w, _ in rows for part in parts(w)})
-    place = {w: i for i, w in enumerate(words)}
-    weights = np.zeros((len(words), len(languages)))
-    for lang, w, n in rows:
-        for part in parts(w):
-            weights[place[part], column[lang]] += n
     total = np.array([priors[x] for x in languages], float)
     size = np.array([len(p) for p in pieces], float)
     start = np.repeat(np.append(1 / (size * len(pieces)), 0)[:, None], len(languages), axis=1)
-    model = LanguageModel(languages, np.log(total / total.sum()), start / start.sum(0), PieceIndex(pieces))
+    return LanguageModel(languages, np.log(total / total.sum()), start / start.sum(0), PieceIndex(pieces))
+
+
+def refitted(model: LanguageModel, counts: np.ndarray) -> LanguageModel:
+    """The model with the probabilities that expected counts give; its last row stands for "no piece"."""
+    counts = counts.copy()
+    counts[:-1] += SMOOTHING
+    counts[-1] = 0
+    return LanguageModel(model.languages, model.log_prior, counts / counts.sum(0), model.index)
+
+
+def _expected(shared: Broadcast) -> Callable:
+    """word, weights (times in each language) -> rows (block, blob): expected uses of pieces, in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = shared.value, None
+        for batch in batches:
+            found: dict[bytes, np.ndarray] = {}
+            weights = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            for word, w in zip(batch.column(0).to_pylist(), weights, strict=True):
+                for part in parts(b" " + word.encode()):
+                    found[part] = found[part] + w if part in found else w
+            words, of = list(found), np.array(list(found.values()))
+            for matrix, at in by_length(words) if words else ():
+                counts = model.expected_counts(matrix, of[at])
+                total = counts if total is None else total + counts
+        if total is not None:
+            yield rows_of("block", [(i, part.tobytes()) for i, part in enumerate(np.array_split(total, BLOCKS))])
+
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    return table_of("block", [(rows.column("block")[0].as_py(), sum(np.frombuffer(b.as_buffer()) for b in rows.column("blob")).tobytes())])
+
+
+def fit(words: DataFrame, priors: dict[str, int], pieces: list[bytes]) -> LanguageModel:
+    """words: lang, word, n. Expectation-maximisation over all of them."""
+    model, spark = first_model(priors, pieces), words.sparkSession
+    times = F.array(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in model.languages))
+    weighted = materialise(words.groupBy("word").agg(times.alias("weights")))
     for _ in range(ROUNDS):
-        counts = sum((model.expected_counts(m, weights[at]) for m, at in by_length(words)), np.zeros((len(pieces) + 1, len(languages))))
-        counts[:-1] += 0.02
-        counts[-1] = 0
-        model.probabilities = counts / counts.sum(0)
+        shared = spark.sparkContext.broadcast(model)  # at most 33,000 pieces for each language
+        found = weighted.mapInArrow(lean(_expected(shared), "langid"), "block int, blob binary").groupBy("block").applyInArrow(_summed, "block int, blob binary").collect()
+        blobs = {r.block: np.frombuffer(bytes(r.blob)).reshape(-1, len(model.languages)) for r in found}
+        shared.unpersist()
+        if blobs:
+            model = refitted(model, np.concatenate([blobs[i] for i in range(BLOCKS)]))
     return model
 
 
@@ -182,8 +228,13 @@ def held_out(id_col: str, modulus: int) -> "F.Column":
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus) == 0
 
 
-def train(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> LanguageModel | None:
-    """Fits on labelled rows of docs, as many of each language as sample_rows allows; None if there are none."""
+def train(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
+    """Fits on labelled rows of docs, as many of each language as sample_rows allows; None if there are none.
+
+    Rows without id, text or language aren't used; empty texts have no words, but count for their language's share.
+    Ties among hashes go to the smaller id; all rows of an id that is taken are used. A-Z count as lower case. Columns
+    other than id, text and language aren't read.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     priors = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -196,12 +247,9 @@ def train(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "i"))
     ids = some.withColumn("first", first).where(F.col("first") <= sample_rows).select("i", "lang").distinct()
     sample = usable.join(F.broadcast(ids), ["i", "lang"], "left_semi").select("lang", "text")
-    word = F.explode(F.split(F.lower("text"), "[ \\x09-\\x0D]+")).alias("word")
+    word = F.explode(F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), "[ \\x09-\\x0D]+")).alias("word")
     counted = sample.select("lang", word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    often = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    table = counted.withColumn("often", often).where(F.col("often") <= sample_words).toArrow()
-    rows = [(a, b" " + b.encode(), n) for a, b, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)]
-    return fit(rows, priors, piece_list(model_path))
+    return fit(counted, priors, piece_list(model_path))
 
 
 class Scorer:
@@ -256,12 +304,13 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     no rows; columns other than id and text aren't read.
     """
     kind = dict(docs.dtypes)[id_col]
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 33,000 pieces for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value and worker_scorer(shared.value)
         for batch in batches:
-            for texts in textops.chunks(batch.column(1)):
+            for texts in textops.chunks(batch.column(1), CHUNK):
                 letters = has_letter(texts)
                 names, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if scorer:
@@ -271,28 +320,34 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
                     names = [scorer.model.languages[t] if ok else UNDETERMINED for t, ok in zip(top, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run, "langid"), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is found with a posterior of at least least."""
+    """The rows of docs, all columns as they are, whose language is found with a posterior of at least least.
+
+    Texts that are null, empty or without a letter go. Without a model (no labelled row) there is no language to find:
+    texts with a letter stay. Repeated rows all stay or all go; an empty table gives no rows; columns may have any names.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value and worker_scorer(shared.value)
         for batch in batches:
-            for texts in textops.chunks(batch.column(place)):
-                keep = has_letter(texts) & (scorer is not None)
+            for texts in textops.chunks(batch.column(place), CHUNK):
+                keep = has_letter(texts)
                 if scorer:
                     logs = scorer.score(texts)
                     keep &= 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1) >= least
                 yield batch.slice(texts.first, len(texts)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, "langid"), docs.schema)
 
 
 _SCORERS: list[tuple[LanguageModel, Scorer]] = []
+kept("langid", _SCORERS.clear)
 
 
 def worker_scorer(model: LanguageModel) -> Scorer:
