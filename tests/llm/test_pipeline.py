@@ -94,3 +94,21 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     assert next(s for i, _, s in kept if i == 1) == "s0"
     left = corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(kept, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' lang", "source", "0L n_chars"), str(tmp_path))
     assert {(r.doc_id, r.text) for r in left.collect()} == set(wanted)
+
+
+def test_clashing_names_and_no_labels(spark, tmp_path):
+    names = ["doc_id", "text", "lang", "i", "kept", "n_words", "n_removed", "place", "total", "part", "row", "n", "component_id", "word", "blob", "bucket", "_id", "_copy", "first"]
+    passage = " ".join(f"p{k}" for k in range(40))
+    filler = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    texts = [filler("a"), f"{filler('b')} {passage} three", f"four {passage} {filler('c')}", "12 34"]
+    kinds = ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names)
+    docs = spark.createDataFrame([(k, t, None, *(f"{c}{k}" for c in names[3:])) for k, t in enumerate(texts)], kinds)
+    spark.createDataFrame([(1, "nothing of this is there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == names
+        left = spark.createDataFrame(left.toArrow(), left.schema)
+    assert {r.doc_id: r.text for r in left.collect()} == {0: texts[0], 1: f"{filler('b')} three", 2: f"four {filler('c')}"}
+    assert [(r.doc_id, c, r[c]) for r in left.collect() for c in names[3:] if r[c] != f"{c}{r.doc_id}"] == []
+    assert corpus_pipeline.encode(spark, left, str(tmp_path)).count() == 3

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from trackforge.llm.workers import bound_batches, kept, lean
+
 #: Pre-tokens remembered in a Python worker; beyond that the memory is emptied and filled anew.
 REMEMBERED = 600_000
 ROWS = 256
@@ -105,6 +107,7 @@ class BytePairCodec:
 
 
 _CODECS: dict[tuple[str, str], BytePairCodec] = {}
+kept("bpe", _CODECS.clear)
 
 
 def codec(path: str, pattern: str) -> BytePairCodec:
@@ -136,6 +139,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                         kept.append(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())] + ([pa.array(kept, pa.binary())] if keep_ids else []), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run, "bpe"), schema)
