@@ -348,6 +348,16 @@ def test_discriminant_separates(spark):
     assert np.mean([(np.dot(w, v) + b > 0) == bool(t) for t, v in rows]) > 0.95
 
 
+def test_class_moments_in_parts(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 2, (90, 3))
+    rows = [(int(i % 3), v.tolist()) for i, v in enumerate(x)] + [(None, [1.0, 1.0, 1.0]), (1, None), (1, [1.0, None, 2.0])]
+    found = teams.class_moments(spark.createDataFrame(rows, "team int, v array<double>").repartition(4), "team", "v", 3)
+    for k in range(3):
+        n, mean, cov = found[k]
+        assert n == 30 and np.allclose(mean, x[k::3].mean(0)) and np.allclose(cov, np.cov(x[k::3].T))
+
+
 def test_tables_come_back_from_disk(spark, tmp_path):
     ball = [(1, 0.1, 1, 2.0, None, 0.5, "detected"), (2, 0.2, 1, None, None, None, "interpolated")]
     df = spark.createDataFrame(ball, tables.FILES["ball"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trackforge.operators.grouping import grouped
 from trackforge.params import Pitch
@@ -171,16 +174,36 @@ def discriminant(means: list[np.ndarray], covariances: list[np.ndarray], counts:
     return w, float(-w @ (means[0] + means[1]) / 2)
 
 
+def class_moments(df: DataFrame, label: str, vector: str, size: int) -> dict:
+    """For each label the number of vectors, their mean and covariance (of a sample): one pass, sums of a few kilobytes."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            labels, x = np.array(batch.column(0).to_pylist(), object), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for k in set(labels.tolist()):
+                own = np.concatenate([np.ones((int((labels == k).sum()), 1)), x[labels == k]], axis=1)
+                total[k] = total.get(k, 0) + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["label", "sums"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        return pa.table({"label": rows.column("label")[:1], "sums": pa.array([sum(np.frombuffer(b.as_buffer()) for b in rows.column("sums")).tobytes()], pa.binary())})
+
+    whole = df.where(F.col(label).isNotNull() & (F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull())).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kind, ddl = to_arrow_type(whole.schema["label"].dataType), f"label {whole.schema['label'].dataType.simpleString()}, sums binary"
+    out = {}
+    for r in whole.mapInArrow(sums, ddl).groupBy("label").applyInArrow(added, ddl).collect():
+        m = np.frombuffer(bytes(r.sums)).reshape(size + 1, size + 1)
+        n, mean = int(m[0, 0]), m[0, 1:] / m[0, 0]
+        out[r.label] = n, mean, (m[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1)
+    return out
+
+
 def train_discriminant(df: DataFrame, label: str, vector: str, size: int, shrink: float = 0.3) -> tuple[np.ndarray, float]:
-    """Moments are one aggregation over all rows; only they reach the driver."""
-    from trackforge.operators.measures import covariances, moments
-
-    m = {r[label]: r for r in moments(df, [label], vector, size).collect()}
-    cov = {k: np.zeros((size, size)) for k in m}
-    for r in covariances(df, [label], vector, size).collect():
-        cov[r[label]][r.i, r.j] = cov[r[label]][r.j, r.i] = r["cov"] or 0.0
-    order = sorted(m)[:2]
-    return discriminant([np.array([m[k][f"mean_{i}"] for i in range(size)]) for k in order], [cov[k] for k in order], [m[k].n for k in order], shrink)
+    """Of the two smallest labels; only moments reach the driver."""
+    found = class_moments(df, label, vector, size)
+    chosen = [found[k] for k in sorted(found)[:2]]
+    return discriminant([mean for _, mean, _ in chosen], [cov for _, _, cov in chosen], [n for n, _, _ in chosen], shrink)
 
 
 def score_column(vector: Column, weights: np.ndarray, bias: float) -> Column:
