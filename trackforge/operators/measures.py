@@ -94,16 +94,3 @@ def medians(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Median of each element of a vector."""
     places = df.select(*keys, F.posexplode(vector).alias("pos", "value"))
     return places.groupBy(*keys, "pos").agg(F.median("value").alias("median"))
-
-
-def moments(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
-    """Mean and population deviation of each element; shrunken covariances come from covariances()."""
-    columns = [F.avg(F.col(vector)[i]).alias(f"mean_{i}") for i in range(size)] + [F.stddev_pop(F.col(vector)[i]).alias(f"dev_{i}") for i in range(size)]
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *columns)
-
-
-def covariances(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
-    """Sample covariances of all pairs of elements in one aggregation, as one row for each pair."""
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    one = df.groupBy(*keys).agg(*(F.covar_samp(F.col(vector)[i], F.col(vector)[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-    return one.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i, j in pairs))))

@@ -199,6 +199,13 @@ def class_moments(df: DataFrame, label: str, vector: str, size: int) -> dict:
     return out
 
 
+def covariances(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
+    """Covariances of a sample for all pairs of elements: label, i, j (at least i), n, cov."""
+    spark, kind = df.sparkSession, df.schema[label].dataType.simpleString()
+    rows = [(k, i, j, n, float(cov[i, j])) for k, (n, _, cov) in class_moments(df, label, vector, size).items() for i in range(size) for j in range(i, size)] if size else []
+    return spark.createDataFrame(rows, f"{label} {kind}, i int, j int, n long, cov double")
+
+
 def train_discriminant(df: DataFrame, label: str, vector: str, size: int, shrink: float = 0.3) -> tuple[np.ndarray, float]:
     """Of the two smallest labels; only moments reach the driver."""
     found = class_moments(df, label, vector, size)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackforge.functions import scalar as fn
-from trackforge.operators import clean, nearest
+from trackforge.operators import clean, nearest, teams
 from trackforge.operators import measures as ag
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.joins import MOMENTS_SQL, analyses, moments
@@ -243,12 +243,11 @@ def ag24_ag33_ag37_score_and_goal_list(spark, sf_dir):
     return goals.select("match_id", "team0", "team1", F.array_join(F.transform("g", lambda x: x["s"]), ",").alias("goals"), (F.least("team0", "team1") == 2).alias("as_expected"))
 
 
-@query("WITH e AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), p AS (SELECT label, count(*) AS n, avg(a) AS m0, stddev_pop(a) AS d0, covar_samp(a, b) AS ab, covar_samp(b, c) AS bc FROM e GROUP BY 1) SELECT label, n, round(m0, 6) AS mean_0, round(d0, 6) AS dev_0, round(ab, 6) AS cov_01, round(bc, 6) AS cov_12 FROM p", frames=False)
+@query("""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.label, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, count(*) AS n, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3""", frames=False)
 def ag27_discriminant_moments(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", C("embedding").cast("array<double>").alias("v"))
-    m = ag.moments(e, ["label"], "v", 3).select("label", "n", r6(C("mean_0")).alias("mean_0"), r6(C("dev_0")).alias("dev_0"))
-    c = ag.covariances(e, ["label"], "v", 3).groupBy("label").agg(r6(F.max(F.when((C("i") == 0) & (C("j") == 1), C("cov")))).alias("cov_01"), r6(F.max(F.when((C("i") == 1) & (C("j") == 2), C("cov")))).alias("cov_12"))
-    return m.join(c, "label")
+    return teams.covariances(e, "label", "v", e.agg(F.max(F.size("v"))).first()[0] or 0).withColumn("cov", r6(C("cov")))
 
 
 @query("SELECT count(*) AS hidden, count(*) FILTER (l_discount > 0.02) AS filled, count(*) FILTER (l_discount > 0.02 AND abs(l_tax - l_discount) <= 0.03) AS right_ones, l_returnflag AS method FROM lineitem GROUP BY l_returnflag", frames=False)
