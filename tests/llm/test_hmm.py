@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import WORDS, corpus, documents, lower, odd_texts
-from trackforge.llm import hmm, textops
+from trackforge.llm import hmm, packing, textops
 
 
 def model(states, classes, seed=0):
@@ -24,7 +24,8 @@ def test_forward_sums_over_all_paths():
         for a, b, x in zip(path, path[1:], s[1:], strict=False):
             p *= m.moves[a, b] * m.emits[x, b]
         total += p
-    both = m.forward(np.concatenate([s, s[:2]]), np.array([0, 6, 8]))
+    (_, steps, at), = hmm.arranged(np.concatenate([s, s[:2]]), np.array([0, 6]), np.array([6, 2]))
+    both = m.forward(at, steps)
     assert math.isclose(both[0], math.log10(total), rel_tol=1e-12)
 
 
@@ -44,7 +45,8 @@ def test_expected_counts_are_those_of_all_paths():
             moves[a, b] += p / total
         for k, x in zip(path, s, strict=True):
             emits[x, k] += p / total
-    found = m.expected(np.concatenate([s, s]), np.array([0, 3, 6]), 3)
+    (_, steps, at), = hmm.arranged(np.concatenate([s, s]), np.array([0, 3]), np.array([3, 3]))
+    found = m.expected(at, steps, 3)
     for a, b in zip(found, (2 * start, 2 * moves, 2 * emits), strict=True):
         assert np.allclose(a, b)
 
@@ -81,20 +83,38 @@ def test_no_training_and_no_rows(spark):
     assert hmm.score(documents(spark, []), F.lit(False)).count() == 0
 
 
+def learned(docs, states, frequent, rounds):
+    """Classes and model from the texts of docs, as score() learns them."""
+    import pyarrow as pa
+
+    counts = docs.selectExpr("coalesce(text, '') text").mapInArrow(hmm._count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    classes, _, _ = hmm.learn_classes(counts, frequent)
+
+    def numbered(batches):
+        for batch in batches:
+            for texts in textops.chunks(batch.column(0)):
+                tokens, bounds = hmm.token_hashes(texts)
+                for _, steps, at in hmm.arranged(classes.of(tokens).astype(np.int32), bounds[:-1], np.diff(bounds)):
+                    yield pa.RecordBatch.from_arrays([pa.array([packing.pack(steps.sizes.astype(np.int32))], pa.binary()), pa.array([packing.compressed(at)], pa.binary())], names=["sizes", "symbols"])
+
+    return classes, hmm.train_model(docs.select("text").mapInArrow(numbered, "sizes binary, symbols binary"), classes, states, rounds)
+
+
 def test_every_round_sees_all_training_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 12, rng.integers(1, 9)))) for i in range(1700)]
     train = documents(spark, rows).repartition(3)
-    _, classes, start, _, _ = hmm.learn(train, "text", 3, 60, 0)
-    _, _, found, _, _ = hmm.learn(train, "text", 3, 60, hmm.ROUNDS)
+    classes, start = learned(train, 3, 60, 0)
+    _, found = learned(train, 3, 60, hmm.ROUNDS)
     tokens = pa.array([t for _, t in rows])
     plain = start
     for _ in range(14):
         sums = None
         for chunk in textops.chunks(tokens):
             hashes, bounds = hmm.token_hashes(chunk)
-            part = plain.expected(classes.of(hashes), bounds, classes.size)
-            sums = part if sums is None else tuple(a + b for a, b in zip(sums, part, strict=True))
+            for _, steps, at in hmm.arranged(classes.of(hashes), bounds[:-1], np.diff(bounds)):
+                part = plain.expected(at, steps, classes.size)
+                sums = part if sums is None else tuple(a + b for a, b in zip(sums, part, strict=True))
         plain = plain.smoothed(*sums, classes.shares())
     for a, b in ((found.start, plain.start), (found.moves, plain.moves), (found.emits, plain.emits)):
         assert np.allclose(a, b, rtol=1e-3, atol=1e-6)
@@ -104,5 +124,55 @@ def test_start_rests_on_counts_alone(spark):
     words = [f"w{i % 37}" for i in range(4000)]
     a = [(i, " ".join(words[4 * i : 4 * i + 4])) for i in range(1000)]
     b = [(i, " ".join(words[i::1000])) for i in range(1000)]
-    starts = [hmm.learn(documents(spark, rows), "text", 3, 60, 0)[2] for rows in (a, b)]
+    starts = [learned(documents(spark, rows), 3, 60, 0)[1] for rows in (a, b)]
     assert np.array_equal(starts[0].emits, starts[1].emits)
+
+
+def test_scores_against_plain_recursion(spark):
+    rows = list(enumerate(corpus(11, 30) + odd_texts()))
+    docs = documents(spark, rows).repartition(3)
+    found = {r.doc_id: r.score for r in hmm.score(docs, F.col("doc_id") % 3 == 2, states=3, frequent=30, rounds=3, buckets=4).collect()}
+    classes, m = learned(docs.where("doc_id % 3 <> 2"), 3, 30, 3)
+    counts = Counter(w for i, t in rows if i % 3 != 2 for w in [*WORDS.findall(lower(t or "")), None])
+    of = lambda w: int(classes.of(np.array([hmm.END]) if w is None else textops.Texts(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).word_hashes()[0])[0])
+    for i, t in rows:
+        state, total = m.start, 0.0
+        for w in [*WORDS.findall(lower(t or "")), None]:
+            c = of(w)
+            rare = c - len(classes.frequent)
+            share = 1.0 if rare < 0 else (counts[w] + 1) / (classes.rare_tokens[rare] + classes.rare_distinct[rare] + 1)
+            state = state * m.emits[c] * share
+            total += math.log10(state.sum())
+            state = state / state.sum() @ m.moves
+        assert math.isclose(total, found[i], rel_tol=1e-6), i  # training sums are of 32-bit numbers
+
+
+def test_long_and_short_sequences_train_alike(monkeypatch):
+    m, rng = model(4, 50), np.random.default_rng(1)
+    sizes = np.array([1, 3000, 2, 40, 700, 1, 9000])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    symbols = rng.integers(0, 50, sizes.sum())
+    one = lambda a, n: m.expected(symbols[a : a + n], hmm.Steps(np.array([n])), 50)
+    wanted = [sum(x) for x in zip(*(one(a, n) for a, n in zip(starts, sizes, strict=True)), strict=True)]
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 5000)
+    monkeypatch.setattr(hmm, "MOST_TOKENS", 6000)
+    parts = list(hmm.arranged(symbols, starts, sizes))
+    assert len(parts) > 1 and sorted(np.concatenate([p[0] for p in parts]).tolist()) == list(range(7))
+    sums = [sum(x) for x in zip(*(m.expected(at, steps, 50) for _, steps, at in parts), strict=True)]
+    for a, b in zip(sums, wanted, strict=True):
+        assert np.allclose(a, b, rtol=1e-4)
+
+
+def test_null_ids_and_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "ADDED_AT_ONCE", 2)
+    docs = documents(spark, [(None, "a b"), (None, "a c"), (None, "a b"), (4, None)]).repartition(4)
+    found = hmm.score(docs, F.col("doc_id") % 7 == 2, rounds=2).collect()
+    assert sorted(r.n_tokens for r in found) == [1, 3, 3, 3] and {r.train_tokens for r in found} == {10} and not any(r.held_out for r in found)
+
+
+def test_the_most_frequent_are_among_often(spark):
+    counts = spark.createDataFrame([(i, 1 + i * i % 1000) for i in range(500)], "token long, n long")
+    for wanted in (1, 10, 499, 1000):
+        chosen = {r.token for r in hmm.often(counts, wanted).collect()}
+        assert {r.token for r in counts.orderBy(F.desc("n"), "token").limit(wanted).collect()} <= chosen
+    assert hmm.often(counts.limit(0), 5).count() == 0
