@@ -70,7 +70,9 @@ def found(spark, **options):
     outfield = p.selectExpr("match_id", "half", "t", "x_m x", "y_m y", "team")
     all_ = goals.goals(events, b, r, outfield, directions, s.pitch, s.actions, s.goals, halves).cache()
     late = goals.late_goals(all_, b, halves, directions, s.pitch, s.actions, s.goals)
-    return sorted(all_.collect(), key=lambda r: r.kickoff_t), late.collect()
+    out = sorted(all_.collect(), key=lambda r: r.kickoff_t), late.collect()
+    spark.catalog.clearCache()
+    return out
 
 
 def scored(rows):
