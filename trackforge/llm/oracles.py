@@ -51,3 +51,12 @@ r AS (SELECT *, CASE WHEN {_fits("example.org")} AND prefix(path, '/en/1') THEN
   {_hits("1", f"x.w >= {BLOCKED_WEIGHT}")} AS strict_terms, {_hits("1", f"x.w < {BLOCKED_WEIGHT}")} AS soft_terms, {_hits("x.w", "true")} AS weight FROM q)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/fr/', 'org/') THEN 'allow' WHEN rule IS NOT NULL OR weight >= {BLOCKED_WEIGHT} THEN 'block' ELSE 'allow' END AS verdict, strict_terms, soft_terms, weight FROM r
 """
+
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS r1, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS r2,
+  t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 AS plain, CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 AS spm FROM d),
+c AS (SELECT *, array_to_string(w[1:least(r1, r2)], '') AS prefix, array_to_string(w[least(r1, r2) + 1:greatest(r1, r2)], '') AS middle, array_to_string(w[greatest(r1, r2) + 1:], '') AS suffix FROM r)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackforge.llm import bpe, decontaminate, hmm, jaccard_join, langid, neighbours, oracles, sharding, suffix_array, suffix_tree, url_filter
+from trackforge.llm import bpe, decontaminate, fim, hmm, jaccard_join, langid, neighbours, oracles, sharding, suffix_array, suffix_tree, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: The rest can't be said in SQL, or not in reasonable time; tests hold them against brute force.
@@ -97,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op7_url_filter": oracles.URL_FILTER,
+    "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
