@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackforge.llm import bpe, decontaminate, fim, hmm, jaccard_join, langid, neighbours, oracles, sharding, suffix_array, suffix_tree, url_filter
+from trackforge.llm import bpe, decontaminate, fim, hmm, jaccard_join, langid, neighbours, oracles, sharding, simhash, suffix_array, suffix_tree, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     text = fim.restored(F.col("output"), F.col("form"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_simhash": op11_simhash,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 

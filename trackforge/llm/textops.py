@@ -62,6 +62,11 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return _SOLID[data]
+
+
 class Texts:
     """Bytes of consecutive texts: data, and bounds with text i in data[bounds[i]:bounds[i + 1]]."""
 
