@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackforge.llm import bpe, decontaminate, fim, hmm, jaccard_join, langid, neighbours, oracles, sharding, simhash, suffix_array, suffix_tree, url_filter
+from trackforge.llm import bpe, decontaminate, fim, hmm, jaccard_join, langid, lexical, neighbours, oracles, sharding, simhash, suffix_array, suffix_tree, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_simhash": op11_simhash,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The rest can't be said in SQL, or not in reasonable time; tests hold them against brute force.
@@ -111,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op7_url_filter": oracles.URL_FILTER,
     "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op13_lexical_search": oracles.LEXICAL_SEARCH,
 }

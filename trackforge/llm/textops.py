@@ -30,7 +30,7 @@ class _Powers:
         self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
+        if n > self.size or not self.size:
             self.size = max(n, 1 << 16, self.size * 2 if self.size < 1 << 22 else n)
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.size, b, np.uint64)])) for b in (self.base, self.inverse))
         return self.up, self.down
@@ -82,10 +82,14 @@ class Texts:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word, and for each text the number of its first word (one more number at the end)."""
+        return self.runs(_SOLID)
+
+    def runs(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the maximal runs of bytes that members, a flag for each byte value, has."""
         n = len(self.data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.bounds), np.int64)
-        solid = _SOLID[self.data]
+        solid = members[self.data]
         begin, last = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
@@ -95,8 +99,8 @@ class Texts:
         starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def word_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        starts, ends, firsts = self.words()
+    def word_hashes(self, members: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, firsts = self.runs(members)
         return span_hashes(prefix_sums(_BYTE[self.data]), starts, ends), starts, ends, firsts
 
     def byte_grams(self, k: int) -> np.ndarray:
