@@ -3,10 +3,14 @@
 A fingerprint of 64 bits is cut into segments of 23, 23 and 18 bits. If two fingerprints differ in four bits at most,
 two of the three segments differ in two bits at most together, since otherwise the three sums of two segments would
 exceed twice four. Of such two segments either one is equal and the other differs in two bits at most, or both differ
-in one at most. The segments decode to the names of nearby Golay codewords, which makes the keys:
+in one. In the latter case no segment is equal, or another two would do; so the third differs in one bit or in two. The
+segments decode to the names of nearby Golay codewords, which makes the keys:
 
 - one segment as it is, with each codeword around the other;
-- the codeword of one segment, with each codeword around the other.
+- the codeword of one segment, with each codeword around the other; where the other is the short segment, which has few
+  codewords, with itself and with its bits flipped one by one instead. As both segments differ in one bit, their
+  parities differ, and that of the third doesn't if it differs in two bits; so parities are part of the key. Three
+  segments that differ in one bit each are left to the first two.
 
 So all fingerprints that link share a key, and few others do. Copies are one fingerprint. The steps:
 
@@ -84,20 +88,29 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = [np.sort(golay.surrounding(w, width), axis=0).astype(np.uint64) for w, (_, width) in zip(words, SEGMENTS, strict=True)]
     new = [np.concatenate([np.ones((1, len(prints)), bool), c[1:] != c[:-1]]) for c in near]
     own = [golay.nearest(w).astype(np.uint64) for w in words]
+    odd = [(np.bitwise_count(w) & 1).astype(np.uint64) for w in words]
     keys, of = [], []
 
     def add(kind: int, values: np.ndarray, at: np.ndarray) -> None:
         keys.append(np.uint64(kind) << np.uint64(40) | values)
         of.append(at)
 
-    for pair, (s, t) in enumerate(((0, 1), (0, 2), (1, 2))):
+    for pair, (s, t, third) in enumerate(((0, 1, None), (0, 2, 1), (1, 2, 0))):
         around, at_t = near[t][new[t]], np.nonzero(new[t])[1]
         before, at_s = near[s][new[s]], np.nonzero(new[s])[1]
         add(3 * pair, words[s][at_t].astype(np.uint64) << np.uint64(12) | around, at_t)
         add(3 * pair + 1, words[t][at_s].astype(np.uint64) << np.uint64(12) | before, at_s)
-        add(3 * pair + 2, own[s][at_t] << np.uint64(12) | around, at_t)
-        other = before != own[s][at_s]  # the key of both own codewords is there already
-        add(3 * pair + 2, (before << np.uint64(12) | own[t][at_s])[other], at_s[other])
+        parity = odd[s] << np.uint64(1) | odd[t]
+        other = parity ^ np.uint64(3)
+        if third is None:
+            add(3 * pair + 2, parity[at_t] << np.uint64(24) | own[s][at_t] << np.uint64(12) | around, at_t)
+            add(3 * pair + 2, other[at_s] << np.uint64(24) | before << np.uint64(12) | own[t][at_s], at_s)
+        else:
+            parity, other = parity | odd[third] << np.uint64(2), other | odd[third] << np.uint64(2)
+            word, width = words[t].astype(np.uint64), SEGMENTS[t][1]
+            add(3 * pair + 2, parity[at_s] << np.uint64(30) | before << np.uint64(18) | word[at_s], at_s)
+            flipped = word ^ (np.uint64(1) << np.arange(width, dtype=np.uint64))[:, None]
+            add(3 * pair + 2, (other << np.uint64(30) | own[s] << np.uint64(18) | flipped).ravel(), np.tile(np.arange(len(prints)), width))
     return np.concatenate(keys), np.concatenate(of)
 
 
