@@ -10,7 +10,7 @@ import pytest
 
 from trackforge import plans
 from trackforge.functions import lens
-from trackforge.operators import actions, assignment, ball, evaluate, islands, players, stateful, teams
+from trackforge.operators import actions, assignment, ball, colours, evaluate, islands, players, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.sources import sinks, tables
 
@@ -292,23 +292,69 @@ def test_goalkeepers_and_referees_do_not_pull_teams(spark):
     schema = "m string, id long, half int, t long, x double, colour array<double>, referee boolean"
     rows = made_up_colours(3)
     df = spark.createDataFrame([("m", *r[:6]) for r in rows], schema)
-    found = {r.id: r.team for r in teams.teams_by_colour(df, ["m"]).collect()}
+    found = {r.id: r.team for r in colours.teams_by_colour(df, ["m"]).collect()}
     right = lambda found, chosen: np.mean([found[r[0]] == (-1 if r[6] is None else r[6]) for r in chosen])
     keepers, others = [r for r in rows if r[3] in (3, 53)], [r for r in rows if r[3] not in (3, 53)]
     assert right(found, keepers) == 1 and right(found, others) > 0.98  # the farthest of a team's colours are nobody's
     # without places nobody is known as a goalkeeper; a kit like a team's tells nothing
-    plain = {r.id: r.team for r in teams.teams_by_colour(df.select("m", "id", "colour", "referee"), ["m"]).collect()}
+    plain = {r.id: r.team for r in colours.teams_by_colour(df.select("m", "id", "colour", "referee"), ["m"]).collect()}
     assert right(plain, others) > 0.98
     same = made_up_colours(4, keeper=(40.0, 120.0, 120.0))
-    found = {r.id: r.team for r in teams.teams_by_colour(spark.createDataFrame([("m", *r[:6]) for r in same], schema), ["m"]).collect()}
+    found = {r.id: r.team for r in colours.teams_by_colour(spark.createDataFrame([("m", *r[:6]) for r in same], schema), ["m"]).collect()}
     assert right(found, [r for r in same if r[3] not in (3, 53)]) > 0.98
 
 
-def test_local_fit_is_exact_on_parabolas():
-    x = np.arange(20) * 0.1
-    y = 3 + 2 * x - x**2
-    assert np.allclose(stateful.local_fit(y, 7, 2), y)
-    assert np.allclose(stateful.local_fit(y, 7, 2, 1, 0.1), 2 - 2 * x)
+def made_up_kits(seed, apart):
+    """Goalkeepers who stand in the other half now and then; apart: distance of the two kits."""
+    rng, rows = np.random.default_rng(seed), []
+    shirt = {0: (40.0, 120.0, 120.0), 1: (150.0, 130.0, 125.0)}
+    for i in range(40):
+        for team in (0, 1):
+            for k in range(4):
+                x = rng.uniform(10, 26) + 28 * team
+                rows.append((1, 400 * i, float(x), (np.array(shirt[team]) + rng.normal(0, 3, 3)).tolist(), team))
+            x = (3.0, 53.0)[team if i < 36 else 1 - team]  # at the end they stand at the other goal
+            kit = np.array([90.0, 60.0 + apart * team, 180.0])
+            rows.append((1, 400 * i + 20_000 * (i >= 36), x, (kit + rng.normal(0, 1, 3)).tolist(), team))
+    return [("m", n, *r) for n, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("apart", [60.0, 6.0])
+def test_two_kits_that_differ_tell_goalkeepers_apart(spark, apart):
+    rows = made_up_kits(1, apart)
+    df = spark.createDataFrame([r[:6] for r in rows], "m string, id long, half int, t long, x double, colour array<double>")
+    found = {r.id: r.team for r in colours.teams_by_colour(df, ["m"]).collect()}
+    moved = [r for r in rows if r[3] >= 30_000 and r[4] in (3.0, 53.0)]
+    assert len(moved) == 8
+    by_side = lambda x: 0 if x < 28 else 1
+    assert [found[r[1]] for r in moved] == [r[6] if apart > 15 else by_side(r[4]) for r in moved]
+
+
+def test_nearest_centre_keeps_equal_rows(spark):
+    rows = [(1, 7, [0.0, 0.0]), (1, 7, [9.0, 9.0]), (1, 7, [9.0, 9.0]), (1, 8, None), (2, 9, [1.0, 1.0]), (1, 3, [5.0, None])]
+    centres = [(1, 0, [0.0, 1.0]), (1, 1, [8.0, 9.0]), (1, 2, [8.0, 9.0])]
+    df = spark.createDataFrame(rows, "k int, id int, v array<double>")
+    found = teams.nearest_centre(df, spark.createDataFrame(centres, "k int, team int, v array<double>"), ["k"], "v", "team").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(1, 7, 0, 1.0), (1, 7, 1, 1.0), (1, 7, 1, 1.0), (1, 8, None, None), (2, 9, None, None), (1, 3, None, None)], key=repr)
+
+
+def test_many_keys_are_walked_in_order(spark):
+    """5,000 keys, some of them over several batches, in any order of rows."""
+    rng = random.Random(6)
+    events = {k: sorted(rng.sample(range(10_000), 60_000 // 10 if k == 77 else rng.randint(1, 4))) for k in range(5000)}
+    rows = [(k, t) for k, ts in events.items() for t in ts]
+    rng.shuffle(rows)
+    wanted = []
+    for k, ts in events.items():
+        first, n = None, 0
+        for t in ts:
+            if first is None or t - first >= 500:
+                wanted += [(k, first, n)] if n else []
+                first, n = t, 0
+            n += 1
+        wanted.append((k, first, n))
+    df = spark.createDataFrame(rows, "k int, t long").repartition(5)
+    assert sorted(map(tuple, islands.anchored_merge(df, ["k"], "t", 500).collect())) == sorted(wanted)
 
 
 def test_lenses_return_where_they_came_from():

@@ -74,9 +74,9 @@ def evidence(kickoffs: DataFrame, ball: DataFrame, pitch: Pitch, a: Actions, g:
     return found.select(*EVENT, "frames_near", F.when(~chance, goal_t).alias("seen_t"), F.when(~chance, F.when(F.col("last_x") < pitch.length / 2, "left").otherwise("right")).alias("side"))
 
 
-def raw_sightings(kickoffs: DataFrame, candidates: DataFrame, pitch: Pitch, g: Goals, radius: float = 2.0) -> DataFrame:
+def raw_sightings(kickoffs: DataFrame, candidates: DataFrame, pitch: Pitch, g: Goals) -> DataFrame:
     """For each kick-off whether enough moments have an untracked ball candidate on the spot: raw."""
-    spot = candidates.where(F.hypot(F.col("x") - pitch.length / 2, F.col("y") - pitch.width / 2) <= radius).select(*KEYS, "t").distinct()
+    spot = candidates.where(F.hypot(F.col("x") - pitch.length / 2, F.col("y") - pitch.width / 2) <= g.raw_radius).select(*KEYS, "t").distinct()
     narrow = kickoffs.select(*EVENT, F.lit("narrow").alias("kind"), (F.col("t0") - 3000).alias("from_t"), (F.col("t1") + 1000).alias("to_t"))
     wide = kickoffs.select(*EVENT, F.lit("wide").alias("kind"), (F.col("event") - 8000).alias("from_t"), (F.col("event") + 2000).alias("to_t"))
     counted = interval_join(spot, narrow.union(wide), KEYS, "t", "from_t", "to_t", 10_000).groupBy(*EVENT).agg(F.count_if(F.col("kind") == "narrow").alias("n"), F.count_if(F.col("kind") == "wide").alias("w"))
@@ -104,7 +104,7 @@ def goals(events: DataFrame, ball: DataFrame, candidates: DataFrame, players: Da
     Returns half, kickoff_t, gap_ms to the kick-off before, how (ball, ball (raw), formation), category, goal_t with
     goal_time_is_rough, side, frames_near_goal, scored_by_side, scored_by_kicker, scorer.
     """
-    k = with_starts(merged_kickoffs(events, g), halves, g).persist()  # a few dozen rows for each match, asked four times
+    k = with_starts(merged_kickoffs(events, g), halves, g)  # a few dozen rows for each match; persist events if they are dear
     k = k.join(evidence(k, ball, pitch, a, g), EVENT, "left").join(raw_sightings(k, candidates, pitch, g), EVENT, "left").join(kickers(k, players, pitch), EVENT, "left")
     k = k.join(directions.where("team = 0").select(*KEYS, F.col("right").alias("_first_right")), KEYS, "left")
     shown, near, raw = F.col("seen_t").isNotNull(), F.coalesce("frames_near", F.lit(0)), F.coalesce("raw", F.lit(False))

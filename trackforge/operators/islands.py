@@ -9,12 +9,11 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.operators.grouping import grouped
+from trackforge.operators.grouping import walked
 
 
 def ordered(keys: list[str], *order: str):
@@ -124,13 +123,13 @@ def merged_sessions(sessions: DataFrame, keys: list[str], gap_ms: int) -> DataFr
 def anchored_merge(df: DataFrame, keys: list[str], t: str, within_ms: int) -> DataFrame:
     """Events merged into the first of their group while less than within_ms after that first: keys, t, n."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        times, firsts = np.sort(rows[t].to_numpy()), [0]
+    def run(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        times, firsts = rows[t], [0]
         while (after := int(np.searchsorted(times, times[firsts[-1]] + within_ms))) < len(times):
             firsts.append(after)
-        return pd.DataFrame({t: times[firsts], "n": np.diff([*firsts, len(times)])})
+        return {t: times[firsts], "n": np.diff([*firsts, len(times)])}
 
-    return grouped(df.select(*keys, t).where(F.col(t).isNotNull()), keys, run, [(t, df.schema[t].dataType), ("n", T.LongType())])
+    return walked(df.select(*keys, t).where(F.col(t).isNotNull()), keys, [t], run, [(t, df.schema[t].dataType), ("n", T.LongType())])
 
 
 def spaced(df: DataFrame, keys: list[str], t: str, apart_ms: int) -> DataFrame:
@@ -142,19 +141,19 @@ def spaced_by_rank(df: DataFrame, keys: list[str], t: str, rank: list[Column], a
     """Greedy choice by rank: an event is kept if no kept one is nearer than apart_ms in time."""
     places = [f"r{i}" for i in range(len(rank))]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: dict[str, np.ndarray]) -> dict[str, list]:
         kept, chosen = [], []
-        for x in rows.sort_values([*places, t])[t].tolist():
+        for x in rows[t].tolist():
             at = bisect.bisect_left(kept, x)
             if all(abs(y - x) >= apart_ms for y in kept[max(0, at - 1) : at + 1]):
                 kept.insert(at, x)
                 chosen.append(x)
                 if len(chosen) == most:
                     break
-        return pd.DataFrame({t: chosen})
+        return {t: chosen}
 
     ranked = df.select(*keys, *(c.alias(n) for c, n in zip(rank, places, strict=True)), t)
-    return grouped(ranked, keys, run, [(t, df.schema[t].dataType)])
+    return walked(ranked, keys, [*(F.col(n).asc_nulls_last() for n in places), t], run, [(t, df.schema[t].dataType)])
 
 
 def half_starts(df: DataFrame, keys: list[str], t: str, window_ms: int) -> DataFrame:

@@ -20,9 +20,9 @@ def ball_on_spot(ball: DataFrame, keys: list[str], t: str, pitch: Pitch, radius:
 def formation_frames(players: DataFrame, keys: list[str], pitch: Pitch, line: float = 0.5, least_side: int = 3, most_centre: int = 2, most_difference: int = 3, least_players: int = 8) -> DataFrame:
     """Frames (keys) in which both teams stand in their halves with at most most_centre players in the circle."""
     middle = pitch.length / 2
-    centre = F.hypot(F.col("x") - middle, F.col("y") - pitch.width / 2) <= pitch.centre_radius
+    centre = F.hypot(F.col("x") - middle, F.col("y") - pitch.width / 2) < pitch.centre_radius
     left, right = F.count_if(~centre & (F.col("x") < middle)), F.count_if(~centre & (F.col("x") > middle))
-    on_line = F.count_if(~centre & (F.abs(F.col("x") - middle) <= line))
+    on_line = F.count_if(~centre & (F.abs(F.col("x") - middle) < line))
     f = players.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(centre).alias("centre"), left.alias("l"), right.alias("r"), on_line.alias("on_line"))
     return f.where((F.col("n") >= least_players) & (F.col("centre") <= most_centre) & (F.col("on_line") == 0) & (F.col("l") >= least_side) & (F.col("r") >= least_side) & (F.abs(F.col("l") - F.col("r")) <= most_difference))
 

@@ -124,8 +124,8 @@ def chamfer(points: DataFrame, keys: list[str], x: str, y: str, left: Column, ri
     left and right give the frame in which a row is looked from and looked at. Rows are numbered by their positions, so
     that the numbers are the same if they are computed again.
     """
-    number = F.row_number().over(Window.partitionBy(*keys, left).orderBy(x, y))
-    a = points.select(*keys, left.alias(name), number.alias("_i"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = points.select(*keys, right.alias(name), F.col(x).alias("bx"), F.col(y).alias("by"))
+    number = F.row_number().over(Window.partitionBy(*keys, name).orderBy("ax", "ay"))
+    a = points.select(*keys, left.alias(name), F.col(x).alias("ax"), F.col(y).alias("ay")).where(F.col(name).isNotNull()).withColumn("_i", number)
+    b = points.select(*keys, right.alias(name), F.col(x).alias("bx"), F.col(y).alias("by")).where(F.col(name).isNotNull())
     d = a.join(b, [*keys, name]).groupBy(*keys, name, "_i").agg(F.min(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("d"))
     return d.groupBy(*keys, name).agg(F.median("d").alias("calm"))

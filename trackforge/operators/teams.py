@@ -1,153 +1,15 @@
-"""Which team a player belongs to: centres, discriminants, sides, numbers in a frame."""
+"""Which team a player belongs to: centres, discriminants, sides, numbers in a frame. By colours alone: colours.py."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackforge.operators.grouping import grouped
-from trackforge.params import Pitch
-
-
-def two_means(x: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Two centres and the nearer one of each row; starts from the ends of the widest direction, so it is reproducible."""
-    off = x - x.mean(0)
-    _, _, axes = np.linalg.svd(off, full_matrices=False)
-    side = (off @ axes[0] > 0).astype(int)
-    for _ in range(rounds):
-        if not 0 < side.sum() < len(side):
-            break
-        centres = np.stack([x[side == i].mean(0) for i in (0, 1)])
-        new = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(1)
-        if (new == side).all():
-            break
-        side = new
-    centres = np.stack([x[side == i].mean(0) if (side == i).any() else x.mean(0) for i in (0, 1)])
-    if centres[0, 0] > centres[1, 0]:  # the darker one is team 0
-        centres, side = centres[::-1], 1 - side
-    return centres, side
-
-
-def median_centre(x: np.ndarray, spread: float, least: float) -> tuple[np.ndarray, float]:
-    """Median of rows, and how far from it a row still belongs to them."""
-    centre = np.median(x, axis=0)
-    return centre, max(spread * float(np.median(np.linalg.norm(x - centre, axis=1))), least)
-
-
-def to_nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each row to its nearest centre, and which one that is."""
-    d = np.linalg.norm(x[:, None] - centres[None], axis=2)
-    return d.min(1), d.argmin(1)
-
-
-@dataclass(frozen=True)
-class Colours:
-    """What tells teams, goalkeepers and referees apart by colour. Distances are those of the colour space."""
-
-    outlier: float = 2.5  # medians of the distance to a team's centre beyond which a colour is nobody's
-    least_limit: float = 15.0
-    kit_radius: float = 22.0  # from a goalkeeper's kit
-    kit_share: float = 0.6  # of the distance to a team: clearly a goalkeeper below it
-    most_keepers: float = 0.30
-    referee_limit: float = 20.0
-    referee_share: float = 0.5
-    most_referees: float = 0.10
-    least_referees: int = 20
-    rounds: int = 3
-    start_s: float = 15.0
-    zone: float = 7.0
-    least_frames: int = 5
-
-
-UNKNOWN, KEEPER, REFEREE = -1, -2, -3
-
-
-def colour_roles(colour: np.ndarray, referee: np.ndarray, kits: np.ndarray, p: Colours) -> tuple[np.ndarray, np.ndarray]:
-    """For each row team 0 (darker) or 1, UNKNOWN, KEEPER or REFEREE, and the two centres. kits: colours of goalkeepers.
-
-    Centres and goalkeepers depend on each other, so they are found in turn. A kit, or a referee's colour, that too many
-    players wear tells nothing and is left aside.
-    """
-    player = ~referee
-    cap = lambda found, most: found if found.sum() <= most * max(1, player.sum()) else np.zeros(len(found), bool)
-    from_kit = to_nearest(colour, kits)[0] if len(kits) else np.full(len(colour), np.inf)
-    suspects = cap(player & (from_kit <= p.kit_radius), p.most_keepers)
-    from_referee, limit = np.full(len(colour), np.inf), 0.0
-    if referee.sum() >= p.least_referees:
-        centre, limit = median_centre(colour[referee], p.outlier, p.least_limit)
-        limit = min(limit, p.referee_limit)
-        from_referee = np.linalg.norm(colour - centre, axis=1)
-
-    def fitted(keepers: np.ndarray) -> np.ndarray:
-        sample = player & ~keepers & (from_referee > limit)
-        return two_means(colour[sample if sample.any() else player])[0]
-
-    keepers, settled = suspects, False
-    for _ in range(p.rounds):
-        centres = fitted(keepers)
-        clear = suspects & (from_kit < p.kit_share * to_nearest(colour, centres)[0])
-        settled = bool((clear == keepers).all())
-        if settled:
-            break
-        keepers = clear
-    keepers = cap(keepers, p.most_keepers)
-    if not settled or not keepers.any():
-        centres = fitted(keepers)
-    away, side = to_nearest(colour, centres)
-    own = player & ~keepers & (from_referee > limit)
-    limits = [max(p.outlier * float(np.median(away[own & (side == i)])), p.least_limit) if (own & (side == i)).any() else p.least_limit for i in (0, 1)]
-    out = np.where(away > np.take(limits, side), UNKNOWN, side)
-    out[cap(player & ~keepers & (from_referee <= limit) & (from_referee < p.referee_share * away), p.most_referees) | referee] = REFEREE
-    out[keepers] = KEEPER
-    return out, centres
-
-
-def starting_kits(rows: pd.DataFrame, length: float, p: Colours) -> dict[tuple[int, str], np.ndarray]:
-    """Colours of the players that stand outermost, near each goal, in the first seconds of each half. Rows: half, t, x, colour."""
-    out = {}
-    for half, of_half in rows.groupby("half"):
-        early = of_half[of_half.t <= of_half.t.min() + 1000 * p.start_s]
-        for side, pick, near in (("left", "idxmin", early.x < p.zone), ("right", "idxmax", early.x > length - p.zone)):
-            ends = early.loc[getattr(early.groupby("t").x, pick)()] if len(early) else early
-            ends = ends[near.loc[ends.index]]
-            if len(ends) >= p.least_frames:
-                out[half, side] = np.median(np.stack(ends.colour.to_numpy()).astype(float), axis=0)
-    return out
-
-
-def teams_by_colour(df: DataFrame, keys: list[str], p: Colours = Colours(), length: float = Pitch().length) -> DataFrame:
-    """Team 0 (darker), 1, or -1 for colours far from both. Rows: id, colour (array). One group is one match's sample.
-
-    With half, t (ms) and x as well, goalkeepers are told apart by the kits that stand near the goals when a half begins;
-    their team is the one that stands in that half of the pitch then. With referee (boolean), players in the referees'
-    colour get no team, nor do referees.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        colour = np.stack(rows.colour.to_numpy()).astype(float)
-        referee = rows.referee.fillna(False).to_numpy(bool) if "referee" in rows else np.zeros(len(rows), bool)
-        placed = {"half", "t", "x"} <= set(rows.columns)
-        kits = starting_kits(rows[~referee], length, p) if placed else {}
-        team, _ = colour_roles(colour, referee, np.stack(list(kits.values())) if kits else np.zeros((0, colour.shape[1])), p)
-        if (team == KEEPER).any():
-            early = rows.t <= rows.groupby("half").t.transform("min") + 1000 * p.start_s
-            middle = (rows.x - length / 2).abs().between(1, length / 2 - p.zone - 1, inclusive="neither")
-            known = rows.assign(team=team, left=rows.x < length / 2)[early & middle & (team >= 0)]
-            defends = known.groupby(["half", "left"]).team.agg(lambda x: int(x.mode().iloc[0])).to_dict()
-            at = np.flatnonzero(team == KEEPER)
-            team[at] = [defends.get((h, x < length / 2), UNKNOWN) for h, x in zip(rows.half[at], rows.x[at], strict=True)]
-        return pd.DataFrame({"id": rows.id.to_numpy(), "team": np.where(team < 0, UNKNOWN, team).astype("int32")})
-
-    return grouped(df, keys, run, [("id", df.schema["id"].dataType), ("team", T.IntegerType())])
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -157,13 +19,21 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(placed, lambda p: p["_x"]).alias(vector))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays; null if one is null or holds nulls."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
 def nearest_centre(df: DataFrame, centres: DataFrame, keys: list[str], vector: str, label: str) -> DataFrame:
-    """Each row with the label of the nearest of its key's centres (arrays); ties to the smaller label."""
-    c = centres.select(*keys, F.col(label).alias("_l"), F.col(vector).alias("_c"))
-    d = F.aggregate(F.zip_with(F.col(vector), F.col("_c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = df.join(c, keys).withColumn("_d", F.sqrt(d))
-    ids = [x for x in df.columns if x != vector]
-    return near.groupBy(*ids).agg(F.min(F.struct("_d", "_l")).alias("_b")).select(*ids, F.col("_b._l").alias("predicted"), F.col("_b._d").alias("distance"))
+    """Each row of df, without its vector, with the label of the nearest of its key's centres (arrays); ties to the smaller label.
+
+    A key has few centres, so they are one array that rows are joined with once. Rows without a vector, or without a
+    centre, get null.
+    """
+    listed = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(vector).alias("c")))).alias("_c"))
+    measured = F.transform("_c", lambda c: F.struct(distance(F.col(vector), c["c"]).alias("d"), c["l"].alias("l")))
+    near = df.join(listed, keys, "left").withColumn("_b", F.array_min(F.filter(measured, lambda x: x["d"].isNotNull())))
+    return near.select(*(c for c in df.columns if c != vector), F.col("_b.l").alias("predicted"), F.col("_b.d").alias("distance"))
 
 
 def discriminant(means: list[np.ndarray], covariances: list[np.ndarray], counts: list[int], shrink: float = 0.3) -> tuple[np.ndarray, float]:

@@ -126,6 +126,7 @@ class Goals:
     net_gap_s: float = 6.0
     raw_frames: int = 6
     raw_wide_frames: int = 10
+    raw_radius: float = 1.5
     check_frames: int = 10
     late_frames: int = 4
     rough_s: float = 15.0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
-from trackforge.operators import ball, evaluate, islands, players, sampling, stateful, teams
+from trackforge.operators import ball, colours, evaluate, islands, players, sampling, smoothing, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.islands import KEYS, SEQUENCES, sequences
@@ -114,8 +114,10 @@ def st12_linear_discriminant(spark, sf_dir):
 
 @query()
 def st08_teams_by_colour(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((C("label") % 5).alias("match_id"), C("vec_id").alias("id"), C("embedding").cast("array<double>").alias("colour")).where("colour is not null")
-    return teams.teams_by_colour(e, ["match_id"])
+    n = C("vec_id")
+    place = [(n % 2 + 1).alias("half"), (n % 97 * 250).alias("t"), (n * 7 % 57).cast("double").alias("x"), (n % 19 == 0).alias("referee")]
+    e = table(spark, sf_dir, "embeddings").select((C("label") % 5).alias("match_id"), n.alias("id"), C("embedding").cast("array<double>").alias("colour"), *place).where("colour is not null")
+    return colours.teams_by_colour(e, ["match_id"], colours.Colours(least_limit=0.5, kit_radius=0.9, referee_limit=0.9, kit_distance=0.2, least_frames=2))
 
 
 @query(""" SELECT match_id, frame, CASE WHEN x < 28 THEN CAST(match_id % 2 AS INT) ELSE 1 - CAST(match_id % 2 AS INT) END AS keeper_team FROM frames WHERE kind = 'purchase'""")
@@ -325,12 +327,13 @@ def st03_st04_st06_player_tracks(spark, sf_dir):
 @query()
 def wn09_smoothed_tracks(spark, sf_dir):
     f = frames(spark, sf_dir).where("x is not null").select("match_id", (F.floor(C("t") / 36000)).alias("t"), "x", "y")
-    return stateful.smooth_tracks(f, ["match_id"], 60.0, Tracks(smooth_s=600.0, interpolate_s=3000.0, top_speed=0.5))
+    return smoothing.smooth_tracks(f, ["match_id"], 60.0, Tracks(smooth_s=600.0, interpolate_s=3000.0, top_speed=0.5))
 
 
 @query()
 def wn08_steady_tracks(spark, sf_dir):
-    return stateful.steady_tracks(frames(spark, sf_dir).where("x is not null").select("match_id", "t", "x", "y"), ["match_id"], 2.0, 1.5, 10.0)
+    how = smoothing.Steady(base_s=2.0, dead=1.5, brisk=8.0, fast=20.0)
+    return smoothing.steady_tracks(frames(spark, sf_dir).select("match_id", "t", "x", "y"), ["match_id"], 1.0, how)
 
 
 @query()

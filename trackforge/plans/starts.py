@@ -21,8 +21,8 @@ def st10_ball_on_spot(spark, sf_dir):
     return found.select(*KEYS, "frame", r6(C("moved")).alias("moved"))
 
 
-@query(""", p AS (SELECT match_id % 16 AS m, t // 86400000 AS d, x, y, sqrt(power(x - 28, 2) + power(y - 16.18::DOUBLE, 2)) <= 4.75 AS c FROM frames WHERE x IS NOT NULL),
-f AS (SELECT m, d, count(*) AS n, count(*) FILTER (c) AS centre, count(*) FILTER (NOT c AND x < 28) AS l, count(*) FILTER (NOT c AND x > 28) AS r, count(*) FILTER (NOT c AND abs(x - 28) <= 0.5) AS on_line FROM p GROUP BY 1, 2)
+@query(""", p AS (SELECT match_id % 16 AS m, t // 86400000 AS d, x, y, sqrt(power(x - 28, 2) + power(y - 16.18::DOUBLE, 2)) < 4.75 AS c FROM frames WHERE x IS NOT NULL),
+f AS (SELECT m, d, count(*) AS n, count(*) FILTER (c) AS centre, count(*) FILTER (NOT c AND x < 28) AS l, count(*) FILTER (NOT c AND x > 28) AS r, count(*) FILTER (NOT c AND abs(x - 28) < 0.5) AS on_line FROM p GROUP BY 1, 2)
 SELECT * FROM f WHERE n >= 8 AND centre <= 2 AND on_line = 0 AND l >= 3 AND r >= 3 AND abs(l - r) <= 3""")
 def st10_formation_frames(spark, sf_dir):
     p = frames(spark, sf_dir).where("x is not null").select((C("match_id") % 16).alias("m"), F.floor(C("t") / (24 * HOUR)).alias("d"), "x", "y")
