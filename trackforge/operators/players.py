@@ -50,6 +50,7 @@ class Seen:
 
     @classmethod
     def of(cls, rows: pd.DataFrame, pitch: Pitch, p: Tracks) -> "Seen":
+        """Rows in order: t (ms), x, y, team, keeper."""
         t, x, y = rows.t.to_numpy(float) / 1000, rows.x.to_numpy(float), rows.y.to_numpy(float)
         frames = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)) if len(t) else np.zeros(1, int)
         team = pd.array(rows.team, "Int32").fillna(UNKNOWN).to_numpy(int)
@@ -65,12 +66,12 @@ class Pieces:
 
     def __init__(self, p: Tracks) -> None:
         self.p, self.made = p, 0
-        self.number, self.last, self.count = (np.zeros(0, int) for _ in range(3))  # last: number of the latest detection
+        self.number, self.count, self.bench = np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)  # bench: of the latest detection
         self.t, self.place_var, self.speed_var, self.cov = (np.zeros(0) for _ in range(4))
         self.mean, self.votes, self.keeper = np.zeros((0, 4)), np.zeros((0, 2), int), np.zeros(0, int)
-        self.first_vote = np.zeros(0, int)
+        self.first_vote, self.began = np.zeros(0, int), np.zeros(0)
 
-    FIELDS = ("number", "last", "count", "t", "place_var", "speed_var", "cov", "mean", "votes", "keeper", "first_vote")
+    FIELDS = ("number", "bench", "count", "t", "place_var", "speed_var", "cov", "mean", "votes", "keeper", "first_vote", "began")
 
     def keep(self, chosen: np.ndarray) -> None:
         for f in self.FIELDS:
@@ -93,8 +94,8 @@ class Pieces:
         self.made += n
         still = np.zeros(n)
         new = {
-            "number": number, "last": at, "count": np.ones(n, int), "t": seen.t[at], "place_var": np.full(n, self.p.noise**2), "speed_var": np.full(n, 25.0), "cov": still,
-            "mean": np.stack([seen.x[at], seen.y[at], still, still], 1), "votes": ((seen.team[at, None] == [0, 1]) & known[:, None]).astype(int), "keeper": seen.keeper[at].astype(int), "first_vote": seen.team[at],
+            "number": number, "bench": seen.bench[at], "count": np.ones(n, int), "t": seen.t[at], "place_var": np.full(n, self.p.noise**2), "speed_var": np.full(n, 25.0), "cov": still,
+            "mean": np.stack([seen.x[at], seen.y[at], still, still], 1), "votes": ((seen.team[at, None] == [0, 1]) & known[:, None]).astype(int), "keeper": seen.keeper[at].astype(int), "first_vote": seen.team[at], "began": seen.t[at],
         }
         for f in self.FIELDS:
             setattr(self, f, np.concatenate([getattr(self, f), new[f]]))
@@ -119,7 +120,7 @@ class Pieces:
         speed *= (p.top_speed / np.maximum(pace, p.top_speed))[:, None]
         self.mean[rows] = np.concatenate([ahead + trust[:, None] * off, speed], 1)
         self.place_var[rows], self.cov[rows], self.speed_var[rows] = (1 - trust) * place_var, (1 - trust) * cov, speed_var - pull * cov
-        self.t[rows], self.last[rows] = seen.t[at], at
+        self.t[rows], self.bench[rows] = seen.t[at], seen.bench[at]
         self.count[rows] += 1
         self.keeper[rows] += seen.keeper[at]
         known = seen.team[at] >= 0
@@ -134,26 +135,37 @@ class Pieces:
         share, keeper = self.keeper / np.maximum(self.count, 1), seen.keeper[at]
         price = away + (0.3 * age - 0.3 * self.settled)[:, None] + 2.0 * opposed(self.team[:, None], seen.team[at])
         price += np.where(keeper, 2.0 * (share < 0.3)[:, None], 1.0 * ((share > 0.7) & (self.count > 15))[:, None])
-        changed = (age > p.change_s)[:, None] & seen.bench[self.last][:, None] & seen.bench[at]
+        changed = (age > p.change_s)[:, None] & self.bench[:, None] & seen.bench[at]
         return np.where(changed | (away > np.minimum(p.gate + p.gate_speed * age, p.gate_most)[:, None]), FORBIDDEN, price)
 
 
-def followed(seen: Seen, p: Tracks) -> np.ndarray:
-    """The piece of each detection, UNKNOWN for those of none that has enough."""
-    piece, live = np.full(len(seen.t), UNKNOWN), Pieces(p)
-    for a, b in zip(seen.frames[:-1].tolist(), seen.frames[1:].tolist(), strict=True):
-        at, t = np.arange(a, b), seen.t[a]
-        live.keep(t - live.t <= np.where(live.settled, p.lost_s, p.tentative_s))
-        price = live.prices(seen, at, t)
+    def overdue(self, t: float) -> np.ndarray:
+        """Which pieces haven't been seen for too long at t."""
+        return t - self.t > np.where(self.settled, self.p.lost_s, self.p.tentative_s)
+
+    def take(self, seen: Seen, a: int, b: int) -> np.ndarray:
+        """The piece of each detection of a frame, seen[a:b]; UNKNOWN for doubles of players just seen."""
+        p, at, t = self.p, np.arange(a, b), seen.t[a]
+        piece = np.full(b - a, UNKNOWN)
+        price = self.prices(seen, at, t)
         pairs = np.array([(i, j) for i, j in cheapest_assignment(price) if price[i, j] < FORBIDDEN], int).reshape(-1, 2)
         rows, columns = pairs.T
-        live.write(rows, seen, at[columns])
-        piece[at[columns]] = live.number[rows]
+        self.write(rows, seen, at[columns])
+        piece[columns] = self.number[rows]
         rest = np.delete(at, columns)
         # what lies next to a player who has just been seen is that player again
-        double = (np.hypot(seen.x[rest, None] - seen.x[at[columns]], seen.y[rest, None] - seen.y[at[columns]]) < p.double_distance) & ~opposed(seen.team[rest, None], live.team[rows])
+        double = (np.hypot(seen.x[rest, None] - seen.x[at[columns]], seen.y[rest, None] - seen.y[at[columns]]) < p.double_distance) & ~opposed(seen.team[rest, None], self.team[rows])
         rest = rest[~double.any(1)]
-        piece[rest] = live.begin(seen, rest)
+        piece[rest - a] = self.begin(seen, rest)
+        return piece
+
+
+def followed(seen: Seen, p: Tracks) -> np.ndarray:
+    """The piece of each detection, UNKNOWN for those of none that has enough."""
+    piece, live = np.full(len(seen.t), UNKNOWN), Pieces(p)
+    for a, b in zip(seen.frames[:-1].tolist(), seen.frames[1:].tolist(), strict=True):
+        live.keep(~live.overdue(seen.t[a]))
+        piece[a:b] = live.take(seen, a, b)
     enough = np.bincount(piece[piece >= 0], minlength=live.made + 1) >= p.hits
     return np.where(enough[piece], piece, UNKNOWN)
 
