@@ -7,9 +7,9 @@ import numpy as np
 import pandas as pd
 
 from tests.test_streaming import START, at, stream
-from trackforge.operators import players
-from trackforge.params import Pitch, Tracks
-from trackforge.streaming import online, tracks
+from trackforge.operators import clean, players, stateful
+from trackforge.params import Pitch, Possession, Tracks
+from trackforge.streaming import online, possession, tracks
 
 P, PITCH = Tracks(), Pitch()
 
@@ -65,3 +65,88 @@ def test_pieces_online_as_in_batch(spark, tmp_path):
         pieces = players.Stretches.of(seen, players.grouped_by(piece))
         summary = sorted((int(piece[x[0]]), int(frame.t[x[0]]), int(frame.t[x[-1]]), len(x), None if m < 0 else m, round(k, 9)) for x, m, k in zip(pieces.at, pieces.team.tolist(), pieces.keeper_share, strict=True))
         assert sorted((r.piece, r.t0, r.t, r.n, r.team, round(r.keeper_share, 9)) for r in mine if r.what == "piece") == summary
+
+
+def played(seed):
+    """Frames of a match: the ball moves, lies still, goes out for short and for long, isn't seen; halves end in the middle."""
+    rng = random.Random(seed)
+    rows, t, x, y, mode, until = [], 0, 28.0, 16.0, "move", 0
+    for i in range(1500):
+        half = 1 if i < 700 else 2
+        t += rng.choice([66, 67, 67, 67, 133, 1200]) if rng.random() < 0.1 else 67
+        if i == 700:
+            t += 900_000
+        if t >= until:
+            mode, until = rng.choice(["move", "move", "still", "out", "hidden"]), t + rng.choice([300, 900, 1500, 4000])
+            if mode == "out":
+                x = -2.5 if rng.random() < 0.5 else 60.0
+            elif x < 0 or x > 56:
+                x, y = 28.0, 16.0
+        if mode == "move":
+            x, y = min(max(x + rng.uniform(-0.5, 0.5), 0), 56), min(max(y + rng.uniform(-0.5, 0.5), 0), 32)
+        jitter = rng.uniform(-0.45, 0.45)
+        hidden = mode == "hidden" or rng.random() < 0.03
+        rows.append((half, i, t, None if hidden else x + jitter, None if hidden else y, rng.choice([0, 1, None, 0 if (t // 3000) % 2 else 1])))
+    return rows
+
+
+def batch_states(rows, p, pitch):
+    """out and still of each frame by the batch operators' rules, in plain form."""
+    out = [False] * len(rows)
+    for half in (1, 2):
+        at = [i for i, r in enumerate(rows) if r[0] == half]
+        run = None
+        for n, i in enumerate(at):
+            _, _, t, x, y, _ = rows[i]
+            beyond = None if x is None else x < -p.out_margin or x > pitch.length + p.out_margin or y < -p.out_margin or y > pitch.width + p.out_margin
+            if run is None and beyond:
+                run = i
+            if run is not None and (beyond is False or n == len(at) - 1):
+                inside = beyond is False
+                if t - rows[run][2] >= 1000 * p.out_min_s:
+                    for k in range(run, i if inside else i + 1):
+                        out[k] = True
+                run = None
+    known = [i for i, r in enumerate(rows) if r[3] is not None]
+    t, half, x, y = (np.array([rows[i][c] for i in known], float) for c in (2, 0, 3, 4))
+    still = np.zeros(len(rows), bool)
+    still[known] = stateful.still_rows(t, half, x, y, 1000 * p.still_s, p.still_radius, 1000)
+    return out, still.tolist()
+
+
+def test_states_of_the_ball_as_in_batch():
+    p = Possession()
+    counts = np.zeros(2, int)
+    for seed in range(12):
+        rows = played(seed)
+        states, got = possession.BallStates(p, PITCH), []
+        for n, r in enumerate(rows):
+            if n % 97 == 0:
+                states = possession.BallStates.loaded(states.saved(), p, PITCH)
+            states.add(possession.Frame(*r))
+            got += states.decided()
+            assert len(states.waiting) < 120
+        states.end()
+        got += states.decided()
+        out, still = batch_states(rows, p, PITCH)
+        assert [r.frame for r in got] == [r[1] for r in rows]
+        assert [r.out for r in got] == out and [r.still for r in got] == still
+        counts += [sum(out), sum(still)]
+    assert counts.min() > 300
+
+
+def test_possession_online_as_in_batch(spark, tmp_path):
+    p, rows = Possession(), {m: played(seed) for m, seed in (("a", 31), ("b", 32))}
+    stamped = [(m, at(r[2] / 1000), *r) for m, frames in rows.items() for r in frames]
+    batches = shuffled_batches(stamped, lambda r: (r[1] - START).total_seconds(), 7, 1.5, 5)
+    batches += [[("end", at(90_000), 1, 0, 0, 0.0, 0.0, None)], [("end", at(90_001), 1, 1, 1, 0.0, 0.0, None)]]
+    schema = "match_id string, ts timestamp, half int, frame long, t long, x double, y double, controller int"
+    found = online.drained(possession.ordered_possession(stream(spark, tmp_path, batches, schema), "match_id", "ts", "2 seconds", p), str(tmp_path / "out")).where("match_id <> 'end'")
+    wanted = []
+    for m, frames in rows.items():
+        out, still = batch_states(frames, p, PITCH)
+        machines = {1: stateful.PossessionState(p), 2: stateful.PossessionState(p)}
+        for r, o, s in zip(frames, out, still, strict=True):
+            wanted.append((m, r[0], r[1], o, s, *machines[r[0]].step(r[2], o or s, r[3] is not None, r[5])))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    assert {r[6] for r in wanted} == {None, 0, 1}
