@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.test_streaming import START, at, stream
 from trackforge.operators import clean, players, stateful
@@ -150,3 +151,24 @@ def test_possession_online_as_in_batch(spark, tmp_path):
             wanted.append((m, r[0], r[1], o, s, *machines[r[0]].step(r[2], o or s, r[3] is not None, r[5])))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
     assert {r[6] for r in wanted} == {None, 0, 1}
+
+
+def test_duplicates_online_as_in_batch(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [("m", at(s), n, rng.choice(["top", "low"]), rng.uniform(0, 9), rng.uniform(0, 9), rng.random()) for s in range(40) for n in range(12)]
+    schema = "match_id string, ts timestamp, id int, cam string, x double, y double, quality double"
+    batches = shuffled_batches(rows, lambda r: (r[1] - START).total_seconds(), 6, 3, 2) + [[("m", at(900), 0, "top", 0.0, 0.0, 0.5)], [("m", at(901), 0, "top", 0.0, 0.0, 0.5)]]
+    clash = lambda a, b: (a["cam"] != b["cam"]) & clean.near(a, b, 2.5)
+    found = online.drained(online.without_clashes(stream(spark, tmp_path, batches, schema), ["match_id"], "ts", "4 seconds", ["quality"], "id", clash), str(tmp_path / "out"))
+    wanted = clean.greedy_keep(spark.createDataFrame(rows, schema), ["match_id", "ts"], ["quality"], "id", clash)
+    assert sorted((r.ts, r.id) for r in found.collect() if r.ts < at(900)) == sorted((r.ts, r.id) for r in wanted.collect())
+    assert wanted.count() < len(rows)
+
+
+def test_pieces_of_the_query_equal_the_batch(spark):
+    from trackforge import plans
+
+    folder = "/root/testdata/sf0.01"
+    one = plans.QUERIES["streaming_pieces"](spark, folder).groupBy("match_id", "half", "piece").count()
+    other = plans.QUERIES["st03_st04_st06_player_tracks"](spark, folder).groupBy("match_id", "half", F.col("track").alias("piece")).count()
+    assert one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0 and one.count() > 0

@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackforge.params import Possession
+from trackforge.operators.clean import near
+from trackforge.params import Possession, Tracks
 from trackforge.plans.catalog import ORACLES, query, r6
 from trackforge.plans.decisions import st01_possession
-from trackforge.recast import table
-from trackforge.streaming import online
+from trackforge.plans.measures import flt02_two_lens_duplicates
+from trackforge.recast import frames_of, table
+from trackforge.streaming import online, possession, tracks
 
 C = F.col
 
@@ -57,4 +59,34 @@ def streaming_possession(spark, sf_dir):
     return online.drained(online.online_possession(rows, "match_id", Possession(switch_s=14400, reset_s=72000)), folder(spark))
 
 
+def frames(spark, sf_dir):
+    """The frames of recast.frames as a stream, with their event time."""
+    return frames_of(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+@query()
+def streaming_duplicates(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("x is not null").select(F.floor(C("t") / 3_600_000).alias("moment"), C("value").alias("quality"), C("frame").alias("id"), (C("match_id") % 2).alias("cam"), "x", "y")
+    rows = rows.withColumn("ts", F.timestamp_seconds(C("moment") * 3600))
+    kept = online.without_clashes(rows, ["moment"], "ts", "1 hour", ["quality", "id"], "id", lambda a, b: (a["cam"] != b["cam"]) & near(a, b, 12.5))
+    return online.drained(kept, folder(spark), "complete").select("moment", "id")
+
+
+@query()
+def streaming_pieces(spark, sf_dir):
+    f = frames(spark, sf_dir).where("x is not null")
+    d = f.select((C("match_id") % 16).alias("match_id"), "half", (F.floor(C("t") / 7_200_000) * 100).alias("t"), "x", "y", "team", (C("value") > 200).alias("keeper"))
+    pieces = tracks.online_pieces(d.withColumn("ts", F.timestamp_millis("t")), ["match_id", "half"], "ts", "0 seconds", Tracks())
+    return online.drained(pieces, folder(spark)).where("what = 'detection'").select("match_id", "half", "piece", "t", "x", "y")
+
+
+@query()
+def streaming_ordered_possession(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("x", F.when(C("seen") == "o", -20.0).otherwise(C("x")))
+    rows = f.select("match_id", F.timestamp_millis("t").alias("ts"), "half", "frame", "t", "x", "y", C("team").alias("controller"))
+    p = Possession(switch_s=14400, reset_s=72000, out_min_s=7200, still_s=21600, still_radius=12.0)
+    return online.drained(possession.ordered_possession(rows, "match_id", "ts", "0 seconds", p, idle_s=0.0), folder(spark))
+
+
+ORACLES["streaming_duplicates"] = ORACLES[flt02_two_lens_duplicates.__name__]
 ORACLES["streaming_possession"] = ORACLES[st01_possession.__name__].replace("SELECT match_id, half, frame, ctl", "SELECT match_id, frame, ctl")

@@ -17,9 +17,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     seen: "i" inside, "o" outside, null for unseen; unseen frames have no position.
     """
+    return frames_of(table(spark, sf_dir, "events"))
+
+
+def frames_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     known = kind != "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("match_id"),
         F.col("event_id").alias("frame"),
         F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("t"),

@@ -6,7 +6,7 @@ Late rows beyond the watermark are dropped; windows align to the epoch, not to a
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackforge.operators.ball import BallFollower, followed
+from trackforge.operators.clean import greedy_keep
 from trackforge.operators.stateful import PossessionState
 from trackforge.params import Ball, Possession
 
@@ -38,6 +39,11 @@ def without_repeats(stream: DataFrame, keys: list[str], ts: str, late: str) -> D
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def without_clashes(stream: DataFrame, keys: list[str], ts: str, late: str, rank: list[str], item: str, clash: Callable) -> DataFrame:
+    """clean.greedy_keep on a stream: a frame's rows, those of equal keys and ts, are held until the watermark has passed ts."""
+    return greedy_keep(stream.withWatermark(ts, late), [*keys, ts], rank, item, clash)
+
+
 def online_possession(stream: DataFrame, key: str, p: Possession = Possession()) -> DataFrame:
     """The possession machine on a stream of frames: key, frame, t, half, dead, ball, controller.
 
