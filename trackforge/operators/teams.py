@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """The mean of each key's vectors, element by element."""
-    means = df.select(*keys, F.posexplode(vector).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.avg("_x").alias("_x"))
+def by_element(df: DataFrame, keys: list[str], vector: str, summary: Callable[[str], Column]) -> DataFrame:
+    """A summary of each key's vectors, element by element, as one vector."""
+    parts = df.select(*keys, F.posexplode(vector).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(summary("_x").alias("_x"))
     placed = F.array_sort(F.collect_list(F.struct("_pos", "_x")))
-    return means.groupBy(*keys).agg(F.transform(placed, lambda p: p["_x"]).alias(vector))
+    return parts.groupBy(*keys).agg(F.transform(placed, lambda p: p["_x"]).alias(vector))
+
+
+def mean_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    return by_element(df, keys, vector, F.avg)
+
+
+def median_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    return by_element(df, keys, vector, F.median)
 
 
 def distance(a: Column, b: Column) -> Column:

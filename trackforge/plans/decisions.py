@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
-from trackforge.operators import ball, colours, evaluate, islands, players, sampling, smoothing, stateful, teams
+from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, smoothing, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.islands import KEYS, SEQUENCES, sequences
@@ -14,6 +14,7 @@ from trackforge.recast import LENGTH, frames, table
 
 C = F.col
 HOUR = 3_600_000
+PITCH = Pitch(width=32.36)
 
 
 # ---------------------------------------------------------------- limits, sets, sampling
@@ -105,6 +106,47 @@ def st11_nearest_centre(spark, sf_dir):
     return teams.nearest_centre(e, teams.mean_vectors(e, ["match_id", "team"], "v"), ["match_id"], "v", "team").select("vec_id", "match_id", "team", "predicted", r6(C("distance")).alias("distance"))
 
 
+def kickoff_players(spark, sf_dir):
+    """Vectors as players, at kick-offs of four seconds every ten; and the kick-offs."""
+    n = C("vec_id")
+    place = [(n % 2 + 1).cast("int").alias("half"), (n % 40 * 1000).alias("t"), (n * 7 % 39 + 9).cast("double").alias("x"), (n % 11 == 0).alias("keeper")]
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select((C("label") % 3).alias("match_id"), *place, "vec_id", C("embedding").cast("array<double>").alias("colour"))
+    event = F.floor(C("t") / 10_000) * 10_000
+    return rows, rows.select(*KEYS, event.alias("event")).distinct().select(*KEYS, "event", (C("event") % 20_000 == 0).alias("by_ball"), C("event").alias("t0"), (C("event") + 4000).alias("t1"))
+
+
+@query("""WITH p AS (SELECT label % 3 AS match_id, CAST(vec_id % 2 + 1 AS INT) AS half, vec_id % 40 * 1000 AS t, (vec_id * 7 % 39 + 9)::DOUBLE AS x, vec_id % 11 = 0 AS keeper, [v::DOUBLE FOR v IN embedding] AS c FROM embeddings WHERE embedding IS NOT NULL),
+k AS (SELECT DISTINCT match_id, half, t // 10000 * 10000 AS event FROM p),
+s AS (SELECT match_id, half, event, CASE WHEN x < 28 THEN 0 ELSE 1 END AS side, c FROM p JOIN k USING (match_id, half) WHERE t BETWEEN event AND event + 4000 AND NOT keeper AND abs(x - 28) >= 1.5 AND x BETWEEN 8 AND 48),
+n AS (SELECT match_id, half, event FROM s GROUP BY 1, 2, 3 HAVING count(*) FILTER (side = 0) >= 3 AND count(*) FILTER (side = 1) >= 3),
+u AS (SELECT match_id, half, event, side, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM s),
+m AS (SELECT match_id, half, event, side, list(v ORDER BY i) AS m FROM (SELECT match_id, half, event, side, i, median(v) AS v FROM u GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
+b AS (SELECT match_id, half, event, any_value(m) FILTER (side = 0) AS a, any_value(m) FILTER (side = 1) AS b FROM m GROUP BY 1, 2, 3),
+d AS (SELECT match_id, half, event, median(list_distance(s.c, CASE side WHEN 0 THEN b.a ELSE b.b END)) AS spread FROM s JOIN b USING (match_id, half, event) GROUP BY 1, 2, 3),
+r AS (SELECT *, event % 20000 = 0 AS by_ball, list_distance(a, b) AS apart, list_distance(a, b) < 0.2 * spread AS alike FROM n JOIN b USING (match_id, half, event) JOIN d USING (match_id, half, event)),
+f AS (SELECT *, first_value(a) OVER w AS fa, first_value(b) OVER w AS fb FROM r WINDOW w AS (PARTITION BY match_id, half ORDER BY alike, by_ball DESC, event))
+SELECT match_id, half, event, by_ball, round(apart, 6) AS apart, round(spread, 6) AS spread, CASE WHEN alike THEN 'alike' WHEN list_distance(fa, b) + list_distance(fb, a) < list_distance(fa, a) + list_distance(fb, b) THEN 'swapped' ELSE 'kept' END AS decision FROM f""", frames=False)
+def st11_judged_kickoffs(spark, sf_dir):
+    rows, kicked = kickoff_players(spark, sf_dir)
+    kits = kickoff_teams.Kits(apart=0.2)
+    found = kickoff_teams.judged_kickoffs(kickoff_teams.examples(rows, kicked, kits, PITCH), kits)
+    return found.select(*KEYS, "event", "by_ball", r6(C("apart")).alias("apart"), r6(C("spread")).alias("spread"), "decision")
+
+
+@query()
+def st11_teams_by_kits(spark, sf_dir):
+    rows, kicked = kickoff_players(spark, sf_dir)
+    return kickoff_teams.teams_by_kits(rows, kicked, kickoff_teams.Kits(apart=0.2, least_limit=0.5, fade_s=20.0, step_s=5.0))["teams"]
+
+
+@query()
+def st12_self_trained_teams(spark, sf_dir):
+    rows, kicked = kickoff_players(spark, sf_dir)
+    rows = rows.withColumn("descriptor", C("colour"))
+    size = rows.agg(F.max(F.size("descriptor"))).first()[0] or 0
+    return kickoff_teams.teams_by_descriptors(rows, kicked, size, ["match_id", "vec_id"], kickoff_teams.Kits(least_pseudo=10, margin=0.5), turns=2)["teams"]
+
+
 @query()
 def st12_linear_discriminant(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", (C("label") % 2).alias("team"), C("embedding").cast("array<double>").alias("v"))
@@ -149,7 +191,6 @@ def st29_leave_one_out(spark, sf_dir):
 # ---------------------------------------------------------------- actions
 
 PLAY = Actions(pass_distance=4.0, pass_speed=0.002, shot_speed=0.001)
-PITCH = Pitch(width=32.36)
 
 
 def segments(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import mirrored, on_upper_body
-from trackforge.operators import actions, goals, islands, kickoffs, measures, nearest, stateful, windows
+from trackforge.operators import actions, goals, islands, kickoff_teams, kickoffs, measures, nearest, stateful, windows
 from trackforge.operators import ball as ball_operators
 from trackforge.operators import players as player_operators
 from trackforge.params import Actions, Ball, Goals, Pitch, Possession, Stats, Tracks
@@ -29,6 +29,7 @@ class Settings:
     actions: Actions = field(default_factory=Actions)
     goals: Goals = field(default_factory=Goals)
     tracks: Tracks = field(default_factory=Tracks)
+    kits: kickoff_teams.Kits = field(default_factory=kickoff_teams.Kits)
 
 
 def without_spares(candidates: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
@@ -97,6 +98,17 @@ def kickoff_events(ball: DataFrame, players: DataFrame, s: Settings) -> DataFram
     return kickoffs.events(marks, KEYS, "t")
 
 
+def learnt_teams(ball: DataFrame, players: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Teams of players that have a colour each but no team, from the kick-offs; decisions on these and the sides of the teams.
+
+    Referees and players of neither team are none of team 0 and 1.
+    """
+    kicked = kickoff_events(ball, players, s).select(*KEYS, F.col("at").cast("long").alias("event"), "by_ball", "t0", "t1")
+    rows = players.where("class = 'player'").withColumn("x", F.col("x_m")).withColumn("keeper", F.coalesce(F.col("gk").cast("boolean"), F.lit(False)))
+    found = kickoff_teams.teams_by_kits(rows, kicked, s.kits, s.pitch)
+    return found | {"teams": found["teams"].drop("x", "keeper")}
+
+
 def goal_events(detections: DataFrame, ball: DataFrame, players: DataFrame, directions: DataFrame, kicked: DataFrame, s: Settings, halves: DataFrame | None = None) -> dict[str, DataFrame]:
     """Goals from the kick-offs found, and with the halves' ends possible goals that none follows."""
     raw = detections.where("class = 'ball'").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
@@ -144,12 +156,19 @@ def played(held: DataFrame, directions: DataFrame, tracks: DataFrame, s: Setting
 
 
 def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(), restarts: DataFrame | None = None, halves: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the chain. detections as read; players: detections of players with their team; halves: start, end (ms)."""
+    """All tables of the chain. detections as read; players: detections of players with their team; halves: start, end (ms).
+
+    Players with a colour (array) and no team get their teams from the kick-offs; how comes back as kit_decisions and sides.
+    """
     ball = ball_track(detections, s).persist()
+    learnt = {}
+    if "team" not in players.columns:
+        found = learnt_teams(ball, players, s)
+        players, learnt = found["teams"].persist(), {"teams": found["teams"], "kit_decisions": found["decisions"], "sides": found["sides"]}
     held = possession(ball, players, s, restarts).persist()
     outfield = players.where("class = 'player' and team in (0, 1)").withColumn("x", F.col("x_m"))
     directions = measures.attack_directions(outfield, KEYS, "team", "x")
     kicked = kickoff_events(ball, players, s).persist()
     tracks = player_tracks(players, s).persist()
     goal_tables = goal_events(detections, ball, players, directions, kicked, s, halves)
-    return {"ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, s)}
+    return {**learnt, "ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, s)}
