@@ -101,5 +101,13 @@ def fill_in_middle(docs: DataFrame, how: FillInMiddle = FillInMiddle(), id_col:
 
 def restored(output: Column, form: Column, how: FillInMiddle = FillInMiddle()) -> Column:
     """The text that output was made of. No part holds a mark, and none arises where parts meet: a mark's first character stands nowhere else in marks."""
-    parts = F.split(output, "|".join(re.escape(m) for m in how.marks), -1)
-    return F.when(form == "plain", output).when(form == "psm", F.concat(parts[1], parts[3], parts[2])).otherwise(F.concat(parts[2], parts[3], parts[1]))
+    p, s, m = how.marks
+    head, middle = F.substring_index(output, m, 1), F.substring_index(output, m, -1)
+
+    def parted(opening: str, between: str) -> tuple[Column, Column]:
+        first = F.substring_index(head, between, 1)
+        return F.substr(first, F.lit(len(opening) + 1)), F.substring_index(head, between, -1)
+
+    prefix, suffix = parted(p, s)
+    last, first = parted(s, p)
+    return F.when(form == "plain", output).when(form == "psm", F.concat(prefix, middle, suffix)).otherwise(F.concat(first, middle, last))
