@@ -120,23 +120,3 @@ def balanced(df: DataFrame, frame_keys: list[str], team: str, score: str, size:
     rank = F.row_number().over(Window.partitionBy(*frame_keys, team).orderBy(score))
     moved = (F.col(team) == F.col("_big")) & (rank <= F.col("_k"))
     return rows.withColumn("balanced", F.when(moved, 1 - F.col(team)).otherwise(F.col(team))).drop("_n0", "_n1", "_big", "_k")
-
-
-MOST_LABELS = 1_000
-
-
-def leave_one_out_centroids(df: DataFrame, label: str, item: str, vector: str, size: int) -> DataFrame:
-    """Label of the nearest class mean, each row's own left out of its class: means come from sums, in one pass.
-
-    The sums of at most MOST_LABELS classes become literals of the plan; more are refused.
-    """
-    sums = df.groupBy(label).agg(F.count("*").alias("n"), *(F.sum(F.col(vector)[i]).alias(f"s{i}") for i in range(size))).orderBy(label).limit(MOST_LABELS + 1).collect()
-    if len(sums) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    distances = []
-    for r in sums:
-        own = (F.col(label) == r[label]).cast("int")
-        d = sum(((F.col(vector)[i] - (r[f"s{i}"] - own * F.col(vector)[i]) / (r.n - own)) ** 2 for i in range(size)), F.lit(0.0))
-        distances.append(F.when(F.lit(r.n) - own > 0, F.struct(F.sqrt(d).alias("d"), F.lit(r[label]).alias("l"))))
-    best = F.array_min(F.filter(F.array(*distances), lambda x: x.isNotNull())) if distances else F.lit(None)
-    return df.select(item, label, best["l"].alias("predicted"))

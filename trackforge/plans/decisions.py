@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
-from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, smoothing, stateful, teams
+from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, separation, smoothing, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.islands import KEYS, SEQUENCES, sequences
@@ -182,10 +182,33 @@ def st14_balanced_teams(spark, sf_dir):
     return teams.balanced(d, ["match_id", "d"], "team", "value", 2).select("match_id", "frame", "balanced")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+s AS (SELECT label AS l, i, sum(x) AS s, count(*) AS n FROM u GROUP BY 1, 2),
+d AS (SELECT vec_id, label, l, sum(power(x - (s - CASE WHEN l = label THEN x ELSE 0 END) / (n - CAST(l = label AS INT)), 2)) AS d FROM u JOIN s USING (i) WHERE n > CAST(l = label AS INT) GROUP BY 1, 2, 3)
+SELECT vec_id, label, l AS predicted FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, l) = 1""", frames=False)
 def st29_leave_one_out(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", C("embedding").cast("array<double>").alias("v"))
-    return teams.leave_one_out_centroids(e, "label", "vec_id", "v", longest(e))
+    return separation.leave_one_out_centroids(e, "label", "vec_id", "v", longest(e))
+
+
+def two_classes(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", (C("label") % 2).cast("int").alias("label"), C("embedding").cast("array<double>").alias("v"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(label % 2 AS INT) AS y, [v::DOUBLE FOR v IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT vec_id, y, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+t AS (SELECT i, count(*) AS n, sum(x) AS s, sum(x * x) AS q, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, sum(x) FILTER (y = 0) AS s0, sum(x) FILTER (y = 1) AS s1 FROM u GROUP BY i),
+p AS (SELECT vec_id, y, x, (s0 - CASE y WHEN 0 THEN x ELSE 0 END) / (n0 - 1 + y) AS m0, (s1 - CASE y WHEN 1 THEN x ELSE 0 END) / (n1 - y) AS m1, sqrt(greatest((q - x * x) / (n - 1) - power((s - x) / (n - 1), 2), 0)) + 1e-6 AS sd FROM u JOIN t USING (i))
+SELECT vec_id, y AS label, CAST(sum(power((x - m1) / sd, 2)) < sum(power((x - m0) / sd, 2)) AS INT) AS by_centroid,
+  CAST(sum(x * m1) / (sqrt(sum(x * x)) * sqrt(sum(m1 * m1)) + 1e-9) > sum(x * m0) / (sqrt(sum(x * x)) * sqrt(sum(m0 * m0)) + 1e-9) AS INT) AS by_cosine FROM p GROUP BY vec_id, y""", frames=False)
+def st29_centroid_and_cosine(spark, sf_dir):
+    e = two_classes(spark, sf_dir)
+    return separation.leave_one_out(e, "vec_id", "label", "v", longest(e)).drop("by_discriminant")
+
+
+@query()
+def st29_accuracies(spark, sf_dir):
+    e = two_classes(spark, sf_dir)
+    return separation.accuracies(e, "vec_id", "label", "v", longest(e))
 
 
 # ---------------------------------------------------------------- actions
