@@ -13,6 +13,7 @@ from trackforge.operators import islands
 from trackforge.operators.actions import goal_categories, same_restarts, scorer
 from trackforge.operators.nearest import interval_join, nearest_in_key
 from trackforge.params import Actions, Goals, Pitch
+from trackforge.stored import written
 
 MATCH = ["match_id"]
 KEYS = ["match_id", "half"]
@@ -104,13 +105,13 @@ def goals(events: DataFrame, ball: DataFrame, candidates: DataFrame, players: Da
     Returns half, kickoff_t, gap_ms to the kick-off before, how (ball, ball (raw), formation), category, goal_t with
     goal_time_is_rough, side, frames_near_goal, scored_by_side, scored_by_kicker, scorer.
     """
-    k = with_starts(merged_kickoffs(events, g), halves, g)  # a few dozen rows for each match; persist events if they are dear
+    k = written(with_starts(merged_kickoffs(events, g), halves, g))  # a few dozen rows for each match, asked four times
     k = k.join(evidence(k, ball, pitch, a, g), EVENT, "left").join(raw_sightings(k, candidates, pitch, g), EVENT, "left").join(kickers(k, players, pitch), EVENT, "left")
     k = k.join(directions.where("team = 0").select(*KEYS, F.col("right").alias("_first_right")), KEYS, "left")
     shown, near, raw = F.col("seen_t").isNotNull(), F.coalesce("frames_near", F.lit(0)), F.coalesce("raw", F.lit(False))
     category = goal_categories(F.col("how"), F.col("start"), shown, raw, near, g.check_frames)
     how = F.when(~F.col("start") & (F.col("how") != "ball") & shown & raw, "ball (raw)").otherwise(F.col("how"))
-    k = k.select("*", category.alias("_category"), how.alias("_how"))
+    k = written(k.select("*", category.alias("_category"), how.alias("_how")))
     again = same_restarts(k.select(*KEYS, F.col("event").alias("t"), F.col("_how").alias("how"), F.col("_category").alias("category"), shown.alias("evidence")), KEYS, ms(g.same_restart_s))
     k = k.join(again.select(*KEYS, F.col("t").alias("event"), "category"), EVENT)
     is_goal, start = F.col("category") == "goal", F.col("start")

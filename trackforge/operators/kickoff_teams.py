@@ -22,6 +22,7 @@ from trackforge.operators.nearest import interval_join
 from trackforge.operators.sampling import evenly
 from trackforge.operators.teams import distance, mean_vectors, median_vectors, nearest_centre
 from trackforge.params import Pitch
+from trackforge.stored import written
 
 MATCH, HALF, EVENT = ["match_id"], ["match_id", "half"], ["match_id", "half", "event"]
 
@@ -134,14 +135,14 @@ def local_colours(labelled: DataFrame, players: DataFrame, p: Kits) -> DataFrame
 def teams_by_kits(players: DataFrame, kicked: DataFrame, p: Kits = Kits(), pitch: Pitch = Pitch()) -> dict[str, DataFrame]:
     """decisions on kick-offs, sides of the teams, and teams: the players (without colour) with their team, -1 if it is neither.
 
-    examples, a few thousand rows for each match, are persisted, as all others read them: unpersist them when done.
+    Examples (a few thousand rows for each match), decisions and sides are written in between, as others read them.
     players: match_id, half, t, x, keeper, colour (array) and more; goalkeepers get the team that defends their side.
     Matches whose kick-offs tell too little, and players without a colour, get no team (null).
     """
-    found = examples(players, kicked, p, pitch).persist()
-    decisions = judged_kickoffs(found, p)
+    found = written(examples(players, kicked, p, pitch))
+    decisions = written(judged_kickoffs(found, p))
     kept = found.join(decisions.where("decision = 'kept'").select(*EVENT), EVENT)
-    sides = sides_of_teams(kept, p)
+    sides = written(sides_of_teams(kept, p))
     labelled = with_team(kept, sides)
     centres = median_vectors(labelled, [*MATCH, "team"], "colour")
     off = labelled.join(centres.withColumnRenamed("colour", "_c"), [*MATCH, "team"]).groupBy(*MATCH, "team").agg(F.median(distance(F.col("colour"), F.col("_c"))).alias("_off"))
@@ -153,7 +154,7 @@ def teams_by_kits(players: DataFrame, kicked: DataFrame, p: Kits = Kits(), pitch
     by_colour = F.when(F.col("distance") <= p.slack * F.col("limit"), F.col("predicted")).when(F.col("distance").isNotNull(), -1)
     by_side = F.when(F.col("x") < pitch.length / 2, F.col("left_team")).otherwise(1 - F.col("left_team"))
     team = F.when(F.coalesce("keeper", F.lit(False)), by_side).otherwise(by_colour)
-    return {"examples": found, "decisions": decisions, "sides": sides, "teams": near.select(*(c for c in players.columns if c != "colour"), team.cast("int").alias("team"))}
+    return {"decisions": decisions, "sides": sides, "teams": near.select(*(c for c in players.columns if c != "colour"), team.cast("int").alias("team"))}
 
 
 # ---------------------------------------------------------------- discriminant of descriptors
@@ -217,7 +218,7 @@ def chosen_pseudo(everybody: DataFrame, model: DataFrame, item: list[str], turn:
 def teams_by_descriptors(players: DataFrame, kicked: DataFrame, size: int, item: list[str], p: Kits = Kits(), pitch: Pitch = Pitch(), turns: int = 0) -> dict[str, DataFrame]:
     """sides of the teams in each half, and teams: players (without descriptor and colour) with score and team.
 
-    examples and models are persisted, as all others read them: unpersist them when done.
+    Examples (a few thousand rows for each match), sides and models are written in between, as others read them.
     players: match_id, half, t, x, keeper, descriptor (size numbers), colour and more; item: columns that name a player's
     row. Kick-offs by the ball and those at the start of a half count, or all if a match has fewer than two of these. The
     score is positive towards team 1; team 0 wears darker colours. In each of the turns the model is learnt again with
@@ -230,15 +231,16 @@ def teams_by_descriptors(players: DataFrame, kicked: DataFrame, size: int, item:
     kicked = kicked.join(begun, HALF).withColumn("_sure", sure).withColumn("_n", F.count_if("_sure").over(Window.partitionBy(*MATCH)))
     kicked = kicked.where(F.col("_sure") | (F.col("_n") < 2)).drop("_sure", "_n", "_begun")
     found = examples(whole, kicked, p, pitch)
-    found = found.withColumn("_first", first_half(found)).persist()
+    found = written(found.withColumn("_first", first_half(found)))
     ends = found.select(*HALF).distinct().join(swapped_halves(found, size, p), HALF, "left").select(*HALF, F.coalesce("swapped", F.lit(False)).alias("swapped"), "keep")
+    ends = written(ends)
     labelled = found.join(ends, HALF).withColumn("label", F.col("side").bitwiseXOR(F.col("swapped").cast("int")))
-    own = moments(labelled.select(*MATCH, "label", "descriptor"), [*MATCH, "label"], "descriptor", size).persist()
-    model = models(own, p.shrink, p.least_examples).persist()  # a row for each match
+    own = written(moments(labelled.select(*MATCH, "label", "descriptor"), [*MATCH, "label"], "descriptor", size))
+    model = written(models(own, p.shrink, p.least_examples))
     everybody = whole.where(~F.coalesce("keeper", F.lit(False)))
     for turn in range(turns):
         more = moments(chosen_pseudo(everybody, model, item, turn, p), [*MATCH, "label"], "descriptor", size)
-        model = models(added(own.unionByName(more), [*MATCH, "label"]), p.shrink, p.least_examples).persist()
+        model = written(models(added(own.unionByName(more), [*MATCH, "label"]), p.shrink, p.least_examples))
     shade = labelled.groupBy(*MATCH).agg(*(F.median(F.when(F.col("label") == k, F.col("colour")[0])).alias(f"m{k}") for k in (0, 1)))
     flipped = model.select(*MATCH).join(shade, MATCH, "left").select(*MATCH, F.coalesce(F.col("m0") > F.col("m1"), F.lit(False)).alias("_flipped"))
     sides = ends.join(flipped, MATCH).select(*HALF, F.col("swapped").cast("int").bitwiseXOR(F.col("_flipped").cast("int")).alias("left_team"), "swapped", "keep")
@@ -246,4 +248,4 @@ def teams_by_descriptors(players: DataFrame, kicked: DataFrame, size: int, item:
     by_side = F.when(F.col("x") < pitch.length / 2, F.col("left_team")).otherwise(1 - F.col("left_team"))
     team = F.when(F.coalesce("keeper", F.lit(False)), by_side).otherwise((F.col("score") > 0).cast("int"))
     rows = players.join(given, item, "left").join(sides.select(*HALF, "left_team"), HALF, "left")
-    return {"examples": found, "model": model, "sides": sides, "teams": rows.select(*(c for c in players.columns if c not in ("descriptor", "colour")), "score", team.alias("team"))}
+    return {"sides": sides, "teams": rows.select(*(c for c in players.columns if c not in ("descriptor", "colour")), "score", team.alias("team"))}

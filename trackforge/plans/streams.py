@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from trackforge.operators.clean import near
@@ -13,19 +10,12 @@ from trackforge.plans.catalog import ORACLES, query, r6
 from trackforge.plans.decisions import st01_possession
 from trackforge.plans.measures import flt02_two_lens_duplicates
 from trackforge.recast import frames_of, table
+from trackforge.stored import shared_folder
 from trackforge.streaming import online, possession, tracks
 
 C = F.col
 
 
-def folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; a private one where none is set and all runs on one machine, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='trackforge-stream-')}/stream-{uuid.uuid4().hex}"
-
-
 def events(spark, sf_dir):
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     return rows.withColumn("ts", C("ts").cast("timestamp"))
@@ -34,13 +24,13 @@ def events(spark, sf_dir):
 @query("""SELECT user_id, time_bucket(INTERVAL '12 hours', ts) + o.o AS g, count(*) AS n, round(avg(CAST(event_type = 'click' AS INT)), 6) AS share FROM events, (SELECT unnest([INTERVAL '12 hours', INTERVAL '24 hours']) AS o) o GROUP BY 1, 2""", frames=False)
 def streaming_share(spark, sf_dir):
     shares = online.hopping_share(events(spark, sf_dir), ["user_id"], "ts", C("event_type") == "click", "24 hours", "12 hours", "1 hour")
-    out = online.drained(shares, folder(spark), "complete")
+    out = online.drained(shares, shared_folder(spark), "complete")
     return out.select("user_id", C("g").cast("timestamp_ntz").alias("g"), "n", r6(C("share")).alias("share"))
 
 
 @query("""WITH s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '6 hours', true) THEN 1 ELSE 0 END AS nw FROM events)) SELECT user_id, min(ts) AS t0, max(ts) AS t1, count(*) AS n FROM s GROUP BY user_id, g""", frames=False)
 def streaming_sessions(spark, sf_dir):
-    out = online.drained(online.sessions(events(spark, sf_dir), ["user_id"], "ts", "6 hours", "1 hour"), folder(spark), "complete")
+    out = online.drained(online.sessions(events(spark, sf_dir), ["user_id"], "ts", "6 hours", "1 hour"), shared_folder(spark), "complete")
     return out.select("user_id", C("t0").cast("timestamp_ntz").alias("t0"), C("t1").cast("timestamp_ntz").alias("t1"), "n")
 
 
@@ -56,7 +46,7 @@ def streaming_possession(spark, sf_dir):
         (kind != "error").alias("ball"),
         F.when(kind == "click", 0).when(kind == "view", 1).when(kind == "signup", (C("event_id") % 2).cast("int")).alias("controller"),
     )
-    return online.drained(online.online_possession(rows, "match_id", Possession(switch_s=14400, reset_s=72000)), folder(spark))
+    return online.drained(online.online_possession(rows, "match_id", Possession(switch_s=14400, reset_s=72000)), shared_folder(spark))
 
 
 def frames(spark, sf_dir):
@@ -69,7 +59,7 @@ def streaming_duplicates(spark, sf_dir):
     rows = frames(spark, sf_dir).where("x is not null").select(F.floor(C("t") / 3_600_000).alias("moment"), C("value").alias("quality"), C("frame").alias("id"), (C("match_id") % 2).alias("cam"), "x", "y")
     rows = rows.withColumn("ts", F.timestamp_seconds(C("moment") * 3600))
     kept = online.without_clashes(rows, ["moment"], "ts", "1 hour", ["quality", "id"], "id", lambda a, b: (a["cam"] != b["cam"]) & near(a, b, 12.5))
-    return online.drained(kept, folder(spark), "complete").select("moment", "id")
+    return online.drained(kept, shared_folder(spark), "complete").select("moment", "id")
 
 
 @query()
@@ -77,7 +67,7 @@ def streaming_pieces(spark, sf_dir):
     f = frames(spark, sf_dir).where("x is not null")
     d = f.select((C("match_id") % 16).alias("match_id"), "half", (F.floor(C("t") / 7_200_000) * 100).alias("t"), "x", "y", "team", (C("value") > 200).alias("keeper"))
     pieces = tracks.online_pieces(d.withColumn("ts", F.timestamp_millis("t")), ["match_id", "half"], "ts", "0 seconds", Tracks())
-    return online.drained(pieces, folder(spark)).where("what = 'detection'").select("match_id", "half", "piece", "t", "x", "y")
+    return online.drained(pieces, shared_folder(spark)).where("what = 'detection'").select("match_id", "half", "piece", "t", "x", "y")
 
 
 @query()
@@ -85,7 +75,7 @@ def streaming_ordered_possession(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("x", F.when(C("seen") == "o", -20.0).otherwise(C("x")))
     rows = f.select("match_id", F.timestamp_millis("t").alias("ts"), "half", "frame", "t", "x", "y", C("team").alias("controller"))
     p = Possession(switch_s=14400, reset_s=72000, out_min_s=7200, still_s=21600, still_radius=12.0)
-    return online.drained(possession.ordered_possession(rows, "match_id", "ts", "0 seconds", p, idle_s=0.0), folder(spark))
+    return online.drained(possession.ordered_possession(rows, "match_id", "ts", "0 seconds", p, idle_s=0.0), shared_folder(spark))
 
 
 ORACLES["streaming_duplicates"] = ORACLES[flt02_two_lens_duplicates.__name__]
