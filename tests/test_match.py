@@ -72,3 +72,21 @@ def test_candidates_on_bodies_and_spare_balls_are_left_out(spark):
     detections = schema.with_ms(spark.createDataFrame(rows, schema.DETECTIONS)).selectExpr("*", "'m' as match_id")
     found = match.ball_track(detections, match.Settings()).collect()
     assert len(found) == 60 and all(abs(r.x - 20.5 - r.frame / 20) < 1e-6 for r in found)
+
+
+def test_teams_are_learnt_from_kickoffs(spark):
+    """Players have colours and no teams: the kick-offs tell which are whose, and that the teams change ends."""
+    from tests.test_goals import made_up
+
+    rng = np.random.default_rng(1)
+    people, ball, _ = made_up()
+    shirt = {0: (40.0, 120.0, 128.0), 1: (90.0, 130.0, 120.0)}
+    rows = [(m, h, f, t, c, x, y, g, (np.array(shirt[k]) + rng.normal(0, 2, 3)).tolist(), k) for m, h, f, t, c, x, y, k, g in people]
+    players = spark.createDataFrame(rows, "match_id string, half int, frame int, t long, class string, x_m double, y_m double, gk int, colour array<double>, truth int")
+    seen = spark.createDataFrame(ball, "match_id string, half int, frame int, t long, x double, y double")
+    found = match.learnt_teams(seen, players, match.Settings())
+    assert {r.decision for r in found["decisions"].collect()} == {"kept"}
+    sides = {r.half: (r.left_team, r.swapped) for r in found["sides"].collect()}
+    assert sides[1][0] != sides[2][0] and [sides[h][1] for h in (1, 2)] == [False, True]
+    teams = found["teams"].select("team", "truth").collect()
+    assert len(teams) == len(rows) and np.mean([r.team == r.truth for r in teams]) > 0.97

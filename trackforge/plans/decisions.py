@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
-from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, separation, smoothing, stateful, teams
+from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, separation, shots, smoothing, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.islands import KEYS, SEQUENCES, sequences
@@ -255,6 +255,16 @@ def st17_shots(spark, sf_dir):
     return act.shots(flown, KEYS, PLAY, PITCH, C("half") == 1).select(*KEYS, "team", "t", F.round("speed", 8).alias("speed"))
 
 
+@query()
+def st17_st18_all_shots(spark, sf_dir):
+    """Shots seen, lost in the air and told by goals only; an hour of the events passes for 200 ms."""
+    f = frames(spark, sf_dir).withColumn("t", F.floor(C("t") / 18_000)).withColumn("ball_state", F.when(C("seen") == "o", "out").when(C("seen").isNotNull(), "play")).withColumn("controlled_by", C("team"))
+    seg = islands.control_segments(f, KEYS, "frame", "t", "team", 400, 0)
+    goals = f.where("kind = 'purchase' and frame % 5 = 0").select(*KEYS, "t", F.when(C("frame") % 3 > 0, (C("frame") % 2).cast("int")).alias("scorer"))
+    right = f.select(*KEYS).distinct().select(*KEYS, F.explode(F.array(F.lit(0), F.lit(1))).alias("team")).withColumn("right", (C("team") == 0) == (C("half") == 1))
+    return shots.all_shots(seg, f, goals, right, KEYS, Actions(shot_speed=2.0), PITCH, 200)
+
+
 @query()
 def st17_shot_outcomes(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("t", F.floor(C("t") / 20000))

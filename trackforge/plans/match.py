@@ -1,7 +1,7 @@
 """The chain for matches: from detections with teams and ball candidates to possession, figures and actions.
 
-All matches go through together, partitioned by match and half. Every step is a lazy table; write the ones to keep.
-Tables that several others read (ball, possession, kickoffs, tracks) are persisted: unpersist them when done.
+All matches go through together, partitioned by match and half. Tables that several others read (teams, ball, possession,
+directions, kick-offs, goals, tracks) are written in between; the others are lazy.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import mirrored, on_upper_body
-from trackforge.operators import actions, goals, islands, kickoff_teams, kickoffs, measures, nearest, stateful, windows
+from trackforge.operators import actions, goals, islands, kickoff_teams, kickoffs, measures, nearest, shots, stateful, windows
 from trackforge.operators import ball as ball_operators
 from trackforge.operators import players as player_operators
 from trackforge.params import Actions, Ball, Goals, Pitch, Possession, Stats, Tracks
+from trackforge.stored import written
 
 KEYS = ["match_id", "half"]
 
@@ -113,7 +114,7 @@ def goal_events(detections: DataFrame, ball: DataFrame, players: DataFrame, dire
     """Goals from the kick-offs found, and with the halves' ends possible goals that none follows."""
     raw = detections.where("class = 'ball'").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"))
     outfield = players.where("class = 'player' and team in (0, 1) and not coalesce(cast(gk as boolean), false)").select(*KEYS, "t", F.col("x_m").alias("x"), F.col("y_m").alias("y"), "team")
-    found = goals.goals(kicked, ball, raw, outfield, directions, s.pitch, s.actions, s.goals, halves)
+    found = written(goals.goals(kicked, ball, raw, outfield, directions, s.pitch, s.actions, s.goals, halves))
     out = {"goals": found}
     if halves is not None:
         out["late_goals"] = goals.late_goals(found, ball, halves, directions, s.pitch, s.actions, s.goals)
@@ -141,8 +142,11 @@ def zones(held: DataFrame, directions: DataFrame, s: Settings) -> DataFrame:
     return measures.by_scope(at.join(directions, [*KEYS, "team"]).withColumn("xn", xn), "match_id", "half", ["team"], measures.thirds(F.col("xn"), s.pitch.length))
 
 
-def played(held: DataFrame, directions: DataFrame, tracks: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Passes and shots from control segments, and passes from touches of tracked players. directions: team, right."""
+def played(held: DataFrame, directions: DataFrame, tracks: DataFrame, found: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Passes and shots from control segments, and passes from touches of tracked players.
+
+    directions: team, right; found: kick-offs with category, goal_t and scorer, whose goals are shots too.
+    """
     a = s.actions
     paced = windows.fitted_speed(held, ["match_id"], "frame", "t", "x", "y")
     control = paced.withColumn("team", F.when(F.coalesce(F.col("speed") <= a.fly_speed, F.lit(True)), F.col("controlled_by")))
@@ -152,7 +156,9 @@ def played(held: DataFrame, directions: DataFrame, tracks: DataFrame, s: Setting
     outs = held.where("ball_state = 'out' and x is not null").select(*KEYS, "t", "x", "y")
     touches = actions.player_touches(actions.player_control(paced, tracks, KEYS, a), KEYS, int(1000 * a.bridge_s))
     touched = actions.touch_passes(touches, held.select(*KEYS, "frame", "x", "y"), KEYS, a, 0.05, int(1000 * a.pass_gap), outs)
-    return {"touch_passes": touched, "passes": actions.passes(flown, outs, KEYS, a, s.pitch, F.col("right"), 0.05, int(1000 * a.pass_gap)), "shots": actions.shots(flown, KEYS, a, s.pitch, F.col("right"))}
+    scored = found.where("category = 'goal' and goal_t is not null").select(*KEYS, F.col("goal_t").alias("t"), "scorer")
+    taken = shots.all_shots(segments, held, scored, directions, KEYS, a, s.pitch)
+    return {"touch_passes": touched, "passes": actions.passes(flown, outs, KEYS, a, s.pitch, F.col("right"), 0.05, int(1000 * a.pass_gap)), "shots": taken}
 
 
 def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(), restarts: DataFrame | None = None, halves: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -160,15 +166,16 @@ def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(),
 
     Players with a colour (array) and no team get their teams from the kick-offs; how comes back as kit_decisions and sides.
     """
-    ball = ball_track(detections, s).persist()
+    ball = written(ball_track(detections, s))
     learnt = {}
     if "team" not in players.columns:
         found = learnt_teams(ball, players, s)
-        players, learnt = found["teams"].persist(), {"teams": found["teams"], "kit_decisions": found["decisions"], "sides": found["sides"]}
-    held = possession(ball, players, s, restarts).persist()
+        players = written(found["teams"])
+        learnt = {"teams": players, "kit_decisions": found["decisions"], "sides": found["sides"]}
+    held = written(possession(ball, players, s, restarts))
     outfield = players.where("class = 'player' and team in (0, 1)").withColumn("x", F.col("x_m"))
-    directions = measures.attack_directions(outfield, KEYS, "team", "x")
-    kicked = kickoff_events(ball, players, s).persist()
-    tracks = player_tracks(players, s).persist()
+    directions = written(measures.attack_directions(outfield, KEYS, "team", "x"))
+    kicked = written(kickoff_events(ball, players, s))
+    tracks = written(player_tracks(players, s))
     goal_tables = goal_events(detections, ball, players, directions, kicked, s, halves)
-    return {**learnt, "ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, s)}
+    return {**learnt, "ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, goal_tables["goals"], s)}
