@@ -173,6 +173,32 @@ def test_blocks_generate_the_candidates(monkeypatch):
     assert found_by(items, texts) == []
 
 
+def test_few_pairs_reach_the_blocks_however_many_items_there_are(monkeypatch):
+    """Items of other content cost no pair, and a third of the items may share most of their shingles."""
+    rng = random.Random(4)
+    own = [(k, " ".join(f"v{rng.randint(0, 4000)}" for _ in range(30))) for k in range(40)]
+    words = [w for _, t in own for w in t.split()]
+    texts = [(k, " ".join(rng.choices(words, k=200) + (own[k][1].split() if k % 3 else []) + rng.choices(words, k=200))) for k in range(30)]
+    seen, all_pairs = [], [0]
+    plain = decontaminate.BlockIndex.agreeing
+
+    def counted(self, values):
+        all_pairs[0] += len(values) * len(self.prints)
+        for at, of in plain(self, values):
+            seen[-1] += len(at)
+            yield at, of
+
+    monkeypatch.setattr(decontaminate.BlockIndex, "agreeing", counted)
+    results = []
+    for more in (0, 2000):
+        seen.append(0)
+        others = [(1000 + k, " ".join(f"u{rng.randint(0, 9000)}" for _ in range(30))) for k in range(more)]
+        results.append(sorted(found_by(own + others, texts)))
+    assert results[0] == results[1] and {f[:2] for f in results[0]} == {(k, k) for k in range(30) if k % 3}
+    windows = sum(len(t.split()) - 29 for _, t in texts)
+    assert seen[0] == seen[1] <= 0.01 * windows * len(own)
+
+
 def test_shared_shingles_ties_and_long_documents(monkeypatch):
     common = " ".join(f"c{i}" for i in range(12))
     items = [(k, f"{common} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}") for k in range(40)] + [(40, items_text := common + " same"), (41, items_text)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -101,6 +102,28 @@ def test_words_sum_over_all_segmentations():
         assert np.allclose(found[0], [np.log(total(word, k)) for k in (0, 1)])
 
 
+def test_long_words_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    pieces = langid.piece_list(public_tokenizers.path("piece_bpe_32k.model"))
+    chances = np.append(rng.random((len(pieces), 3)) / len(pieces), np.zeros((1, 3)), axis=0)
+    model = langid.LanguageModel(["a", "b", "c"], np.zeros(3), chances, langid.PieceIndex(pieces))
+    monkeypatch.setattr(langid, "SEGMENT", 100)
+    for n in (1, 7, 16, 17, 257, 700):
+        word = rng.choice(np.frombuffer(b" thanderingonionest\xc3\xa9", np.uint8), n)
+        assert np.allclose(model.long_log_likelihood(word), model.log_likelihood(word[None])[0], atol=1e-9)
+    monkeypatch.undo()
+    began = time.time()
+    assert np.isfinite(model.long_log_likelihood(rng.choice(np.frombuffer(b"ethanol", np.uint8), 1 << 20))).all()
+    assert time.time() - began < 60  # a few seconds on a free machine
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "a text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_long_words_and_rare_languages_are_learned(spark):
     rng = random.Random(9)
     one_word = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))

@@ -6,12 +6,14 @@ one block more than the Hamming radius, so that any fingerprint within it agrees
 tables of the blocks find all such items for a window. These candidates are verified: by their distance, and then by
 the exact weighted Jaccard similarity of their shingles.
 
-A window that reaches the threshold shares that part of its shingles with one item, so windows with fewer shingles
-that stand in any item aren't fingerprinted.
+A window that reaches the threshold shares that part of its shingles with one item. So only items of which a document
+has so many shingles are looked for in it, and only windows with so many shingles of these items are fingerprinted:
+items of other content cost nothing but their place in the tables.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +65,8 @@ class Benchmark:
     shingles: list[np.ndarray]
     fingerprints: np.ndarray
     known: np.ndarray  # sorted hashes of all shingles
+    holders: np.ndarray  # items that hold the known shingles, one shingle after the other
+    held: np.ndarray  # bounds of each known shingle's holders
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], size: int) -> "Benchmark":
@@ -75,7 +79,12 @@ class Benchmark:
                 counts.append(len(words))
                 sets.append(shingle_hashes(words, size))
                 prints.append(fingerprint(signs(sets[-1]).sum(0)))
-        return cls(np.array(ids), np.array(counts, np.int64), sets, np.array(prints, np.uint64), np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)])))
+        pairs = [np.unique(s) for s in sets]
+        known = np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)]))
+        at = np.searchsorted(known, np.concatenate([*pairs, np.zeros(0, np.uint64)]))
+        order = np.argsort(at, kind="stable")
+        holders = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order]
+        return cls(np.array(ids), np.array(counts, np.int64), sets, np.array(prints, np.uint64), known, holders, np.searchsorted(at[order], np.arange(len(known) + 1)))
 
 
 class BlockIndex:
@@ -89,6 +98,14 @@ class BlockIndex:
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.tables = [((prints >> shift) & mask)[None, :] == np.arange(int(mask) + 1, dtype=np.uint64)[:, None] for shift, mask in self.blocks]
 
+    def narrowed(self, chosen: np.ndarray) -> "BlockIndex":
+        """The index of some of the fingerprints."""
+        if len(chosen) == len(self.prints):
+            return self
+        part = copy.copy(self)
+        part.prints, part.tables = self.prints[chosen], [t[:, chosen] for t in self.tables]
+        return part
+
     def agreeing(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a value and a fingerprint, by their numbers, that agree in a block."""
         step = max(1, self.CELLS // max(1, len(self.prints)))
@@ -116,21 +133,34 @@ class Finder:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(benchmark.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def _known(self, grams: np.ndarray) -> np.ndarray:
-        """Places of the shingles that stand in any item."""
+    def _known(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles that stand in any item, and their numbers among the known ones."""
         at = np.flatnonzero(self.filter[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(at) or not len(self.b.known):
-            return at[:0]
+            return at[:0], at[:0]
         place = np.minimum(np.searchsorted(self.b.known, grams[at]), len(self.b.known) - 1)
-        return at[self.b.known[place] == grams[at]]
+        same = self.b.known[place] == grams[at]
+        return at[same], place[same]
+
+    def _wanted(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A flag for each item of which a document with these known shingles has enough for a copy, and one for each shingle of such an item."""
+        sizes = self.b.held[which + 1] - self.b.held[which]
+        of = self.b.holders[textops.expand(self.b.held[which], sizes)]
+        wanted = np.bincount(of, minlength=len(self.b.words)) >= np.maximum(1, self.threshold * (self.b.words - self.size + 1))
+        return wanted, np.logical_or.reduceat(wanted[of], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
-    def _copies(self, grams: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int]]:
+    def _copies(self, grams: np.ndarray, hits: np.ndarray, which: np.ndarray) -> dict[int, tuple[float, int]]:
         """For items that a document holds a copy of: best similarity and first word of the first window that has it.
 
-        grams: the document's shingles; hits: places of those that stand in any item.
+        grams: the document's shingles; hits, which: places of those that stand in any item, and their numbers.
         """
-        longest, whole = int(self.sized[-1][0]), len(grams)
         best: dict[int, tuple[float, int]] = {}
+        wanted, of_wanted = self._wanted(which)
+        hits = hits[of_wanted]
+        sized = [(n, np.flatnonzero(wanted[items]), items) for n, items in self.sized if wanted[items].any()]
+        if not sized or not len(hits):
+            return best
+        longest, whole = sized[-1][0], len(grams)
         for low in range(max(0, int(hits[0]) - longest), min(whole, int(hits[-1]) + 1), PIECE):
             part = grams[low : low + PIECE + longest]
             inside = hits[slice(*np.searchsorted(hits, [low, low + len(part)]))] - low
@@ -138,7 +168,7 @@ class Finder:
             before[inside + 1] = 1
             before = np.cumsum(before)
             totals = None
-            for n, items in self.sized:
+            for n, chosen, items in sized:
                 width = min(n - self.size + 1, whole)  # a document of fewer words is one window
                 least = self.threshold * (n - self.size + 1)
                 if width < least or len(inside) < least or width > len(part):
@@ -151,8 +181,8 @@ class Finder:
                     totals = np.zeros((len(part) + 1, BITS), np.int32)
                     np.cumsum(signs(part), axis=0, dtype=np.int32, out=totals[1:])
                 prints = fingerprint(totals[starts + width] - totals[starts])
-                for w, i in self.indexes[n].within(prints):
-                    start, item = int(starts[w]), int(items[i])
+                for w, i in self.indexes[n].narrowed(chosen).within(prints):
+                    start, item = int(starts[w]), int(items[chosen[i]])
                     score = weighted_jaccard(part[start : start + width], self.b.shingles[item])
                     if score >= self.threshold and (item not in best or score > best[item][0]):
                         best[item] = score, start + low
@@ -163,16 +193,16 @@ class Finder:
         words, _, _, firsts = texts.lowered().word_hashes()
         whole = textops.grams(words, self.size)
         out = []
-        hits = self._known(whole)
+        hits, which = self._known(whole)
         text = np.searchsorted(firsts, hits, side="right") - 1
         inside = hits + self.size <= firsts[text + 1]
-        hits, text = hits[inside], text[inside]
+        hits, which, text = hits[inside], which[inside], text[inside]
         times = np.bincount(text, minlength=len(texts))
         least = self.threshold * (self.sized[0][0] - self.size + 1) if self.sized else np.inf
         for i in np.flatnonzero((times > 0) & (times >= least)).tolist():
             a, b = int(firsts[i]), int(firsts[i + 1])
             mine = slice(*np.searchsorted(text, [i, i + 1]))
-            out += [(i, item, *found) for item, found in self._copies(whole[a : b - self.size + 1], hits[mine] - a).items()]
+            out += [(i, item, *found) for item, found in self._copies(whole[a : b - self.size + 1], hits[mine] - a, which[mine]).items()]
         if self.short:
             out += self._short(words, firsts)
         return sorted(out)

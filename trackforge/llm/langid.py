@@ -31,6 +31,9 @@ from trackforge.llm.workers import bound_batches, kept, lean
 SAMPLE_ROWS = 4_000
 PART = 40  # bytes of a word that are fitted at once
 MAX_PIECE = 16
+LONG_WORD, FEW_ROWS = 256, 64  # words longer than this are scored one by one, if there are few of a length
+SEGMENT = 1 << 15  # bytes of a long word whose pieces are looked up at once
+MOST_LANGUAGES = 500  # the model has a column for each and goes to every executor; more are refused, not cut
 CHUNK = 1 << 20  # bytes of text whose words are looked up at once
 ROUNDS = 3
 SMOOTHING = 0.02  # uses that every piece is given
@@ -120,6 +123,32 @@ class LanguageModel:
                 scale += np.log(top)
         return np.log(np.maximum(recent[-1], 1e-300)) + scale
 
+    def long_log_likelihood(self, word: np.ndarray) -> np.ndarray:
+        """log_likelihood of one long word: all its pieces are looked up at once, so a byte costs one small sum."""
+        none, up_to = len(self.index.pieces), len(word)
+        up, down = textops._POWERS[textops._BASE].upto(up_to + 1)
+        sums = np.zeros(up_to + 1, np.uint64)
+        np.cumsum(textops._BYTE[word] * up[:up_to], out=sums[1:])
+        recent, scale = np.zeros((MAX_PIECE, len(self.languages))), 0.0  # the prefix of j bytes in row j modulo MAX_PIECE
+        recent[0] = 1
+        for a in range(0, up_to, SEGMENT):
+            ends = np.arange(a + 1, min(up_to, a + SEGMENT) + 1)
+            found = np.full((len(ends), MAX_PIECE), none)
+            for n in range(1, MAX_PIECE + 1):
+                begin = ends - n
+                ok = begin >= 0
+                found[ok, n - 1] = self.index.find(textops.mix((sums[ends[ok]] - sums[begin[ok]]) * down[begin[ok]]))
+            row, size = np.nonzero(found != none)
+            before, chance = (ends[row] - size - 1) % MAX_PIECE, self.probabilities[found[row, size]]
+            cuts = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
+            for j, x, y in zip(ends.tolist(), cuts[:-1], cuts[1:], strict=True):
+                recent[j % MAX_PIECE] = (recent[before[x:y]] * chance[x:y]).sum(0)
+                if j % 8 == 0:
+                    top = max(float(recent.max()), 1e-300)
+                    recent /= top
+                    scale += np.log(top)
+        return np.log(np.maximum(recent[up_to % MAX_PIECE], 1e-300)) + scale
+
     def expected_counts(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece. weights: times of each word in each language."""
         rows, length = words.shape
@@ -210,7 +239,7 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 
 def fit(words: DataFrame, priors: dict[str, int], pieces: list[bytes]) -> LanguageModel:
-    """words: lang, word, n. Expectation-maximisation over all of them."""
+    """words: lang, word, n. Expectation-maximisation over all of them; without a word the model is that of the priors."""
     model, spark = first_model(priors, pieces), words.sparkSession
     times = F.array(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in model.languages))
     weighted = materialise(words.groupBy("word").agg(times.alias("weights")))
@@ -233,11 +262,13 @@ def train(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
     Rows without id, text or language aren't used; empty texts have no words, but count for their language's share.
     Ties among hashes go to the smaller id; all rows of an id that is taken are used. A-Z count as lower case. Columns
-    other than id, text and language aren't read.
+    other than id, text and language aren't read. More than MOST_LANGUAGES languages are refused.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    priors = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    priors = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(priors) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled; clean the labels or raise MOST_LANGUAGES")
     if not priors:
         return None
     totals = docs.sparkSession.createDataFrame(list(priors.items()), f"lang {dict(usable.dtypes)['lang']}, total long")
@@ -266,7 +297,8 @@ class Scorer:
         if base + len(words) > len(self.scores):
             self.scores = np.zeros((base + len(words), len(self.model.languages)))
         for matrix, at in by_length(words):
-            self.scores[base + at] = self.model.log_likelihood(matrix)
+            long = matrix.shape[1] > LONG_WORD and len(matrix) < FEW_ROWS
+            self.scores[base + at] = [self.model.long_log_likelihood(w) for w in matrix] if long else self.model.log_likelihood(matrix)
         self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
 
     def score(self, texts: textops.Texts) -> np.ndarray:
