@@ -330,6 +330,15 @@ def test_two_kits_that_differ_tell_goalkeepers_apart(spark, apart):
     assert [found[r[1]] for r in moved] == [r[6] if apart > 15 else by_side(r[4]) for r in moved]
 
 
+def test_one_span_of_two_halves_is_split_at_its_dip(spark):
+    counts = [12] * 300 + [9, 8, 9, 9, 10, 9, 9] + [12] * 300
+    rows = [("one", 2000 * i, n) for i, n in enumerate(counts)]
+    rows += [("two", 2000 * i, 12 if i < 200 or i > 260 else 1) for i in range(600)] + [("short", 2000 * i, 12) for i in range(100)]
+    df = spark.createDataFrame(rows, "m string, t long, n int")
+    found = sorted((r.m, r.half, r.t0, r.t1) for r in islands.playing_spans(df, ["m"], "t", "n", 8, 5, 30_000, 100_000, 2000, 2, split_near_ms=240_000).collect())
+    assert found == [("one", 1, 0, 602_000), ("one", 2, 610_000, 1_214_000), ("short", 1, 0, 200_000), ("two", 1, 0, 400_000), ("two", 2, 520_000, 1_200_000)]
+
+
 def test_nearest_centre_keeps_equal_rows(spark):
     rows = [(1, 7, [0.0, 0.0]), (1, 7, [9.0, 9.0]), (1, 7, [9.0, 9.0]), (1, 8, None), (2, 9, [1.0, 1.0]), (1, 3, [5.0, None])]
     centres = [(1, 0, [0.0, 1.0]), (1, 1, [8.0, 9.0]), (1, 2, [8.0, 9.0])]

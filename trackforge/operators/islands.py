@@ -197,14 +197,39 @@ def hard_gaps(df: DataFrame, keys: list[str], t: str, x: str, y: str, least_ms:
     return rows.select(*keys, F.floor(F.col("_t") - F.col("gap_ms") / 2).alias(t), "gap_ms", (F.col("gap_ms") / 1000 * (1 + F.col("speed") / 5)).alias("score"))
 
 
-def playing_spans(df: DataFrame, keys: list[str], t: str, count: str, least_count: float, smooth: int, gap_ms: int, least_ms: int, step_ms: int, most: int) -> DataFrame:
+def smoothed_counts(df: DataFrame, keys: list[str], t: str, count: str, smooth: int) -> DataFrame:
+    """Adds _m: the median of the count over smooth rows around each."""
+    around = ordered(keys, t).rowsBetween(-(smooth // 2), smooth // 2)
+    return df.withColumn("_m", F.percentile(count, F.lit(0.5)).over(around))
+
+
+def split_at_dip(spans: DataFrame, counts: DataFrame, keys: list[str], t: str, over_ms: int, near_ms: int) -> DataFrame:
+    """The only span of its keys, if longer than over_ms, becomes two: up to the dip of the count and after it.
+
+    The dip is the lowest smoothed count in the middle two fifths, the first of equal ones; around it goes what lies less
+    than near_ms away and is at most one higher. spans: t0, t1; counts: t, _m.
+    """
+    alone = spans.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where((F.col("_n") == 1) & (F.col("t1") - F.col("t0") > over_ms)).select(*keys, "t0", "t1")
+    rows = counts.join(alone, keys).where(F.col(t).between(F.col("t0"), F.col("t1")))
+    length = F.col("t1") - F.col("t0")
+    middle = F.col(t).between(F.col("t0") + 0.3 * length, F.col("t0") + 0.7 * length)
+    dip = F.min(F.when(middle, F.struct("_m", F.col(t).alias("t")))).over(Window.partitionBy(*keys))
+    low = rows.withColumn("_d", dip).where((F.abs(F.col(t) - F.col("_d.t")) < near_ms) & (F.col("_m") <= F.col("_d._m") + 1))
+    cuts = low.groupBy(*keys, "t0", "t1").agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    halves = cuts.select(*keys, F.inline(F.array(F.struct("t0", F.col("lo").alias("t1")), F.struct(F.col("hi").alias("t0"), "t1"))))
+    return spans.select(*keys, "t0", "t1").join(cuts.select(*keys), keys, "left_anti").unionByName(halves)
+
+
+def playing_spans(df: DataFrame, keys: list[str], t: str, count: str, least_count: float, smooth: int, gap_ms: int, least_ms: int, step_ms: int, most: int, split_near_ms: int | None = None) -> DataFrame:
     """The longest spans in which the smoothed count is high: short pauses are bridged, short spans dropped.
 
-    Each span is widened by one step at both ends, from time 0 at the earliest, and numbered in time order as half.
+    Each span is widened by one step at both ends, from time 0 at the earliest, and numbered in time order as half. With
+    split_near_ms, one span of over eight times least_ms that is alone where two are wanted is split at its dip.
     """
-    around = ordered(keys, t).rowsBetween(-(smooth // 2), smooth // 2)
-    high = df.withColumn("_m", F.percentile(count, F.lit(0.5)).over(around)).where(F.col("_m") >= least_count)
-    spans = gap_sessions(high, keys, t, gap_ms).where(F.col("t1") - F.col("t0") + step_ms >= least_ms)
+    counts = smoothed_counts(df, keys, t, count, smooth)
+    spans = gap_sessions(counts.where(F.col("_m") >= least_count), keys, t, gap_ms).where(F.col("t1") - F.col("t0") + step_ms >= least_ms)
     by_length = Window.partitionBy(*keys).orderBy((F.col("t0") - F.col("t1")), "t0")
-    longest = spans.withColumn("_r", F.row_number().over(by_length)).where(F.col("_r") <= most)
+    longest = spans.withColumn("_r", F.row_number().over(by_length)).where(F.col("_r") <= most).select(*keys, "t0", "t1")
+    if split_near_ms is not None and most == 2:
+        longest = split_at_dip(longest, counts, keys, t, 8 * least_ms, split_near_ms)
     return longest.select(*keys, F.row_number().over(ordered(keys, "t0")).alias("half"), F.greatest(F.lit(0), F.col("t0") - step_ms).alias("t0"), (F.col("t1") + step_ms).alias("t1"))

@@ -209,3 +209,16 @@ SELECT CAST(0 AS INT) AS match_id, CAST(row_number() OVER (ORDER BY t0) AS INT)
 def isl19_find_halves(spark, sf_dir):
     counts = frames(spark, sf_dir).groupBy((F.floor(F.col("t") / HOUR) * HOUR).alias("t")).agg(F.count("*").alias("n")).withColumn("match_id", F.lit(0))
     return isl.playing_spans(counts, ["match_id"], "t", "n", 13, 5, 3 * HOUR, 2 * HOUR, HOUR, 2)
+
+
+@query(""", c AS (SELECT match_id % 4 AS m, t // 3600000 * 3600000 AS t, count(*) AS n FROM frames GROUP BY 1, 2), d AS (SELECT m, t, median(n) OVER (PARTITION BY m ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM c),
+h AS (SELECT *, sum(nw) OVER (PARTITION BY m ORDER BY t) AS g FROM (SELECT *, CASE WHEN coalesce(t - lag(t) OVER (PARTITION BY m ORDER BY t) > 10800000, true) THEN 1 ELSE 0 END AS nw FROM d WHERE v >= 1)),
+s AS (SELECT m, min(t) AS a, max(t) AS b FROM h GROUP BY m, g HAVING max(t) - min(t) + 3600000 >= 7200000), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY m ORDER BY a - b, a) <= 2),
+o AS (SELECT * FROM l QUALIFY count(*) OVER (PARTITION BY m) = 1 AND b - a > 57600000), r AS (SELECT o.*, d.t, d.v FROM d JOIN o USING (m) WHERE d.t BETWEEN a AND b),
+p AS (SELECT m, v AS dv, t AS dt FROM r WHERE t BETWEEN a + 0.3::DOUBLE * (b - a) AND a + 0.7::DOUBLE * (b - a) QUALIFY row_number() OVER (PARTITION BY m ORDER BY v, t) = 1),
+k AS (SELECT m, a, b, min(t) AS lo, max(t) AS hi FROM r JOIN p USING (m) WHERE abs(t - dt) < 43200000 AND v <= dv + 1 GROUP BY 1, 2, 3),
+f AS (SELECT m, a, b FROM l ANTI JOIN k USING (m) UNION ALL SELECT m, a, lo FROM k UNION ALL SELECT m, hi, b FROM k)
+SELECT m AS match_id, CAST(row_number() OVER (PARTITION BY m ORDER BY a) AS INT) AS half, greatest(0, a - 3600000) AS t0, b + 3600000 AS t1 FROM f""")
+def isl19_split_span(spark, sf_dir):
+    counts = frames(spark, sf_dir).groupBy((F.col("match_id") % 4).alias("match_id"), (F.floor(F.col("t") / HOUR) * HOUR).alias("t")).agg(F.count("*").alias("n"))
+    return isl.playing_spans(counts, ["match_id"], "t", "n", 1, 5, 3 * HOUR, 2 * HOUR, HOUR, 2, split_near_ms=12 * HOUR)
