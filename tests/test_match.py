@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from trackforge import schema
+from trackforge.operators import report
 from trackforge.plans import match
 
 
@@ -61,6 +62,24 @@ def test_players_are_tracked_through_the_halves(tables):
     assert {(r.half, r.team): r.substitutes for r in tables["substitutes"].collect()} == {(h, t): 0 for h in (1, 2) for t in (0, 1)}
 
 
+def test_report_of_the_match(tables):
+    rows = {(r.scope, r.team, r.measure): r.value for r in tables["report"].collect()}
+    scopes = ("match", "half_1", "half_2")
+    assert len(rows) == len(scopes) * 2 * len(report.MEASURES)
+    for scope in scopes:
+        assert abs(sum(rows[scope, k, "possession"] for k in (0, 1)) - 100) < 1e-9
+        assert all(abs(sum(rows[scope, k, f"{x}_third"] for x in ("own", "middle", "final")) - 100) < 1e-9 for k in (0, 1))
+        assert rows[scope, 0, "ball_losses"] == rows[scope, 1, "recoveries"] and rows[scope, 0, "passes_completed"] <= rows[scope, 0, "passes_attempted"]
+    for name in ("possessions", "passes_attempted", "shots", "recoveries"):
+        assert all(rows["match", k, name] == rows["half_1", k, name] + rows["half_2", k, name] for k in (0, 1))
+    sequences = tables["sequences"].collect()
+    for k in (0, 1):
+        lasted = [(r.t1 - r.t0) / 1000 for r in sequences if r.team == k]
+        assert rows["match", k, "possessions"] == len(lasted) and abs(rows["match", k, "average_possession_s"] - np.mean(lasted)) < 1e-9
+        assert rows["match", k, "possessions_over_10_s"] == sum(x >= 10 for x in lasted)
+        assert 10 < rows["match", k, "team_length_m"] < 20 and rows["match", k, "average_position_m"] < 28 and rows["match", k, "distance_km"] > 0
+
+
 def test_candidates_on_bodies_and_spare_balls_are_left_out(spark):
     rows = []
     for i in range(60):

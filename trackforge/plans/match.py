@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackforge.functions.scalar import mirrored, on_upper_body
-from trackforge.operators import actions, goals, islands, kickoff_teams, kickoffs, measures, nearest, shots, stateful, windows
+from trackforge.operators import actions, goals, islands, kickoff_teams, kickoffs, measures, nearest, report, shots, smoothing, stateful, windows
 from trackforge.operators import ball as ball_operators
 from trackforge.operators import players as player_operators
 from trackforge.params import Actions, Ball, Goals, Pitch, Possession, Stats, Tracks
@@ -30,6 +30,7 @@ class Settings:
     actions: Actions = field(default_factory=Actions)
     goals: Goals = field(default_factory=Goals)
     tracks: Tracks = field(default_factory=Tracks)
+    frame_rate: float = 15.0
     kits: kickoff_teams.Kits = field(default_factory=kickoff_teams.Kits)
 
 
@@ -178,4 +179,9 @@ def analyse(detections: DataFrame, players: DataFrame, s: Settings = Settings(),
     kicked = written(kickoff_events(ball, players, s))
     tracks = written(player_tracks(players, s))
     goal_tables = goal_events(detections, ball, players, directions, kicked, s, halves)
-    return {**learnt, "ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, goal_tables["goals"], s)}
+    out = {**learnt, "ball": ball, "possession": held, "directions": directions, "kickoffs": kicked, **goal_tables, "tracks": tracks, "substitutes": player_operators.substitutes(tracks, KEYS, s.tracks, s.pitch), "zones": zones(held, directions, s), **figures(held, s), **played(held, directions, tracks, goal_tables["goals"], s)}
+    people = players.where("class = 'player'").select(*KEYS, "frame", F.col("x_m").alias("x"), F.col("y_m").alias("y"), "team", F.col("gk").cast("boolean").alias("keeper"))
+    step = 1 / s.frame_rate
+    paced = smoothing.smooth_tracks(tracks.where("slot is not null").select(*KEYS, F.col("slot_team").alias("team"), "slot", "t", "x", "y"), [*KEYS, "team", "slot"], step, s.tracks)
+    moved = paced.where("valid").select(*KEYS, "team", (F.col("speed") * step).alias("metres"))
+    return out | {"report": report.report({**out, "players": people, "moved": moved}, s.pitch, s.actions)}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackforge.functions import scalar as fn
-from trackforge.operators import clean, nearest, teams
+from trackforge.operators import clean, nearest, report, teams
 from trackforge.operators import measures as ag
 from trackforge.plans.catalog import query, r6
 from trackforge.plans.joins import MOMENTS_SQL, analyses, moments
@@ -310,3 +310,20 @@ def rk02_boxes_by_confidence(spark, sf_dir):
 def ag19_label_counters(spark, sf_dir):
     m = boxes(spark, sf_dir).groupBy("frame").agg(F.count_if(C("kind") == "ball").alias("balls"), F.count_if(C("kind") == "player").alias("players"))
     return m.groupBy(F.least("balls", F.lit(3).cast("long")).alias("balls")).agg(F.count("*").alias("frames"), F.sum("players").alias("players"))
+
+
+@query(""", d AS (SELECT match_id, half, CAST(coalesce(avg(x) FILTER (team = 0) < avg(x) FILTER (team = 1), false) AS BOOLEAN) AS r0 FROM frames GROUP BY 1, 2),
+f AS (SELECT match_id, half, team, CASE WHEN (team = 0) = r0 THEN x ELSE 56 - x END AS xn, kind, value FROM frames JOIN d USING (match_id, half) WHERE team IS NOT NULL),
+g AS (SELECT match_id, half FROM d UNION SELECT match_id, 0 FROM d), w AS (SELECT match_id, g.half, t.team FROM g, (SELECT unnest([0, 1]) AS team) t),
+h AS (SELECT w.match_id, w.half, w.team, f.xn, f.kind, f.value FROM w LEFT JOIN f ON f.match_id = w.match_id AND f.team = w.team AND (w.half = 0 OR f.half = w.half)),
+n AS (SELECT w.match_id, w.half, count(*) AS n FROM (SELECT DISTINCT match_id, half FROM w) w JOIN f ON f.match_id = w.match_id AND (w.half = 0 OR f.half = w.half) GROUP BY 1, 2),
+v AS (SELECT match_id, half, team, count(kind)::DOUBLE AS c, 100 * avg(CAST(xn >= 28 AS INT)) AS opp, 100 * avg(CAST(xn < 56 / 3.0::DOUBLE AS INT)) AS own, count(*) FILTER (kind = 'view')::DOUBLE AS pa, count(*) FILTER (kind = 'view' AND value > 50)::DOUBLE AS pc, 100 * avg(CAST(value > 50 AS INT)) FILTER (kind = 'view') AS acc FROM h GROUP BY 1, 2, 3),
+u AS (SELECT v.*, n.n FROM v LEFT JOIN n USING (match_id, half))
+SELECT match_id, CASE half WHEN 0 THEN 'match' ELSE 'half_' || half END AS scope, team, m.measure, round(m.value, 6) AS value FROM (SELECT match_id, half, team, unnest([{'measure': 'possession', 'value': 100 * c / n}, {'measure': 'possession_in_opponent_half', 'value': opp}, {'measure': 'own_third', 'value': own}, {'measure': 'passes_attempted', 'value': pa}, {'measure': 'passes_completed', 'value': pc}, {'measure': 'pass_accuracy', 'value': acc}]) AS m FROM u)""")
+def ag38_report(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    directions = ag.attack_directions(f.select("match_id", "half", "team", "x"), ["match_id", "half"], "team", "x")
+    tables = {"possession": f.withColumn("possession", C("team")), "directions": directions, "passes": f.where("kind = 'view'").withColumn("completed", C("value") > 50)}
+    wanted = ("possession", "possession_in_opponent_half", "own_third", "passes_attempted", "passes_completed", "pass_accuracy")
+    found = report.report(tables, measures=[m for m in report.MEASURES if m.name in wanted])
+    return found.withColumn("value", r6(C("value")))
