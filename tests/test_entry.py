@@ -49,3 +49,20 @@ def test_entry_works_without_the_pipeline(tmp_path):
     copied(tmp_path)
     (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
     assert "pipeline" not in set().union(*named(tmp_path))
+
+
+def test_a_broken_corpus_operator_is_an_error(tmp_path):
+    copied(tmp_path)
+    folder = tmp_path / "trackforge" / "llm"
+    if folder.exists():
+        (folder / "queries.py").write_text("from trackforge.llm import not_there\n")
+        done = subprocess.run([sys.executable, "-c", NAMES], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+        assert done.returncode and "not_there" in done.stderr
+
+
+def test_a_missing_library_is_a_warning(tmp_path):
+    copied(tmp_path)
+    folder = tmp_path / "trackforge" / "llm"
+    if folder.exists():
+        (folder / "queries.py").write_text("raise ModuleNotFoundError('no xxhash', name='xxhash')\n")
+        assert not any(corpus_names(names) for names in named(tmp_path))
