@@ -139,3 +139,13 @@ def test_runs_outside_hold_their_last_row(spark, inside_again):
     players = spark.createDataFrame([("m", 1, i, 1.0, 1.0, 0) for i in range(n)], "match_id string, half int, frame long, x_m double, y_m double, team int")
     states = {r.frame: r.ball_state for r in match.possession(ball, players, match.Settings()).collect()}
     assert [f for f, s in sorted(states.items()) if s == "out"] == list(range(3, 8 if inside_again else n))
+
+
+def test_goals_from_notes(spark):
+    notes = spark.createDataFrame([("m", "0:10=1, 1:40=0,2:00,x=1,3:00=7,"), ("n", "1:00:00=1"), ("o", None)], "match_id string, text string")
+    rows = spark.createDataFrame([("m", 1, 0), ("m", 1, 60_000), ("m", 2, 110_000), ("m", 2, 115_000), ("n", 1, 5)], "match_id string, half int, t long")
+    found = goals.manual_goals(notes, rows)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("m", 1, 10_000, 1), ("m", 2, 100_000, 0), ("m", 2, 120_000, None), ("n", 1, 3_600_000, 1)], key=repr)
+    others = spark.createDataFrame([("m", 1, 5, "ball", "goal", 4, "left")], "match_id string, half int, kickoff_t long, how string, category string, goal_t long, side string")
+    both = goals.with_manual(others.selectExpr("*", "false as goal_time_is_rough", "0 as scorer"), found)
+    assert both.count() == 5 and {(r.how, r.side) for r in both.collect()} == {("ball", "left"), ("manual", None)}

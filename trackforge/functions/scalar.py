@@ -129,6 +129,12 @@ def circle_distance(x: Column, y: Column, cx: float, cy: float, radius: float) -
     return F.abs(F.hypot(x - cx, y - cy) - radius)
 
 
+def sampled_circle(x: Column, y: Column, radius: float, n: int) -> Column:
+    """n + 1 points (i, x, y) around a circle, the first one again at the end."""
+    angle = lambda i: 2 * F.pi() * i / n
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct(i.alias("i"), (x + radius * F.cos(angle(i))).alias("x"), (y + radius * F.sin(angle(i))).alias("y")))
+
+
 def at_line(x: Column, y: Column, length: float, width: float, distance: float = 1.5, any_line: bool = False) -> Column:
     """In the zone where players change: at the near line, or at any."""
     return F.least(x, length - x, y, width - y) < distance if any_line else y > width - distance

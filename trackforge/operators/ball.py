@@ -143,9 +143,9 @@ def fill_gaps(df: DataFrame, keys: list[str], top_speed: float = 35.0) -> DataFr
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         frames = {f: g for f, g in rows.sort_values(["frame", "x", "y"]).groupby("frame")}
         order, out = sorted(frames), []
-        anchors = [f for f in order if (frames[f].kind == "anchor").any()]
-        for a, b in zip(anchors, anchors[1:], strict=False):
-            between = order[order.index(a) + 1 : order.index(b)]
+        anchors = [i for i, f in enumerate(order) if (frames[f].kind == "anchor").any()]
+        for i, j in zip(anchors, anchors[1:], strict=False):
+            a, between, b = order[i], order[i + 1 : j], order[j]
             if not between:
                 continue
             ends = [frames[f][frames[f].kind == "anchor"].iloc[0] for f in (a, b)]

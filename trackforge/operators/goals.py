@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackforge.functions.scalar import seconds_of
 from trackforge.operators import islands
 from trackforge.operators.actions import goal_categories, same_restarts, scorer
-from trackforge.operators.nearest import interval_join, nearest_in_key
+from trackforge.operators.nearest import asof, interval_join, nearest_in_key
 from trackforge.params import Actions, Goals, Pitch
 from trackforge.stored import written
 
@@ -147,3 +148,23 @@ def late_goals(found: DataFrame, ball: DataFrame, halves: DataFrame, directions:
     stays = stays.join(directions.where("team = 0").select(*KEYS, F.when(F.col("right"), 0).otherwise(1).alias("_right")), KEYS, "left")
     side = F.when(F.col("x") < pitch.length / 2, "left").otherwise("right")
     return stays.select(*KEYS, "t0", "t1", "n", side.alias("side"), F.when(side == "right", F.col("_right")).otherwise(1 - F.col("_right")).alias("scorer"))
+
+
+def manual_goals(notes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Goals known from elsewhere: match_id, half, goal_t (ms), scorer. notes: match_id, text such as "33:10=1,41:00=0".
+
+    A time is [[h:]m:]s of the recording; a team is 0 or 1, none if it is left out. Parts that don't read so are left
+    out. The half is that of the first of the match's rows (t, half) not before the goal, or of its last.
+    """
+    part = F.explode(F.split("text", ",")).alias("part")
+    said = notes.select("match_id", part).select("match_id", F.trim(F.split("part", "=")[0]).alias("at"), F.get(F.split("part", "="), F.lit(1)).alias("team"))
+    team = F.when(F.trim("team").isin("0", "1"), F.trim("team").cast("int"))
+    goals = said.select("match_id", F.round(1000 * seconds_of(F.col("at"))).cast("long").alias("t"), team.alias("scorer"), (F.col("team").isNull() | team.isNotNull()).alias("_ok")).where(F.col("_ok") & F.col("t").isNotNull()).drop("_ok")
+    moments = rows.groupBy("match_id", "t").agg(F.min("half").alias("half"))
+    return asof(goals, moments, MATCH, "t", ["half"], forward=True, clamp=True).select(*KEYS, F.col("t").alias("goal_t"), "scorer")
+
+
+def with_manual(found: DataFrame, manual: DataFrame) -> DataFrame:
+    """The goals found, with manual ones added as goals of the match: all other columns of theirs are null but how."""
+    mine = manual.select(*KEYS, F.lit("manual").alias("how"), F.lit("goal").alias("category"), "goal_t", F.lit(False).alias("goal_time_is_rough"), "scorer")
+    return found.unionByName(mine, allowMissingColumns=True)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackforge.functions.scalar import seconds_of
 from trackforge.operators import actions as act
+from trackforge.operators import goals as goal_operators
 from trackforge.operators import ball, colours, evaluate, islands, kickoff_teams, players, sampling, separation, shots, smoothing, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.plans.catalog import query, r6
@@ -318,10 +318,15 @@ def isl11_same_restart(spark, sf_dir):
     return act.same_restarts(rows, KEYS, 24 * HOUR)
 
 
-@query("""WITH t AS (SELECT unnest(['33:10=1', '41:00=0', '1:02:03=1']) AS g) SELECT g, CASE g WHEN '33:10=1' THEN 1990.0::DOUBLE WHEN '41:00=0' THEN 2460.0::DOUBLE ELSE 3723.0::DOUBLE END AS t, CAST(right(g, 1) AS INT) AS team FROM t""", frames=False)
+@query(""", r AS (SELECT match_id, t % 5400000 AS t, min(half) AS half FROM frames GROUP BY 1, 2), l AS (SELECT match_id, max_by(half, t) AS half FROM r GROUP BY 1),
+g AS (SELECT match_id, t % 5400000 // 1000 * 1000 AS goal_t, CAST(frame % 2 AS INT) AS scorer FROM frames WHERE kind = 'purchase')
+SELECT g.match_id, coalesce(r.half, l.half) AS half, goal_t, scorer FROM g ASOF LEFT JOIN r ON g.match_id = r.match_id AND g.goal_t <= r.t JOIN l ON l.match_id = g.match_id""")
 def st16_manual_goals(spark, sf_dir):
-    g = spark.range(1).select(F.explode(F.split(F.lit("33:10=1,41:00=0,1:02:03=1"), ",")).alias("g"))
-    return g.select("g", seconds_of(F.split("g", "=")[0]).alias("t"), F.split("g", "=")[1].cast("int").alias("team"))
+    f = frames(spark, sf_dir).withColumn("t", C("t") % 5_400_000)
+    s = F.floor(C("t") / 1000)
+    said = F.format_string("%d:%02d=%d", F.floor(s / 60), s % 60, C("frame") % 2)
+    notes = f.where("kind = 'purchase'").groupBy("match_id").agg(F.concat_ws(",", F.collect_list(said)).alias("text"))
+    return goal_operators.manual_goals(notes, f)
 
 
 @query(""", e AS (SELECT match_id, half, t, frame FROM frames WHERE kind = 'signup'), s AS (SELECT *, row_number() OVER (PARTITION BY match_id, half ORDER BY t) AS r, min(t) OVER (PARTITION BY match_id, half) AS f FROM e)

@@ -119,11 +119,11 @@ def fn29_line_distance(spark, sf_dir):
     return frames(spark, sf_dir).where("x is not null").select("match_id", "frame", r6(fn.segment_distance(C("x"), C("y"), 9.0, 6.0, 9.0, 26.0)).alias("to_line"), r6(fn.circle_distance(C("x"), C("y"), 28.0, 16.18, 4.75)).alias("to_circle"))
 
 
-@query("""WITH l AS (SELECT unnest(generate_series(0, 40)) AS i) SELECT CAST(i AS INT) AS i, round(28 + 4.75 * cos(2 * pi() * i / 40), 6) AS x, round(16.18 + 4.75 * sin(2 * pi() * i / 40), 6) AS y FROM l""", frames=False)
+@query(""" SELECT match_id, frame, CAST(i AS INT) AS i, round(x + 4.75 * cos(2 * pi() * i / 40), 6) AS px, round(y + 4.75 * sin(2 * pi() * i / 40), 6) AS py FROM frames, (SELECT unnest(generate_series(0, 40)) AS i) WHERE kind = 'purchase'""")
 def fn29_sampled_circle(spark, sf_dir):
-    i = C("i")
-    points = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(40))).alias("i"))
-    return points.select("i", r6(28 + 4.75 * F.cos(2 * F.pi() * i / 40)).alias("x"), r6(16.18 + 4.75 * F.sin(2 * F.pi() * i / 40)).alias("y"))
+    rows = frames(spark, sf_dir).where("kind = 'purchase'")
+    points = rows.select("match_id", "frame", F.explode(fn.sampled_circle(C("x"), C("y"), 4.75, 40)).alias("p"))
+    return points.select("match_id", "frame", "p.i", r6(C("p.x")).alias("px"), r6(C("p.y")).alias("py"))
 
 
 @query(""", s AS (SELECT match_id, frame, (t - lag(t) OVER w) / 1000.0 AS gap, lag(y) OVER w > 30.86::DOUBLE AS e, y > 30.86::DOUBLE AS b FROM frames WHERE x IS NOT NULL WINDOW w AS (PARTITION BY match_id ORDER BY frame)) SELECT match_id, frame, coalesce(gap > 3600 AND e AND b, false) AS change FROM s""")
