@@ -109,14 +109,17 @@ def keeper_samples(df: DataFrame, keys: list[str], frame: str, x: str, value: st
     return near.groupBy(*keys, "side").agg(F.count("*").alias("n"), F.median("v").alias("median")).where(F.col("n") >= least)
 
 
-def balanced(df: DataFrame, frame_keys: list[str], team: str, score: str, size: int) -> DataFrame:
-    """Players changed to the other team where one has more than size and the other less, those that fit least first."""
+def balanced(df: DataFrame, frame_keys: list[str], team: str, score: str, size: int, ties: list[str] | None = None) -> DataFrame:
+    """Players changed to the other team where one has more than size and the other less, those that fit least first.
+
+    ties: columns that decide among equal scores; without them any of these may change.
+    """
     counts = Window.partitionBy(*frame_keys)
     n = [F.sum((F.col(team) == i).cast("int")).over(counts) for i in (0, 1)]
     rows = df.withColumn("_n0", n[0]).withColumn("_n1", n[1])
     big = F.when(F.col("_n1") > F.col("_n0"), 1).otherwise(0)
     k = F.least(F.greatest("_n0", "_n1") - size, size - F.least("_n0", "_n1"))
     rows = rows.withColumn("_big", big).withColumn("_k", k)
-    rank = F.row_number().over(Window.partitionBy(*frame_keys, team).orderBy(score))
+    rank = F.row_number().over(Window.partitionBy(*frame_keys, team).orderBy(score, *(ties or [])))
     moved = (F.col(team) == F.col("_big")) & (rank <= F.col("_k"))
     return rows.withColumn("balanced", F.when(moved, 1 - F.col(team)).otherwise(F.col(team))).drop("_n0", "_n1", "_big", "_k")

@@ -179,7 +179,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY match_id, d, team ORDER BY value
 SELECT match_id, frame, CASE WHEN team = big AND r <= k THEN 1 - team ELSE team END AS balanced FROM r""")
 def st14_balanced_teams(spark, sf_dir):
     d = frames(spark, sf_dir).where("team is not null").withColumn("d", F.floor(C("t") / (72 * HOUR)))
-    return teams.balanced(d, ["match_id", "d"], "team", "value", 2).select("match_id", "frame", "balanced")
+    return teams.balanced(d, ["match_id", "d"], "team", "value", 2, ["frame"]).select("match_id", "frame", "balanced")
 
 
 @query("""WITH e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
