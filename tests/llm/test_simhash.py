@@ -126,3 +126,9 @@ def test_a_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HELD", 701)
     texts = next(simhash.textops.chunks(simhash.pa.array([text, None, " x  y ", "A b\tC d\n\ne"])))
     assert simhash.fingerprints(texts, 4).tolist() == [plain_print(t) for t in (text, None, " x  y ", "A b\tC d\n\ne")]
+
+
+def test_keys_are_made_by_all_tasks_and_led_without_a_join(spark):
+    prints = spark.createDataFrame([(i * 7919,) for i in range(64)], "print long").coalesce(1).selectExpr("print", "print as component")
+    assert simhash.keyed(prints).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Join" not in simhash.leader_links(prints, 4)._jdf.queryExecution().optimizedPlan().toString()

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackforge.llm import golay, textops
@@ -126,25 +126,27 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    return prints.select("print", "component").mapInArrow(lean(_keyed), "key long, tag long, print long, component long")
+    """The keys of all fingerprints. A few bytes become 89 rows, so fingerprints are first dealt to all shuffle partitions."""
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("print", "component").repartition(parts, "print").mapInArrow(lean(_keyed), "key long, tag long, print long, component long")
 
 
 def leader_links(prints: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) of the two leaders of each key with its other fingerprints."""
-    rows = keyed(prints).select("key", "tag", "print")
-    led = rows.groupBy("key").agg(F.min_by("print", "tag").alias("first"), F.max_by("print", "tag").alias("second")).where("first <> second")
-    met = rows.select("key", "print").join(led, "key").select("print", F.explode(F.array("first", "second")).alias("leader"))
+    group = Window.partitionBy("key")
+    led = keyed(prints).select("print", F.min_by("print", "tag").over(group).alias("first"), F.max_by("print", "tag").over(group).alias("second")).where("first <> second")
+    met = led.select("print", F.explode(F.array("first", "second")).alias("leader"))
     return met.where((F.col("print") != F.col("leader")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("leader"))) <= radius)).select(F.col("leader").alias("a"), F.col("print").alias("b")).distinct()
 
 
 def stranger_links(prints: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between fingerprints of different components that share a key, at least one for each two that link."""
-    rows = keyed(prints).select("key", "print", "component")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rows = materialise(rows.join(mixed, "key"))
-    largest = rows.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
-    strangers = rows.join(largest, "key").where("component <> largest").select("key", F.col("print").alias("a"), F.col("component").alias("of_a"))
-    met = strangers.join(rows, "key").where((F.col("component") != F.col("of_a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("print"))) <= radius))
+    group = Window.partitionBy("key")
+    rows = keyed(prints).select("key", "print", "component", F.min("component").over(group).alias("c0"), F.max("component").over(group).alias("c1")).where("c0 <> c1")
+    rows = rows.select("key", "print", "component", F.count("*").over(Window.partitionBy("key", "component")).alias("size"))
+    rows = materialise(rows.select("key", "print", "component", F.max(F.struct("size", "component")).over(group)["component"].alias("largest")))
+    strangers = rows.where("component <> largest").select("key", F.col("print").alias("a"), F.col("component").alias("of_a"))
+    met = strangers.join(rows.select("key", "print", "component"), "key").where((F.col("component") != F.col("of_a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("print"))) <= radius))
     return met.select("a", F.col("print").alias("b")).distinct()
 
 
@@ -164,14 +166,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
     first = materialise(leader_links(prints.withColumn("component", F.col("print")), radius))
     labels = components(first)
-    placed = materialise(prints.join(labels, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component")))
+    placed = materialise(prints.join(labels.hint("merge"), F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component")))
     release_shuffles(docs.sparkSession)
     second = materialise(stranger_links(placed, radius))
     if second.limit(1).count():
         labels = components(first.union(second))
-        placed = prints.join(labels, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component"))
-    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("print", "component_id")
-    out = rows.join(named, "print")
+        placed = prints.join(labels.hint("merge"), F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("component"))
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")).hint("merge"), "component").select("print", "component_id")
+    out = rows.join(named.hint("merge"), "print")
     own, component = (F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id"))
     return out.select(own, F.col("print").alias("fingerprint"), component)
 
