@@ -7,10 +7,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trackforge import plans
 from trackforge.functions import lens
-from trackforge.operators import actions, assignment, ball, colours, evaluate, islands, measures, players, stateful, teams
+from trackforge.operators import actions, assignment, ball, colours, evaluate, islands, measures, nearest, players, stateful, teams
 from trackforge.params import Actions, Ball, Pitch, Possession, Tracks
 from trackforge.sources import sinks, tables
 
@@ -467,3 +468,21 @@ def test_equal_scores_change_team_in_order(spark):
     df = spark.createDataFrame(rows, "k int, frame int, team int, score double")
     found = teams.balanced(df, ["k"], "team", "score", 2, ["frame"]).collect()
     assert {r.frame: r.balanced for r in found} == {2: 0, 3: 1, 4: 1, 9: 0}
+
+
+def test_distances_are_rounded_as_in_sql(spark):
+    """hypot may differ from the root of squares in the last bit, which matters at a limit."""
+    points = [(i, 0.01 * i, 0.013 * i + 0.37) for i in range(1, 400)]
+    df = spark.createDataFrame([(i, 0.0, 0.0) for i, *_ in points], "k int, x double, y double").withColumn("b", F.col("k"))
+    right = spark.createDataFrame(points, "k int, x double, y double").withColumn("p", F.col("k"))
+    found = {r.k: r.distance for r in nearest.nearest_in_key(df, right, ["k"], "b", "p").collect()}
+    assert found == {i: math.sqrt(x * x + y * y) for i, x, y in points}
+
+
+def test_rivals_meet_once(spark):
+    spans = [(i % 2, i, 7 * i % 50, 7 * i % 50 + 3 * i) for i in range(40)]
+    df = spark.createDataFrame([*spans, spans[3]], "k int, id int, t0 long, t1 long")
+    found = nearest.overlaps_in_time(df, ["k"], "id", "t0", "t1", 5, 10)
+    wanted = sorted((k, a, b, min(t1, u1) - max(t0, u0)) for k, a, t0, t1 in spans for m, b, u0, u1 in spans if k == m and a < b and min(t1, u1) - max(t0, u0) >= 5)
+    assert sorted(map(tuple, found.collect())) == wanted
+    assert "Aggregate" not in found.where("a is null or a > 0")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
