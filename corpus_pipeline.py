@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackforge.llm import bpe, decontaminate, jaccard_join, langid, suffix_tree
 from trackforge.llm.durable import staged
+from trackforge.llm.repeats import enough_buckets
 
 LEAST_POSTERIOR = 0.5
 NEAR_DUPLICATES = jaccard_join.Similarity(size=5, percent=80)
@@ -41,7 +42,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
     plain = docs.select("doc_id", "text", *(docs[c].alias(name) for c, name in others.items()))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1  # executors hold what earlier stages left as well
+    buckets = enough_buckets(docs, "text", 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # executors hold what earlier stages left as well
     found = suffix_tree.dedup_texts(plain, buckets=buckets, carry=list(others.values()))
     made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*((made[c] if c in made else F.col(others[c])).alias(c) for c in docs.columns))

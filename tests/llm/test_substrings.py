@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import WORDS, corpus, documents, odd_texts
-from trackforge.llm import packing, repeats, suffix_array, suffix_tree
+from trackforge.llm import packing, repeats, suffix_array, suffix_tree, textops
 
 
 def words_left(rows, window):
@@ -147,3 +147,24 @@ def test_packed_arrays_come_back():
     arrays = [np.array([5, -3, 1 << 60], np.int64), np.zeros(0, np.int32), np.array([1 << 63], np.uint64), np.arange(300, dtype=np.uint8), np.array([0.5])]
     for a, b in zip(arrays, packing.unpack(packing.pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_words_of_a_bucket_are_hashed_in_pieces(monkeypatch):
+    rows = [" ".join(f"w{i}x{k}" for k in range(3000)).encode() for i in range(60)] + [b"", b"a b"]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    texts = textops.Texts(np.frombuffer(b"".join(rows), np.uint8), bounds)
+    whole, _, _, firsts = texts.word_hashes()
+    seen, plain = [], textops.Texts.word_hashes
+    monkeypatch.setattr(textops.Texts, "word_hashes", lambda self, *a: (seen.append(len(self.data)), plain(self, *a))[1])
+    none = np.zeros(len(rows), np.int64)
+    windows = np.maximum(np.diff(firsts) - suffix_tree.WINDOW + 1, 0)
+    suffix_tree.judge(repeats.Shard(texts, none, none, none, windows, none + 1))
+    assert max(seen) <= textops.CHUNK_BYTES < len(texts.data)
+    hashes, first = suffix_tree.hashed_words(texts)
+    assert (hashes == whole).all() and (first == firsts[:-1]).all()
+
+
+def test_large_texts_make_more_buckets_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 10)
+    docs = spark.createDataFrame([(1, "x" * 95), (2, None)], "doc_id long, text string")
+    assert (repeats.enough_buckets(docs, "text", 4), repeats.enough_buckets(docs, "text", 40)) == (11, 41)

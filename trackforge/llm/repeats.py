@@ -34,6 +34,7 @@ from trackforge.llm.packing import by_bucket, merged, pack, rows_of, stream_of,
 from trackforge.llm.workers import bound_batches, lean, lean_group
 
 NULL_ID = (1 << 63) - 1  # stands for a null doc_id, which counts as larger than all others
+BUCKET_BYTES = 8 << 20  # text of a part of the documents
 
 
 @dataclass(frozen=True)
@@ -283,16 +284,22 @@ def _applied(windows: Windows, describe: Callable, schema: pa.Schema, carry: lis
     return run
 
 
+def enough_buckets(docs: DataFrame, text_col: str, least: int) -> int:
+    """How many buckets keep each at BUCKET_BYTES of text on average, least at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return max(least, -(-total // BUCKET_BYTES)) + 1
+
+
 def remove_repeats(docs: DataFrame, windows: Windows, judge: Callable[[Shard], np.ndarray], describe: Callable, schema: pa.Schema, ddl: str, id_col: str, text_col: str, buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """describe(...) of each text without the windows that judge finds; see the module's text for the steps.
 
-    buckets: into how many parts hashes and documents are dealt; one for each shuffle partition by default, so that it
-    is the cluster's setting for the size of the data that bounds memory. carry: columns of docs that stay with their rows.
+    buckets: into how many parts hashes and documents are dealt; by default one for each shuffle partition, and more if
+    the texts are large for so few, as a bucket is held in memory. carry: columns of docs that stay with their rows.
     """
     carry = carry or []
     spark = docs.sparkSession
     bound_batches(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    buckets = buckets or enough_buckets(docs, text_col, int(spark.conf.get("spark.sql.shuffle.partitions")))
     x = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id")
     texts = docs.select(x, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     carried = docs.select(x, F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))

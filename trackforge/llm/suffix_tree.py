@@ -76,9 +76,20 @@ def repeated_windows(words: np.ndarray, suffixes: np.ndarray, depth: int, weight
     return flags | (weights > 1)
 
 
+def hashed_words(texts: textops.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the first of each text. Hashing takes some thirty bytes for each byte, so it goes by pieces."""
+    hashes, firsts, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in texts.pieces():
+        found, _, _, first = piece.word_hashes()
+        hashes.append(found)
+        firsts.append(first[:-1] + done)
+        done += len(found)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
 def judge(shard: Shard, depth: int = WINDOW) -> np.ndarray:
-    hashes, _, _, firsts = shard.contents.word_hashes()
-    suffixes = textops.expand(firsts[:-1], shard.windows)
+    hashes, firsts = hashed_words(shard.contents)
+    suffixes = textops.expand(firsts, shard.windows)
     return repeated_windows(hashes, suffixes, depth, np.repeat(shard.copies, shard.windows))
 
 

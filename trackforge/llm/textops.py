@@ -109,6 +109,14 @@ class Texts:
         at = np.arange(max(0, len(self.data) - k + 1))
         return span_hashes(sums, at, at + k)
 
+    def pieces(self, limit: int = CHUNK_BYTES) -> Iterator["Texts"]:
+        """The texts in pieces of about limit bytes, never cutting a text."""
+        at = 0
+        while at < len(self):
+            to = min(max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + limit, side="right")) - 1), len(self))
+            yield Texts(self.data[self.bounds[at] : self.bounds[to]], self.bounds[at : to + 1] - self.bounds[at], at)
+            at = to
+
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
