@@ -298,3 +298,13 @@ def test_cells_lengths_repeated_ids_and_clashing_names(spark, monkeypatch):
         near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(x) == len(y))[:5]
         wanted += [(q, k, i, -d) for k, (d, i) in enumerate(near, 1)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(wanted)
+
+
+def test_labels_are_merged_and_not_broadcast(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    joins, plain_join = [], type(links).join
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(links), "join", lambda self, *a, **k: (joins.append(plain_join(self, *a, **k)), joins[-1])[1])
+        found = sorted(map(tuple, jaccard_join.components(links).collect()))
+    assert found == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert joins and all("BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString() for j in joins)
