@@ -486,3 +486,35 @@ def test_rivals_meet_once(spark):
     wanted = sorted((k, a, b, min(t1, u1) - max(t0, u0)) for k, a, t0, t1 in spans for m, b, u0, u1 in spans if k == m and a < b and min(t1, u1) - max(t0, u0) >= 5)
     assert sorted(map(tuple, found.collect())) == wanted
     assert "Aggregate" not in found.where("a is null or a > 0")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_nearest_of_many_looks_at_few(spark):
+    """Against all pairs: crowds, copies, lines and groups without points; the nearest of crowds are found without their pairs."""
+    from trackforge.operators import proximity
+
+    rng = np.random.default_rng(3)
+    for n, spot in ((300, lambda k: rng.uniform(0, 50, (k, 2))), (300, lambda k: np.round(rng.normal(0, 2, (k, 2)))), (200, lambda k: np.stack([np.full(k, 7.0), rng.uniform(0, 9, k)], 1)), (40, lambda k: np.exp(9 * rng.normal(0, 1, (k, 2))))):
+        p, q = spot(n), spot(n)
+        group, to_group = rng.integers(0, 4, n), rng.integers(1, 6, n)
+        d, found = proximity.nearest_points(group, *p.T, to_group, *q.T, 6)
+        away = np.sqrt((p[:, None, 0] - q[:, 0]) ** 2 + (p[:, None, 1] - q[:, 1]) ** 2)
+        away[group[:, None] != to_group] = np.inf
+        wanted = np.where(group == 0, -1, away.argmin(1))
+        assert (found == wanted).all() and (d[group > 0] == away.min(1)[group > 0]).all()
+    d, found = proximity.nearest_points(np.zeros(3, int), np.array([np.nan, np.inf, 1]), np.zeros(3), np.zeros(2, int), np.array([np.nan, 4]), np.zeros(2), 1)
+    assert found.tolist() == [0, 1, 1] and np.isnan(d[0]) and d[1:].tolist() == [np.inf, 3]
+    spots = rng.uniform(0, 50, (2, 30_000, 2))
+    looked = []
+    away = proximity.Strips._away
+    proximity.Strips._away = lambda self, x, y, i: looked.append(len(i)) or away(self, x, y, i)
+    try:
+        proximity.nearest_points(np.zeros(30_000, int), *spots[0].T, np.zeros(30_000, int), *spots[1].T, 1)
+    finally:
+        proximity.Strips._away = away
+    assert sum(looked) < 100 * 30_000
+    rows = [(1, 10, 0.0, 0.0), (1, 11, None, 0.0), (2, 12, 0.0, 0.0), (None, 13, 0.0, 0.0)]
+    left, right = spark.createDataFrame(rows, "k int, b int, x double, y double"), spark.createDataFrame([(1, 7, 3.0, 4.0, "b"), (1, 5, -3.0, 4.0, "a"), (1, 4, None, 0.0, "c"), (None, 3, 0.0, 0.0, "d")], "k int, p int, x double, y double, who string")
+    near = nearest.nearest_in_key(left, right, ["k"], "b", "p", carry=["who"])
+    assert near.columns == ["k", "b", "x", "y", "distance", "nearest", "nearest_who"]
+    assert {r.b: (r.distance, r.nearest, r.nearest_who) for r in near.collect()} == {10: (5.0, 5, "a"), 11: (None,) * 3, 12: (None,) * 3, 13: (None,) * 3}
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from trackforge.operators.proximity import nearest_points
+
 ROW = "_row"
+BATCH = 10_000  # rows of a batch of results
 Columns = list[tuple[str, T.DataType]]
 
 
@@ -87,3 +90,33 @@ def grouped(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.Dat
         return [joined[n] for n, _ in columns], np.array([len(r) for r in results])
 
     return _mapped(df, keys, [F.lit(0)], columns, of_groups)
+
+
+def with_nearest(df: DataFrame, keys: list[str], order: list, row: str, x: str, y: str, answer: str) -> DataFrame:
+    """Of the rows where row isn't null: keys, row, the answer of the nearest row without it in the same key, and _d, the distance.
+
+    order: first the rows without row, in the order in which ties are settled.
+    """
+    schema = T.StructType([*(df.schema[k] for k in keys), df.schema[row], T.StructField("_d", T.DoubleType()), T.StructField(answer, df.schema[answer].dataType)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _groups(batches):
+            asks = table.column(row).is_valid().to_numpy()
+            at, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(at):
+                continue
+            group = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            px, py = (table.column(c).to_numpy() for c in (x, y))  # null becomes NaN
+            known = table.column(x).is_valid().to_numpy()[at] & table.column(y).is_valid().to_numpy()[at]
+            d, found = np.full(len(at), np.nan), np.full(len(at), -1)
+            here = at[known]
+            d[known], found[known] = nearest_points(group[here], px[here], py[here], group[to], px[to], py[to], len(begins) - 1)
+            none = found < 0
+            which = pa.array(to[np.maximum(found, 0)] if len(to) else np.zeros(len(at), int), mask=none)
+            mine = table.take(pa.array(at))
+            answers = table.column(answer).take(which)
+            out = pa.Table.from_arrays([*(mine.column(c) for c in (*keys, row)), pa.array(d, pa.float64(), mask=none), answers], names=schema.names)
+            yield from out.combine_chunks().to_batches(max_chunksize=BATCH)
+
+    numbered = df.withColumn(ROW, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered.mapInArrow(walk, schema)
