@@ -533,3 +533,28 @@ def test_nearest_in_time_makes_no_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
     assert len(joins) == 1 and ">=" not in joins[0]
+
+
+def test_close_links_are_greedy_links_without_a_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for n, m, spot in ((0, 4, 9.0), (40, 60, 9.0), (70, 30, 4.0), (90, 90, 2.0)):
+        for grid in (1.0, 1e-3):
+            a, b = (np.round(rng.uniform(0, spot, (k, 2)) / grid) * grid for k in (n, m))
+            b[:2] = np.nan
+            wanted = np.full(m, -1)
+            for i, j in assignment.greedy_links(np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)), 2.5):
+                wanted[j] = i
+            assert assignment.close_links(a, b, 2.5).tolist() == wanted.tolist()
+    pairs = []
+    within = assignment.pairs_within
+    monkeypatch.setattr(assignment, "pairs_within", lambda *args: pairs.append(within(*args)) or pairs[-1])
+    a, b = rng.uniform(0, 50, (2, 20_000, 2))
+    b[1000:4000], a[:3000] = a[0], a[0]  # a crowd in one place
+    assert sorted(assignment.close_links(a, b, 6.0)[1000:4000]) == list(range(3000))
+    assert sum(len(p[0]) for p in pairs) < 50 * 20_000
+
+
+def test_chains_of_frames_with_gaps(spark):
+    rows = [(1, 5, 1, 0.0, 0.0), (1, 5, 2, 9.0, 0.0), (1, 8, 3, 0.5, 0.0), (1, 8, 4, 0.2, 0.0), (1, 9, 5, 9.0, 0.0), (1, 9, 6, 0.3, 0.0), (None, 9, 7, 0.3, 0.0)]
+    found = stateful.chained(spark.createDataFrame(rows, "k int, frame long, id long, x double, y double"), ["k"], 2.0)
+    assert sorted((r.id, r.frame, r.chain) for r in found.collect()) == [(1, 5, 0), (2, 5, 1), (3, 8, 2), (4, 8, 0), (5, 9, 3), (6, 9, 0), (7, 9, 0)]

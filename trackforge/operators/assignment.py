@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
+from trackforge.operators.proximity import pairs_within
+
 
 def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, one for each row or column, whichever are fewer.
@@ -80,3 +84,69 @@ def greedy_links(distance: np.ndarray, most: float) -> list[tuple[int, int]]:
             columns.add(j[k])
             out.append((int(i[k]), int(j[k])))
     return out
+
+
+class Places:
+    """The different positions of some points, with the points at each, in order, and how many of them are taken."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        sound = np.flatnonzero(np.isfinite(points).all(1))
+        self.at, of = np.unique(points[sound], axis=0, return_inverse=True)
+        self.points = sound[np.argsort(of.ravel(), kind="stable")].tolist()
+        self.end = np.cumsum(np.bincount(of.ravel(), minlength=len(self.at))).tolist()
+        self.next = [0, *self.end[:-1]] if self.end else []
+
+    def free(self) -> np.ndarray:
+        return np.flatnonzero(np.array(self.next, int) < np.array(self.end, int))
+
+
+def close_links(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """greedy_links of the points a and b without the matrix of their distances: for each of b its partner in a, -1 if none.
+
+    Points in one place are looked at together. Near pairs come first: what is linked at a small radius takes no part at
+    the next, so the pairs looked at grow like the points, not like their square.
+    """
+    link = np.full(len(b), -1)
+    one, other = Places(a), Places(b)
+    if not len(one.at) or not len(other.at):
+        return link
+
+    def join(p: int, q: int, n: int = 1) -> None:
+        i, j = one.next[p], other.next[q]
+        link[other.points[j : j + n]] = one.points[i : i + n]
+        one.next[p], other.next[q] = i + n, j + n
+
+    def join_tied(pairs: list[tuple[int, int]]) -> None:
+        """Pairs of places that are equally far apart: the points in order, each with the first that is free."""
+        partners: dict[int, list[int]] = {}
+        for p, q in pairs:
+            partners.setdefault(p, []).append(q)
+        heads = [(one.points[one.next[p]], p) for p in partners if one.next[p] < one.end[p]]
+        heapq.heapify(heads)
+        while heads:
+            p = heapq.heappop(heads)[1]
+            free = [(other.points[other.next[q]], q) for q in partners[p] if other.next[q] < other.end[q]]
+            if free:
+                join(p, min(free)[1])
+                if one.next[p] < one.end[p]:
+                    heapq.heappush(heads, (one.points[one.next[p]], p))
+
+    low, high = np.minimum(one.at.min(0), other.at.min(0)), np.maximum(one.at.max(0), other.at.max(0))
+    radius = float(min(most, np.sqrt(np.prod(high - low) / max(len(one.at), len(other.at))))) or most
+    while True:
+        left, right = one.free(), other.free()
+        i, j, d = pairs_within(one.at[left], other.at[right], radius)
+        order = np.argsort(d, kind="stable")
+        edges = np.flatnonzero(np.append(np.append(True, np.diff(d[order]) != 0), True)).tolist() if len(d) else [0]
+        p, q = left[i[order]].tolist(), right[j[order]].tolist()
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if y == x + 1 or len(set(p[x:y])) == y - x == len(set(q[x:y])):
+                for k in range(x, y):
+                    n = min(one.end[p[k]] - one.next[p[k]], other.end[q[k]] - other.next[q[k]])
+                    if n:
+                        join(p[k], q[k], n)
+            else:
+                join_tied(list(zip(p[x:y], q[x:y], strict=True)))
+        if radius >= most:
+            return link
+        radius = min(2 * radius, most)

@@ -123,3 +123,28 @@ def nearest_points(group: np.ndarray, x: np.ndarray, y: np.ndarray, to_group: np
             j = int(np.lexsort((others, away))[0])  # NaN comes last
             best[k], found[k] = away[j], others[j]
     return best, found
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b (positions) at most most apart, and their distances. Rows meet by squares of that width."""
+    none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    if not len(a) or not len(b):
+        return none
+    width = most * (1 + 1e-9)
+    corner = np.minimum(a.min(0), b.min(0))
+    square_a, square_b = (np.floor((p - corner) / width).astype(np.int64) + 1 for p in (a, b))
+    rows = max(square_a[:, 1].max(), square_b[:, 1].max()) + 2
+    number = square_b[:, 0] * rows + square_b[:, 1]
+    order = np.argsort(number, kind="stable")
+    number = number[order]
+    found = [none]
+    for column in (-1, 0, 1):
+        middle = (square_a[:, 0] + column) * rows + square_a[:, 1]
+        low, high = np.searchsorted(number, middle - 1, "left"), np.searchsorted(number, middle + 1, "right")
+        for begin, end in pieces(high - low):
+            at, of = spread(low[begin:end], high[begin:end])
+            i, j = of + begin, order[at]
+            d = np.hypot(a[i, 0] - b[j, 0], a[i, 1] - b[j, 1])
+            near = d <= most
+            found.append((i[near], j[near], d[near]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
