@@ -558,3 +558,12 @@ def test_chains_of_frames_with_gaps(spark):
     rows = [(1, 5, 1, 0.0, 0.0), (1, 5, 2, 9.0, 0.0), (1, 8, 3, 0.5, 0.0), (1, 8, 4, 0.2, 0.0), (1, 9, 5, 9.0, 0.0), (1, 9, 6, 0.3, 0.0), (None, 9, 7, 0.3, 0.0)]
     found = stateful.chained(spark.createDataFrame(rows, "k int, frame long, id long, x double, y double"), ["k"], 2.0)
     assert sorted((r.id, r.frame, r.chain) for r in found.collect()) == [(1, 5, 0), (2, 5, 1), (3, 8, 2), (4, 8, 0), (5, 9, 3), (6, 9, 0), (7, 9, 0)]
+
+
+def test_gaps_of_a_match_need_no_frame_for_each(spark, monkeypatch):
+    """Two anchors in a frame, several candidates, empty gaps; a frame of data is made for no frame of the match."""
+    rows = [(1, 1, 0, "anchor", 0.0, 0.0, 0.5), (1, 2, 100, "candidate", 40.0, 0.0, 1.0), (1, 2, 100, "candidate", 1.0, 0.0, 0.9), (1, 3, 200, "candidate", 2.0, 0.0, 0.8)]
+    rows += [(1, 4, 300, "anchor", 9.0, 9.0, 0.1), (1, 4, 300, "anchor", 3.0, 0.0, 0.1), (1, 4, 300, "candidate", 1.0, 0.0, 0.1), (1, 5, 400, "anchor", 3.0, 0.0, 1.0), (1, 6, 500, "candidate", 3.0, 0.0, 1.0), (2, 6, 500, "candidate", 3.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, frame long, t long, kind string, x double, y double, confidence double")
+    monkeypatch.setattr(ball, "grouped", None)
+    assert sorted(map(tuple, ball.fill_gaps(df, ["k"]).collect())) == [(1, 2, 1.0, 0.0), (1, 3, 2.0, 0.0)]

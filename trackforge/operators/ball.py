@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.operators.grouping import grouped
+from trackforge.operators.grouping import grouped, walked
 from trackforge.params import Ball
 
 PERSON_BONUS = 0.3  # fixed values: what a person nearby is worth, how far away a challenger still is the same, and what a metre a second costs
@@ -107,51 +108,70 @@ def track_ball(candidates: DataFrame, keys: list[str], p: Ball = Ball()) -> Data
     return grouped(candidates, keys, run, COLUMNS)
 
 
+def cheapest_way(times: np.ndarray, nodes: np.ndarray, first: list[int], top_speed: float, miss: float, doubt: float) -> list[int]:
+    """The nodes on the path of least cost from the first to the last node, without these two.
+
+    nodes: x, y, confidence, layer by layer; first: where each layer begins (one more at the end); times: of the layers, in
+    seconds. A layer is reached from all layers before at once.
+    """
+    layer = np.repeat(np.arange(len(times)), np.diff(first))
+    x, y, at, doubts = nodes[:, 0], nodes[:, 1], times[layer], doubt * (1 - nodes[:, 2])
+    cost, came = np.full(len(nodes), np.inf), np.full(len(nodes), -1)
+    cost[0] = 0
+    for k in range(1, len(times)):
+        a, b = first[k], first[k + 1]
+        if a == b:
+            continue
+        taken = np.maximum(times[k] - at[:a], 1e-9)
+        speed = np.hypot(x[a:b, None] - x[:a], y[a:b, None] - y[:a]) / taken
+        total = np.where(speed <= top_speed, cost[:a] + miss * (k - layer[:a] - 1) + SPEED_COST * speed, np.inf)
+        best = total.argmin(axis=1)
+        cost[a:b] = total[np.arange(b - a), best] + doubts[a:b]
+        came[a:b] = np.where(cost[a:b] < np.inf, best, -1)
+    way, node = [], int(came[-1])
+    while node > 0:
+        way.append(node)
+        node = int(came[node])
+    return way[::-1]
+
+
 def cheapest_fill(times: np.ndarray, start: tuple[float, float], end: tuple[float, float], candidates: list[list[tuple[float, float, float]]], top_speed: float = 35.0, miss: float = 1.0, doubt: float = 1.0) -> list[tuple[float, float] | None]:
     """Positions between two anchors: the path through candidates (x, y, confidence) of least cost.
 
     A skipped time costs miss, a step SPEED_COST for each metre a second, a candidate doubt * (1 - confidence); steps
     faster than top_speed can't be taken. times: of start, of the frames between, and of end, in seconds. The candidates
-    of a time are a layer, reached from all layers before at once.
+    of a time are a layer.
     """
     layers = [np.array([[*start, 1.0]]), *(np.array(c, float).reshape(-1, 3) for c in candidates), np.array([[*end, 1.0]])]
-    layer = np.repeat(np.arange(len(layers)), [len(x) for x in layers])
+    first = np.cumsum([0, *(len(x) for x in layers)])
     nodes = np.concatenate(layers)
-    cost, came = np.full(len(nodes), np.inf), np.full(len(nodes), -1)
-    cost[0] = 0
-    for k in range(1, len(layers)):
-        here, before = np.flatnonzero(layer == k), np.flatnonzero((layer < k) & (cost < np.inf))
-        if not len(here):
-            continue
-        taken = np.maximum(times[k] - times[layer[before]], 1e-9)
-        speed = np.hypot(nodes[here, None, 0] - nodes[before, 0], nodes[here, None, 1] - nodes[before, 1]) / taken
-        total = np.where(speed <= top_speed, cost[before] + miss * (k - layer[before] - 1) + SPEED_COST * speed, np.inf)
-        best = total.argmin(axis=1)
-        cost[here] = total[np.arange(len(here)), best] + doubt * (1 - nodes[here, 2])
-        came[here] = np.where(cost[here] < np.inf, before[best], -1)
     out: list[tuple[float, float] | None] = [None] * len(candidates)
-    node = came[-1]
-    while node > 0:
-        out[layer[node] - 1] = tuple(nodes[node, :2].tolist())
-        node = came[node]
+    for node in cheapest_way(times, nodes, first.tolist(), top_speed, miss, doubt):
+        out[int(np.searchsorted(first, node, "right")) - 2] = tuple(nodes[node, :2].tolist())
     return out
 
 
 def fill_gaps(df: DataFrame, keys: list[str], top_speed: float = 35.0) -> DataFrame:
     """Filled positions of gaps. Rows: frame, t, kind ("anchor" or "candidate"), x, y, confidence."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        frames = {f: g for f, g in rows.sort_values(["frame", "x", "y"]).groupby("frame")}
-        order, out = sorted(frames), []
-        anchors = [i for i, f in enumerate(order) if (frames[f].kind == "anchor").any()]
-        for i, j in zip(anchors, anchors[1:], strict=False):
-            a, between, b = order[i], order[i + 1 : j], order[j]
-            if not between:
-                continue
-            ends = [frames[f][frames[f].kind == "anchor"].iloc[0] for f in (a, b)]
-            times = np.array([frames[f].t.iloc[0] / 1000 for f in (a, *between, b)])
-            found = cheapest_fill(times, (ends[0].x, ends[0].y), (ends[1].x, ends[1].y), [list(zip(frames[f].x, frames[f].y, frames[f].confidence, strict=True)) for f in between], top_speed)
-            out += [(f, *p) for f, p in zip(between, found, strict=True) if p is not None]
-        return pd.DataFrame(out, columns=["frame", "x", "y"])
-
-    return grouped(df, keys, run, [("frame", T.LongType()), ("x", T.DoubleType()), ("y", T.DoubleType())])
+    def run(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        nodes = np.stack([rows[c].astype(float) for c in ("x", "y", "confidence")], 1)
+        first = np.flatnonzero(np.append(True, np.diff(rows["frame"]) != 0))
+        anchors = np.flatnonzero(rows["anchor"].astype(bool))
+        frame = np.searchsorted(first, anchors, "right") - 1
+        new = np.append(True, np.diff(frame) != 0)[: len(frame)]
+        anchors, frame, first, times = anchors[new], frame[new].tolist(), np.append(first, len(nodes)), rows["t"][first] / 1000
+        found = [np.zeros(0, int)]
+        for a, b, i, j in zip(anchors[:-1].tolist(), anchors[1:].tolist(), frame[:-1], frame[1:], strict=True):
+            if j > i + 1:
+                low, high = int(first[i + 1]), int(first[j])
+                ends = np.concatenate([nodes[a : a + 1], nodes[low:high], nodes[b : b + 1]])
+                ends[[0, -1], 2] = 1.0
+                steps = [0, *(first[i + 1 : j + 1] - low + 1).tolist(), high - low + 2]
+                found.append(np.array(cheapest_way(times[i : j + 1], ends, steps, top_speed, 1.0, 1.0), int) + low - 1)
+        at = np.concatenate(found)
+        return {"frame": rows["frame"][at], "x": nodes[at, 0], "y": nodes[at, 1]}
+
+    rows = df.where(F.col("frame").isNotNull()).select(*keys, "frame", "t", "x", "y", "confidence", F.coalesce(F.col("kind") == "anchor", F.lit(False)).alias("anchor"))
+    order = [F.col(c).asc_nulls_last() for c in ("frame", "x", "y")]
+    return walked(rows, keys, order, run, [("frame", T.LongType()), ("x", T.DoubleType()), ("y", T.DoubleType())])
