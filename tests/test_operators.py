@@ -567,3 +567,24 @@ def test_gaps_of_a_match_need_no_frame_for_each(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k int, frame long, t long, kind string, x double, y double, confidence double")
     monkeypatch.setattr(ball, "grouped", None)
     assert sorted(map(tuple, ball.fill_gaps(df, ["k"]).collect())) == [(1, 2, 1.0, 0.0), (1, 3, 2.0, 0.0)]
+
+
+def test_keeping_apart_follows_the_number_of_rows(spark, monkeypatch):
+    """As the greedy rule says; and of many rows that nearly all stay no pairs are made."""
+    from trackforge.operators import clean, proximity
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), i, float(q), int(c), float(x), float(y)) for i, (k, q, c, x, y) in enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 90, 900), rng.integers(0, 3, 900), *rng.integers(0, 40, (2, 900)), strict=True))]
+    rows += [(0, 900, 0.0, None, 1.0, 1.0), (0, 901, 0.0, 1, None, 1.0), (9, 902, 0.0, 1, math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "k int, id int, quality double, cam int, x double, y double")
+    d = lambda a, b: F.sqrt(F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2)))
+    for other, clash in ((None, lambda a, b: d(a, b) < 5), ("cam", lambda a, b: (a["cam"] != b["cam"]) & (d(a, b) < 5))):
+        found, wanted = clean.keep_apart(df, ["k"], ["quality", "id"], "id", 5.0, other), clean.greedy_keep(df, ["k"], ["quality", "id"], "id", clash)
+        assert found.columns == wanted.columns and sorted(r.id for r in found.collect()) == sorted(r.id for r in wanted.collect())
+        assert 0 < found.count() < len(rows)
+    looked = []
+    away = proximity.Strips._away
+    monkeypatch.setattr(proximity.Strips, "_away", lambda self, x, y, i: looked.append(len(i)) or away(self, x, y, i))
+    x, y = rng.uniform(0, 40, (2, 20_000))
+    stays = proximity.greedy_apart(np.zeros(20_000, int), (x > 20).astype(int), x, y, 1.0, False)
+    assert stays.sum() > 15_000 and sum(looked) < 1_000 * 20_000

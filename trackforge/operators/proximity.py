@@ -148,3 +148,60 @@ def pairs_within(a: np.ndarray, b: np.ndarray, most: float) -> tuple[np.ndarray,
             near = d <= most
             found.append((i[near], j[near], d[near]))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+BLOCK = 32  # rows of a group that are decided one by one
+
+
+def greedy_apart(group: np.ndarray, kind: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float, alike: bool) -> np.ndarray:
+    """Which rows stay if, in order within their group, each goes that lies nearer than distance to one that stays before it.
+
+    Only rows of the same kind count (alike), or only those of other kinds. kind: small numbers. Groups come one after the
+    other. Half of the rows are settled first, then those near what stays of them go, then the other half is settled; all
+    groups at once.
+    """
+    begin = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, int)
+    sizes = np.diff(np.append(begin, len(group)))
+    place = np.arange(len(group)) - np.repeat(begin, sizes)
+    number = np.repeat(np.arange(len(begin)), sizes)
+    kinds = int(kind.max(initial=0)) + 1
+    stays = np.ones(len(group), bool)
+
+    def between(low: int, high: int) -> np.ndarray:
+        return spread(begin + np.minimum(low, sizes), begin + np.minimum(high, sizes))[0]
+
+    def near(rows: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        others = [kind[kept] == k if alike else kind[kept] != k for k in range(kinds)]
+        to, of = np.concatenate([kept[o] for o in others]), np.repeat(np.arange(kinds), [o.sum() for o in others])
+        return nearest_points(number[rows] * kinds + kind[rows], x[rows], y[rows], number[to] * kinds + of, x[to], y[to], len(begin) * kinds)[0] < distance
+
+    def settle(low: int, high: int) -> None:
+        rows = between(low, high)
+        rows = rows[stays[rows]]
+        if high - low > BLOCK:
+            middle = (low + high) // 2
+            settle(low, middle)
+            first, second = between(low, middle), between(middle, high)
+            first, second = first[stays[first]], second[stays[second]]
+            if len(first) and len(second):
+                stays[second[near(second, first)]] = False
+            if len(second):
+                settle(middle, high)
+            return
+        own = np.unique(number[rows])
+        for a in range(0, len(own), 512):
+            some = own[a : a + 512]
+            table = np.full((len(some), high - low), -1)
+            mine = rows[np.searchsorted(number[rows], some[0], "left") : np.searchsorted(number[rows], some[-1], "right")]
+            table[np.searchsorted(some, number[mine]), place[mine] - low] = mine
+            there = table >= 0
+            u, v, c = x[table], y[table], kind[table]
+            clash = np.sqrt((u[:, :, None] - u[:, None]) ** 2 + (v[:, :, None] - v[:, None]) ** 2) < distance
+            clash &= (c[:, :, None] == c[:, None]) if alike else (c[:, :, None] != c[:, None])
+            for k in range(1, high - low):
+                there[:, k] &= ~(there[:, :k] & clash[:, k, :k]).any(1)
+            stays[mine] = there[np.searchsorted(some, number[mine]), place[mine] - low]
+
+    if len(group):
+        settle(0, int(sizes.max()))
+    return stays

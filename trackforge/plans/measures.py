@@ -40,17 +40,17 @@ NEAR_SQL = "len(list_filter(g.kept, lambda q: {extra}sqrt(power(q.x - n.x, 2) +
 
 @query(GREEDY_SQL.format(clash=NEAR_SQL.format(extra="q.cam <> n.cam AND ", d="12.5")))
 def flt02_two_lens_duplicates(spark, sf_dir):
-    return clean.greedy_keep(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", lambda a, b: (a["cam"] != b["cam"]) & clean.near(a, b, 12.5)).select("moment", "id")
+    return clean.keep_apart(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", 12.5, other="cam").select("moment", "id")
 
 
 @query(GREEDY_SQL.format(clash=NEAR_SQL.format(extra="", d="9.0")))
 def flt07_flt08_near_duplicates(spark, sf_dir):
-    return clean.greedy_keep(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", lambda a, b: clean.near(a, b, 9.0)).select("moment", "id")
+    return clean.keep_apart(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", 9.0).select("moment", "id")
 
 
 @query(GREEDY_SQL.format(clash=NEAR_SQL.format(extra="", d="9.0")).replace("SELECT moment, id FROM g WHERE k", "SELECT moment, count(*) AS people FROM g WHERE k GROUP BY 1"))
 def flt04_person_count(spark, sf_dir):
-    kept = clean.greedy_keep(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", lambda a, b: clean.near(a, b, 9.0))
+    kept = clean.keep_apart(candidates(spark, sf_dir), ["moment"], ["quality", "id"], "id", 9.0)
     return kept.groupBy("moment").agg(F.count("*").alias("people"))
 
 

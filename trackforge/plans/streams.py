@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackforge.operators.clean import near
 from trackforge.params import Possession, Tracks
 from trackforge.plans.catalog import ORACLES, query, r6
 from trackforge.plans.decisions import st01_possession
@@ -58,7 +57,7 @@ def frames(spark, sf_dir):
 def streaming_duplicates(spark, sf_dir):
     rows = frames(spark, sf_dir).where("x is not null").select(F.floor(C("t") / 3_600_000).alias("moment"), C("value").alias("quality"), C("frame").alias("id"), (C("match_id") % 2).alias("cam"), "x", "y")
     rows = rows.withColumn("ts", F.timestamp_seconds(C("moment") * 3600))
-    kept = online.without_clashes(rows, ["moment"], "ts", "1 hour", ["quality", "id"], "id", lambda a, b: (a["cam"] != b["cam"]) & near(a, b, 12.5))
+    kept = online.without_doubles(rows, ["moment"], "ts", "1 hour", ["quality", "id"], "id", 12.5, other="cam")
     return online.drained(kept, shared_folder(spark), "complete").select("moment", "id")
 
 

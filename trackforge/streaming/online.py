@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackforge.operators.ball import BallFollower, followed
-from trackforge.operators.clean import greedy_keep
+from trackforge.operators.clean import greedy_keep, keep_apart
 from trackforge.operators.stateful import PossessionState
 from trackforge.params import Ball, Possession
 
@@ -44,6 +44,11 @@ def without_clashes(stream: DataFrame, keys: list[str], ts: str, late: str, rank
     return greedy_keep(stream.withWatermark(ts, late), [*keys, ts], rank, item, clash)
 
 
+def without_doubles(stream: DataFrame, keys: list[str], ts: str, late: str, rank: list[str], item: str, distance: float, other: str | None = None) -> DataFrame:
+    """clean.keep_apart on a stream, for frames of many rows; otherwise as without_clashes."""
+    return keep_apart(stream.withWatermark(ts, late), [*keys, ts], rank, item, distance, other)
+
+
 def online_possession(stream: DataFrame, key: str, p: Possession = Possession()) -> DataFrame:
     """The possession machine on a stream of frames: key, frame, t, half, dead, ball, controller.
 
