@@ -47,6 +47,69 @@ def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, int(i)) if flip else (int(i), j) for j, i in enumerate(owner) if i >= 0)
 
 
+def cheapest_links(i: np.ndarray, j: np.ndarray, price: np.ndarray, rows: int, columns: int, alone: float) -> tuple[np.ndarray, np.ndarray]:
+    """cheapest_assignment where only the pairs (i, j) can be, and a row or column without a partner costs alone, whichever are fewer.
+
+    Each search goes only as far from its row as a shorter way to a free column, or to a row that stays alone, may lie.
+    """
+    if rows > columns:
+        j, i = cheapest_links(j, i, price, columns, rows, alone)
+        order = np.argsort(i)
+        return i[order], j[order]
+    order = np.lexsort((price, i))
+    column, cost = j[order], price[order]
+    start = np.searchsorted(i[order], np.arange(rows + 1)).tolist()
+    row_price, column_price = np.zeros(rows), np.zeros(columns)
+    owner, partner, slack, via = np.full(columns, -1), [-1] * rows, np.full(columns, np.inf), np.full(columns, -1)
+    for row in range(rows):
+        touched, reached, heap = [], [], []
+        here, dist, end, least = row, 0.0, None, np.inf  # end: the free column, or -1 - the row that stays alone
+        while True:
+            a, b = start[here], start[here + 1]
+            if dist + alone - row_price[here] < least:
+                least, end = float(dist + alone - row_price[here]), -1 - here
+            near = column[a:b]
+            through = dist + cost[a:b] - row_price[here] - column_price[near]
+            better = np.flatnonzero((through < slack[near]) & (through < least))
+            if len(better):
+                near, through = near[better], through[better]
+                slack[near], via[near] = through, here
+                touched.append(near)
+                free = np.flatnonzero(owner[near] < 0)
+                if len(free):
+                    k = free[through[free].argmin()]
+                    if through[k] < least:
+                        least, end = float(through[k]), int(near[k])
+                for d, c in zip(through.tolist(), near.tolist(), strict=True):
+                    if d < least and owner[c] >= 0:
+                        heapq.heappush(heap, (d, c))
+            while heap and heap[0][0] > slack[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                break
+            dist, c = heapq.heappop(heap)
+            reached.append((dist, c))
+            here = int(owner[c])
+        row_price[row] += least
+        for d, c in reached:
+            row_price[owner[c]] += least - d
+            column_price[c] -= least - d
+        if end < 0:
+            here = -1 - end
+            end, partner[here] = partner[here], -1
+        while end >= 0:
+            here = int(via[end])
+            owner[end] = here
+            end, partner[here] = partner[here], end
+            if here == row:
+                break
+        for near in touched:
+            slack[near] = np.inf
+    out = np.array(partner, int)
+    mine = np.flatnonzero(out >= 0)
+    return mine, out[mine]
+
+
 def largest_matching(links: list[list[int]], right: int) -> dict[int, int]:
     """left -> right for a matching with the most pairs. links: for each left node the right nodes it may take.
 
