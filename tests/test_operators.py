@@ -588,3 +588,51 @@ def test_keeping_apart_follows_the_number_of_rows(spark, monkeypatch):
     x, y = rng.uniform(0, 40, (2, 20_000))
     stays = proximity.greedy_apart(np.zeros(20_000, int), (x > 20).astype(int), x, y, 1.0, False)
     assert stays.sum() > 15_000 and sum(looked) < 1_000 * 20_000
+
+
+def test_links_cost_as_little_as_assignments_and_few_are_asked_for():
+    rng = np.random.default_rng(0)
+    for k in range(300):
+        n = int(rng.integers(1, 14))
+        m = int(rng.integers(n, 18))
+        a, b = (np.round(rng.uniform(0, 10, (s, 2)) * (1, k % 3)) / (1 + k % 2) for s in (n, m))  # on a line, on a grid: ties
+        c = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)) - 0.3 * rng.integers(0, 2, n)[:, None] + 2.0 * rng.integers(0, 2, (n, m))
+        c[c > rng.choice([3, 6, 20])] = 1e3
+
+        def cheaper(row, limit, c=c):
+            j = np.flatnonzero(c[row] < min(limit, 1e3))
+            j = j[np.argsort(c[row][j], kind="stable")]
+            return j.tolist(), c[row][j].tolist()
+
+        def more(row, limit, cheaper=cheaper):
+            limit = 2 * limit if limit < 20 else np.inf
+            return *cheaper(row, limit), limit
+
+        wanted = sum(c[i, j] for i, j in assignment.cheapest_assignment(c))
+        for known in (0.5, 2.0, np.inf):
+            i, j = assignment.cheapest_links([cheaper(row, known) for row in range(n)], m, 1e3, known, more)
+            assert len(set(i.tolist())) == len(set(j.tolist())) == len(i)
+            assert abs(c[i, j].sum() + 1e3 * (n - len(i)) - wanted) < 1e-6
+
+
+def test_prices_of_crowded_frames_need_no_matrix(monkeypatch):
+    """Pairs that are too far apart aren't priced: of 7.6 million pairs of pieces and detections a tenth at most."""
+    priced = []
+    prices = players.Pieces.prices
+
+    def counted(self, *args):
+        found = prices(self, *args)
+        priced.append(found.size)
+        return found
+
+    monkeypatch.setattr(players.Pieces, "prices", counted)
+    rng = np.random.default_rng(1)
+    t = np.repeat([0, 100, 200], [2_000, 1_800, 2_000])
+    rows = pd.DataFrame({"t": t, "x": rng.uniform(0, 56, len(t)), "y": rng.uniform(0, 32, len(t)), "team": 0, "keeper": False}).sort_values(["t", "x", "y"])
+    piece = players.followed(players.Seen.of(rows, Pitch(), Tracks()), Tracks())
+    assert (piece >= 0).mean() > 0.5 and sum(priced) < 760_000
+
+
+def test_detections_without_a_place_begin_pieces_of_their_own():
+    rows = pd.DataFrame({"t": [0, 0, 100, 100, 200, 200], "x": [5.0, np.nan, 5.0, np.nan, 5.0, np.nan], "y": 5.0, "team": 0, "keeper": False})
+    assert players.followed(players.Seen.of(rows, Pitch(), Tracks()), Tracks()).tolist() == [0, -1, 0, -1, 0, -1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 
@@ -47,64 +48,80 @@ def cheapest_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, int(i)) if flip else (int(i), j) for j, i in enumerate(owner) if i >= 0)
 
 
-def cheapest_links(i: np.ndarray, j: np.ndarray, price: np.ndarray, rows: int, columns: int, alone: float) -> tuple[np.ndarray, np.ndarray]:
-    """cheapest_assignment where only the pairs (i, j) can be, and a row or column without a partner costs alone, whichever are fewer.
+def sorted_links(i: np.ndarray, j: np.ndarray, price: np.ndarray, rows: int) -> list[tuple[list[int], list[float]]]:
+    """For each row the columns j and their prices, the cheapest first."""
+    order = np.lexsort((j, price, i))
+    edges, column, price = np.searchsorted(i[order], np.arange(rows + 1)).tolist(), j[order].tolist(), price[order].tolist()
+    return [(column[a:b], price[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    Each search goes only as far from its row as a shorter way to a free column, or to a row that stays alone, may lie.
+
+def cheapest_links(links: list[tuple[list[int], list[float]]], columns: int, alone: float, known: float = np.inf, more: Callable[[int, float], tuple[list[int], list[float], float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """cheapest_assignment of no more rows than columns where only linked pairs can be; a row without a partner costs alone.
+
+    links: as of sorted_links, for each row those that cost less than known; more(row, known) gives those that cost less
+    than a higher limit, and the limit. Rows begin with their cheapest column, the first that wants it; each of the others then
+    searches only as far as a cheaper way to a free column, or to a row that stays alone, may lie, and only there are more
+    links asked for.
     """
-    if rows > columns:
-        j, i = cheapest_links(j, i, price, columns, rows, alone)
-        order = np.argsort(i)
-        return i[order], j[order]
-    order = np.lexsort((price, i))
-    column, cost = j[order], price[order]
-    start = np.searchsorted(i[order], np.arange(rows + 1)).tolist()
-    row_price, column_price = np.zeros(rows), np.zeros(columns)
-    owner, partner, slack, via = np.full(columns, -1), [-1] * rows, np.full(columns, np.inf), np.full(columns, -1)
-    for row in range(rows):
-        touched, reached, heap = [], [], []
-        here, dist, end, least = row, 0.0, None, np.inf  # end: the free column, or -1 - the row that stays alone
+    rows = len(links)
+    links, limit = list(links), [known] * rows
+    row_price, column_price = [0.0] * rows, [0.0] * columns
+    owner, partner = [-1] * columns, [-1] * rows
+    for row, (column, cost) in enumerate(links):
+        if column and owner[column[0]] < 0 and cost[0] <= alone:
+            owner[column[0]], partner[row], row_price[row] = row, column[0], cost[0]
+    for row in [r for r in range(rows) if partner[r] < 0]:
+        slack: dict[int, float] = {}
+        via: dict[int, int] = {}
+        reached: list[tuple[int, float]] = []
+        heap: list[tuple[float, int]] = []  # columns, and -1 - rows with links that aren't known
+        base = {row: 0.0}  # distance of a row, less its price
+        here, least, end = row, np.inf, -1  # end: the free column, or -1 - the row that stays alone
         while True:
-            a, b = start[here], start[here + 1]
-            if dist + alone - row_price[here] < least:
-                least, end = float(dist + alone - row_price[here]), -1 - here
-            near = column[a:b]
-            through = dist + cost[a:b] - row_price[here] - column_price[near]
-            better = np.flatnonzero((through < slack[near]) & (through < least))
-            if len(better):
-                near, through = near[better], through[better]
-                slack[near], via[near] = through, here
-                touched.append(near)
-                free = np.flatnonzero(owner[near] < 0)
-                if len(free):
-                    k = free[through[free].argmin()]
-                    if through[k] < least:
-                        least, end = float(through[k]), int(near[k])
-                for d, c in zip(through.tolist(), near.tolist(), strict=True):
-                    if d < least and owner[c] >= 0:
+            start = base[here]
+            if start + alone < least:
+                least, end = start + alone, -1 - here
+            column, cost = links[here]
+            for c, price in zip(column, cost, strict=True):
+                d = start + price
+                if d >= least:  # prices of columns are never above zero
+                    break
+                d -= column_price[c]
+                if d < least and d < slack.get(c, np.inf):
+                    slack[c], via[c] = d, here
+                    if owner[c] < 0:
+                        least, end = d, c
+                    else:
                         heapq.heappush(heap, (d, c))
-            while heap and heap[0][0] > slack[heap[0][1]]:
+            if start + limit[here] < least:
+                heapq.heappush(heap, (start + limit[here], -1 - here))
+            while heap and heap[0][1] >= 0 and heap[0][0] > slack[heap[0][1]]:
                 heapq.heappop(heap)
             if not heap or heap[0][0] >= least:
                 break
-            dist, c = heapq.heappop(heap)
-            reached.append((dist, c))
-            here = int(owner[c])
+            d, c = heapq.heappop(heap)
+            if c < 0:
+                here = -1 - c
+                *links[here], limit[here] = more(here, limit[here])
+            else:
+                reached.append((c, d))
+                slack[c] = -np.inf  # settled, whatever rounding says
+                here = owner[c]
+                base[here] = d - row_price[here]
         row_price[row] += least
-        for d, c in reached:
-            row_price[owner[c]] += least - d
-            column_price[c] -= least - d
+        for c, d in reached:
+            if d < least:
+                row_price[owner[c]] += least - d
+                column_price[c] -= least - d
         if end < 0:
             here = -1 - end
             end, partner[here] = partner[here], -1
         while end >= 0:
-            here = int(via[end])
+            here = via[end]
             owner[end] = here
             end, partner[here] = partner[here], end
             if here == row:
                 break
-        for near in touched:
-            slack[near] = np.inf
     out = np.array(partner, int)
     mine = np.flatnonzero(out >= 0)
     return mine, out[mine]

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackforge.operators.assignment import cheapest_assignment
+from trackforge.operators.assignment import cheapest_links, sorted_links
 from trackforge.operators.grouping import grouped
+from trackforge.operators.proximity import pairs_within, spread
 from trackforge.params import Pitch, Tracks
 
 UNKNOWN = -1
 FORBIDDEN = 1e3  # the price of a pair that can't be; any number of pairs that can costs less
+SETTLED = 0.3  # how much less a pair with a settled piece costs; no pair costs less than its distance by more
+NEAR = 64  # detections or pieces that are priced with each of the others at first, about
 
 
 def at_bench(x: np.ndarray, y: np.ndarray, pitch: Pitch, p: Tracks) -> np.ndarray:
@@ -127,17 +130,54 @@ class Pieces:
         self.votes[rows[known], seen.team[at[known]]] += 1
         self.first_vote[rows] = np.where(self.first_vote[rows] < 0, seen.team[at], self.first_vote[rows])
 
-    def prices(self, seen: Seen, at: np.ndarray, t: float) -> np.ndarray:
-        """What it costs that each piece (row) goes on with each detection (column)."""
-        p, age = self.p, t - self.t
-        here = np.stack([seen.x[at], seen.y[at]], 1)
-        away = np.hypot(*(self.expected(t)[:, None] - here[None]).transpose(2, 0, 1))
-        share, keeper = self.keeper / np.maximum(self.count, 1), seen.keeper[at]
-        price = away + (0.3 * age - 0.3 * self.settled)[:, None] + 2.0 * opposed(self.team[:, None], seen.team[at])
-        price += np.where(keeper, 2.0 * (share < 0.3)[:, None], 1.0 * ((share > 0.7) & (self.count > 15))[:, None])
-        changed = (age > p.change_s)[:, None] & self.bench[:, None] & seen.bench[at]
-        return np.where(changed | (away > np.minimum(p.gate + p.gate_speed * age, p.gate_most)[:, None]), FORBIDDEN, price)
-
+    def prices(self, seen: Seen, at: np.ndarray, t: float, rows: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """What it costs that piece rows[i], expected at a distance of away[i] at t, goes on with detection at[i]; FORBIDDEN if it can't."""
+        p, age, count = self.p, (t - self.t)[rows], self.count[rows]
+        share, keeper = self.keeper[rows] / np.maximum(count, 1), seen.keeper[at]
+        price = away + (0.3 * age - SETTLED * self.settled[rows]) + 2.0 * opposed(self.team[rows], seen.team[at])
+        price += np.where(keeper, 2.0 * (share < 0.3), 1.0 * ((share > 0.7) & (count > 15)))
+        changed = (age > p.change_s) & self.bench[rows] & seen.bench[at]
+        return np.where(changed | (away > np.minimum(p.gate + p.gate_speed * age, p.gate_most)), FORBIDDEN, price)
+
+    def cheapest(self, seen: Seen, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces go on with which detections (numbers of at): cheapest overall. Each is priced with those near it first."""
+        there, here = self.expected(t), np.stack([seen.x[at], seen.y[at]], 1)
+        pieces, columns = np.flatnonzero(np.isfinite(there).all(1)), np.flatnonzero(np.isfinite(here).all(1))
+        if not len(pieces) or not len(columns):
+            return np.zeros(0, int), np.zeros(0, int)
+        there, here = there[pieces], here[columns]
+        flip = len(pieces) > len(columns)
+        one, other = (here, there) if flip else (there, here)
+        most = float(np.minimum(self.p.gate + self.p.gate_speed * (t - self.t), self.p.gate_most).max())
+
+        def priced(i: np.ndarray, j: np.ndarray, away: np.ndarray) -> np.ndarray:
+            i, j = (j, i) if flip else (i, j)
+            return self.prices(seen, at[columns[j]], t, pieces[i], away)
+
+        def known(radius: float) -> float:
+            """All pairs within radius cost less than this, or others do too; the rest costs at least as much."""
+            return radius - SETTLED if radius < most else FORBIDDEN
+
+        def more(row: int, limit: float) -> tuple[list[int], list[float], float]:
+            radius = 2 * (limit + SETTLED)
+            j = by_x[np.searchsorted(x, one[row, 0] - radius, "left") : np.searchsorted(x, one[row, 0] + radius, "right")]
+            away = np.hypot(one[row, 0] - other[j, 0], one[row, 1] - other[j, 1])
+            j, away = j[away <= radius], away[away <= radius]
+            price, limit = priced(np.full(len(j), row), j, away), known(radius)
+            j, price = j[price < limit], price[price < limit]
+            order = np.lexsort((j, price))
+            return j[order].tolist(), price[order].tolist(), limit if limit < FORBIDDEN else np.inf
+
+        by_x = np.argsort(other[:, 0], kind="stable")
+        x = other[by_x, 0]
+        radius = max(float(np.sqrt(NEAR * np.prod(np.ptp(other, 0)) / np.pi / len(other))), 2 * SETTLED)
+        i, j, away = pairs_within(one, other, min(radius, most))
+        price, limit = priced(i, j, away), known(radius)
+        cheap = price < limit
+        a, b = cheapest_links(sorted_links(i[cheap], j[cheap], price[cheap], len(one)), len(other), FORBIDDEN, limit if limit < FORBIDDEN else np.inf, more)
+        rows, taken = (b, a) if flip else (a, b)
+        order = np.argsort(rows)
+        return pieces[rows[order]], columns[taken[order]]
 
     def overdue(self, t: float) -> np.ndarray:
         """Which pieces haven't been seen for too long at t."""
@@ -147,15 +187,15 @@ class Pieces:
         """The piece of each detection of a frame, seen[a:b]; UNKNOWN for doubles of players just seen."""
         p, at, t = self.p, np.arange(a, b), seen.t[a]
         piece = np.full(b - a, UNKNOWN)
-        price = self.prices(seen, at, t)
-        pairs = np.array([(i, j) for i, j in cheapest_assignment(price) if price[i, j] < FORBIDDEN], int).reshape(-1, 2)
-        rows, columns = pairs.T
+        rows, columns = self.cheapest(seen, at, t)
         self.write(rows, seen, at[columns])
         piece[columns] = self.number[rows]
         rest = np.delete(at, columns)
         # what lies next to a player who has just been seen is that player again
-        double = (np.hypot(seen.x[rest, None] - seen.x[at[columns]], seen.y[rest, None] - seen.y[at[columns]]) < p.double_distance) & ~opposed(seen.team[rest, None], self.team[rows])
-        rest = rest[~double.any(1)]
+        placed = rest[np.isfinite(seen.x[rest]) & np.isfinite(seen.y[rest])]
+        i, j, away = pairs_within(np.stack([seen.x[placed], seen.y[placed]], 1), np.stack([seen.x[at[columns]], seen.y[at[columns]]], 1), p.double_distance)
+        double = i[(away < p.double_distance) & ~opposed(seen.team[placed[i]], self.team[rows[j]])]
+        rest = np.setdiff1d(rest, placed[double])
         piece[rest - a] = self.begin(seen, rest)
         return piece
 
@@ -209,8 +249,7 @@ def successors(seen: Seen, s: Stretches, p: Tracks) -> dict[int, int]:
     n = len(s.at)
     start, end = seen.t[s.first], seen.t[s.last]
     low, high = np.searchsorted(start, end - 0.05, "left"), np.searchsorted(start, end + p.stitch_s, "right")
-    a = np.repeat(np.arange(n), high - low)
-    b = np.concatenate([np.arange(i, j) for i, j in zip(low, high, strict=True)]) if n else a
+    b, a = spread(low, np.maximum(low, high))
     gap = start[b] - end[a]
     wait = np.maximum(gap, 0)
     away = np.hypot(seen.x[s.first[b]] - seen.x[s.last[a]], seen.y[s.first[b]] - seen.y[s.last[a]])
@@ -218,22 +257,13 @@ def successors(seen: Seen, s: Stretches, p: Tracks) -> dict[int, int]:
     changed = (gap > p.change_s) & seen.bench[s.last[a]] & seen.bench[s.first[b]]
     fits = (a != b) & (away <= np.minimum(p.stitch_base + p.gate_speed * wait, p.stitch_most)) & ~opposed(s.team[a], s.team[b]) & ~other_role & ~changed
     a, b, price = a[fits], b[fits], (away + 0.4 * wait)[fits]
-    block = np.arange(2 * n)  # ends, then starts
-    while len(a):
-        least = np.minimum(block[a], block[n + b])
-        before = block.copy()
-        np.minimum.at(block, a, least)
-        np.minimum.at(block, n + b, least)
-        if (block == before).all():
-            break
-    out = {}
-    for k in np.unique(block[a]).tolist():
-        mine = np.flatnonzero(block[a] == k)
-        (rows, i), (columns, j) = np.unique(a[mine], return_inverse=True), np.unique(b[mine], return_inverse=True)
-        cost = np.full((len(rows), len(columns)), FORBIDDEN)
-        cost[i, j] = price[mine]
-        out |= {int(rows[x]): int(columns[y]) for x, y in cheapest_assignment(cost) if cost[x, y] < FORBIDDEN}
-    return out
+    starts, number = np.unique(b, return_inverse=True)  # no more of them than ends, or the other way round
+    ends, of = np.unique(a, return_inverse=True)
+    if len(starts) < len(ends):
+        j, i = cheapest_links(sorted_links(number, of, price, len(starts)), len(ends), FORBIDDEN)
+    else:
+        i, j = cheapest_links(sorted_links(of, number, price, len(ends)), len(starts), FORBIDDEN)
+    return dict(zip(ends[i].tolist(), starts[j].tolist(), strict=True))
 
 
 def chained_pieces(seen: Seen, piece: np.ndarray, p: Tracks) -> list[np.ndarray]:
