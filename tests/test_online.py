@@ -172,3 +172,51 @@ def test_pieces_of_the_query_equal_the_batch(spark):
     one = plans.QUERIES["streaming_pieces"](spark, folder).groupBy("match_id", "half", "piece").count()
     other = plans.QUERIES["st03_st04_st06_player_tracks"](spark, folder).groupBy("match_id", "half", F.col("track").alias("piece")).count()
     assert one.exceptAll(other).count() == 0 and other.exceptAll(one).count() == 0 and one.count() > 0
+
+
+class Held:
+    """A value or list of state that counts the calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("update", "put"):
+                self.value = args[0]
+            elif name == "appendValue":
+                self.value = [*(self.value or []), args[0]]
+            elif name == "clear":
+                self.value = None
+            return {"exists": self.value is not None, "get": self.value or ()}.get(name)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        return lambda *args: self.calls.append(name) if name == "registerTimer" else Held(self.calls)
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 10**9
+
+
+def test_a_match_that_is_over_needs_few_calls_of_state():
+    """It comes out whole, and what is known of its ball isn't written in between."""
+    frames = [r for r in played(3) if r[0] == 1]
+    rows = pd.DataFrame(frames, columns=possession.FRAME).astype({"controller": "Int32"})
+    rows["event_ms"] = rows.t
+    machine, handle = possession.OrderedFrames(Possession(), PITCH, "m", 0), Handle()
+    machine.init(handle)
+    list(machine.handleInputRows(("a",), iter([rows]), Watermark()))
+    handle.calls.clear()
+    found = pd.concat(list(machine.handleExpiredTimer(("a",), Watermark(), None)))
+    out, still = batch_states(frames, Possession(), PITCH)
+    assert found.frame.tolist() == [r[1] for r in frames] and found.out.tolist() == out and found.still.tolist() == still
+    assert "update" not in handle.calls and len(handle.calls) <= 7

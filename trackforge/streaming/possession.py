@@ -169,6 +169,7 @@ class OrderedFrames(Reordered):
     def __init__(self, p: Possession, pitch: Pitch, key: str, idle_ms: int) -> None:
         super().__init__(["t", "frame"], idle_ms)
         self.p, self.pitch, self.key = p, pitch, key
+        self.kept: BallStates | None = None
 
     def open(self) -> None:
         self.states = self.handle.getValueState("states", "text string")
@@ -177,24 +178,33 @@ class OrderedFrames(Reordered):
         return BallStates.loaded(self.states.get()[0], self.p, self.pitch) if self.states.exists() else BallStates(self.p, self.pitch)
 
     def _table(self, key: tuple, rows: list[Frame]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], r.half, r.frame, r.t, r.out, r.still, r.x is not None, r.controller) for r in rows], columns=[self.key, "half", "frame", "t", "out", "still", "ball", "controller"]).astype({"controller": "Int32"})
+        columns = {self.key: [key[0]] * len(rows)} | {c: [getattr(r, c) for r in rows] for c in ("half", "frame", "t", "out", "still")}
+        return pd.DataFrame(columns | {"ball": [r.x is not None for r in rows], "controller": pd.array([r.controller for r in rows], "Int32")})
 
     def passed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         states = self._load()
-        known = rows[FRAME].astype(object).where(rows[FRAME].notna(), None)
-        for half, frame, t, x, y, controller in known.itertuples(index=False, name=None):
-            states.add(Frame(int(half), int(frame), int(t), x, y if x is not None else None, None if controller is None else int(controller)))
+        columns = [rows[c].tolist() for c in FRAME]
+        for half, frame, t, x, y, controller in zip(*columns, strict=True):
+            states.add(Frame(int(half), int(frame), int(t), _known(x), _known(y), None if _known(controller) is None else int(controller)))
         out = states.decided()
-        self.states.update((states.saved(),))
+        if self.ending:
+            self.kept = states
+        else:
+            self.states.update((states.saved(),))
         return self._table(key, out)
 
     def ended(self, key: tuple) -> pd.DataFrame | None:
-        states = self._load()
+        states, self.kept = self.kept or self._load(), None
         states.end()
         self.states.clear()
         return self._table(key, states.decided())
 
 
+def _known(value: float | None) -> float | None:
+    """None for nulls, which come as NaN from columns of numbers."""
+    return None if value is None or value is pd.NA or value != value else value
+
+
 class Machine(StatefulProcessor):
     """The possession machine over frames that come in order."""
 
@@ -210,13 +220,17 @@ class Machine(StatefulProcessor):
             half, holder, rival, since, seen = self.held.get()
             machine = PossessionState(self.p, holder, rival, since, seen)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["t", "frame"]).itertuples():
-            if r.half != half:
-                half, machine = int(r.half), PossessionState(self.p)
-            controller, holder = machine.step(int(r.t), bool(r.out or r.still), bool(r.ball), None if pd.isna(r.controller) else int(r.controller))
-            out.append((key[0], half, int(r.frame), bool(r.out), bool(r.still), controller, holder))
+        parts = list(rows)
+        frames = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(["t", "frame"])
+        columns = [frames[c].tolist() for c in ("half", "frame", "t", "out", "still", "ball", "controller")]
+        for own, frame, t, outside, still, ball, controller in zip(*columns, strict=True):
+            if own != half:
+                half, machine = int(own), PossessionState(self.p)
+            near = None if _known(controller) is None else int(controller)
+            out.append((int(frame), bool(outside), bool(still), half, *machine.step(int(t), bool(outside or still), bool(ball), near)))
         self.held.update((half, machine.holder, machine.rival, machine.rival_since, machine.ball_seen))
-        yield pd.DataFrame(out, columns=[self.key, "half", "frame", "out", "still", "controlled_by", "possession"]).astype({"controlled_by": "Int32", "possession": "Int32"})
+        frame, outside, still, halves, controller, holder = zip(*out, strict=True)
+        yield pd.DataFrame({self.key: [key[0]] * len(out), "half": halves, "frame": frame, "out": outside, "still": still, "controlled_by": pd.array(controller, "Int32"), "possession": pd.array(holder, "Int32")})
 
     def close(self) -> None:
         pass

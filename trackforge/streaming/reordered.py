@@ -31,13 +31,14 @@ def unpacked(blob: bytes) -> pd.DataFrame:
 
 class Reordered(StatefulProcessor):
     """passed() gets a key's rows in order once the watermark is behind them, lapsed() every call after that, ended() when
-    nothing has come for idle_ms; then the key's state goes."""
+    nothing has come for idle_ms; then the key's state goes. A key that ends with the rows that pass has ending set: passed()
+    may leave what ended() needs in the processor instead of writing it as state."""
 
     def __init__(self, order: list[str], idle_ms: int) -> None:
         self.order, self.idle_ms = order, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.ending = handle, False
         self.early = handle.getListState("early", "rows binary")
         self.latest = handle.getValueState("latest", "ms long")
         self.open()
@@ -67,23 +68,32 @@ class Reordered(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         held = [unpacked(bytes(blob)) for (blob,) in self.early.get()]
+        latest, waits = None, False
         if held:
-            rows = pd.concat(held, ignore_index=True)
-            due = rows[MS] <= watermark
-            if (~due).any():
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            due = rows[MS].to_numpy() <= watermark
+            waits = not due.all()
+            if waits:
                 self.early.put([(packed(rows[~due]),)])
+                rows = rows[due]
             else:
                 self.early.clear()
-            if due.any():
-                latest = int(rows[MS][due].max())
-                self.latest.update((latest,))
-                yield self.passed(key, rows[due].sort_values(self.order, ignore_index=True))
-                self.wake_at(latest + self.idle_ms)
-        found = self.lapsed(key, watermark)
-        if found is not None and len(found):
-            yield found
-        if self.latest.exists() and self.latest.get()[0] + self.idle_ms <= watermark and not any(True for _ in self.early.get()):
+            if len(rows):
+                latest = int(rows[MS].max())
+                self.ending = not waits and latest + self.idle_ms <= watermark  # so what passed() finds needn't be kept
+                yield self.passed(key, rows.sort_values(self.order, ignore_index=True))
+                if not self.ending:
+                    self.latest.update((latest,))
+                    self.wake_at(latest + self.idle_ms)
+        if not self.ending:
+            found = self.lapsed(key, watermark)
+            if found is not None and len(found):
+                yield found
+        if latest is None and not waits and self.latest.exists():
+            self.ending = self.latest.get()[0] + self.idle_ms <= watermark
+        if self.ending:
             found = self.ended(key)
+            self.ending = False
             self.latest.clear()
             if found is not None and len(found):
                 yield found
