@@ -1,9 +1,11 @@
 """Cases with known answers, and rules held against sequential versions of them."""
 
+import datetime
 import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -463,6 +465,27 @@ def test_equal_means_give_no_direction(spark):
         assert {r.team: r.right for r in measures.attack_directions(first, ["k"], "team", "x").collect()} == {0: False, 1: True}
 
 
+def test_equal_means_give_the_direction_of_the_sql(spark, tmp_path):
+    """Equal means whose sums differ in doubles: the SQL, run by one thread, sums in the order of frames."""
+    kinds = {"click": (0.3, 0.2, 0.1), "view": (0.1, 0.2, 0.3)}
+    rows = []
+    for user, step in ((1, 1), (2, -1)):
+        for kind, values in kinds.items():
+            for v in values[::step]:
+                rows.append((len(rows), datetime.datetime(2024, 1, 3), user, kind, v, "{}"))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.orderBy("event_id").coalesce(1).write.parquet(f"{tmp_path}/in")
+    df.orderBy(df.event_id.desc()).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect(config={"threads": 1})
+    duck.sql(f"create view events as select * from '{tmp_path}/in/*.parquet'")
+    for name in ("ag04_attack_direction",):
+        sql = duck.sql(plans.ORACLES[name])
+        found = plans.QUERIES[name](spark, str(tmp_path)).select(*sql.columns).collect()
+        assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, sql.fetchall()))
+    rights = plans.QUERIES["ag04_attack_direction"](spark, str(tmp_path)).where("right").collect()
+    assert {(r.match_id, r.team) for r in rights} == {(1, 0), (2, 1)}
+
+
 def test_equal_scores_change_team_in_order(spark):
     rows = [(1, f, 1, 5.0) for f in (4, 2, 3)] + [(1, 9, 0, 1.0)]
     df = spark.createDataFrame(rows, "k int, frame int, team int, score double")

@@ -119,7 +119,7 @@ def ag03_thirds(spark, sf_dir):
 
 @query(DIRECTION_SQL + " SELECT match_id, half, 0 AS team, r0 AS \"right\" FROM dir UNION ALL SELECT match_id, half, 1, NOT r0 FROM dir")
 def ag04_attack_direction(spark, sf_dir):
-    return ag.attack_directions(frames(spark, sf_dir), ["match_id", "half"], "team", "x")
+    return ag.attack_directions(frames(spark, sf_dir), ["match_id", "half"], "team", "x", ["frame"])
 
 
 @query(DIRECTION_SQL + ", f AS (SELECT match_id, half, team, t // 86400000 AS d, count(*) AS n, avg(xn) AS h, max(xn) - min(xn) AS l, max(yn) - min(yn) AS w FROM nx GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) SELECT half, team, round(avg(h), 6) AS average_position, round(avg(l), 6) AS team_length, round(avg(w), 6) AS team_width, count(*) AS frames FROM f GROUP BY 1, 2")
