@@ -478,7 +478,7 @@ def test_equal_means_give_the_direction_of_the_sql(spark, tmp_path):
     df.orderBy(df.event_id.desc()).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     duck = duckdb.connect(config={"threads": 1})
     duck.sql(f"create view events as select * from '{tmp_path}/in/*.parquet'")
-    for name in ("ag04_attack_direction",):
+    for name in ("ag04_attack_direction", "ag03_thirds", "ag08_action_totals"):
         sql = duck.sql(plans.ORACLES[name])
         found = plans.QUERIES[name](spark, str(tmp_path)).select(*sql.columns).collect()
         assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, sql.fetchall()))

@@ -106,7 +106,7 @@ DIRECTION_SQL = ", dir AS (SELECT match_id, half, coalesce(avg(x) FILTER (team =
 
 def normalised(spark, sf_dir):
     f = frames(spark, sf_dir)
-    d = ag.attack_directions(f, ["match_id", "half"], "team", "x")
+    d = ag.attack_directions(f, ["match_id", "half"], "team", "x", ["frame"])
     rows = f.where("team is not null and x is not null").join(d, ["match_id", "half", "team"])
     return rows.withColumn("xn", fn.mirrored(C("x"), C("right"), LENGTH)).withColumn("yn", fn.mirrored(C("y"), C("right"), WIDTH))
 
@@ -322,7 +322,7 @@ u AS (SELECT v.*, n.n FROM v LEFT JOIN n USING (match_id, half))
 SELECT match_id, CASE half WHEN 0 THEN 'match' ELSE 'half_' || half END AS scope, team, m.measure, round(m.value, 6) AS value FROM (SELECT match_id, half, team, unnest([{'measure': 'possession', 'value': 100 * c / n}, {'measure': 'possession_in_opponent_half', 'value': opp}, {'measure': 'own_third', 'value': own}, {'measure': 'passes_attempted', 'value': pa}, {'measure': 'passes_completed', 'value': pc}, {'measure': 'pass_accuracy', 'value': acc}]) AS m FROM u)""")
 def ag38_report(spark, sf_dir):
     f = frames(spark, sf_dir)
-    directions = ag.attack_directions(f.select("match_id", "half", "team", "x"), ["match_id", "half"], "team", "x")
+    directions = ag.attack_directions(f.select("match_id", "half", "team", "x", "frame"), ["match_id", "half"], "team", "x", ["frame"])
     tables = {"possession": f.withColumn("possession", C("team")), "directions": directions, "passes": f.where("kind = 'view'").withColumn("completed", C("value") > 50)}
     wanted = ("possession", "possession_in_opponent_half", "own_third", "passes_attempted", "passes_completed", "pass_accuracy")
     found = report.report(tables, measures=[m for m in report.MEASURES if m.name in wanted])
