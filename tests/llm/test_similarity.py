@@ -308,3 +308,14 @@ def test_labels_are_merged_and_not_broadcast(spark):
         found = sorted(map(tuple, jaccard_join.components(links).collect()))
     assert found == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     assert joins and all("BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString() for j in joins)
+
+
+def test_no_join_of_near_copies_is_broadcast(spark):
+    """All joins of the whole job, its rounds and families included, whatever sizes Spark expects."""
+    base = [f"b{i}" for i in range(70)]
+    texts = [" ".join([*base[:k], f"e{k}", *base[k + 1 :]]) for k in range(0, 70, 2)] + corpus(5, 20)
+    joins, plain_join = [], type(spark.range(1)).join
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark.range(1)), "join", lambda self, *a, **k: (joins.append(plain_join(self, *a, **k)), joins[-1])[1])
+        jaccard_join.drop_copies(documents(spark, list(enumerate(texts))), jaccard_join.Similarity(3, 90)).collect()
+    assert len(joins) > 15 and all("Broadcast" not in j._jdf.queryExecution().executedPlan().toString() for j in joins)
